@@ -39,7 +39,7 @@ def hash_key(digest: Column) -> Column:
 
 def fingerprint(name: Column, size: Column, mtime: Column, version: int = PIPELINE_VERSION) -> Column:
     return F.concat_ws(
-        "|", F.lit(f"v{version}"), name, size.cast("string"), F.unix_millis(mtime).cast("string")
+        "|", F.lit(f"v{version}"), name, size.cast("string"), F.unix_millis(mtime.cast("timestamp")).cast("string")
     )
 
 

@@ -48,18 +48,20 @@ def leakage_groups(df: DataFrame, links: DataFrame, folder: str = "folder", id_c
     A folder is one vertex, its smallest id, so its members never become edges; links between rows
     shrink to distinct links between folders before the iteration starts.
     """
+    links = cut_lineage(links.select("src", "dst"))
     lead = df.groupBy(folder).agg(F.min(id_col).alias("_lead"))
     member = cut_lineage(
         salted_join(df.select(F.col(id_col).alias("id"), folder), lead, [folder], spread=["id"])
         .select("id", "_lead"))
+    n_rows, n_links = member.count(), links.count()
     a = member.select(F.col("id").alias("src"), F.col("_lead").alias("a"))
     b = member.select(F.col("id").alias("dst"), F.col("_lead").alias("b"))
-    one = salted_join(links.select("src", "dst"), a, ["src"], spread=["dst"])
-    two = salted_join(one, b, ["dst"], spread=["src"])
+    one = salted_join(links, a, ["src"], spread=["dst"], rows=n_links)
+    two = salted_join(one, b, ["dst"], spread=["src"], rows=n_links)
     bridges = two.where(F.col("a") != F.col("b")).select(
         F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
     merged = components(bridges).withColumnRenamed("id", "_lead")
-    return salted_join(member, merged, ["_lead"], "left", spread=["id"]).select(
+    return salted_join(member, merged, ["_lead"], "left", spread=["id"], rows=n_rows).select(
         "id", F.coalesce("component", "_lead").alias("group_id"))
 
 

@@ -239,7 +239,7 @@ def top_k(
         pieces = max(1, math.ceil(n_left / rows))
         ls = lt.withColumn("_piece", F.pmod(F.xxhash64("_id"), F.lit(pieces)).cast("int"))
         rs = rt.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-        found = ls.groupBy(*keys, "_piece").cogroup(rs.groupBy(*keys, "_piece")).applyInPandas(
+        found = _renewed(ls).groupBy(*keys, "_piece").cogroup(_renewed(rs).groupBy(*keys, "_piece")).applyInPandas(
             run, schema)
     else:
         found = _pruned_top_k(lt, rt, same, k, metric, keys, rows, n_right, run, schema)

@@ -68,8 +68,8 @@ def positions(
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     inside = Window.partitionBy(*by, *names).orderBy(*order)
     return (
-        sliced.withColumn("_at", F.row_number().over(inside))
+        sliced.withColumn("_within", F.row_number().over(inside))
         .join(starts, by + names)
-        .withColumn(out, F.col("_start") + F.col("_at"))
-        .drop("_start", "_at", *names)
+        .withColumn(out, F.col("_start") + F.col("_within"))
+        .drop("_start", "_within", *names)
     )

@@ -61,7 +61,7 @@ def content_hash(spark, folder):
     return documents(spark, folder).select("doc_id", digest.alias("hash"), P.hash_key(digest).alias("hash_key"))
 
 
-@query("fingerprint", """SELECT event_id, 'v6|' || event_type || '.wav|' || user_id || '|' || epoch_ms(ts) AS fingerprint
+@query("fingerprint", """SELECT event_id, 'v6|' || event_type || '.wav|' || user_id || '|' || (epoch_us(ts) // 1000) AS fingerprint
 FROM events""")
 def fingerprint(spark, folder):
     name = F.concat("event_type", F.lit(".wav"))
@@ -202,8 +202,8 @@ def extract_link(spark, folder):
 @query("extract_entries", r"""WITH m AS (SELECT page_id, html,
   regexp_extract_all(html, '<a href="/([^"]+)">([^<]+)</a>', 1) AS ids,
   regexp_extract_all(html, '<a href="/([^"]+)">([^<]+)</a>', 2) AS names FROM pages),
-e AS (SELECT page_id, unnest(ids) AS id, unnest(names) AS name, generate_subscripts(ids, 1) AS at FROM m)
-SELECT page_id, id, name FROM (SELECT *, row_number() OVER (PARTITION BY page_id, id ORDER BY at) AS rn FROM e)
+e AS (SELECT page_id, unnest(ids) AS id, unnest(names) AS name, generate_subscripts(ids, 1) AS spot FROM m)
+SELECT page_id, id, name FROM (SELECT *, row_number() OVER (PARTITION BY page_id, id ORDER BY spot) AS rn FROM e)
 WHERE rn = 1 AND id <> 'the'""")
 def extract_entries(spark, folder):
     return table(spark, folder, "pages").select(

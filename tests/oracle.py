@@ -62,9 +62,10 @@ if __name__ == "__main__":
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
-    wanted = sys.argv[1:]
+    wanted = [a for a in sys.argv[1:] if not a.startswith("@")]
+    module = next((a[1:] for a in sys.argv[1:] if a.startswith("@")), "")
     for name, query in E.queries().items():
-        if wanted and not any(w in name for w in wanted):
+        if module not in query.__module__ or (wanted and not any(w in name for w in wanted)):
             continue
         start = time.time()
         try:
