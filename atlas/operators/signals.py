@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -268,14 +269,19 @@ def log_mel(df: DataFrame, filters: np.ndarray | None = None, id_col: str = "id"
     held = df.sparkSession.sparkContext.broadcast(bank)
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for key, wave in zip(pdf[id_col], pdf[samples]):
-                mel = mel_frames(np.asarray(wave, dtype=np.float64), held.value).astype(np.float32)
-                yield pd.DataFrame({id_col: [key] * len(mel), "frame": np.arange(len(mel), dtype=np.int32),
-                                    "mel": list(mel)})
-
-    return df.select(id_col, samples).mapInPandas(run, f"{id_col} {kind}, frame int, mel array<float>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                wave = batch.column(1)[row].values.to_numpy(zero_copy_only=False)
+                mel = mel_frames(wave, held.value).astype(np.float32)
+                n = len(mel)
+                keys = batch.column(0).take(pa.array(np.full(n, row)))
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(n + 1, dtype=np.int32) * mel.shape[1]), pa.array(mel.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [keys, pa.array(np.arange(n, dtype=np.int32)), lists], [id_col, "frame", "mel"])
+
+    return df.select(id_col, samples).mapInArrow(run, f"{id_col} {kind}, frame int, mel array<float>")
 
 
 def augment_gain_noise(df: DataFrame, variants: int = 4, seed: int = 0, id_col: str = "id",

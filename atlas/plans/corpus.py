@@ -12,6 +12,7 @@ from atlas.functions import paths as P
 from atlas.operators import intake, signals
 from atlas.operators.head import Embedder, embed, score
 from atlas.operators.triage import consensus, label_neighbours, triage
+from atlas.session import spread
 from atlas.sources.media import load_signals
 from atlas.streaming.decisions import replay_decisions
 
@@ -31,7 +32,7 @@ def build_corpus(manifest: DataFrame, files: DataFrame, loader: Callable[[], Emb
     Labels are settled and rows without a file dropped before any byte is decoded.
     """
     wanted = intake.attach_files(relabel(manifest, rules), files.select("path"))
-    content = wanted.join(files.select("path", "content"), "path")
+    content = wanted.join(spread(files.select("path", "content"), "path"), "path")
     waves = signals.trim_rows(load_signals(content, keep=["path", "hash", "label"]))
     return embed(waves, loader, source="samples").drop("samples", "sr")
 
