@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlas.functions import vectors as V
+from atlas.operators.arrow import batch_udf
 from atlas.operators.neighbours import DIGITS, top_k
 from atlas.operators.skew import salted_join
 
@@ -24,7 +25,7 @@ BROADCAST_BYTES = 64 << 20
 def unit_rows(df: DataFrame, vec: str = "embedding", eps: float | None = EPS) -> DataFrame:
     """Replace ``vec`` by its unit vector (``eps=None``: zero vectors stay as they are)."""
 
-    @F.pandas_udf("array<double>")
+    @batch_udf("array<double>")
     def unit(column: pd.Series) -> pd.Series:
         matrix = np.stack(column.to_numpy()).astype(np.float64)
         length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
@@ -63,7 +64,7 @@ def nearest_centroid(df: DataFrame, cents: DataFrame, label: str = "label", vec:
     matrix = np.array([r["centroid"] for r in rows], dtype=np.float64)
     held = df.sparkSession.sparkContext.broadcast((names, matrix))
 
-    @F.pandas_udf("string")
+    @batch_udf("string")
     def closest(column: pd.Series) -> pd.Series:
         names_, matrix_ = held.value
         x = np.stack(column.to_numpy()).astype(np.float64)
@@ -124,7 +125,7 @@ def scaler_apply(df: DataFrame, scaler: DataFrame, vec: str = "embedding",
     row = scaler.first()
     held = df.sparkSession.sparkContext.broadcast((np.array(row["mean"]), np.array(row["scale"])))
 
-    @F.pandas_udf("array<double>")
+    @batch_udf("array<double>")
     def apply(column: pd.Series) -> pd.Series:
         mean, scale = held.value
         return pd.Series(list((np.stack(column.to_numpy()).astype(np.float64) - mean) / scale))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlas.functions.labels import MAP_UNSORTED
+from atlas.operators.arrow import batch_udf
 from atlas.operators.tally import class_weights
 
 TOP_TAGS = 3
@@ -45,7 +46,7 @@ def embed(df: DataFrame, loader: Callable[[], Embedder] | None = None, source: s
     a column to a matrix. A row whose embedding is not finite counts as failed and drops out."""
     load = loader or hashing_loader()
 
-    @F.pandas_udf("array<float>")
+    @batch_udf("array<float>")
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for column in columns:
@@ -80,7 +81,7 @@ def score(df: DataFrame, head: dict, vec: str = "embedding") -> DataFrame:
     limit = float(head.get("min_confidence", 0.49))
     held = df.sparkSession.sparkContext.broadcast((labels, _dense(head)))
 
-    @F.pandas_udf("struct<section:string,confidence:double,tags:array<struct<label:string,p:double>>>")
+    @batch_udf("struct<section:string,confidence:double,tags:array<struct<label:string,p:double>>>")
     def classify(column: pd.Series) -> pd.DataFrame:
         names, weights = held.value
         p = probabilities(np.stack(column.to_numpy()).astype(np.float64), weights)

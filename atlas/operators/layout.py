@@ -20,9 +20,9 @@ from atlas.functions import labels as L
 from atlas.functions import vectors as V
 from atlas.operators import geometry as G
 from atlas.operators.centroids import scaler_apply, scaler_fit
-from atlas.operators.neighbours import top_k
+from atlas.operators.neighbours import renewed, top_k
 from atlas.operators.skew import positions, salted_join
-from atlas.session import cut_lineage
+from atlas.session import cut_lineage, spread
 
 # Fixed values of the section layout.
 K_NEIGHBORS = 15
@@ -38,6 +38,7 @@ RECALL_K = 10
 RECALL_MIN_ROWS = 30
 
 SMALL_ROWS = 2000
+TOGETHER = 5
 LARGE_EPOCHS = 40
 LARGE_PACK_ROUNDS = 8
 
@@ -120,26 +121,29 @@ def _clip(value: np.ndarray) -> np.ndarray:
 def embed_section(pos: np.ndarray, table: np.ndarray, epochs: int, seed: int) -> np.ndarray:
     """Neighbour embedding of one small section. ``table[i]`` lists i's neighbours, -1 for none.
 
-    All rows take their j-th neighbour at the same time, one j after the other.
+    All rows take a few of their neighbours at the same time, one group of neighbours after the other.
     """
     rng = np.random.default_rng(seed)
     pos = pos * SPREAD
     n = len(pos)
-    every = np.arange(n)
+    groups = []
+    for at in range(0, table.shape[1], TOGETHER):
+        i, j = np.nonzero(table[:, at:at + TOGETHER] >= 0)
+        groups.append((i, table[i, at + j]))
+
+    def add_up(index: np.ndarray, force: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(index, weights=force[:, d], minlength=n) for d in (0, 1)], axis=1)
+
     for epoch in range(epochs):
         alpha = 1 - epoch / epochs
-        for j in range(table.shape[1]):
-            i, other = every[table[:, j] >= 0], table[table[:, j] >= 0, j]
+        for i, other in groups:
             gap = pos[i] - pos[other]
-            pull = _clip(-2 * CURVE_A / (1 + CURVE_A * (gap * gap).sum(axis=1, keepdims=True)) * gap) * alpha
-            pos[i] += pull
-            back = np.stack([np.bincount(other, weights=pull[:, d], minlength=n) for d in (0, 1)], axis=1)
-            pos -= back
+            pull = _clip(-2 * CURVE_A / (1 + CURVE_A * (gap * gap).sum(axis=1, keepdims=True)) * gap)
             far = rng.integers(0, n, size=(len(i), NEGATIVES))
             away = pos[i][:, None, :] - pos[far]
             d2 = (away * away).sum(axis=2, keepdims=True)
             push = _clip(2 / ((0.001 + d2) * (1 + CURVE_A * d2)) * away) * (far != i[:, None])[:, :, None]
-            pos[i] += push.sum(axis=1) * alpha
+            pos = pos + (add_up(i, pull + push.sum(axis=1)) - add_up(other, pull)) * (alpha / TOGETHER)
     return pos
 
 
@@ -244,7 +248,8 @@ def layout(df: DataFrame, by: Sequence[str] = ("section",), vec: str = "embeddin
     small = rest.where(F.col("n") <= small_rows).select(*by, "id", "x", "y")
     own = small.select(*by, F.col("id").alias("src"))
     small_edges = edges.join(own, "src").select(*by, "src", "dst", "rank")
-    placed = small.groupBy(*by).cogroup(small_edges.groupBy(*by)).applyInPandas(
+    nodes, links = spread(renewed(small), *by), spread(renewed(small_edges), *by)
+    placed = nodes.groupBy(*by).cogroup(links.groupBy(*by)).applyInPandas(
         _small_sections(epochs, seed, pack), "id long, x double, y double")
     parts = [small.select(*by, "id").join(placed, "id").withColumn("method", F.lit("embedded"))]
 

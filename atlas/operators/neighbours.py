@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atlas.operators.arrow import batch_udf
 from atlas.operators.skew import salted_join
 from atlas.session import cut_lineage
 
@@ -138,7 +139,7 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
     """Add ``_cell`` (closest pivot) and ``_r`` (distance to it)."""
     held = df.sparkSession.sparkContext.broadcast(pivots)
 
-    @F.pandas_udf("struct<cell:int,r:double>")
+    @batch_udf("struct<cell:int,r:double>")
     def place(v: pd.Series) -> pd.DataFrame:
         matrix = _matrix(v)
         dist = _distances(_unit(matrix) if metric == "cosine" else matrix, held.value)
@@ -171,7 +172,7 @@ def _cells_within(df: DataFrame, pivots: np.ndarray, low: np.ndarray, high: np.n
     """Cells that may hold a row within distance ``reach``: ``array<int>``."""
     held = df.sparkSession.sparkContext.broadcast((pivots, low, high))
 
-    @F.pandas_udf("array<int>")
+    @batch_udf("array<int>")
     def cells(v: pd.Series, far: pd.Series) -> pd.Series:
         pivots_, low_, high_ = held.value
         matrix = _matrix(v)
@@ -188,7 +189,7 @@ def _keyed(df: DataFrame, prefix: str, by: Sequence[str], extra: Sequence[str] =
     return df.select(*by, *[F.col(c).alias(prefix + c) for c in names], "_id", "_v", "_x", "_c")
 
 
-def _renewed(df: DataFrame) -> DataFrame:
+def renewed(df: DataFrame) -> DataFrame:
     """The same columns under new attribute ids, so that frames with a common origin can be joined."""
     return df.toDF(*df.columns)
 
@@ -197,9 +198,9 @@ def _meet(left: DataFrame, right: DataFrame, pairs: DataFrame, lkeys: Sequence[s
           by: Sequence[str], run, schema: str) -> DataFrame:
     """Send every listed pair of blocks to one task. Blocks are bounded, so every group is."""
     keys = [*by, *lkeys, *rkeys]
-    ls = _renewed(left).join(_renewed(pairs), [*by, *lkeys])
-    rs = _renewed(right).join(_renewed(pairs), [*by, *rkeys])
-    return _renewed(ls).groupBy(*keys).cogroup(_renewed(rs).groupBy(*keys)).applyInPandas(run, schema)
+    ls = renewed(left).join(renewed(pairs), [*by, *lkeys])
+    rs = renewed(right).join(renewed(pairs), [*by, *rkeys])
+    return renewed(ls).groupBy(*keys).cogroup(renewed(rs).groupBy(*keys)).applyInPandas(run, schema)
 
 
 EDGE_SCHEMA = "src long, dst long, score double"
@@ -239,7 +240,7 @@ def top_k(
         pieces = max(1, math.ceil(n_left / rows))
         ls = lt.withColumn("_piece", F.pmod(F.xxhash64("_id"), F.lit(pieces)).cast("int"))
         rs = rt.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-        found = _renewed(ls).groupBy(*keys, "_piece").cogroup(_renewed(rs).groupBy(*keys, "_piece")).applyInPandas(
+        found = renewed(ls).groupBy(*keys, "_piece").cogroup(renewed(rs).groupBy(*keys, "_piece")).applyInPandas(
             run, schema)
     else:
         found = _pruned_top_k(lt, rt, same, k, metric, keys, rows, n_right, run, schema)
@@ -354,7 +355,7 @@ def _near_dup(df: DataFrame, threshold: float, id_col: str, vec: str, block_rows
         F.col("src") != F.col("_id")).select("src", F.col("_id").alias("dst"), F.lit(1.0).alias("score"))
     if n <= rows:
         only = distinct.withColumns({"_cell": F.lit(0), "_core": F.lit(False), "_sub": F.lit(0)})
-        sides = [_renewed(_keyed(only, side, (), ["_core"])) for side in "lr"]
+        sides = [renewed(_keyed(only, side, (), ["_core"])) for side in "lr"]
         return sides[0].groupBy("l_cell").cogroup(sides[1].groupBy("r_cell")).applyInPandas(
             run, EDGE_SCHEMA).unionByName(links)
     pivots = _pivots(distinct, n, rows, "cosine")

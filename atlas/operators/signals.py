@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlas.operators.arrow import batch_udf
 from atlas.operators.skew import positions, salted_join
 
 # Fixed values of the signal front end.
@@ -236,7 +237,7 @@ def _floats(waves) -> list[np.ndarray]:
 def resample(df: DataFrame, out_sr: int = SAMPLE_RATE, sr: str = "sr", samples: str = "samples") -> DataFrame:
     """Every row at ``out_sr``; one table per batch and input rate."""
 
-    @F.pandas_udf("array<float>")
+    @batch_udf("array<float>")
     def convert(rates: pd.Series, waves: pd.Series) -> pd.Series:
         tables = {int(r): sinc_table(int(r), out_sr) for r in rates.unique()}
         return pd.Series([
@@ -247,7 +248,7 @@ def resample(df: DataFrame, out_sr: int = SAMPLE_RATE, sr: str = "sr", samples:
 
 
 def trim_rows(df: DataFrame, db: float = 60.0, frame: int = 1024, samples: str = "samples") -> DataFrame:
-    @F.pandas_udf("array<float>")
+    @batch_udf("array<float>")
     def trim(waves: pd.Series) -> pd.Series:
         return pd.Series([trim_array(w, db, frame) for w in _floats(waves)])
 
@@ -255,7 +256,7 @@ def trim_rows(df: DataFrame, db: float = 60.0, frame: int = 1024, samples: str =
 
 
 def envelope_rows(df: DataFrame, bars: int = 64, samples: str = "samples", out: str = "envelope") -> DataFrame:
-    @F.pandas_udf("array<float>")
+    @batch_udf("array<float>")
     def draw(waves: pd.Series) -> pd.Series:
         return pd.Series([envelope_array(w, bars).astype(np.float32) for w in _floats(waves)])
 
@@ -291,7 +292,7 @@ def augment_gain_noise(df: DataFrame, variants: int = 4, seed: int = 0, id_col:
     The generator is seeded by (seed, id, variant), so the result does not depend on partitions or retries.
     """
 
-    @F.pandas_udf("array<float>")
+    @batch_udf("array<float>")
     def change(keys: pd.Series, ks: pd.Series, waves: pd.Series) -> pd.Series:
         out = []
         for key, k, wave in zip(keys, ks, _floats(waves)):

@@ -58,7 +58,7 @@ def decision_log(spark, folder):
     """Decision log with every second line malformed: the good lines survive."""
     out = fresh_path(spark, "decisions")
     good = decisions(spark, folder).select(
-        F.to_json(F.struct(F.col("hash").cast("string"), F.lit("x").alias("current"), "label")).alias("value"))
+        F.to_json(F.struct(F.col("hash").cast("string").alias("hash"), F.lit("x").alias("current"), "label")).alias("value"))
     broken = good.select(F.concat(F.lit("{broken "), "value").alias("value"))
     good.unionByName(broken).write.text(out)
     return S.read_decisions(spark, out).agg(

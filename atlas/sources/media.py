@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlas.functions import paths as P
+from atlas.operators.arrow import batch_udf
 from atlas.operators.intake import union_roots
 from atlas.operators.signals import SAMPLE_RATE, resample
 
@@ -104,7 +105,7 @@ def probe_duration(df: DataFrame, content: str = "content", out: str = "duration
 
     Python receives the first bytes only. Files whose header is longer are probed again in full.
     """
-    _duration = F.pandas_udf(_durations, "struct<seconds:double,more:boolean>")
+    _duration = batch_udf("struct<seconds:double,more:boolean>")(_durations)
     total = F.length(F.col(content))
     first = df.withColumn("_d", _duration(F.substring(content, 1, HEAD_BYTES), total))
     rest = F.when(F.col("_d.more"), F.col(content))
@@ -140,7 +141,7 @@ def load_signals(df: DataFrame, sr: int = SAMPLE_RATE, keep: Sequence[str] = ("p
                  content: str = "content") -> DataFrame:
     """``keep..., sr, samples``: mono signals at ``sr``. Undecodable rows drop out."""
 
-    @F.pandas_udf("struct<sr:int,samples:array<float>>")
+    @batch_udf("struct<sr:int,samples:array<float>>")
     def decode(contents: pd.Series) -> pd.DataFrame:
         found = [decode_wav(bytes(c)) if c is not None else None for c in contents]
         return pd.DataFrame({"sr": pd.array([f[0] if f else None for f in found], dtype="Int32"),
