@@ -114,10 +114,10 @@ def scaler_fit(df: DataFrame, vec: str = "embedding", by: list[str] | None = Non
 
 
 def scaler_apply(df: DataFrame, scaler: DataFrame, vec: str = "embedding",
-                 by: list[str] | None = None) -> DataFrame:
+                 by: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """``(x - mean) / scale``. Without ``by`` the scaler is a single row, fetched and broadcast."""
     if by:
-        joined = salted_join(df, scaler, by, spread=[c for c in df.columns if c != vec])
+        joined = salted_join(df, scaler, by, spread=[c for c in df.columns if c != vec], rows=rows)
         scaled = F.transform(
             F.arrays_zip(F.col(vec).alias("x"), F.col("mean").alias("m"), F.col("scale").alias("s")),
             lambda e: (e["x"].cast("double") - e["m"]) / e["s"])

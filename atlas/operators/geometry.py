@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from atlas.operators.neighbours import top_k
 from atlas.operators.skew import salted_join
+from atlas.session import cut_lineage
 
 # Node radius, gap between sections, spacing of nodes, search radii, view limits.
 NODE_R = 1.6
@@ -43,30 +44,31 @@ def _distance(ax, ay, bx, by) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def unit_box(df: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", id_col: str = "id") -> DataFrame:
-    """Scale both axes of each group into 0..1."""
+def unit_box(df: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", id_col: str = "id",
+             rows: int | None = None) -> DataFrame:
+    """Scale both axes of each group into 0..1. ``rows``: the number of rows, where the caller knows it."""
     by = list(by)
     box = df.groupBy(*by).agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"),
                               F.max(y).alias("_y1"))
     floor = F.lit(1e-6)
-    return salted_join(df, box, by, spread=[id_col]).withColumns({
+    return salted_join(df, box, by, spread=[id_col], rows=rows).withColumns({
         x: (F.col(x) - F.col("_x0")) / F.greatest(F.col("_x1") - F.col("_x0"), floor),
         y: (F.col(y) - F.col("_y0")) / F.greatest(F.col("_y1") - F.col("_y0"), floor),
     }).drop("_x0", "_x1", "_y0", "_y1")
 
 
-def centre(df: DataFrame, by: Sequence[str], id_col: str = "id") -> DataFrame:
+def centre(df: DataFrame, by: Sequence[str], id_col: str = "id", rows: int | None = None) -> DataFrame:
     """Move the mean of each group to the origin."""
     by = list(by)
     mean = df.groupBy(*by).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
-    return salted_join(df, mean, by, spread=[id_col]).withColumns(
+    return salted_join(df, mean, by, spread=[id_col], rows=rows).withColumns(
         {"x": F.col("x") - F.col("_mx"), "y": F.col("y") - F.col("_my")}).drop("_mx", "_my")
 
 
-def blob_radius(df: DataFrame, by: Sequence[str], id_col: str = "id") -> DataFrame:
+def blob_radius(df: DataFrame, by: Sequence[str], id_col: str = "id", rows: int | None = None) -> DataFrame:
     """Per group: rows and the radius of the disc around its mean that holds every node."""
     far = F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))) + NODE_R
-    return centre(df, by, id_col).groupBy(*by).agg(
+    return centre(df, by, id_col, rows).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.greatest(far, F.lit(2 * NODE_R)).alias("radius"))
 
 
@@ -102,18 +104,19 @@ def nearest_section(points: DataFrame, sections: DataFrame, radius: float = DROP
         {"target": F.col("_b.name"), "distance": F.col("_b.d")}).drop("_b")
 
 
-def nearest_node(queries: DataFrame, nodes: DataFrame, zoom: float = 1.2, levels: int = 2,
-                 ratio: int = 8) -> DataFrame:
+def nearest_node(queries: DataFrame, nodes: DataFrame, zoom: float = 1.2, levels: int = 3,
+                 ratio: int = 3) -> DataFrame:
     """Closest node to each query point: ``id, node, distance, hit, active_section``.
 
     A node is hit inside its visible radius, and its section is active within a wider one; nothing
     further away matters, so the search stops there and such queries keep nulls. Crowded places are
     answered on a fine grid, the rest on coarser ones: a match no further than the cell size is final.
+    Answers are checkpointed level by level, so no level is computed twice.
     """
     hit_radius = max(NODE_R, HIT_PIXELS / zoom)
     radius = max(ACTIVE_RADIUS, hit_radius)
-    spots = nodes.groupBy(F.col("x").alias("nx"), F.col("y").alias("ny")).agg(
-        F.min_by(F.struct("id", "section"), "id").alias("node"))
+    spots = cut_lineage(nodes.groupBy(F.col("x").alias("nx"), F.col("y").alias("ny")).agg(
+        F.min_by(F.struct("id", "section"), "id").alias("node")))
     places = queries.select(F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
     pending, answers = places, None
     for level in range(levels):
@@ -123,7 +126,7 @@ def nearest_node(queries: DataFrame, nodes: DataFrame, zoom: float = 1.2, levels
             "qx", "qy", F.col("c.cx").alias("_cx"), F.col("c.cy").alias("_cy"))
         best = asked.join(grid, ["_cx", "_cy"]).withColumn("d", _distance("qx", "qy", "nx", "ny")).groupBy(
             "qx", "qy").agg(F.min(F.struct("d", F.col("node.id").alias("id"), "node.section")).alias("b"))
-        done = best.where(F.col("b.d") <= size)
+        done = cut_lineage(best.where(F.col("b.d") <= size))
         answers = done if answers is None else answers.unionByName(done)
         if level + 1 < levels:
             pending = pending.join(done.select("qx", "qy"), ["qx", "qy"], "left_anti")

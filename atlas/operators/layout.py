@@ -102,10 +102,11 @@ def pca_axes(df: DataFrame, by: Sequence[str], vec: str = "embedding") -> DataFr
         axes, f"{kinds}, n long, w1 array<double>, c1 double, w2 array<double>, c2 double")
 
 
-def pca_2d(df: DataFrame, by: Sequence[str], vec: str = "embedding", id_col: str = "id") -> DataFrame:
+def pca_2d(df: DataFrame, by: Sequence[str], vec: str = "embedding", id_col: str = "id",
+           rows: int | None = None) -> DataFrame:
     """Each row's position on its section's two leading directions: adds ``x``, ``y`` and ``n``."""
     model = pca_axes(df, by, vec)
-    joined = salted_join(df, model, list(by), spread=[id_col])
+    joined = salted_join(df, model, list(by), spread=[id_col], rows=rows)
     return joined.withColumns({
         "x": V.dot(F.col(vec), F.col("w1")) - F.col("c1"),
         "y": V.dot(F.col(vec), F.col("w2")) - F.col("c2"),
@@ -236,12 +237,17 @@ def layout(df: DataFrame, by: Sequence[str] = ("section",), vec: str = "embeddin
     task each) or joined (larger, step by step over the whole cluster).
     """
     by = list(by)
-    start = cut_lineage(G.unit_box(pca_2d(df, by, vec), by).select(*by, "id", "n", "x", "y", vec))
+    seen = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.max("d").alias("d")).first()
+    total = seen["n"] or 0
+    start = cut_lineage(G.unit_box(pca_2d(df, by, vec, rows=total), by, rows=total)
+                        .select(*by, "id", "n", "x", "y", vec))
     tiny = start.where(F.col("n") <= TINY)
     rest = start.where(F.col("n") > TINY)
-    scaled = scaler_apply(rest, scaler_fit(rest, vec, by), vec, by)
-    edges = top_k(scaled, k=K_NEIGHBORS, vec=vec, metric="sqeuclid", by=by, block_rows=block_rows)
-    big_exists = not start.where(F.col("n") > small_rows).isEmpty()
+    scaled = scaler_apply(rest, scaler_fit(rest, vec, by), vec, by, rows=total)
+    edges = top_k(scaled, k=K_NEIGHBORS, vec=vec, metric="sqeuclid", by=by, block_rows=block_rows,
+                  size=(total, seen["d"] or 1))
+    big_exists = (seen["most"] or 0) > small_rows
     if big_exists:
         edges = cut_lineage(edges)
 
@@ -297,14 +303,16 @@ def build_map(items: DataFrame, by: Sequence[str] = (), section: str = "section"
     by = list(by)
     keys = [*by, section]
     packed = layout(items.select(*keys, "id", vec), keys, vec, pack=True, **options)
-    offsets = cut_lineage(G.centre(packed, keys))
-    radii = G.blob_radius(offsets, keys)
+    packed = cut_lineage(packed)
+    total = packed.count()
+    offsets = cut_lineage(G.centre(packed, keys, rows=total))
+    radii = G.blob_radius(offsets, keys, rows=total)
     centres = G.arrange_sections(radii.withColumnRenamed(section, "name"), by=by)
     sections = centres.join(radii.select(*by, F.col(section).alias("name"), "n"), [*by, "name"])
     sections = cut_lineage(sections)
-    rel = G.unit_box(offsets, keys).select("id", F.col("x").alias("rel_x"), F.col("y").alias("rel_y"))
+    rel = G.unit_box(offsets, keys, rows=total).select("id", F.col("x").alias("rel_x"), F.col("y").alias("rel_y"))
     at = sections.select(*by, F.col("name").alias(section), "cx", "cy")
-    placed = salted_join(offsets, at, keys, spread=["id"]).withColumns(
+    placed = salted_join(offsets, at, keys, spread=["id"], rows=total).withColumns(
         {"x": F.col("cx") + F.col("x"), "y": F.col("cy") + F.col("y")}).drop("cx", "cy")
     nodes = items.drop(vec, *keys).join(placed.join(rel, "id"), "id").withColumns({
         "home_x": F.col("x"), "home_y": F.col("y"), "color": L.label_colour(F.col(section)),

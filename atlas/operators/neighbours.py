@@ -218,19 +218,21 @@ def top_k(
     skip_self: bool = True,
     carry: str | None = None,
     block_rows: int | None = None,
+    size: tuple[int, int] | None = None,
 ) -> DataFrame:
     """The ``k`` closest rows of ``right`` for each row of ``left``: ``src, dst, rank, score``.
 
     ``by`` columns must be equal on both sides; rows equal in ``exclude`` never meet. ``score`` is the
     cosine or the squared distance; ties go to the smaller id. ``right=None`` joins ``left`` to itself.
     ``carry`` names a column of ``right`` to bring along as ``dst_<carry>``, which saves a join on ``dst``.
-    Counts the rows and samples the pivots when called; the join itself stays lazy.
+    Counts the rows and samples the pivots when called; the join itself stays lazy. ``size`` (rows of
+    the right side, dimensions) saves the count where the caller knows it.
     """
     same = right is None
     lt = _standard(left, id_col, vec, by, exclude, carry if same else None)
     rt = lt if same else _standard(right, id_col, vec, by, exclude, carry)
     keys = [f"_by{i}" for i in range(len(by))]
-    n_right, dim = _shape(rt)
+    n_right, dim = size or _shape(rt)
     n_left = n_right if same else _shape(lt)[0]
     rows = block_rows or default_block_rows(lt, n_right, dim)
     run = _block_topk(k, metric, exclude is not None, skip_self, carry is not None)

@@ -11,7 +11,7 @@ from atlas.functions import labels as L
 from atlas.functions import paths as P
 from atlas.operators import intake, tally
 from atlas.plans.registry import query, r6, table
-from atlas.session import fresh_path
+from atlas.session import fresh_path, spread_scan
 from atlas.sources import tables as S
 from atlas.streaming import flows
 
@@ -110,8 +110,8 @@ def _rules_sql(text: str, rules) -> str:
   lower(regexp_replace(text, '[\\[\\(].*?[\\]\\)]', ' ', 'g')) AS name FROM documents)
 SELECT doc_id, {_rules_sql('name', L.KEYWORD_RULES)} AS label FROM c""")
 def keyword_label_documents(spark, folder):
-    return documents(spark, folder).select(
-        "doc_id", L.keyword_label(P.clean_name(F.col("text"))).alias("label"))
+    docs = spread_scan(documents(spark, folder), "doc_id")
+    return docs.select("doc_id", L.keyword_label(P.clean_name(F.col("text"))).alias("label"))
 
 
 @query("keyword_label_parts", f"SELECT p_partkey, {_rules_sql('lower(p_name)', PART_RULES)} AS label FROM part")

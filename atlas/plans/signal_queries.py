@@ -12,7 +12,7 @@ from atlas.operators import signals as G
 from atlas.plans import corpus
 from atlas.plans.registry import query, r6, table
 from atlas.plans.vector_queries import wave_head
-from atlas.session import spread
+from atlas.session import spread_scan
 from atlas.sources import media as M
 
 FRAME, DB, BARS = 8, 6.0, 16
@@ -108,7 +108,7 @@ def recordings(spark: SparkSession, folder: str) -> DataFrame:
     channels = F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2)
     good = wav_content(F.encode("text", "UTF-8"), sr, channels)
     content = F.when(F.col("doc_id") % 17 == 0, F.encode("text", "UTF-8")).otherwise(good)
-    return spread(table(spark, folder, "documents"), "doc_id").select(
+    return spread_scan(table(spark, folder, "documents"), "doc_id").select(
         "doc_id", F.concat_ws("/", "source", F.concat("doc_id", F.lit(".wav"))).alias("path"),
         content.alias("content"))
 

@@ -17,7 +17,7 @@ from atlas.operators import neighbours as N
 from atlas.operators import triage as T
 from atlas.plans import corpus
 from atlas.plans.registry import query, r6, table
-from atlas.session import fresh_path
+from atlas.session import fresh_path, spread_scan
 from atlas.sources import tables as S
 
 K = 15
@@ -470,7 +470,7 @@ def head_fit(spark, folder):
 @query("text_embedding")
 def text_embedding(spark, folder):
     """Hashed word embeddings of all documents: length and norm per document."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread_scan(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return H.embed(docs).select("doc_id", F.size("embedding").cast("long").alias("dims"),
                                 r6(V.norm(F.col("embedding"))).alias("norm"))
 

@@ -57,3 +57,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(wanted, *keys)
+
+
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """:func:`spread` for a table read in fewer partitions than there are cores (one small file, say).
+
+    A table of many files or row groups comes back as it is, without a shuffle. Meant for plain scans,
+    whose number of partitions is known from planning alone.
+    """
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return spread(df, *keys) if few else df
