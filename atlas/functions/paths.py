@@ -134,8 +134,12 @@ def _unescape(name: Column) -> Column:
 
 
 def url_basename(url: Column) -> Column:
-    """Last segment of the URL's path, null when the path ends in a slash or is missing."""
-    return F.nullif(basename(F.try_parse_url(url, F.lit("PATH"))), F.lit(""))
+    """Last segment of the URL's path, null when the path ends in a slash or is missing.
+
+    Read off by pattern: a URL parser rejects the stray characters real links contain.
+    """
+    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return F.nullif(F.regexp_replace(basename(path), ";.*$", ""), F.lit(""))
 
 
 def file_name(header: Column, url: Column, default: str = DEFAULT_NAME) -> Column:
