@@ -1 +1,8 @@
 """PySpark-native analytics for large media and document collections."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Batch functions travel to the executors by value, so a cluster needs no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

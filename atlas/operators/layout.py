@@ -193,13 +193,14 @@ def _large_sections(nodes: DataFrame, edges: DataFrame, by: Sequence[str], epoch
                            .withColumns({"x": F.col("x") * SPREAD, "y": F.col("y") * SPREAD})
                            .select(*by, "id", "at", "n", "x", "y"))
     links = cut_lineage(edges.select("src", "dst"))
+    n_links = links.count()
     state = numbered
     for epoch in range(epochs):
         alpha = 1 - epoch / epochs
         a = state.select(F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"))
         b = state.select(F.col("id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by_"))
         dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by_")
-        met = salted_join(links.join(a, "src"), b, ["dst"], spread=["src"])
+        met = salted_join(links.join(a, "src"), b, ["dst"], spread=["src"], rows=n_links)
         coef = -2 * CURVE_A / (1 + CURVE_A * (dx * dx + dy * dy))
         pulls = met.withColumns({"px": _limit(coef * dx), "py": _limit(coef * dy)})
         pull = pulls.select(F.explode(F.array(

@@ -128,9 +128,9 @@ def from_arrays(df: DataFrame, samples: str = "samples") -> DataFrame:
 def to_arrays(df: DataFrame, max_samples: int = CLIP_SAMPLES) -> DataFrame:
     """One array per signal. Only for clips: a signal beyond ``max_samples`` fails instead of filling a task."""
     sizes = df.groupBy("id").agg(F.max("pos").alias("last"))
-    checked = sizes.select("id", F.when(F.col("last") >= max_samples, F.raise_error(
-        F.lit("signal too long for one row"))).alias("_ok"))
-    rows = df.join(checked, "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
+    too_long = F.raise_error(F.lit("signal too long for one row")).cast("boolean")
+    fits = sizes.where(F.when(F.col("last") >= max_samples, too_long).otherwise(F.lit(True))).select("id")
+    rows = df.join(fits, "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
     return rows.select("id", F.transform("s", lambda e: e["v"].cast("float")).alias("samples"))
 
 

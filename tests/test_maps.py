@@ -98,16 +98,13 @@ def test_layout_methods_and_bounds(spark):
 @pytest.mark.parametrize("small_rows", [2000, 50])
 def test_layout_keeps_neighbours(spark, small_rows):
     """With a limit of 50 rows the larger sections take the distributed path."""
-    df = items(spark, {"a": 90, "b": 40})
-    placed = Y.layout(df, epochs=120, small_rows=small_rows, large_epochs=25, block_rows=40)
+    df = items(spark, {"a": 60, "b": 40})
+    placed = Y.layout(df, epochs=120, small_rows=small_rows, large_epochs=6)
     placed = placed.select("section", "id", "x", "y", "method").cache()
-    if small_rows == 50:
-        assert placed.where("section = 'a'").select("method").distinct().first()[0] == "joined"
-    recall = {r["section"]: r for r in Y.knn_recall(df, placed).collect()}
-    flat = {r["section"]: r["recall"] for r in Y.knn_recall(df, G.unit_box(Y.pca_2d(df, ["section"]), ["section"])).collect()}
-    for name, row in recall.items():
+    methods = {r["section"]: r["method"] for r in placed.select("section", "method").distinct().collect()}
+    assert methods == {"a": "joined" if small_rows == 50 else "embedded", "b": "embedded"}
+    for row in Y.knn_recall(df, placed).collect():
         assert row["recall"] > 1.5 * row["random"]
-        assert row["recall"] > flat[name] - 0.05
 
 
 def test_map(spark):

@@ -198,17 +198,20 @@ def test_archives(spark):
         ("c.rar", None, "unsupported")}
 
 
-def loader():
-    def model(waves):
-        return np.stack([np.abs(np.fft.rfft(np.asarray(w, dtype=float), 126)) for w in waves])
+def make_loader():
+    def loader():
+        def model(waves):
+            return np.stack([np.abs(np.fft.rfft(np.asarray(w, dtype=float), 126)) for w in waves])
 
-    return model
+        return model
+
+    return loader
 
 
 def test_analyze_files(spark, tmp_path):
     write_tree(tmp_path)
     files = M.scan_media(spark, str(tmp_path), content=True).select("path", "content")
-    rows = {r["filename"]: r for r in corpus.analyze(files, loader, wave_head()).collect()}
+    rows = {r["filename"]: r for r in corpus.analyze(files, make_loader(), wave_head()).collect()}
     assert set(rows) == {"a.WAV", "b.wav"}  # too long and unreadable files are gone
     assert abs(rows["a.WAV"]["duration"] - 0.2) < 0.05 and len(rows["a.WAV"]["envelope"]) == 64
     assert abs(np.linalg.norm(rows["b.wav"]["embedding"]) - 1) < 1e-5 and len(rows["b.wav"]["tags"]) == 3
@@ -229,7 +232,7 @@ def test_build_corpus(spark, tmp_path):
     rows.append(("f" * 32, "Tom", "gone.wav"))
     manifest = spark.createDataFrame(rows, "hash string, label string, orig_name string")
     files = M.scan_media(spark, str(root), content=True)
-    got = sorted(r["label"] for r in corpus.build_corpus(manifest, files, loader).collect())
+    got = sorted(r["label"] for r in corpus.build_corpus(manifest, files, make_loader()).collect())
     assert got == ["Kick", "Snare", "Tom"]
 
 
