@@ -53,9 +53,10 @@ TRIAGE_SQL = f"""{SCORED_SQL},
 decided AS (SELECT *, CASE WHEN consensus = label THEN 'keep' WHEN own < 0.45 AND strength >= 0.30 THEN 'fix'
   WHEN own < 0.45 THEN 'review' ELSE 'keep' END AS decision FROM scored)"""
 CENTROID_SQL = f"""{ITEMS_SQL},
-flat AS (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS dim FROM unit),
+scaled AS (SELECT id, label, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-9)) AS u FROM items),
+flat AS (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS dim FROM scaled),
 mean AS (SELECT label, dim, avg(x) AS m FROM flat GROUP BY ALL),
-cent AS (SELECT label, list(m / len_ ORDER BY dim) AS c FROM (
+cent AS (SELECT label, list(m / (len_ + 1e-9) ORDER BY dim) AS c FROM (
   SELECT label, dim, m, sqrt(sum(m * m) OVER (PARTITION BY label)) AS len_ FROM mean) GROUP BY label)"""
 
 
@@ -103,7 +104,7 @@ def class_centroids(spark, folder):
 
 NEAREST_SQL = f"""{CENTROID_SQL},
 near AS (SELECT u.id, u.label, arg_min(c.label, (-round(list_dot_product(u.u, c.c), 9), c.label)) AS nearest
-  FROM unit u, cent c GROUP BY ALL)"""
+  FROM scaled u, cent c GROUP BY ALL)"""
 
 
 @query("nearest_centroid", f"WITH {NEAREST_SQL} SELECT id, label, nearest FROM near")
