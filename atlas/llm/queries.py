@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlas.llm import chat, mixing, packing, projections, simhash, token_blocks, topk
+from atlas.llm import chat, disclosure, mixing, packing, projections, quality, simhash, token_blocks, topk, toxicity
 from atlas.llm.tokens import default_vocabulary
 
 QUERIES: dict = {}
@@ -138,3 +138,23 @@ def op9_projection_near_dup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_window_packing")
 def op10_window_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), default_vocabulary())
+
+
+@query("op3_quality_discriminant")
+def op3_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_toxicity_network")
+def op4_toxicity_network(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_disclosure_control")
+def op6_disclosure_control(spark: SparkSession, folder: str) -> DataFrame:
+    found = disclosure.all_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("_spans", lambda s: s["kind"] != "term")
+    counts = [F.size(disclosure.spans_of(kind)).cast("long").alias(f"n_{kind}")
+              for kind in (*disclosure.KINDS, "term")]
+    return found.select("doc_id", *counts, F.sha2(disclosure.joined_spans(base), 256).alias("base_sha256"),
+                        disclosure.joined_spans(F.col("_spans")).alias("spans"))

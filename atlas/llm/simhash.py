@@ -146,3 +146,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = components(fingerprint_links(vertices, radius))
     whose = vertices.join(joined, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return marked.join(whose, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
+             radius: int = 2) -> DataFrame:
+    """One document of each group, the one with the smallest id; columns unchanged.
+
+    A repeated id stays once (any of its rows). Rows without an id stay, since no group can name them.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, radius)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    named = docs.join(first, docs[id_col].cast("long") == first["_first"]).dropDuplicates(["_first"])
+    return named.select(*[docs[c] for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
