@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
     Sources in code point order, null last, weigh ``weights``, repeating. Sharing the budget by weight and
     resharing what exceeds a cap ends with the capped sources at their cap and the others at one level times
     their weight. The capped ones are those of the smallest cap per weight, so running sums in that order find
-    the level. The table has one row per source; it is ordered in one task.
+    the level: at the first source that stays below its cap, where it is the highest. The table has one row per source; it is ordered in one task.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
         .withColumn("weights", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", F.when(F.col("left") / F.col("weights") * F.col("weight") <= F.col("cap"),
                                     F.col("left") / F.col("weights")))
-        .withColumn("level", F.min("level").over(whole)))
+        .withColumn("level", F.max("level").over(whole)))
     return stepped.select("source", "source_size",
                           F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 

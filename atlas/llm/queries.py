@@ -87,7 +87,7 @@ steps AS (
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spare,
     sum(weight) OVER (ORDER BY cap / weight, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
   FROM caps),
-level AS (SELECT min(spare / weights) AS level FROM steps WHERE spare / weights * weight <= cap),
+level AS (SELECT max(spare / weights) AS level FROM steps WHERE spare / weights * weight <= cap),
 aims AS (
   SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target,
     CASE WHEN source_size > 0 THEN least(cap, coalesce(level * weight, cap)) / source_size ELSE 0 END AS rate
