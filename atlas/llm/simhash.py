@@ -108,6 +108,7 @@ def fingerprint_links(vertices: DataFrame, radius: int = 2, tile: int = TILE) ->
             same = batch.column(0).to_pylist()
             for i in range(batch.num_rows):
                 a, a_ids, b, b_ids = (batch.column(j)[i].values.to_numpy() for j in range(1, 5))
+                a, b = a.view(np.uint64), b.view(np.uint64)  # of a signed number, bits of the absolute value count
                 hits_a, hits_b = [], []
                 for at in range(0, len(a), 256):  # a strip at a time bounds the memory
                     near = np.bitwise_count(a[at:at + 256, None] ^ b[None, :]) <= radius
