@@ -24,8 +24,8 @@ from atlas.llm.tiles import spanning_forest
 from atlas.operators.groups import components
 from atlas.session import cut_lineage
 
-DIRECTIONS = 48
-HALF_WINDOW = 0.6  # in distances of a pair at the threshold
+DIRECTIONS = 40
+HALF_WINDOW = 1.0  # in distances of a pair at the threshold
 MISS = 1e-4
 TILE = 1024
 SEED = 7
