@@ -22,7 +22,8 @@ class Template:
     """Roles with opening and closing marks, loss roles, and the machine's moves (state: roles it accepts).
 
     The state is the last role, ``""`` at the start. ``ends`` are the states in which a conversation may end.
-    Roles outside ``opens`` are written with ``other``, where ``%s`` stands for the escaped role.
+    Roles outside ``opens`` are written with ``other``, where ``%s`` stands for the escaped role
+    (``>`` in it becomes ``\\g``) and is followed by ``>``.
     """
 
     opens: dict[str, str] = field(default_factory=lambda: {
@@ -43,14 +44,15 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """Inverse of :func:`escape`. Splitting at doubled backslashes from the left leaves only ``\\l`` marks."""
+    """Inverse of :func:`escape`. Splitting at doubled backslashes from the left leaves only whole marks."""
     parts = F.split(text, r"\\\\", -1)
-    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\l"), F.lit("<"))), "\\")
+    plain = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\l"), F.lit("<")), F.lit("\\g"), F.lit(">")))
+    return F.array_join(plain, "\\")
 
 
 def _opening(role: Column, template: Template) -> Column:
     head, tail = template.other.split("%s")
-    opening = F.concat(F.lit(head), escape(role), F.lit(tail))
+    opening = F.concat(F.lit(head), F.replace(escape(role), F.lit(">"), F.lit("\\g")), F.lit(tail))
     for name, mark in template.opens.items():
         opening = F.when(role == name, F.lit(mark)).otherwise(opening)
     return opening

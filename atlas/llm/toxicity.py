@@ -14,6 +14,7 @@ afterwards. A clean document teaches its highest window and some others.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ GRAMS = (3, 4, 5)
 SAMPLE = 1500  # documents of a class that training sees at most
 SAMPLE_WORDS = 800  # words that such a document has at most
 EPOCHS = 6
+LEAST_STEPS = 240  # of training, however few the documents
+LEAST_SEEN = 3
 OTHERS = 2  # windows of a clean document beside its highest
 SEED = 11
 CHUNK_WORDS = 1 << 16  # words scored at once
@@ -89,8 +92,8 @@ class BiGRU:
             return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
         self.p = {
-            "words": (0.1 * rng.standard_normal((WORD_BUCKETS, WORD_DIMS))).astype(np.float32),
-            "chars": (0.5 * rng.standard_normal((CHAR_BUCKETS, CHAR_DIMS))).astype(np.float32),
+            "words": (0.02 * rng.standard_normal((WORD_BUCKETS, WORD_DIMS))).astype(np.float32),
+            "chars": (0.1 * rng.standard_normal((CHAR_BUCKETS, CHAR_DIMS))).astype(np.float32),
             "wa": matrix(2 * h, ATTENTION), "va": matrix(ATTENTION), "wo": matrix(2 * h),
             "bo": np.full(1, -1.0, np.float32)}
         for side in "fb":
@@ -220,31 +223,33 @@ def window_index(ids, base, owner, start, padding):
     return at, inside.astype(np.float32)
 
 
+def _keys(word: bytes) -> set[bytes]:
+    """What the first choice of windows looks at: the word and its beginnings."""
+    return {word, word[:5] + b"*", word[:4] + b"*"}
+
+
 def _likeliest(texts: list[list[bytes]], labels: np.ndarray) -> list[int]:
-    """For each text the start of the window whose words have the highest log odds of the toxic class."""
-    seen: list[dict[bytes, int]] = [{}, {}]
+    """For each text the start of the window whose words have the highest log odds of the toxic class; what
+    fewer than ``LEAST_SEEN`` toxic texts hold says nothing."""
+    seen: list[Counter] = [Counter(), Counter()]
     for words, label in zip(texts, labels):
-        for w in set(words):
-            seen[label][w] = seen[label].get(w, 0) + 1
+        seen[label].update({k for w in set(words) for k in _keys(w)})
     n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
-
-    def odds(w: bytes) -> float:
-        return max(0.0, np.log((seen[1].get(w, 0) + 0.2) / n1) - np.log((seen[0].get(w, 0) + 0.5) / n0))
-
-    known: dict[bytes, float] = {}
+    known = {k: max(0.0, np.log(c / n1) - np.log((seen[0][k] + 0.5) / n0))
+             for k, c in seen[1].items() if c >= LEAST_SEEN}
     best = []
     for words in texts:
-        value = np.array([known[w] if w in known else known.setdefault(w, odds(w)) for w in words])
-        starts = windows_of(len(words))
-        best.append(max(starts, key=lambda s: value[s:s + WINDOW].sum()))
+        value = np.array([max(known.get(k, 0.0) for k in _keys(w)) for w in words])
+        best.append(max(windows_of(len(words)), key=lambda s: (value[s:s + WINDOW] ** 2).sum()))
     return best
 
 
-def train(texts: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, seed: int = SEED,
-          batch: int = 64, rate: float = 0.01) -> BiGRU:
+def train(texts: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, least_steps: int = LEAST_STEPS,
+          seed: int = SEED, batch: int = 64, rate: float = 0.01) -> BiGRU:
     """Fit a network to documents with toxic (1) and other (0) labels.
 
-    Texts without words are left out. If a class is missing, the untrained scores move towards the other one.
+    Texts without words are left out. Few documents are seen more often, until ``least_steps`` steps are done.
+    If a class is missing, the scores move towards the other one.
     """
     kept = [(t, y) for t, y in zip(texts, labels) if t]
     model = BiGRU(seed)
@@ -252,34 +257,42 @@ def train(texts: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, see
         return model
     rng = np.random.default_rng(seed)
     texts, labels = [t for t, _ in kept], np.array([y for _, y in kept])
+    toxic = int(labels.sum())
+    weight = min(8.0, max(1.0, (len(labels) - toxic) / max(1, toxic)))  # of a toxic window
     chosen = _likeliest(texts, labels)
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
-    step, total = 0, epochs * -(-len(texts) // batch)
+    steps = -(-len(texts) // batch)
+    epochs = max(epochs, -(-least_steps // steps))
+    by_odds = epochs // 3  # epochs before the network chooses the windows
+    step, chose = 0, 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
+        again = epoch >= by_odds and step - chose >= steps * (epochs // 12)
+        chose = step if again else chose
         for i in range(0, len(order), batch):
             rows = order[i:i + batch]
-            some = [texts[r] for r in rows]
-            if epoch >= 2:
-                score, owner, start = model.window_scores(some)
-                top = np.full(len(some), -np.inf)
+            if again:
+                score, owner, start = model.window_scores([texts[r] for r in rows])
+                top = np.full(len(rows), -np.inf)
                 np.maximum.at(top, owner, score)
                 for o, s, value in zip(owner.tolist(), start.tolist(), score):
                     if value == top[o]:
                         chosen[rows[o]] = s
-            window = [(k, chosen[r], labels[r]) for k, r in enumerate(rows)]
-            for k, r in enumerate(rows):
+            window = [(r, chosen[r]) for r in rows]
+            for r in rows:
                 if not labels[r]:
-                    starts = windows_of(len(some[k]))
-                    window += [(k, starts[i], 0) for i in rng.integers(len(starts), size=OTHERS)]
-            owner, start, target = np.array(window).T
+                    starts = windows_of(len(texts[r]))
+                    window += [(r, starts[i]) for i in rng.integers(len(starts), size=OTHERS)]
+            target = np.array([labels[r] for r, _ in window])
+            some = [texts[r][s:s + WINDOW] for r, s in window]
             table: dict[bytes, int] = {}
             ids = np.array([table.setdefault(w, len(table)) for words in some for w in words], np.int64)
-            at, mask = window_index(ids, np.cumsum([0, *map(len, some)]), owner, start, len(table))
-            g = model.gradients(list(table), at, mask, target, np.ones(len(target), np.float32))
+            at, mask = window_index(ids, np.cumsum([0, *map(len, some)]), np.arange(len(some)),
+                                    np.zeros(len(some), np.int64), len(table))
+            g = model.gradients(list(table), at, mask, target, np.where(target, weight, 1).astype(np.float32))
             step += 1
-            pace = rate * min(1.0, step / 20) * (1 - 0.9 * step / total)
+            pace = rate * min(1.0, step / 20) * (1 - 0.9 * step / (epochs * steps))
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             shrink = min(1.0, 5.0 / max(norm, 1e-9))
             for name, v in g.items():
