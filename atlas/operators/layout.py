@@ -1,46 +1,33 @@
-"""Section maps: projection, neighbour embedding, packing, and the map built from them.
+"""Section maps: projection, packing, and the map built from them.
 
-Small sections are laid out one per task, under a checked size; a section beyond it goes through the
-same steps as joins over its own rows, so no section has to fit a worker.
+Every section takes the same steps, as joins over its own rows, so none has to fit a worker.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlas.functions import labels as L
 from atlas.functions import vectors as V
 from atlas.operators import geometry as G
-from atlas.operators.centroids import scaler_apply, scaler_fit
-from atlas.operators.neighbours import renewed, top_k
-from atlas.operators.skew import positions, salted_join
-from atlas.session import cut_lineage, spread
+from atlas.operators.neighbours import top_k
+from atlas.operators.skew import salted_join
+from atlas.session import cut_lineage
 
 # Fixed values of the section layout.
-K_NEIGHBORS = 15
-EPOCHS = 300
-NEGATIVES = 5
-CURVE_A = 1.577
-MAX_STEP = 4.0
-SPREAD = 10.0
-SEED = 42
 PACK_BASE = 0.48
 TINY = 6
 RECALL_K = 10
 RECALL_MIN_ROWS = 30
 
-SMALL_ROWS = 2000
-TOGETHER = 5
-LARGE_EPOCHS = 40
-LARGE_PACK_ROUNDS = 8
+PACK_ROUNDS = 6  # separation steps of a map
 
 
 # ---- projection -----------------------------------------------------------------------------------
@@ -113,178 +100,34 @@ def pca_2d(df: DataFrame, by: Sequence[str], vec: str = "embedding", id_col: str
     }).drop("w1", "w2", "c1", "c2")
 
 
-# ---- neighbour embedding ----------------------------------------------------------------------------
+# ---- layout -------------------------------------------------------------------------------------------
 
-def _clip(value: np.ndarray) -> np.ndarray:
-    return np.clip(value, -MAX_STEP, MAX_STEP)
-
-
-def embed_section(pos: np.ndarray, table: np.ndarray, epochs: int, seed: int) -> np.ndarray:
-    """Neighbour embedding of one small section. ``table[i]`` lists i's neighbours, -1 for none.
-
-    All rows take a few of their neighbours at the same time, one group of neighbours after the other.
-    """
-    rng = np.random.default_rng(seed)
-    pos = pos * SPREAD
-    n = len(pos)
-    groups = []
-    for at in range(0, table.shape[1], TOGETHER):
-        i, j = np.nonzero(table[:, at:at + TOGETHER] >= 0)
-        groups.append((i, table[i, at + j]))
-
-    def add_up(index: np.ndarray, force: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(index, weights=force[:, d], minlength=n) for d in (0, 1)], axis=1)
-
-    for epoch in range(epochs):
-        alpha = 1 - epoch / epochs
-        for i, other in groups:
-            gap = pos[i] - pos[other]
-            pull = _clip(-2 * CURVE_A / (1 + CURVE_A * (gap * gap).sum(axis=1, keepdims=True)) * gap)
-            far = rng.integers(0, n, size=(len(i), NEGATIVES))
-            away = pos[i][:, None, :] - pos[far]
-            d2 = (away * away).sum(axis=2, keepdims=True)
-            push = _clip(2 / ((0.001 + d2) * (1 + CURVE_A * d2)) * away) * (far != i[:, None])[:, :, None]
-            pos = pos + (add_up(i, pull + push.sum(axis=1)) - add_up(other, pull)) * (alpha / TOGETHER)
-    return pos
-
-
-def pack_section(unit: np.ndarray) -> np.ndarray:
-    """Offsets of one small section: blown up to its natural side, then pushed apart."""
-    n = len(unit)
-    off = (unit - 0.5) * 2 * PACK_BASE * math.sqrt(n) * G.MIN_DIST
-    for _ in range(24 if n > 400 else 60):
-        gap = off[:, None, :] - off[None, :, :]
-        d = np.sqrt((gap * gap).sum(axis=2))
-        close = (d < G.MIN_DIST) & ~np.eye(n, dtype=bool)
-        if not close.any():
-            break
-        angle = (np.arange(n)[:, None] * 977 + np.arange(n)[None, :]) % 6283 / 1000.0
-        turn = np.where(np.arange(n)[:, None] < np.arange(n)[None, :], angle, angle.T + np.pi)
-        way = np.where((d > 1e-4)[:, :, None], gap / np.maximum(d, 1e-4)[:, :, None],
-                       np.stack([np.cos(turn), np.sin(turn)], axis=2))
-        off = off + (way * ((G.MIN_DIST - d) * 0.5 * close)[:, :, None]).sum(axis=1) * 0.6
-    return off
-
-
-def _unit(pos: np.ndarray) -> np.ndarray:
-    low = pos.min(axis=0)
-    return (pos - low) / np.maximum(pos.max(axis=0) - low, 1e-6)
-
-
-def _small_sections(epochs: int, seed: int, pack: bool):
-    def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("id").reset_index(drop=True)
-        at = pd.Series(np.arange(len(nodes)), index=nodes["id"])
-        table = np.full((len(nodes), max(1, int(edges["rank"].max()) if len(edges) else 1)), -1, dtype=np.int64)
-        if len(edges):
-            table[at[edges["src"]].to_numpy(), edges["rank"].to_numpy() - 1] = at[edges["dst"]].to_numpy()
-        unit = _unit(embed_section(nodes[["x", "y"]].to_numpy(dtype=float), table, epochs, seed))
-        pos = pack_section(unit) if pack else unit
-        return pd.DataFrame({"id": nodes["id"], "x": pos[:, 0], "y": pos[:, 1]})
-
-    return run
-
-
-def _large_sections(nodes: DataFrame, edges: DataFrame, by: Sequence[str], epochs: int, seed: int) -> DataFrame:
-    """The same forces as joins: per epoch every row moves by the mean pull of its neighbours and the sum
-    of the pushes of rows drawn by hash. Positions are checkpointed, so the plan does not grow."""
-    by = list(by)
-    numbered = cut_lineage(positions(nodes, by, [F.floor(F.col("id") / 100_000)], [F.col("id")], "at")
-                           .withColumns({"x": F.col("x") * SPREAD, "y": F.col("y") * SPREAD})
-                           .select(*by, "id", "at", "n", "x", "y"))
-    links = cut_lineage(edges.select("src", "dst"))
-    n_links = links.count()
-    state = numbered
-    for epoch in range(epochs):
-        alpha = 1 - epoch / epochs
-        a = state.select(F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-        b = state.select(F.col("id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by_"))
-        dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by_")
-        met = salted_join(links.join(a, "src"), b, ["dst"], spread=["src"], rows=n_links)
-        coef = -2 * CURVE_A / (1 + CURVE_A * (dx * dx + dy * dy))
-        pulls = met.withColumns({"px": _limit(coef * dx), "py": _limit(coef * dy)})
-        pull = pulls.select(F.explode(F.array(
-            F.struct(F.col("src").alias("id"), F.col("px"), F.col("py")),
-            F.struct(F.col("dst").alias("id"), (-F.col("px")).alias("px"), (-F.col("py")).alias("py"))))
-            .alias("m")).groupBy("m.id").agg(F.avg("m.px").alias("px"), F.avg("m.py").alias("py"))
-        drawn = state.select(*by, F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(
-            F.array(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.lit(s), "id"), F.col("n")) + 1
-                      for s in range(NEGATIVES)])).alias("at"))
-        spots = state.select(*by, "at", F.col("id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by_"))
-        d2 = dx * dx + dy * dy
-        repel = 2 / ((0.001 + d2) * (1 + CURVE_A * d2))
-        push = drawn.join(spots, [*by, "at"]).where(F.col("src") != F.col("dst")).groupBy(
-            F.col("src").alias("id")).agg(F.sum(_limit(repel * dx)).alias("qx"), F.sum(_limit(repel * dy)).alias("qy"))
-        zero = F.lit(0.0)
-        state = state.join(pull, "id", "left").join(push, "id", "left").select(
-            *by, "id", "at", "n",
-            (F.col("x") + alpha * (F.coalesce("px", zero) + F.coalesce("qx", zero))).alias("x"),
-            (F.col("y") + alpha * (F.coalesce("py", zero) + F.coalesce("qy", zero))).alias("y"))
-        state = cut_lineage(state)
-    return G.unit_box(state, by).select(*by, "id", "x", "y")
-
-
-def _limit(value: Column) -> Column:
-    return F.greatest(F.least(value, F.lit(MAX_STEP)), F.lit(-MAX_STEP))
-
-
-def layout(df: DataFrame, by: Sequence[str] = ("section",), vec: str = "embedding", epochs: int = EPOCHS,
-           seed: int = SEED, small_rows: int = SMALL_ROWS, large_epochs: int = LARGE_EPOCHS,
-           pack: bool = False, block_rows: int | None = None) -> DataFrame:
+def layout(df: DataFrame, by: Sequence[str] = ("section",), vec: str = "embedding", pack: bool = False,
+           rounds: int = PACK_ROUNDS) -> DataFrame:
     """2-D position of every row within its section: ``by, id, x, y, method``.
 
-    ``pack=False`` gives the unit box, ``pack=True`` offsets spaced for drawing. ``method`` says how a
-    section was placed: centre (one row), disc (up to six), embedded (up to ``small_rows``, one
-    task each) or joined (larger, step by step over the whole cluster).
+    A section of any size is projected on its two leading directions; one of at most ``TINY`` rows sits on
+    a small disc instead, a single row in the centre. ``pack=False`` gives the unit box; ``pack=True`` blows
+    it up to the side its rows need and then moves close rows apart, ``rounds`` times. ``method`` says which
+    rule placed a row (centre, disc, projected).
     """
     by = list(by)
-    seen = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).agg(
-        F.sum("n").alias("n"), F.max("n").alias("most"), F.max("d").alias("d")).first()
-    total = seen["n"] or 0
-    start = cut_lineage(G.unit_box(pca_2d(df, by, vec, rows=total), by, rows=total)
-                        .select(*by, "id", "n", "x", "y", vec))
-    tiny = start.where(F.col("n") <= TINY)
-    rest = start.where(F.col("n") > TINY)
-    scaled = scaler_apply(rest, scaler_fit(rest, vec, by), vec, by, rows=total)
-    edges = top_k(scaled, k=K_NEIGHBORS, vec=vec, metric="sqeuclid", by=by, block_rows=block_rows,
-                  size=(total, seen["d"] or 1))
-    big_exists = (seen["most"] or 0) > small_rows
-    if big_exists:
-        edges = cut_lineage(edges)
-
-    small = rest.where(F.col("n") <= small_rows).select(*by, "id", "x", "y")
-    own = small.select(*by, F.col("id").alias("src"))
-    small_edges = edges.join(own, "src").select(*by, "src", "dst", "rank")
-    nodes, links = spread(renewed(small), *by), spread(renewed(small_edges), *by)
-    placed = nodes.groupBy(*by).cogroup(links.groupBy(*by)).applyInPandas(
-        _small_sections(epochs, seed, pack), "id long, x double, y double")
-    parts = [small.select(*by, "id").join(placed, "id").withColumn("method", F.lit("embedded"))]
-
-    turn = _number(tiny, by)
-    disc = L.sunflower(F.col("at") - 1, F.col("n"), 0.5)
+    total = df.count()
+    start = cut_lineage(G.unit_box(pca_2d(df, by, vec, rows=total), by, rows=total).select(*by, "id", "n", "x", "y"))
     side = 2 * PACK_BASE * F.sqrt("n") * G.MIN_DIST if pack else F.lit(1.0)
-    shift = F.lit(0.0) if pack else F.lit(0.5)
+    shift = F.lit(0.5) if pack else F.lit(0.0)
+    rest = start.where(F.col("n") > TINY).select(
+        *by, "id", ((F.col("x") - shift) * side).alias("x"), ((F.col("y") - shift) * side).alias("y"))
+    for _ in range(rounds if pack else 0):
+        rest = cut_lineage(G.separate_once(rest, by=by))
+
+    turn = _number(start.where(F.col("n") <= TINY), by).withColumn("_d", L.sunflower(F.col("at") - 1, F.col("n"), 0.5))
     centre = F.col("n") == 1
-    parts.append(turn.withColumn("_d", disc).select(
-        *by, "id", (F.when(centre, 0.0).otherwise(F.col("_d.x")) * side + shift).alias("x"),
-        (F.when(centre, 0.0).otherwise(F.col("_d.y")) * side + shift).alias("y"),
-        F.when(centre, "centre").otherwise("disc").alias("method")))
-
-    if big_exists:
-        large = rest.where(F.col("n") > small_rows).select(*by, "id", "n", "x", "y")
-        large_edges = edges.join(large.select(F.col("id").alias("src")), "src", "left_semi")
-        spots = _large_sections(large, large_edges, by, large_epochs, seed)
-        if pack:
-            half = PACK_BASE * F.sqrt("n") * G.MIN_DIST
-            spots = spots.join(large.select("id", "n"), "id").select(
-                *by, "id", ((F.col("x") - 0.5) * 2 * half).alias("x"), ((F.col("y") - 0.5) * 2 * half).alias("y"))
-            for _ in range(LARGE_PACK_ROUNDS):
-                spots = cut_lineage(G.separate_once(spots, by=by))
-        parts.append(spots.select(*by, "id", "x", "y", F.lit("joined").alias("method")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    tiny = turn.select(
+        *by, "id", (F.when(centre, 0.0).otherwise(F.col("_d.x")) * side + 0.5 - shift).alias("x"),
+        (F.when(centre, 0.0).otherwise(F.col("_d.y")) * side + 0.5 - shift).alias("y"),
+        F.when(centre, "centre").otherwise("disc").alias("method"))
+    return rest.select(*by, "id", "x", "y", F.lit("projected").alias("method")).unionByName(tiny)
 
 
 def _number(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -295,7 +138,7 @@ def _number(df: DataFrame, by: Sequence[str]) -> DataFrame:
 # ---- the whole map --------------------------------------------------------------------------------
 
 def build_map(items: DataFrame, by: Sequence[str] = (), section: str = "section", vec: str = "embedding",
-              **options) -> tuple[DataFrame, DataFrame]:
+              rounds: int = PACK_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """``(nodes, sections)`` of one map, or of one map per ``by`` key.
 
     Nodes carry position, home, colour, section id and relative position; the section table carries
@@ -303,7 +146,7 @@ def build_map(items: DataFrame, by: Sequence[str] = (), section: str = "section"
     """
     by = list(by)
     keys = [*by, section]
-    packed = layout(items.select(*keys, "id", vec), keys, vec, pack=True, **options)
+    packed = layout(items.select(*keys, "id", vec), keys, vec, pack=True, rounds=rounds)
     packed = cut_lineage(packed)
     total = packed.count()
     offsets = cut_lineage(G.centre(packed, keys, rows=total))
@@ -345,7 +188,3 @@ def knn_recall(high: DataFrame, low: DataFrame, by: Sequence[str] = ("section",)
     rows = kept.select(*by, "n", F.col("id").alias("src")).join(same, "src", "left")
     share = F.coalesce("hits", F.lit(0)) / F.lit(k)
     return rows.groupBy(*by, "n").agg(F.avg(share).alias("recall")).withColumn("random", F.lit(k) / F.col("n"))
-
-
-def weighted_recall(per_section: DataFrame) -> DataFrame:
-    return per_section.agg((F.sum(F.col("recall") * F.col("n")) / F.sum("n")).alias("recall"))
