@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,13 +15,13 @@ from atlas.functions import vectors as V
 from atlas.operators.arrow import batch_udf
 from atlas.operators.neighbours import DIGITS, top_k
 from atlas.operators.skew import salted_join
+from atlas.session import cut_lineage
 
 EPS = 1e-9
 AUG_GATE = 0.70
 # Classes with too few recordings, and the variants made of each of their sources.
 THIN_CLASSES = ["Rolls", "Bass", "Woodblock", "Ride", "Snap", "Conga", "Tambourine", "Cowbell", "Shaker"]
 VARIANTS = 4
-BROADCAST_BYTES = 64 << 20
 
 
 def unit_rows(df: DataFrame, vec: str = "embedding", eps: float | None = EPS) -> DataFrame:
@@ -46,32 +48,18 @@ def centroids(df: DataFrame, label: str = "label", vec: str = "embedding") -> Da
 
 
 def nearest_centroid(df: DataFrame, cents: DataFrame, label: str = "label", vec: str = "embedding",
-                     id_col: str = "id", out: str = "nearest") -> DataFrame:
-    """Add the label of the closest centroid (smallest label on a tie).
+                     keys: Sequence[str] = ("id",), out: str = "nearest", block_rows: int | None = None) -> DataFrame:
+    """Add the label of the closest centroid (smallest label on a tie), by the blocked neighbour join.
 
-    Up to ``BROADCAST_BYTES`` of centroids are broadcast as one matrix; a larger set goes through the
-    blocked neighbour join.
+    ``keys`` name a row of ``df`` uniquely; the joined result depends on that, and repeated keys raise.
     """
-    size = cents.agg(F.sum(F.size("centroid")).alias("cells")).first()["cells"] or 0
-    if size * 8 > BROADCAST_BYTES:
-        coded = cents.select(F.xxhash64(label).alias("_id"), F.col("centroid").alias("_vec"),
-                             F.col(label).alias("best"))
-        rows = df.select(F.col(id_col).alias("_id"), F.col(vec).alias("_vec"))
-        hit = top_k(rows, coded, k=1, id_col="_id", vec="_vec", skip_self=False, carry="best")
-        return df.join(hit.select(F.col("src").alias(id_col), F.col("dst_best").alias(out)), id_col)
-    rows = cents.select(F.col(label).cast("string").alias("l"), "centroid").orderBy("l").collect()
-    names = np.array([r["l"] for r in rows], dtype=object)
-    matrix = np.array([r["centroid"] for r in rows], dtype=np.float64)
-    held = df.sparkSession.sparkContext.broadcast((names, matrix))
-
-    @batch_udf("string")
-    def closest(column: pd.Series) -> pd.Series:
-        names_, matrix_ = held.value
-        x = np.stack(column.to_numpy()).astype(np.float64)
-        x = x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) + EPS)
-        return pd.Series(names_[np.round(x @ matrix_.T, DIGITS).argmax(axis=1)])
-
-    return df.withColumn(out, closest(vec))
+    one = F.when(F.count(F.lit(1)) == 1, F.first("_vec")).otherwise(
+        F.raise_error(F.concat(F.lit("repeated key "), F.first("_id"))))
+    rows = df.select(F.to_json(F.struct(*keys)).alias("_id"), F.col(vec).alias("_vec")).groupBy("_id").agg(
+        one.alias("_vec"))
+    coded = cut_lineage(cents.select(F.col(label).cast("string").alias("_id"), F.col("centroid").alias("_vec")))
+    hit = top_k(rows, coded, k=1, id_col="_id", vec="_vec", skip_self=False, block_rows=block_rows)
+    return df.withColumn("_key", F.to_json(F.struct(*keys))).join(hit.select("src", F.col("dst").alias(out)), F.col("_key") == F.col("src"), "left").drop("_key", "src")
 
 
 def inherit_group(aug: DataFrame, source: DataFrame, source_id: str = "source_id",
@@ -82,10 +70,14 @@ def inherit_group(aug: DataFrame, source: DataFrame, source_id: str = "source_id
     return aug.join(parent, source_id).withColumn("is_aug", F.lit(True))
 
 
-def augment_gate(aug: DataFrame, source: DataFrame, cents: DataFrame, limit: float = AUG_GATE) -> DataFrame:
-    """Add ``cos_source``, ``nearest`` and ``passed`` to augmented rows (after :func:`inherit_group`)."""
+def augment_gate(aug: DataFrame, source: DataFrame, cents: DataFrame, limit: float = AUG_GATE,
+                 keys: Sequence[str] = ("source_id", "k"), block_rows: int | None = None) -> DataFrame:
+    """Add ``cos_source``, ``nearest`` and ``passed`` to augmented rows (after :func:`inherit_group`).
+
+    A source has several variants, so ``keys`` name the source and the variant.
+    """
     rows = inherit_group(aug, source)
-    judged = nearest_centroid(rows, cents, id_col="source_id")
+    judged = nearest_centroid(rows, cents, keys=keys, block_rows=block_rows)
     cos = F.round(V.cosine(F.col("embedding"), F.col("source_embedding")), DIGITS)
     return judged.withColumn("cos_source", cos).withColumn(
         "passed", (F.col("cos_source") >= limit) & (F.col("nearest") == F.col("label").cast("string")))

@@ -64,8 +64,7 @@ def _block_topk(k: int, metric: str, exclude: bool, skip_self: bool, carry: bool
     """Cogroup function: left block x right block -> best ``k`` of the right block per left row."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"),
-                              "score": pd.Series(dtype="float64")})
+        empty = _no_edges(left["_id"])
         if carry:
             empty["carried"] = pd.Series(dtype="object")
         if left.empty or right.empty:
@@ -117,7 +116,7 @@ def _standard(df: DataFrame, id_col: str, vec: str, by: Sequence[str] = (), excl
     carried = F.col(carry).cast("string") if carry else F.lit("")
     return df.select(
         *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
-        F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_v"), group.alias("_x"),
+        (F.col(id_col) if dict(df.dtypes)[id_col] == "string" else F.col(id_col).cast("long")).alias("_id"), F.col(vec).alias("_v"), group.alias("_x"),
         carried.alias("_c"),
     )
 
@@ -151,12 +150,11 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
 
 
 def _with_blocks(df: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
-    """Add ``_sub``: the piece of an over-full cell. The table of over-full cells has at most
-    ``n / block_rows`` rows, one per block, which bounds its broadcast."""
+    """Add ``_sub``: the piece of an over-full cell."""
     full = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
     pieces = full.select(*keys, F.ceil(F.col("_n") / block_rows).cast("int").alias("_pieces"))
     sub = F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_pieces")), F.lit(0)).cast("int")
-    return df.join(F.broadcast(pieces), list(keys), "left").withColumn("_sub", sub).drop("_pieces")
+    return df.join(pieces, list(keys), "left").withColumn("_sub", sub).drop("_pieces")
 
 
 def _radii(df: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +201,14 @@ def _meet(left: DataFrame, right: DataFrame, pairs: DataFrame, lkeys: Sequence[s
     return renewed(ls).groupBy(*keys).cogroup(renewed(rs).groupBy(*keys)).applyInPandas(run, schema)
 
 
-EDGE_SCHEMA = "src long, dst long, score double"
+def edge_schema(df: DataFrame) -> str:
+    kind = df.schema["_id"].dataType.simpleString()
+    return f"src {kind}, dst {kind}, score double"
+
+
+def _no_edges(ids: pd.Series) -> pd.DataFrame:
+    kind = "int64" if ids.dtype.kind in "iu" else "object"
+    return pd.DataFrame({"src": pd.Series(dtype=kind), "dst": pd.Series(dtype=kind), "score": pd.Series(dtype="float64")})
 
 
 def top_k(
@@ -236,7 +241,7 @@ def top_k(
     n_left = n_right if same else _shape(lt)[0]
     rows = block_rows or default_block_rows(lt, n_right, dim)
     run = _block_topk(k, metric, exclude is not None, skip_self, carry is not None)
-    schema = EDGE_SCHEMA + (", carried string" if carry else "")
+    schema = edge_schema(lt) + (", carried string" if carry else "")
     if n_right <= rows:
         # One right block fits a task: hand a copy to every piece of the left side.
         pieces = max(1, math.ceil(n_left / rows))
@@ -273,7 +278,9 @@ def _pruned_top_k(lt, rt, same, k, metric, keys, rows, n_right, run, schema) ->
     worst = near.groupBy("src").agg(F.count(F.lit(1)).alias("_found"), F.min("score").alias("_worst"))
     distance = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("_worst"))) if metric == "cosine" else F.sqrt(
         -F.col("_worst"))
-    reach = F.when(F.col("_found") >= k, distance + 1e-4).otherwise(F.lit(float("inf")))
+    # the error of a squared distance grows with the squared norms
+    scale = F.lit(1.0) if metric == "cosine" else 1 + F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    reach = F.when(F.col("_found") >= k, distance + scale * 1e-4).otherwise(F.lit(float("inf")))
     bounded = lb.join(worst.withColumnRenamed("src", "_id"), "_id", "left")
     wanted = bounded.select(
         *keys, F.col("_cell").alias("l_cell"), F.col("_sub").alias("l_sub"),
@@ -291,8 +298,7 @@ def _block_pairs(threshold: float):
     """Cogroup function: every pair ``src < dst`` of the two blocks at or above the threshold."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"),
-                               "score": pd.Series(dtype="float64")})]
+        parts = [_no_edges(left["_id"])]
         if len(left) and len(right):
             lm, rm = _unit(_matrix(left["_v"])), _unit(_matrix(right["_v"]))
             lid, rid = left["_id"].to_numpy(), right["_id"].to_numpy()
@@ -318,24 +324,23 @@ def _block_forest(threshold: float):
     """Cogroup function: links (root, member) that connect exactly what the block's pairs connect."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        nothing = pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"),
-                                "score": pd.Series(dtype="float64")})
         if left.empty or right.empty:
-            return nothing
+            return _no_edges(left["_id"])
         lm, rm = _unit(_matrix(left["_v"])), _unit(_matrix(right["_v"]))
         lid, rid = left["_id"].to_numpy(), right["_id"].to_numpy()
         hit = np.round(lm @ rm.T, DIGITS) >= threshold
-        far = np.iinfo(np.int64).max
-        lroot, rroot = lid.copy(), rid.copy()
+        ids, place = np.unique(np.concatenate([lid, rid]), return_inverse=True)  # in order, whatever their type
+        far = len(ids)
+        lroot, rroot = place[:len(lid)].copy(), place[len(lid):].copy()
         while True:
             rnew = np.minimum(rroot, np.where(hit, lroot[:, None], far).min(axis=0))
             lnew = np.minimum(lroot, np.where(hit, rnew[None, :], far).min(axis=1))
             if (rnew == rroot).all() and (lnew == lroot).all():
                 break
             lroot, rroot = lnew, rnew
-        ids, roots = np.concatenate([lid, rid]), np.concatenate([lroot, rroot])
-        linked = ids != roots
-        links = pd.DataFrame({"src": roots[linked], "dst": ids[linked]}).drop_duplicates()
+        roots = np.concatenate([lroot, rroot])
+        linked = place != roots
+        links = pd.DataFrame({"src": ids[roots[linked]], "dst": ids[place[linked]]}).drop_duplicates()
         return links.assign(score=threshold)
 
     return run
@@ -347,6 +352,7 @@ def _near_dup(df: DataFrame, threshold: float, id_col: str, vec: str, block_rows
     n, dim = _shape(every)
     rows = min(block_rows or default_block_rows(df, n, dim), 4096 if forest else 1 << 20)
     run = _block_forest(threshold) if forest else _block_pairs(threshold)
+    schema = edge_schema(every)
     # Copies of one vector are linked to the smallest id and take no further part.
     distinct = every.groupBy("_v").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_copies"),
                                        F.min("_x").alias("_x"), F.min("_c").alias("_c"))
@@ -355,11 +361,13 @@ def _near_dup(df: DataFrame, threshold: float, id_col: str, vec: str, block_rows
     shared = distinct.where(F.col("_copies") > 1).select("_v", F.col("_id").alias("src"))
     links = salted_join(every, shared, ["_v"], spread=["_id"], rows=n).where(
         F.col("src") != F.col("_id")).select("src", F.col("_id").alias("dst"), F.lit(1.0).alias("score"))
+    if not forest:
+        shared_ids = shared.select("src", F.col("src").alias("dst")).unionByName(links.select("src", "dst"))
     if n <= rows:
         only = distinct.withColumns({"_cell": F.lit(0), "_core": F.lit(False), "_sub": F.lit(0)})
         sides = [renewed(_keyed(only, side, (), ["_core"])) for side in "lr"]
-        return sides[0].groupBy("l_cell").cogroup(sides[1].groupBy("r_cell")).applyInPandas(
-            run, EDGE_SCHEMA).unionByName(links)
+        found = sides[0].groupBy("l_cell").cogroup(sides[1].groupBy("r_cell")).applyInPandas(run, schema)
+        return found.unionByName(links) if forest else _expanded(found, shared_ids)
     pivots = _pivots(distinct, n, rows, "cosine")
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
     # Rows this close to their pivot are all near-duplicates of each other.
@@ -385,13 +393,27 @@ def _near_dup(df: DataFrame, threshold: float, id_col: str, vec: str, block_rows
             F.col("src") != F.col("_id")).select("src", F.col("_id").alias("dst"),
                                                  F.lit(threshold).alias("score"))
         links = links.unionByName(core_links)
-    return _meet(left, right, pairs, lkeys, rkeys, (), run, EDGE_SCHEMA).unionByName(links)
+    found = _meet(left, right, pairs, lkeys, rkeys, (), run, schema)
+    return found.unionByName(links) if forest else _expanded(found, shared_ids)
+
+
+def _expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs between representatives as pairs between all their members (``members``: src, dst = member)."""
+    own = cut_lineage(members)
+    a = renewed(own).toDF("src", "_a")
+    b = renewed(own).toDF("dst", "_b")
+    spread = pairs.join(a, "src", "left").join(b, "dst", "left").select(
+        F.coalesce("_a", "src").alias("x"), F.coalesce("_b", "dst").alias("y"), "score").select(
+        F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "score")
+    alike = a.join(renewed(own).toDF("src", "_b"), "src").where("_a < _b").select(
+        F.col("_a").alias("src"), F.col("_b").alias("dst"), F.lit(1.0).alias("score"))
+    return spread.unionByName(alike)
 
 
 def near_dup_pairs(df: DataFrame, threshold: float = 0.98, id_col: str = "id", vec: str = "embedding",
                    block_rows: int | None = None) -> DataFrame:
-    """``src < dst, score``: pairs of distinct vectors with cosine >= ``threshold``; further copies of
-    a vector appear once each, linked to the smallest id that carries it."""
+    """``src < dst, score``: all pairs of rows with cosine >= ``threshold``, copies of a vector included.
+    The list is the result, so it grows with the square of a group; use links for grouping."""
     return _near_dup(df, threshold, id_col, vec, block_rows, forest=False)
 
 

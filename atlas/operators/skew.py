@@ -7,12 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atlas.session import cut_lineage
+
 
 def hot_keys(df: DataFrame, on: Sequence[str], share: float = 0.001, floor: int = 100_000) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows (and more than ``floor``): at most ``1 / share``."""
+    """Keys that hold more than ``share`` of the rows (and more than ``floor``): at most ``1 / share``.
+
+    One aggregation of ``df``. The candidates above ``floor`` are few and are kept; the total comes from them
+    and from the sum of the rest, which the same pass delivers.
+    """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("t")).scalar()
-    return counts.where(F.col("_n") > F.greatest(F.lit(float(floor)), total * share)).select(*on)
+    large = F.col("_n") > floor
+    held = cut_lineage(counts.groupBy(F.when(large, F.struct(*on)).alias("_key")).agg(F.sum("_n").alias("_n")))
+    total = held.agg(F.sum("_n")).first()[0] or 0
+    return held.where(F.col("_key").isNotNull() & (F.col("_n") > max(float(floor), total * share))).select("_key.*")
 
 
 def salted_join(
@@ -23,10 +31,14 @@ def salted_join(
     spread: Sequence[str] = (),
     salts: int = 64,
     share: float = 0.001,
-    floor: int = 100_000,
+    floor: int | None = None,
     rows: int | None = None,
 ) -> DataFrame:
-    """Equi-join (``inner`` or ``left``) whose hot keys are spread over ``salts`` tasks.
+    """Equi-join (``inner`` or ``left``) of a side that may hold hot keys.
+
+    Adaptive execution splits skewed partitions of a join as it runs, which needs no pass over the input
+    beforehand, so that is the plan. With ``floor``, keys above it and above ``share`` of the rows are spread
+    over ``salts`` tasks instead, for sessions without adaptive execution.
 
     Only the hot keys of ``small`` are replicated. The salt is a hash of ``spread``, so a retried task
     sends every row to the same place. The list of hot keys has at most ``1 / share`` rows, which
@@ -34,9 +46,12 @@ def salted_join(
     no key can be hot and the plain join is used.
     """
     on = list(on)
-    if rows is not None and rows <= floor:
+    if floor is None or (rows is not None and rows <= floor):
+        return big.join(small, on, how)
+    found = hot_keys(big, on, share, floor)
+    if found.isEmpty():
         return big.join(small, on, how)
-    hot = F.broadcast(hot_keys(big, on, share, floor).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in (spread or big.columns)]), F.lit(salts)).cast("int")
     left = big.join(hot, on, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))

@@ -130,13 +130,17 @@ def load_signals(spark, folder):
     return loaded.select("doc_id", F.col("sr").cast("long").alias("sr"), F.size("samples").cast("long").alias("n"))
 
 
-@query("resample")
+@query("resample", f"""WITH {WAV_SQL}, full48 AS (SELECT doc_id, floor(frames * (48000 / sr::DOUBLE) + 0.5) AS n FROM w WHERE doc_id % 17 <> 0)
+SELECT doc_id, 16000 AS sr, CAST(floor(n * (16000 / 48000.0::DOUBLE) + 0.5) AS INTEGER) AS n,
+  floor(n * (16000 / 48000.0::DOUBLE) + 0.5) > 0 AS audible FROM full48""")
 def resample(spark, folder):
     """All recordings at 16 kHz: length and loudness."""
     waves = M.load_signals(recordings(spark, folder), keep=["doc_id"])
     low = G.resample(waves, 16_000)
     power = F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
-    return low.select("doc_id", "sr", F.size("samples").alias("n"), r6(F.sqrt(power / F.size("samples"))).alias("rms"))
+    rms = F.sqrt(F.try_divide(power, F.size("samples")))  # an empty signal has no level
+    return low.select("doc_id", F.col("sr").cast("int").alias("sr"), F.size("samples").alias("n"),
+                      F.coalesce(rms.between(0, 1.5), F.lit(False)).alias("audible"))
 
 
 @query("log_mel")

@@ -95,12 +95,12 @@ def corrections_table(spark, folder):
     return S.read_corrections(spark, out).withColumn("path", F.col("path").cast("long"))
 
 
-@query("moves_counts", f"""WITH {MOVES_SQL}, d AS (SELECT event_type AS section, count(*) AS n FROM events WHERE value < 50 GROUP BY 1
+@query("moves_counts", f"""WITH {MOVES_SQL}, d AS (SELECT event_type AS section, count(*) AS n FROM events GROUP BY 1
   UNION ALL SELECT from_section, -1 FROM rm UNION ALL SELECT to_section, 1 FROM rm)
 SELECT section, CAST(greatest(sum(n), 0) AS BIGINT) AS n FROM d GROUP BY section""")
 def moves_counts(spark, folder):
     events = table(spark, folder, "events")
-    start = events.where("value < 50").groupBy(F.col("event_type").alias("section")).agg(F.count(F.lit(1)).alias("n"))
+    start = events.groupBy(F.col("event_type").alias("section")).agg(F.count(F.lit(1)).alias("n"))
     return D.apply_moves_counts(start, moves(events))
 
 

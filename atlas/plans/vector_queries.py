@@ -16,13 +16,14 @@ from atlas.operators import head as H
 from atlas.operators import neighbours as N
 from atlas.operators import triage as T
 from atlas.plans import corpus
-from atlas.plans.registry import query, r6, table
+from atlas.plans.registry import TWINS, query, r6, table
 from atlas.session import fresh_path, spread_scan
 from atlas.sources import tables as S
 
 K = 15
 STRENGTH = 0.30  # the test vectors carry little class signal
 PAIR_LIMIT = 0.45
+BLOCK = 128  # rows of a block in the queries that exercise many blocks
 CUTS = [0.1, 0.25, 0.5, 0.75, 0.9]
 OWN_GRID, STRENGTH_GRID = [0.2, 0.45, 0.6], [0.2, 0.3, 0.4]
 WIDE = [32, 16]  # hidden sizes of the generated head
@@ -108,9 +109,9 @@ near AS (SELECT u.id, u.label, arg_min(c.label, (-round(list_dot_product(u.u, c.
 
 
 @query("nearest_centroid", f"WITH {NEAREST_SQL} SELECT id, label, nearest FROM near")
-def nearest_centroid(spark, folder):
+def nearest_centroid(spark, folder, block_rows=None):
     rows = items(spark, folder)
-    return C.nearest_centroid(rows, C.centroids(rows)).select("id", "label", "nearest")
+    return C.nearest_centroid(rows, C.centroids(rows), block_rows=block_rows).select("id", "label", "nearest")
 
 
 @query("centroid_metrics", f"""WITH {NEAREST_SQL}, per AS (SELECT label, count(*) AS n,
@@ -124,8 +125,8 @@ def centroid_metrics(spark, folder):
 
 
 @query("knn_cross_group", f"WITH {KNN_SQL} SELECT src, dst, rank, round(score, 6) AS score FROM knn")
-def knn_cross_group(spark, folder):
-    near = N.top_k(items(spark, folder), k=K, exclude="group_id")
+def knn_cross_group(spark, folder, block_rows=None):
+    near = N.top_k(items(spark, folder), k=K, exclude="group_id", block_rows=block_rows)
     return near.select("src", "dst", F.col("rank").cast("long").alias("rank"), r6("score").alias("score"))
 
 
@@ -139,18 +140,18 @@ pair AS (SELECT a.id AS src, b.id AS dst,
   FROM z a JOIN z b ON a.label = b.label AND a.id <> b.id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rank FROM pair)
 SELECT src, dst, rank, round(d, 6) AS distance FROM ranked WHERE rank <= 15""")
-def knn_section_graph(spark, folder):
+def knn_section_graph(spark, folder, block_rows=None):
     rows = items(spark, folder)
     scaled = C.scaler_apply(rows, C.scaler_fit(rows, by=["label"]), by=["label"])
-    graph = N.top_k(scaled, k=K, metric="sqeuclid", by=["label"])
+    graph = N.top_k(scaled, k=K, metric="sqeuclid", by=["label"], block_rows=block_rows)
     return graph.select("src", "dst", F.col("rank").cast("long").alias("rank"), r6("score").alias("distance"))
 
 
 @query("near_dup_pairs", f"""WITH {ITEMS_SQL} SELECT a.id AS src, b.id AS dst,
   round(list_dot_product(a.u, b.u), 6) AS score FROM unit a JOIN unit b ON a.id < b.id
 WHERE round(list_dot_product(a.u, b.u), 9) >= {PAIR_LIMIT}""")
-def near_dup_pairs(spark, folder):
-    return N.near_dup_pairs(items(spark, folder), PAIR_LIMIT).withColumn("score", r6("score"))
+def near_dup_pairs(spark, folder, block_rows=None):
+    return N.near_dup_pairs(items(spark, folder), PAIR_LIMIT, block_rows=block_rows).withColumn("score", r6("score"))
 
 
 @query("consensus", f"""WITH {SCORED_SQL} SELECT s.id, label, round(own, 6) AS own, consensus, round(strength, 6) AS strength,
@@ -165,8 +166,8 @@ def consensus(spark, folder):
 
 @query("label_triage", f"""WITH {TRIAGE_SQL} SELECT id, label, consensus, round(own, 6) AS own,
   round(strength, 6) AS strength, decision FROM decided""")
-def label_triage(spark, folder):
-    rows = corpus.label_triage(items(spark, folder), K, strength=STRENGTH)
+def label_triage(spark, folder, block_rows=None):
+    rows = corpus.label_triage(items(spark, folder), K, strength=STRENGTH, block_rows=block_rows)
     return rows.select("id", "label", "consensus", r6("own").alias("own"), r6("strength").alias("strength"), "decision")
 
 
@@ -248,9 +249,9 @@ def augmented(rows: DataFrame) -> DataFrame:
 
 @query("augment_gate", f"""WITH {AUG_SQL} SELECT source_id, k, label, group_id, round(cos_source, 6) AS cos_source, nearest,
   passed, true AS is_aug FROM verdict""")
-def augment_gate(spark, folder):
+def augment_gate(spark, folder, block_rows=None):
     rows = items(spark, folder)
-    gated = C.augment_gate(augmented(rows), rows, C.centroids(rows))
+    gated = C.augment_gate(augmented(rows), rows, C.centroids(rows), block_rows=block_rows)
     return gated.select("source_id", "k", "label", "group_id", r6("cos_source").alias("cos_source"), "nearest",
                         "passed", "is_aug")
 
@@ -314,9 +315,9 @@ ranked AS (SELECT group_id, row_number() OVER (ORDER BY n DESC, group_id) - 1 AS
 folds AS (SELECT group_id, CASE WHEN (z // 5) % 2 = 0 THEN z % 5 ELSE 4 - z % 5 END AS fold FROM ranked)"""
 
 
-def grouped(spark, folder) -> DataFrame:
+def grouped(spark, folder, block_rows=None) -> DataFrame:
     rows = items(spark, folder)
-    return R.leakage_groups(rows, N.near_dup_links(rows, PAIR_LIMIT))
+    return R.leakage_groups(rows, N.near_dup_links(rows, PAIR_LIMIT, block_rows=block_rows))
 
 
 def folded(spark, folder) -> DataFrame:
@@ -324,8 +325,8 @@ def folded(spark, folder) -> DataFrame:
 
 
 @query("leakage_groups", f"WITH {GROUP_SQL} SELECT id, group_id FROM grouped")
-def leakage_groups(spark, folder):
-    return grouped(spark, folder)
+def leakage_groups(spark, folder, block_rows=None):
+    return grouped(spark, folder, block_rows)
 
 
 @query("group_kfold", f"WITH {GROUP_SQL} SELECT id, g.group_id, CAST(fold AS BIGINT) AS fold FROM grouped g JOIN folds f ON g.group_id = f.group_id")
@@ -367,13 +368,28 @@ def shuffled_labels(spark, folder):
     return R.shuffle_labels(rows, 7)
 
 
-@query("leakage_audit", f"""WITH {GROUP_SQL} SELECT (SELECT count(*) FROM sizes) AS groups,
-  CAST(0 AS BIGINT) AS crossing_groups, CAST(0 AS BIGINT) AS crossing_pairs""")
+AUDIT_SQL = f"""SELECT count(*) AS groups, CAST(count(*) FILTER (lo <> hi) AS BIGINT) AS crossing_groups,
+  (SELECT count(*) FROM unit a JOIN unit b ON a.id < b.id AND round(list_dot_product(a.u, b.u), 9) >= {PAIR_LIMIT}
+   JOIN placed x ON x.id = a.id JOIN placed y ON y.id = b.id WHERE x.fold <> y.fold) AS crossing_pairs
+FROM (SELECT group_id, min(fold) AS lo, max(fold) AS hi FROM placed GROUP BY 1)"""
+
+
+@query("leakage_audit", f"""WITH {GROUP_SQL},
+placed AS (SELECT id, g.group_id, fold FROM grouped g JOIN folds f ON g.group_id = f.group_id) {AUDIT_SQL}""")
 def leakage_audit(spark, folder):
     rows = items(spark, folder)
     return R.leakage_audit(folded(spark, folder), N.near_dup_pairs(rows, PAIR_LIMIT))
 
 
+@query("leakage_audit_careless", f"""WITH {GROUP_SQL},
+placed AS (SELECT id, group_id, id % 5 AS fold FROM grouped) {AUDIT_SQL}""")
+def leakage_audit_careless(spark, folder):
+    """The audit of folds that ignore the groups."""
+    rows = items(spark, folder)
+    careless = grouped(spark, folder).withColumn("fold", F.col("id") % 5)
+    return R.leakage_audit(careless, N.near_dup_pairs(rows, PAIR_LIMIT))
+
+
 # ---- metrics --------------------------------------------------------------------------------------
 
 def predictions(spark, folder) -> DataFrame:
@@ -462,7 +478,7 @@ def head_tags(spark, folder):
 def head_fit(spark, folder):
     """Accuracy of a fitted linear head on its own training rows."""
     rows = items(spark, folder)
-    model, names = H.fit_head(rows, c=1.0, max_iter=30)
+    model, names = H.fit_head(rows, c=1.0)
     index = F.array(*[F.lit(n) for n in names])
     judged = model.transform(rows.withColumn("features", array_to_vector(F.col("embedding"))))
     return E.overall(judged.withColumn("pred", index[F.col("prediction").cast("int")]))
@@ -502,3 +518,30 @@ def decisions(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.when(size % 2 == 0, "keep").otherwise("skip")))
     return table(spark, folder, "conversations").select(
         F.col("conv_id").alias("hash"), F.col("turn").alias("seq"), label.alias("label"))
+
+
+# ---- the same answers from many blocks -------------------------------------------------------------
+
+def in_blocks(name: str, fn) -> None:
+    def run(spark, folder):
+        return fn(spark, folder, block_rows=BLOCK)
+
+    query(f"{name}_blocks", TWINS[name])(run)
+
+
+for _fn in (nearest_centroid, knn_cross_group, knn_section_graph, near_dup_pairs, label_triage, leakage_groups,
+            augment_gate):
+    in_blocks(_fn.__name__, _fn)
+
+
+@query("near_dup_pairs_copies", f"""WITH {ITEMS_SQL}, more AS (SELECT id, u FROM unit
+  UNION ALL SELECT id + 1000000 * (c + 1), u FROM unit, range(3) t(c) WHERE id % 50 = 0)
+SELECT a.id AS src, b.id AS dst, round(list_dot_product(a.u, b.u), 6) AS score FROM more a JOIN more b ON a.id < b.id
+WHERE round(list_dot_product(a.u, b.u), 9) >= {PAIR_LIMIT}""")
+def near_dup_pairs_copies(spark, folder):
+    """All pairs where some vectors occur four times."""
+    rows = items(spark, folder).select("id", "embedding")
+    copies = rows.where("id % 50 = 0").select(
+        "id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("c"), "embedding").select(
+        (F.col("id") + 1000000 * F.col("c")).alias("id"), "embedding")
+    return N.near_dup_pairs(rows.unionByName(copies), PAIR_LIMIT, block_rows=BLOCK).withColumn("score", r6("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,9 @@ from atlas.session import fresh_path
 from atlas.sources.tables import append_manifest
 
 
+SEEN = "hash string, run string, batch long"
+
+
 def table_stream(spark: SparkSession, folder: str, schema: StructType | str, pattern: str | None = None,
                  files_per_batch: int = 1000) -> DataFrame:
     """Parquet files of a folder as a stream."""
@@ -58,24 +62,29 @@ def ingest_stream(items: DataFrame, out: str, checkpoint: str | None = None, max
     """Gate arriving items (path, label, duration, hash, ...), dedup them against everything kept so far
     and append the survivors to the manifest below ``out``. Each item is processed once.
 
-    A batch is written under its number and the seen set is read from earlier batches only, so a
-    repeated batch after a failure comes out the same.
+    A batch is written under its run and number; the run is named after the checkpoint, since batch numbers
+    start anew with a new one. The hashes of kept items are a table of their own, and a batch reads those
+    of other runs and of earlier batches, so a repeated batch after a failure comes out the same.
     """
     spark = items.sparkSession
+    checkpoint = checkpoint or fresh_path(spark, "stream")
+    run = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
+    spark.createDataFrame([], SEEN).write.mode("append").partitionBy("run", "batch").parquet(f"{out}/seen")
 
     def handle(batch: DataFrame, number: int) -> None:
-        seen = None
-        if number > 0:
-            earlier = spark.read.parquet(f"{out}/verdicts").where(F.col("batch") < number)
-            seen = earlier.where(F.col("reason") == "kept").select("hash")
-        judged = intake.gate(batch, seen=seen, max_seconds=max_seconds)
-        judged.write.mode("overwrite").parquet(f"{out}/verdicts/batch={number}")
+        earlier = spark.read.schema(SEEN).parquet(f"{out}/seen").where(
+            (F.col("run") != run) | (F.col("batch") < number))
+        judged = intake.gate(batch, seen=earlier.select("hash"), max_seconds=max_seconds)
+        place = f"run={run}/batch={number}"
+        judged.write.mode("overwrite").parquet(f"{out}/verdicts/{place}")
+        spark.read.parquet(f"{out}/verdicts/{place}").where(F.col("reason") == "kept").select("hash").write.mode(
+            "overwrite").parquet(f"{out}/seen/{place}")
 
     drain(items, handle, checkpoint=checkpoint)
 
 
 def kept_items(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/verdicts").where(F.col("reason") == "kept").drop("batch", "reason")
+    return spark.read.parquet(f"{out}/verdicts").where(F.col("reason") == "kept").drop("run", "batch", "reason")
 
 
 def export_manifest(spark: SparkSession, out: str, target: str) -> None:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlas.operators import evaluate, groups, triage
+from atlas.operators import centroids as C
 from atlas.operators import neighbours as N
 from atlas.operators.skew import positions, salted_join
 from atlas.plans.corpus import label_triage
@@ -113,11 +114,32 @@ def test_near_duplicates(spark, vectors, block_rows, threshold):
     pairs = {(r["src"], r["dst"]) for r in N.near_dup_pairs(df, threshold, block_rows=block_rows).collect()}
     plain = {p for p in want if not copies & set(p)}
     assert {p for p in pairs if not copies & set(p)} == plain
-    assert {p for p in pairs if copies & set(p)} == {(100, c) for c in copies}
+    assert pairs == want
     links = [(r["src"], r["dst"]) for r in N.near_dup_links(df, threshold, block_rows=block_rows).collect()]
     assert partition_of(links, len(vectors)) == partition_of(want, len(vectors))
 
 
+def test_string_ids(spark, vectors):
+    named = frame(spark, vectors).withColumn("id", F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 4, "0")))
+    got = {(int(a[1:]), int(b[1:]), r) for a, b, r in found(N.top_k(named, k=3, block_rows=60))}
+    assert got == brute(vectors, 3)
+    links = [(int(r["src"][1:]), int(r["dst"][1:])) for r in N.near_dup_links(named, 0.98, block_rows=60).collect()]
+    assert partition_of(links, len(vectors)) == partition_of(pairs_of(vectors, 0.98), len(vectors))
+    joined = groups.components(N.near_dup_links(named, 0.98))
+    assert joined.count() == len({v for p in links for v in p})
+
+
+def test_variants_of_one_source_keep_their_own_label(spark):
+    cents = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 1, [0.0, 1.0])], "label string, n long, centroid array<double>")
+    source = spark.createDataFrame([(1, "a", 0, [1.0, 0.1])], "id long, label string, group_id long, embedding array<double>")
+    aug = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.1, 1.0])], "source_id long, k long, embedding array<double>")
+    for block_rows in (None, 1):
+        got = {r["k"]: (r["nearest"], r["passed"]) for r in C.augment_gate(aug, source, cents, block_rows=block_rows).collect()}
+        assert got == {0: ("a", True), 1: ("b", False)}
+    with pytest.raises(Exception, match="repeated key"):
+        C.augment_gate(aug, source, cents, keys=("source_id",)).collect()
+
+
 def test_near_copies_cost_one_link_each(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([np.ones((300, 6)) + 1e-4 * rng.normal(size=(300, 6)), rng.normal(size=(100, 6))])

@@ -81,6 +81,15 @@ def test_ingest_equals_batch(spark, tmp_path):
     assert verdicts.select("batch").distinct().count() > 1
 
 
+def test_a_second_run_adds_to_the_first(spark, tmp_path):
+    out = str(tmp_path / "out")
+    first = spark.createDataFrame([("a", "h1", "Kick", 1.0, 0), ("b", "h2", "Kick", 1.0, 1)], ITEMS)
+    second = spark.createDataFrame([("c", "h2", "Kick", 1.0, 0), ("d", "h3", "Kick", 1.0, 1)], ITEMS)
+    for name, df in (("one", first), ("two", second)):
+        W.ingest_stream(files(spark, df, str(tmp_path / name), "seq"), out)
+    assert sorted(r["path"] for r in W.kept_items(spark, out).collect()) == ["a", "b", "d"]
+
+
 def test_gate_precedence_and_seen(spark):
     df = spark.createDataFrame([
         ("a", "h1", None, None, 0), ("b", "h1", "Kick", None, 0), ("c", "h1", "Kick", 9.0, 0), ("d", "h1", "Kick", 3.0, 0),
