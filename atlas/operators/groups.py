@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from atlas.operators.skew import positions, salted_join
 from atlas.session import cut_lineage
 
-ID_SLICE = 100_000  # ids per ordered piece
+SLICE_DIGITS = 4  # hexadecimal digits that cut an order by digest into pieces
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -68,12 +68,13 @@ def leakage_groups(df: DataFrame, links: DataFrame, folder: str = "folder", id_c
 def group_kfold(df: DataFrame, k: int = 5, group: str = "group_id") -> DataFrame:
     """Add ``fold``: groups stay whole, and go to the folds by size, back and forth.
 
-    Groups are numbered by (size descending, id) through slices of equal size and nearby ids, so even
-    billions of single-row groups are never sorted in one task.
+    Groups are numbered by (size descending, digest of the id) through slices of equal size and the same
+    first digits, so even billions of single-row groups are never sorted in one task, whatever their ids.
     """
+    mix = F.md5(F.col(group).cast("string"))
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
     ranked = positions(
-        sizes, by=[], slices=[-F.col("_rows"), F.floor(F.col(group) / ID_SLICE)], order=[F.col(group)],
+        sizes, by=[], slices=[-F.col("_rows"), F.substring(mix, 1, SLICE_DIGITS)], order=[mix, F.col(group)],
         out="_at")
     zero = F.col("_at") - 1
     ahead, lap = zero % k, F.floor(zero / k)
@@ -94,13 +95,14 @@ def test_view(df: DataFrame, fold: int, is_aug: str = "is_aug") -> DataFrame:
 def shuffle_labels(df: DataFrame, seed: int = 0, id_col: str = "id", label: str = "label") -> DataFrame:
     """The same labels in a seeded random order over the rows: ``id, label, shuffled``.
 
-    Row i by id receives the label of row i by hash. Both numberings run over slices.
+    Row i by one digest of its id receives the label of row i by another. Both numberings run over slices.
     """
+    own = F.md5(F.col(id_col).cast("string"))
     mix = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
-    by_id = positions(df.select(id_col, label), [], [F.floor(F.col(id_col) / ID_SLICE)], [F.col(id_col)], "_at")
+    by_id = positions(df.select(id_col, label), [], [F.substring(own, 1, SLICE_DIGITS)], [own, F.col(id_col)], "_at")
     by_hash = positions(
         df.select(F.col(label).alias("shuffled"), mix.alias("_mix"), id_col), [],
-        [F.substring("_mix", 1, 4)], [F.col("_mix"), F.col(id_col)], "_at")
+        [F.substring("_mix", 1, SLICE_DIGITS)], [F.col("_mix"), F.col(id_col)], "_at")
     return by_id.join(by_hash.select("_at", "shuffled"), "_at").drop("_at")
 
 

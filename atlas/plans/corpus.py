@@ -13,7 +13,7 @@ from atlas.operators import intake, signals
 from atlas.operators.head import Embedder, embed, score
 from atlas.operators.triage import consensus, label_neighbours, triage
 from atlas.session import spread
-from atlas.sources.media import load_signals
+from atlas.sources.media import load_signals, probe_duration
 from atlas.streaming.decisions import replay_decisions
 
 
@@ -38,10 +38,14 @@ def build_corpus(manifest: DataFrame, files: DataFrame, loader: Callable[[], Emb
 
 
 def analyze(files: DataFrame, loader: Callable[[], Embedder], head: dict) -> DataFrame:
-    """One-shots of ``path, content`` rows: embedding, section, confidence, tags, envelope, duration."""
-    waves = load_signals(files).withColumn("raw", F.size("samples") / F.lit(float(signals.SAMPLE_RATE)))
-    trimmed = signals.trim_rows(intake.one_shot(waves, "raw"))
-    drawn = signals.envelope_rows(trimmed).withColumn(
+    """One-shots of ``path, content`` rows: embedding, section, confidence, tags, envelope, duration.
+
+    Files whose header says that they are too long are not decoded; the exact gate follows decoding.
+    """
+    probed = probe_duration(files, out="_probe")
+    near = probed.where(F.coalesce(F.col("_probe") <= intake.MAX_SECONDS + 0.01, F.lit(True))).drop("_probe")
+    waves = load_signals(near).withColumn("raw", F.size("samples") / F.lit(float(signals.SAMPLE_RATE)))
+    drawn = signals.trim_and_draw(intake.one_shot(waves, "raw")).withColumn(
         "duration", F.size("samples") / F.lit(float(signals.SAMPLE_RATE)))
     return score(embed(drawn, loader, source="samples"), head).withColumn(
         "filename", P.basename(F.col("path"))).drop("samples", "sr", "raw")

@@ -311,7 +311,7 @@ root AS (SELECT r.f, min(i.lead) AS group_id FROM reach r JOIN (SELECT folder, m
   ON i.folder = r.g GROUP BY r.f),
 grouped AS (SELECT id, group_id, label FROM (SELECT id, label, folder FROM items) i JOIN root ON f = folder),
 sizes AS (SELECT group_id, count(*) AS n FROM grouped GROUP BY 1),
-ranked AS (SELECT group_id, row_number() OVER (ORDER BY n DESC, group_id) - 1 AS z FROM sizes),
+ranked AS (SELECT group_id, row_number() OVER (ORDER BY n DESC, md5(group_id::VARCHAR), group_id) - 1 AS z FROM sizes),
 folds AS (SELECT group_id, CASE WHEN (z // 5) % 2 = 0 THEN z % 5 ELSE 4 - z % 5 END AS fold FROM ranked)"""
 
 
@@ -335,7 +335,7 @@ def group_kfold(spark, folder):
 
 
 @query("document_folds", """WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
-z AS (SELECT source, row_number() OVER (ORDER BY n DESC, CAST(substr(source, 4) AS INT)) - 1 AS z FROM g)
+z AS (SELECT source, row_number() OVER (ORDER BY n DESC, md5(CAST(substr(source, 4) AS INT)::VARCHAR)) - 1 AS z FROM g)
 SELECT doc_id, CAST(CASE WHEN (z // 4) % 2 = 0 THEN z % 4 ELSE 3 - z % 4 END AS BIGINT) AS fold
 FROM documents d JOIN z ON d.source = z.source""")
 def document_folds(spark, folder):
@@ -359,7 +359,7 @@ def train_test_view(spark, folder):
         F.count(F.lit(1)).alias("n"), F.count_if("is_aug").alias("n_aug"))
 
 
-@query("shuffled_labels", """WITH a AS (SELECT doc_id AS id, quality AS label, row_number() OVER (ORDER BY doc_id) AS z FROM labels),
+@query("shuffled_labels", """WITH a AS (SELECT doc_id AS id, quality AS label, row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) AS z FROM labels),
 b AS (SELECT quality AS shuffled, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) AS z FROM labels)
 SELECT id, label::BIGINT AS label, shuffled::BIGINT AS shuffled FROM a JOIN b ON a.z = b.z""")
 def shuffled_labels(spark, folder):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from atlas.functions import paths as P
 from atlas.operators.arrow import batch_udf
 from atlas.operators.intake import union_roots
-from atlas.operators.signals import SAMPLE_RATE, resample
+from atlas.operators.signals import SAMPLE_RATE, resample_array, sinc_table
 
 # Suffixes of recordings, and of archives that are reported but not opened.
 MEDIA_SUFFIXES = ("wav", "aif", "aiff", "flac", "mp3", "ogg", "m4a")
@@ -139,13 +139,25 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray] | None:
 
 def load_signals(df: DataFrame, sr: int = SAMPLE_RATE, keep: Sequence[str] = ("path",),
                  content: str = "content") -> DataFrame:
-    """``keep..., sr, samples``: mono signals at ``sr``. Undecodable rows drop out."""
+    """``keep..., sr, samples``: mono signals at ``sr``. Undecodable rows drop out.
 
-    @batch_udf("struct<sr:int,samples:array<float>>")
-    def decode(contents: pd.Series) -> pd.DataFrame:
-        found = [decode_wav(bytes(c)) if c is not None else None for c in contents]
-        return pd.DataFrame({"sr": pd.array([f[0] if f else None for f in found], dtype="Int32"),
-                             "samples": [f[1] if f else None for f in found]})
+    Decoding and resampling are one pass, so a waveform leaves Python once.
+    """
+
+    @batch_udf("array<float>")
+    def decode(contents: pd.Series) -> pd.Series:
+        tables: dict[int, np.ndarray] = {}
+
+        def one(content):
+            found = decode_wav(bytes(content)) if content is not None else None
+            if found is None:
+                return None
+            rate, wave = found
+            if rate != sr and rate not in tables:
+                tables[rate] = sinc_table(rate, sr)
+            return resample_array(np.asarray(wave, dtype=np.float64), rate, sr, tables.get(rate)).astype(np.float32)
+
+        return pd.Series([one(c) for c in contents], dtype=object)
 
-    rows = df.select(*keep, decode(content).alias("_w")).where(F.col("_w.sr").isNotNull())
-    return resample(rows.select(*keep, "_w.sr", "_w.samples"), sr)
+    rows = df.select(*keep, F.lit(sr).alias("sr"), decode(content).alias("samples"))
+    return rows.where(F.col("samples").isNotNull())
