@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,30 +19,31 @@ TOP_TAGS = 3
 Embedder = Callable[[pd.Series], np.ndarray]
 
 
-def hashing_loader(dim: int = 64) -> Callable[[], Embedder]:
-    """Default model: signed hashed word counts of a text column."""
+def hashed_words(df: DataFrame, id_col: str = "id", source: str = "text", dim: int = 64,
+                 out: str = "embedding") -> DataFrame:
+    """``id, embedding``: unit-length signed counts of the words of each text, in ``dim`` hash buckets.
 
-    def load() -> Embedder:
-        word = re.compile(r"\w+")
-
-        def embed(texts: pd.Series) -> np.ndarray:
-            out = np.zeros((len(texts), dim))
-            for i, text in enumerate(texts):
-                codes = np.array([zlib.crc32(w.encode()) for w in word.findall(text or "")], dtype=np.int64)
-                if len(codes):
-                    np.add.at(out[i], codes % dim, np.where((codes >> 16) & 1, 1.0, -1.0))
-            return out
-
-        return embed
-
-    return load
-
-
-def embed(df: DataFrame, loader: Callable[[], Embedder] | None = None, source: str = "text",
+    Words are counted by (row, bucket) with partial sums on the map side; a text without words has zeros.
+    Ids must be unique.
+    """
+    code = F.conv(F.substring(F.md5(F.col("word")), 1, 8), 16, 10).cast("long")
+    words = df.select(F.col(id_col).alias("_id"), F.explode(
+        F.regexp_extract_all(F.col(source), F.lit(r"\w+"), F.lit(0))).alias("word")).select("_id", code.alias("code"))
+    sign = F.when(F.floor(F.col("code") / 65536) % 2 == 1, 1.0).otherwise(-1.0)
+    sums = words.groupBy("_id", (F.col("code") % dim).alias("at")).agg(F.sum(sign).alias("v"))
+    length = F.sqrt(F.sum(F.col("v") * F.col("v")))
+    held = sums.groupBy("_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"), length.alias("length"))
+    value = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(
+        F.try_divide(F.try_element_at(F.col("m"), i), F.col("length")), F.lit(0.0)))
+    return df.join(held, F.col(id_col) == F.col("_id"), "left").select(F.col(id_col), value.alias(out))
+
+
+def embed(df: DataFrame, loader: Callable[[], Embedder], source: str = "text",
           out: str = "embedding") -> DataFrame:
     """Add unit-length embeddings. ``loader`` runs once per Python worker task; the model it returns maps
     a column to a matrix. A row whose embedding is not finite counts as failed and drops out."""
-    load = loader or hashing_loader()
+    load = loader
 
     @batch_udf("array<float>")
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:

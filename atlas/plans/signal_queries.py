@@ -12,7 +12,7 @@ from atlas.operators import signals as G
 from atlas.plans import corpus
 from atlas.plans.registry import query, r6, table
 from atlas.plans.vector_queries import wave_head
-from atlas.session import spread_scan
+from atlas.session import fresh_path, spread_scan
 from atlas.sources import media as M
 
 FRAME, DB, BARS = 8, 6.0, 16
@@ -161,11 +161,14 @@ def augment_gain_noise(spark, folder):
     return copies.select("doc_id", "k", F.size("samples").alias("n"), r6(peak.cast("double")).alias("peak"))
 
 
-@query("scan_media")
+@query("scan_media", "SELECT source, count(*) * 33 AS bytes FROM documents GROUP BY source")
 def scan_media(spark, folder):
-    """The table files themselves, scanned as media: one row per file, however often a root is named."""
-    found = M.scan_media(spark, [folder, folder], ["parquet", "PARQUET"])
-    return found.select(P.basename(F.col("path")).alias("name"), "length")
+    """Digests of all documents, written to one folder per source and scanned: bytes found there, each file
+    once, however often a root is named."""
+    out = fresh_path(spark, "media")
+    table(spark, folder, "documents").select("source", F.md5("text").alias("value")).write.partitionBy("source").text(out)
+    found = M.scan_media(spark, [out, out], ["txt", "TXT"])
+    return found.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(F.sum("length").alias("bytes"))
 
 
 @query("explode_archives", """SELECT source || '.zip' AS archive, doc_id || '.txt' AS member, md5(text) AS hash, 'ok' AS status
