@@ -565,3 +565,30 @@ def near_dup_pairs_copies(spark, folder):
         "id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("c"), "embedding").select(
         (F.col("id") + 1000000 * F.col("c")).alias("id"), "embedding")
     return N.near_dup_pairs(rows.unionByName(copies), PAIR_LIMIT, block_rows=BLOCK).withColumn("score", r6("score"))
+
+
+# ---- from leakage groups to the training set, on content keys --------------------------------------
+
+KEYED_SQL = GROUP_SQL.replace("vec_id AS id", "md5(vec_id::VARCHAR) AS id")
+
+
+@query("keyed_chain", f"""WITH {KEYED_SQL},
+knn AS (SELECT * FROM (SELECT a.id AS src, a.label AS src_label, b.label AS dst_label,
+    row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.u, b.u), 9) DESC, b.id) AS rank
+  FROM unit a JOIN grouped x ON x.id = a.id JOIN unit b ON a.id <> b.id JOIN grouped y ON y.id = b.id
+  WHERE x.group_id <> y.group_id) WHERE rank <= 15),
+votes AS (SELECT src, dst_label, count(*) AS n FROM knn GROUP BY ALL),
+ballot AS (SELECT src, arg_min(dst_label, (-n, dst_label)) AS consensus, max(n) / 15.0::DOUBLE AS strength FROM votes GROUP BY src),
+own AS (SELECT src, avg((dst_label = src_label)::INT) AS own FROM knn GROUP BY src),
+fixed AS (SELECT CASE WHEN consensus <> label AND own < 0.45 AND strength >= {STRENGTH} THEN consensus ELSE label END AS label
+  FROM items JOIN ballot b ON b.src = items.id JOIN own o ON o.src = items.id)
+SELECT label, count(*) AS n FROM fixed GROUP BY label""")
+def keyed_chain(spark, folder):
+    """Rows per label of the training set: groups, cross-group neighbours, triage and fixes on hash keys."""
+    rows = items(spark, folder).drop("group_id").withColumn("id", F.md5(F.col("id").cast("string")))
+    groups = R.leakage_groups(rows, N.near_dup_links(rows, PAIR_LIMIT, block_rows=BLOCK))
+    judged = corpus.label_triage(rows.join(groups, "id"), K, strength=STRENGTH, block_rows=BLOCK)
+    fixes = judged.where("decision = 'fix'").select("id", F.col("consensus").alias("new"))
+    none = spark.createDataFrame([], "id string, seq long, label string")
+    return corpus.training_set(rows.select("id", "label"), fixes, none, key="id").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"))

@@ -18,6 +18,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
@@ -46,7 +47,10 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so a lost executor costs no recomputation."""
+    """Materialise ``df`` in the shared checkpoint folder, so a lost executor costs no recomputation.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` a copy goes as soon as nothing refers to it.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
