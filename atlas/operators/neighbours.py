@@ -25,6 +25,7 @@ DIGITS = 9  # scores are rounded before ranking, so equal vectors tie exactly an
 BLOCK_BYTES = 32 << 20
 CHUNK_CELLS = 4_000_000
 MAX_PIVOTS = 256
+SEED_CELLS = 3  # cells that bound a row's k-th distance before the others are looked at
 SLACK = 1e-6
 
 
@@ -270,12 +271,18 @@ def _pruned_top_k(lt, rt, same, k, metric, keys, rows, n_right, run, schema) ->
     lkeys, rkeys = ["l_cell", "l_sub"], ["r_cell", "r_sub"]
     rblocks = right.select(*keys, *rkeys).distinct()
 
-    # First the blocks a row lives in: they give a bound on the k-th distance.
+    # First the block a row lives in and one block of each of the cells around it: they give a bound on the
+    # k-th distance even where a whole cell is excluded.
     lblocks = left.select(*keys, *lkeys).distinct()
-    home = lblocks.join(rblocks.select(
-        *keys, F.col("r_cell").alias("l_cell"), F.col("r_sub").alias("l_sub"), *rkeys), [*keys, *lkeys])
+    around = np.argsort(_distances(pivots, pivots), axis=1, kind="stable")[:, :SEED_CELLS]
+    beside = F.broadcast(lt.sparkSession.createDataFrame(
+        [(i, int(j)) for i, row in enumerate(around) for j in row if i != j] or [(-1, -1)], "l_cell int, r_cell int"))
+    own = lblocks.withColumns({"r_cell": F.col("l_cell"), "r_sub": F.col("l_sub")})
+    other = lblocks.join(beside, "l_cell").withColumn("r_sub", F.lit(0)).select(*own.columns)
+    home = cut_lineage(own.unionByName(other).join(rblocks, [*keys, *rkeys], "left_semi"))
     near = cut_lineage(_meet(left, right, home, lkeys, rkeys, keys, run, schema))
-    worst = near.groupBy("src").agg(F.count(F.lit(1)).alias("_found"), F.min("score").alias("_worst"))
+    ranked = F.sort_array(F.collect_list("score"), asc=False)  # at most k from each of a few blocks
+    worst = near.groupBy("src").agg(F.count(F.lit(1)).alias("_found"), F.try_element_at(ranked, F.lit(k)).alias("_worst"))
     distance = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("_worst"))) if metric == "cosine" else F.sqrt(
         -F.col("_worst"))
     # the error of a squared distance grows with the squared norms
@@ -286,8 +293,7 @@ def _pruned_top_k(lt, rt, same, k, metric, keys, rows, n_right, run, schema) ->
         *keys, F.col("_cell").alias("l_cell"), F.col("_sub").alias("l_sub"),
         F.explode(_cells_within(lb, pivots, low, high, metric, reach)).alias("r_cell"),
     ).distinct()
-    pairs = wanted.join(rblocks, [*keys, "r_cell"]).where(
-        (F.col("l_cell") != F.col("r_cell")) | (F.col("l_sub") != F.col("r_sub")))
+    pairs = wanted.join(rblocks, [*keys, "r_cell"]).join(renewed(home), [*keys, *lkeys, *rkeys], "left_anti")
     far = _meet(left, right, pairs, lkeys, rkeys, keys, run, schema)
     return near.unionByName(far)
 

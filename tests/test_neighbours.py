@@ -66,6 +66,12 @@ def test_top_k_excludes_groups_and_respects_keys(spark, vectors, block_rows):
     assert found(N.top_k(df, k=4, by=["b"], block_rows=block_rows)) == brute(vectors, 4, by=by)
 
 
+def test_top_k_where_a_group_owns_its_cells(spark, vectors):
+    group = [i % 6 for i in range(len(vectors))]  # one group per centre
+    df = frame(spark, vectors, g=group)
+    assert found(N.top_k(df, k=4, exclude="g", block_rows=40)) == brute(vectors, 4, group=group)
+
+
 def test_top_k_between_tables(spark, vectors):
     df = frame(spark, vectors)
     left, right = df.where("id < 90"), df.where("id >= 60")
