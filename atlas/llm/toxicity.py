@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlas.llm.quality import held_out_of
+from atlas.session import cut_lineage
 
 WINDOW = 24
 STRIDE = 16
@@ -336,27 +337,39 @@ def text_scores(model: BiGRU, texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def training_sample(docs: DataFrame, known: DataFrame, sample: int, sample_words: int) -> tuple[list, list]:
+    """Words and labels of at most ``sample`` documents of each class.
+
+    Ids are chosen from narrow rows; only the chosen ones' texts travel, and those are brief, so that the
+    sample is bounded in bytes too (no text is cut).
+    """
+    brief = F.length("text").between(1, 12 * sample_words)
+    sizes = docs.where(brief).select("doc_id").distinct().join(known, "doc_id")
+    ids = None
+    for label in (0, 1):
+        one = sizes.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        ids = one if ids is None else ids.unionByName(one)
+    ids = cut_lineage(ids)  # at most twice ``sample`` rows
+    rows = docs.where(brief).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(
+        F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    return [words_of(r["text"]) for r in rows], [r["label"] for r in rows]
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, threshold: float = 0.3,
                    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
                    sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> DataFrame:
     """``doc_id, held_out, score, predicted``, one row for each row of ``docs``.
 
     Learns from labelled rows whose crc32 of the id modulo ``parts`` is not ``held``. Null and empty texts, and
-    texts of punctuation alone, have score 0. Labels that are null or neither 0 nor 1 are not learnt from; a
-    repeated row may be learnt from twice. Documents without an id are scored and count as not held out. An
+    texts of punctuation alone, have score 0. Labels that are null or neither 0 nor 1 are not learnt from; of
+    repeated labels the larger one counts, of repeated ids the smallest text. Documents without an id are scored and count as not held out. An
     empty table gives no rows; without labels the network is untrained.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & ~held_out_of(F.col("doc_id"), parts, held))
-    # short texts only, so that the sample is bounded in bytes too: no word of theirs is cut
-    brief = chosen.where(F.length("text").between(1, 12 * sample_words))
-    texts, marks = [], []
-    for label in (0, 1):
-        one = known.where(F.col("label") == label).select("doc_id")
-        rows = brief.join(one, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
-        texts += [words_of(r["text"]) for r in rows]
-        marks += [label] * len(rows)
+    texts, marks = training_sample(chosen, known.groupBy("doc_id").agg(F.max("label").alias("label")),
+                                   sample, sample_words)
     model = train(texts, marks)
 
     def run(batches):
