@@ -44,7 +44,9 @@ def test_pipeline(spark):
     assert not docs.where("text RLIKE '[a-z]@[a-z0-9]+[.][a-z]'").count()
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
-    assert corpus_pipeline.run(spark, FOLDER).count() == pieces.count()
+    # cuts depend on how the rows are dealt to tasks, the tokens do not
+    tokens = [p.groupBy("doc_id").sum("length").collect() for p in (corpus_pipeline.run(spark, FOLDER), pieces)]
+    assert sorted(tokens[0]) == sorted(tokens[1])
 
 
 def test_pipeline_of_no_documents(spark):
