@@ -126,16 +126,24 @@ def revealing_terms(docs: DataFrame, text_col: str = "text",
                                        F.when(F.size("entities") > 0, terms_of(F.col("text"))).alias("terms")))
     copies = cut_lineage(narrow.groupBy("key").agg(F.count(F.lit(1)).alias("copies")))
     texts = copies.count()
-    personal = narrow.where(F.size("entities") > 0).groupBy("key").agg(
-        F.first("entities").alias("entities"), F.first("terms").alias("terms"))
-    mentions = cut_lineage(personal.select("key", F.explode("entities").alias("entity"), "terms"))
+    personal = cut_lineage(narrow.where(F.size("entities") > 0).groupBy("key").agg(
+        F.first("entities").alias("entities"), F.first("terms").alias("terms")))
+    mentions = personal.select("key", F.explode("entities").alias("entity"), "terms")
     known = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")).where(
         F.col("entity_texts") >= thresholds.support)
     unfolded = cut_lineage(mentions.join(known, "entity").select(
         "key", "entity", "entity_texts", F.explode("terms").alias("term")))
-    pairs = cut_lineage(unfolded.groupBy("entity", "term").agg(
+    information = F.log2(F.lit(float(texts)) / F.col("entity_texts"))
+    mutual = F.log2(F.col("joint") * F.lit(float(texts)) / (F.col("entity_texts") * F.col("term_texts")))
+    disclosure = F.when(information > 0, mutual / information).otherwise(0.0)
+
+    # texts with personal data alone give the least number of texts that hold a term, and so the most that it
+    # can disclose: common words need no count over the whole corpus
+    least = personal.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_texts"))
+    pairs = unfolded.groupBy("entity", "term").agg(
         F.count(F.lit(1)).alias("joint"), F.first("entity_texts").alias("entity_texts")
-    ).where(F.col("joint") >= thresholds.support))
+    ).where(F.col("joint") >= thresholds.support)
+    pairs = cut_lineage(pairs.join(least, "term").where(disclosure >= thresholds.generalise).drop("term_texts"))
 
     asked = few(pairs.select("term").distinct())
     repeated = few(copies.where("copies > 1"))
@@ -144,11 +152,8 @@ def revealing_terms(docs: DataFrame, text_col: str = "text",
     term_texts = spread.join(asked, "term", "left_semi").groupBy("term").agg(
         F.round(F.sum(1 / F.col("copies"))).cast("long").alias("term_texts"))
 
-    information = F.log2(F.lit(float(texts)) / F.col("entity_texts"))
-    mutual = F.log2(F.col("joint") * F.lit(float(texts)) / (F.col("entity_texts") * F.col("term_texts")))
     pairs = cut_lineage(
-        pairs.join(term_texts, "term")
-        .withColumn("disclosure", F.when(information > 0, mutual / information).otherwise(0.0))
+        pairs.join(term_texts, "term").withColumn("disclosure", disclosure)
         .where(F.col("disclosure") >= thresholds.generalise)
         .select("entity", "term", "joint", "entity_texts", "term_texts", "disclosure"))
     level = F.when(F.max("disclosure") >= thresholds.remove, "remove").otherwise("generalise")
