@@ -4,8 +4,9 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers, by patter
 the protected entities. Co-occurrence over the whole corpus, counted in distinct texts, says how much a term
 tells about an entity: with ``p`` a share of texts, the information of the entity is ``-log p(e)`` and the
 pointwise mutual information ``log p(e, t) / (p(e) p(t))``; their ratio, 1 for a term that occurs only with
-the entity, is the disclosure of ``e`` by ``t``. In texts that mention the entity, terms beyond ``generalise``
-become their kind, terms beyond ``remove`` go. Counts below ``support`` texts say nothing.
+the entity, is the disclosure of ``e`` by ``t``. Terms beyond ``generalise`` become their kind, terms beyond
+``remove`` go: with ``everywhere`` in all texts, else in those that mention the entity. Counts below ``support``
+texts say nothing.
 
 The patterns of the contract are written so that matching takes linear time: a run of characters is entered
 at its start or where the last match ended, and taken whole. That finds the same leftmost matches.
@@ -28,7 +29,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-TERM = r"\p{L}{4,}"  # a term is a run of letters, lower-cased
+TERM = r"\p{L}+"  # a term is a run of letters, lower-cased
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 FEW_ROWS = 100_000  # rows of a narrow table that is broadcast, some megabytes
 
@@ -112,11 +113,12 @@ def entity_of(span: Column) -> Column:
 
 
 def revealing_terms(docs: DataFrame, text_col: str = "text",
-                    thresholds: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame]:
+                    thresholds: Thresholds = Thresholds(), everywhere: bool = False) -> tuple[DataFrame, DataFrame]:
     """``key, terms`` (key: md5 of a text; terms: array of (term, level)) for texts with revealing terms, and
     ``entity, term, joint, entity_texts, term_texts, disclosure`` for all revealing pairs.
 
-    Only texts with personal data are unfolded into terms. Texts are counted once however often they appear:
+    With ``everywhere`` a revealing term is listed for every text that holds it, at its highest level. Only texts
+    with personal data teach terms. Texts are counted once however often they appear:
     the repeated ones are found by key, and a row of a text with ``n`` copies counts ``1 / n``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -157,20 +159,26 @@ def revealing_terms(docs: DataFrame, text_col: str = "text",
         .where(F.col("disclosure") >= thresholds.generalise)
         .select("entity", "term", "joint", "entity_texts", "term_texts", "disclosure"))
     level = F.when(F.max("disclosure") >= thresholds.remove, "remove").otherwise("generalise")
+    if everywhere:
+        flagged = few(cut_lineage(pairs.groupBy("term").agg(level.alias("level"))))
+        listed = (docs.select(F.md5(text).alias("key"), F.explode(terms_of(text)).alias("term")).join(flagged, "term")
+                  .groupBy("key").agg(F.sort_array(F.collect_set(F.struct("term", "level"))).alias("terms")))
+        return cut_lineage(listed), pairs
     listed = (unfolded.join(few(pairs.select("entity", "term", "disclosure")), ["entity", "term"])
               .groupBy("key", "term").agg(level.alias("level"))
               .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "level"))).alias("terms")))
     return cut_lineage(listed), pairs
 
 
-def all_spans(docs: DataFrame, text_col: str = "text", thresholds: Thresholds = Thresholds()) -> DataFrame:
+def all_spans(docs: DataFrame, text_col: str = "text", thresholds: Thresholds = Thresholds(),
+              everywhere: bool = False) -> DataFrame:
     """``docs`` with ``_spans`` (base spans, then ``term`` spans by start) and ``_levels`` (term: level).
 
     Null texts are empty. Term spans that overlap a base span are left out. Repeated rows have the same spans.
     An empty table gives no rows. Columns of ``docs`` are kept; they must not be called ``_spans``, ``_levels``,
     ``_key`` or ``_terms``.
     """
-    listed, _ = revealing_terms(docs, text_col, thresholds)
+    listed, _ = revealing_terms(docs, text_col, thresholds, everywhere)
     text = F.coalesce(docs[text_col], F.lit(""))
     joined = (docs.withColumn("_key", F.md5(text))
               .join(few(listed.select(F.col("key").alias("_key"), F.col("terms").alias("_terms"))), "_key", "left"))
@@ -219,8 +227,9 @@ def sanitised(text: Column, spans: Column, levels: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, start, step, close))
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", thresholds: Thresholds = Thresholds()) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", thresholds: Thresholds = Thresholds(),
+             everywhere: bool = False) -> DataFrame:
     """``docs`` with sanitised texts, same columns; null texts stay null."""
-    found = all_spans(docs, text_col, thresholds)
+    found = all_spans(docs, text_col, thresholds, everywhere)
     clean = F.when(F.col(text_col).isNotNull(), sanitised(F.col(text_col), F.col("_spans"), F.col("_levels")))
     return found.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])

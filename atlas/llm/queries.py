@@ -152,7 +152,7 @@ def op4_toxicity_network(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_disclosure_control")
 def op6_disclosure_control(spark: SparkSession, folder: str) -> DataFrame:
-    found = disclosure.all_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    found = disclosure.all_spans(table(spark, folder, "documents").select("doc_id", "text"), everywhere=True)
     base = F.filter("_spans", lambda s: s["kind"] != "term")
     counts = [F.size(disclosure.spans_of(kind)).cast("long").alias(f"n_{kind}")
               for kind in (*disclosure.KINDS, "term")]

@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that reveal it are replaced; the character count follows the text."""
-    clean = disclosure.sanitise(docs)
+    clean = disclosure.sanitise(docs, everywhere=True)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

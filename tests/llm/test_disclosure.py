@@ -118,3 +118,16 @@ def test_overlapping_spans_are_covered(spark):
     docs = spark.createDataFrame([(1, "x +41 111 111 111 1111 1.2.3.4@a.bc é")], "doc_id long, text string")
     text = disclosure.sanitise(docs).first()["text"]
     assert not re.search("[0-9@]", text) and text.startswith("x +[CARD") and text.endswith(" é")
+
+
+def test_revealing_terms_go_everywhere(spark):
+    rows = corpus() + [(60 + i, f"zep ann.smith@mail.example number {i}") for i in range(8)] + [(70, "Zep alone, zeppelins")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, pairs = disclosure.revealing_terms(docs, everywhere=True)
+    flagged = {r["term"] for r in pairs.collect()}
+    assert "zep" in flagged
+    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(docs, everywhere=True).collect()}
+    assert "Zep " not in clean[70] and clean[70].endswith("alone, zeppelins")
+    for text in clean.values():
+        assert not flagged & set(re.findall(r"[^\W\d_]+", (text or "").lower().replace("[term]", "")))
+    assert clean[47] is None and disclosure.sanitise(docs.limit(0), everywhere=True).count() == 0
