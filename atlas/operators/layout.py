@@ -108,7 +108,7 @@ def layout(df: DataFrame, by: Sequence[str] = ("section",), vec: str = "embeddin
 
     A section of any size is projected on its two leading directions; one of at most ``TINY`` rows sits on
     a small disc instead, a single row in the centre. ``pack=False`` gives the unit box; ``pack=True`` blows
-    it up to the side its rows need and then moves close rows apart, ``rounds`` times. ``method`` says which
+    it up to the side its rows need, deals rows at one place over a disc, and then moves close rows apart, ``rounds`` times. ``method`` says which
     rule placed a row (centre, disc, projected).
     """
     by = list(by)
@@ -118,6 +118,8 @@ def layout(df: DataFrame, by: Sequence[str] = ("section",), vec: str = "embeddin
     shift = F.lit(0.5) if pack else F.lit(0.0)
     rest = start.where(F.col("n") > TINY).select(
         *by, "id", ((F.col("x") - shift) * side).alias("x"), ((F.col("y") - shift) * side).alias("y"))
+    if pack:
+        rest = cut_lineage(_spread(rest, by))
     for _ in range(rounds if pack else 0):
         rest = cut_lineage(G.separate_once(rest, by=by))
 
@@ -130,6 +132,20 @@ def layout(df: DataFrame, by: Sequence[str] = ("section",), vec: str = "embeddin
     return rest.select(*by, "id", "x", "y", F.lit("projected").alias("method")).unionByName(tiny)
 
 
+def _spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows at one place, such as copies of a vector, dealt by digests of their ids over a disc that has room
+    for them; the separation steps have no direction for them."""
+    at = [F.round("x", 4).alias("_x"), F.round("y", 4).alias("_y")]
+    piles = df.groupBy(*by, *at).agg(F.count(F.lit(1)).alias("_w")).where("_w > 1")
+    joined = salted_join(df.withColumns({"_x": F.round("x", 4), "_y": F.round("y", 4)}), piles,
+                         [*by, "_x", "_y"], "left", spread=["id"])
+    angle = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * (2 * np.pi / (1 << 30))
+    share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) / (1 << 30)
+    far = F.when(F.col("_w") > 1, G.MIN_DIST / 2 * F.sqrt(F.col("_w") * share)).otherwise(0.0)
+    return joined.withColumns({"x": F.col("x") + far * F.cos(angle), "y": F.col("y") + far * F.sin(angle)}).drop(
+        "_x", "_y", "_w")
+
+
 def _number(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Number the rows of sections of at most ``TINY`` rows."""
     return df.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("id")))

@@ -140,3 +140,16 @@ def test_resettle_without_peer_stays(spark):
     assert (got[1]["home_x"], got[1]["home_y"], got[1]["rel_x"], got[1]["peer"]) == (6.6, 7.6, 0.3, 2)
     assert got[2]["home_x"] == 5.0 and got[2]["peer"] is None
     assert got[3]["home_x"] == 0.0
+
+
+def test_copies_of_a_vector_get_places_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    vectors = [[1.0, 2.0, 3.0, 4.0]] * 300 + rng.normal(size=(40, 4)).tolist()
+    df = spark.createDataFrame([(i, "a", v) for i, v in enumerate(vectors)], "id long, section string, embedding array<double>")
+    nodes = Y.build_map(df)[0].select("id", "x", "y").toPandas()
+    assert len(nodes) == 340 and len(nodes[["x", "y"]].drop_duplicates()) == 340
+    xy = nodes[["x", "y"]].to_numpy()
+    d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+    np.fill_diagonal(d, np.inf)
+    print("closer than MIN_DIST to another:", (d.min(axis=1) < G.MIN_DIST).sum(), "than half:", (d.min(axis=1) < G.MIN_DIST / 2).sum())
+    assert np.median(d.min(axis=1)) > 0.3 * G.MIN_DIST
