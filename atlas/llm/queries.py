@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlas.llm import chat, disclosure, mixing, packing, projections, quality, simhash, token_blocks, topk, toxicity
+from atlas.llm import (
+    chat, disclosure, mixing, packing, projections, quality, repair, sharding, simhash, token_blocks, topk, toxicity, trie)
 from atlas.llm.tokens import default_vocabulary
 
 QUERIES: dict = {}
@@ -158,3 +159,134 @@ def op6_disclosure_control(spark: SparkSession, folder: str) -> DataFrame:
               for kind in (*disclosure.KINDS, "term")]
     return found.select("doc_id", *counts, F.sha2(disclosure.joined_spans(base), 256).alias("base_sha256"),
                         disclosure.joined_spans(F.col("_spans")).alias("spans"))
+
+
+# crc32 of a brief ASCII text, bit by bit; and of any text, from the bytes' hexadecimal digits and a table of 256 sums
+CRC_BIT = "list_reduce(range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), {})"
+CRC_BRIEF = ("CAST(xor(list_reduce(list_transform(string_split({}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda c, b: "
+             + CRC_BIT.format("xor(c, b)") + ", 4294967295), 4294967295) AS BIGINT)")
+CRC_TABLE = "(SELECT string_agg(printf('%08x', " + CRC_BIT.format("n") + "), '' ORDER BY n) AS sums FROM range(256) r(n))"
+CRC_TEXT = """CAST(xor(list_reduce(list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+    lambda c, x: xor(c >> 8, CAST('0x' || substr(sums, CAST((xor(c, x) & 255) * 8 + 1 AS BIGINT), 8) AS BIGINT)), 4294967295),
+    4294967295) AS BIGINT)"""
+
+
+def _cheapest_shard(shards: int) -> str:
+    cost = "-ln((CAST('0x' || substr(md5(s || ':' || key), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+    return f"CAST((SELECT arg_min(s, ({cost}, s)) FROM range({shards}) r(s)) AS INTEGER)"
+
+
+@query("op11_rendezvous_shards", f"""
+WITH tab AS {CRC_TABLE},
+docs AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, strlen(coalesce(text, '')) + 1 AS size,
+    {CRC_TEXT.format("coalesce(text, '')")} AS text_crc32 FROM documents, tab),
+placed AS (SELECT *, {_cheapest_shard(8)} AS shard, {_cheapest_shard(9)} AS grown_shard FROM docs)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY
+  substr(md5(key), 1, 3), md5(key), doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM placed
+""")
+def op11_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_index(table(spark, folder, "documents"))
+
+
+REPAIR_KEY = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+
+
+@query("op12_structure_repair", rf"""
+WITH RECURSIVE src AS (
+  SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC_BRIEF.format(REPAIR_KEY)} % 20 AS k
+  FROM conversations),
+damaged AS (
+  SELECT conv, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM src, range(2) c(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM damaged),
+rows AS (
+  SELECT *, substr(role, 1, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM ordered),
+costs AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS bad, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more FROM rows),
+ns AS (SELECT conv, count(*) AS n FROM rows GROUP BY conv),
+back AS (
+  SELECT conv, n + 1 AS i, 0 AS b0, 6 AS b1, 3 AS b2, 0 AS b3 FROM ns
+  UNION ALL
+  SELECT conv, i, least(c0, 3 + c2, 6 + c3), least(c1, 3 + c2, 6 + c3), least(c2, 3 + c3), least(c3, 3 + c2) FROM (
+    SELECT c.conv, c.i, least(4 + b0, CASE WHEN NOT bad THEN more + CASE ini WHEN 's' THEN least(b1, 3 + b2) WHEN 'u' THEN b2 ELSE 3 + b2 END ELSE 9999999 END) AS c0,
+      least(4 + b1, CASE WHEN NOT bad THEN more + CASE ini WHEN 'u' THEN b2 ELSE 3 + b2 END ELSE 9999999 END) AS c1,
+      least(4 + b2, CASE WHEN NOT bad THEN more + CASE ini WHEN 'a' THEN b3 ELSE 3 + b3 END ELSE 9999999 END) AS c2,
+      least(4 + b3, CASE WHEN NOT bad THEN more + CASE ini WHEN 'u' THEN b2 ELSE 3 + b2 END ELSE 9999999 END) AS c3
+    FROM back b JOIN costs c ON c.conv IS NOT DISTINCT FROM b.conv AND c.i = b.i - 1)),
+vecs AS (SELECT conv, i, [b0, b1, b2, b3] AS b FROM back),
+steps AS (
+  SELECT v.conv, v.i, v.b AS now, w.b AS after, c.bad, c.more, c.ini
+  FROM vecs v LEFT JOIN vecs w ON w.conv IS NOT DISTINCT FROM v.conv AND w.i = v.i + 1
+  LEFT JOIN costs c ON c.conv IS NOT DISTINCT FROM v.conv AND c.i = v.i),
+walk AS (
+  SELECT conv, 1::BIGINT AS i, 0 AS s, 0 AS t, '' AS letter, 0::BIGINT AS used FROM ns
+  UNION ALL
+  SELECT conv, CASE WHEN l = 'I' THEN i ELSE i + 1 END, CASE WHEN l = 'D' THEN s WHEN l = 'K' AND ini = 's' THEN 1
+      ELSE CASE s WHEN 2 THEN 3 ELSE 2 END END, t + 1, l, i FROM (
+    SELECT w.conv, w.i, w.s, w.t, p.ini, CASE WHEN p.after IS NULL THEN 'I'
+      WHEN 4 + p.after[w.s + 1] = p.now[w.s + 1] THEN 'D'
+      WHEN 3 + p.now[CASE w.s WHEN 2 THEN 4 ELSE 3 END] = p.now[w.s + 1] THEN 'I'
+      WHEN NOT p.bad AND ((p.ini = 's' AND w.s = 0 AND p.more + p.after[2] = p.now[w.s + 1])
+        OR (p.ini = 'u' AND w.s <> 2 AND p.more + p.after[3] = p.now[w.s + 1])
+        OR (p.ini = 'a' AND w.s = 2 AND p.more + p.after[4] = p.now[w.s + 1])) THEN 'K' ELSE 'R' END AS l
+    FROM walk w JOIN steps p ON p.conv IS NOT DISTINCT FROM w.conv AND p.i = w.i
+    WHERE p.after IS NOT NULL OR w.s IN (1, 2))),
+told AS (
+  SELECT w.*, count(*) FILTER (letter <> 'D') OVER (PARTITION BY w.conv) AS m,
+    count(*) FILTER (letter <> 'D') OVER (PARTITION BY w.conv ORDER BY t) - 1 AS j, r.role, r.text
+  FROM walk w LEFT JOIN rows r ON r.conv IS NOT DISTINCT FROM w.conv AND r.i = w.used AND letter IN ('K', 'R') WHERE t > 0),
+done AS (
+  SELECT conv, string_agg(letter, '' ORDER BY t) AS audit, sha256(coalesce(string_agg(
+    CASE WHEN letter = 'K' THEN role WHEN (j - m % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10)
+    ORDER BY t) FILTER (letter <> 'D'), '')) AS sha FROM told GROUP BY conv),
+pairs AS (SELECT conv, ini AS b, lag(ini) OVER (PARTITION BY conv ORDER BY i) AS a, i FROM rows),
+counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM rows GROUP BY conv),
+bad AS (SELECT conv, count(*) FILTER (i > 1 AND a || b NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b0, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+  coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN bad ON bad.conv IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN back k ON k.conv IS NOT DISTINCT FROM o.conv_id AND k.i = 1
+""")
+def op12_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_digest(table(spark, folder, "conversations"))
+
+
+@query("op13_prefix_trie", f"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, count(*) AS n, {CRC_BRIEF.format("CAST(c AS VARCHAR)")} % 6 AS h, c - c % 100 AS base FROM t GROUP BY c),
+rebuilt AS (
+  SELECT v.c, p AS i, role, text FROM convs v JOIN t ON t.c = v.base AND p < h
+  UNION ALL
+  SELECT v.c, least(v.h, coalesce(b.n, 0)) + p - v.h, role, text FROM convs v JOIN t ON t.c = v.c AND p >= v.h
+  LEFT JOIN convs b ON b.c = v.base),
+members AS (
+  SELECT c, i + 1 AS d, length(text) AS chars,
+    string_agg(md5(role || chr(1) || text), '') OVER (PARTITION BY c ORDER BY i) AS k FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+nodes AS (SELECT k, d, any_value(chars) AS chars, min(c) AS conv_id, count(*) AS n_convs FROM members GROUP BY k, d),
+ends AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS sha FROM (
+  SELECT c, arg_max(k, d) AS k FROM members GROUP BY c) GROUP BY k),
+kids AS (SELECT substr(k, 1, 32 * (d - 1)) AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+valued AS (SELECT nodes.*, coalesce(n, 0) AS n_children, (n_convs - 1) * chars AS saved FROM nodes LEFT JOIN kids USING (k)),
+below AS (
+  SELECT substr(k, 1, 32 * a) AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM valued) GROUP BY 1)
+SELECT v.conv_id, v.d AS depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens,
+  coalesce(sha, sha256('')) AS ends_sha256
+FROM valued v JOIN below ON below.k = v.k LEFT JOIN ends ON ends.k = v.k
+LEFT JOIN nodes o ON v.d > 0 AND o.d = v.d - 1 AND o.k = substr(v.k, 1, 32 * (v.d - 1))
+""")
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, folder, "conversations"))

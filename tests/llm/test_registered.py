@@ -15,7 +15,10 @@ COLUMNS = {
     6: ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     7: ["doc_id", "size", "source_size", "target", "taken"], 8: ["query_id", "rank", "vec_id", "score"],
     9: ["vec_id", "n_links", "component_id", "kept"],
-    10: ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]}
+    10: ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    11: ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    12: ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    13: ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]}
 
 
 @pytest.mark.parametrize("name", sorted(queries.TWINS))
