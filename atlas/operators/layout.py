@@ -19,6 +19,7 @@ from atlas.functions import vectors as V
 from atlas.operators import geometry as G
 from atlas.operators.neighbours import top_k
 from atlas.operators.skew import salted_join
+from atlas.operators.spectral import neighbour_graph, spectral_2d
 from atlas.session import cut_lineage
 
 # Fixed values of the section layout.
@@ -103,25 +104,30 @@ def pca_2d(df: DataFrame, by: Sequence[str], vec: str = "embedding", id_col: str
 # ---- layout -------------------------------------------------------------------------------------------
 
 def layout(df: DataFrame, by: Sequence[str] = ("section",), vec: str = "embedding", pack: bool = False,
-           rounds: int = PACK_ROUNDS) -> DataFrame:
+           rounds: int = PACK_ROUNDS, neighbours: bool = False, block_rows: int | None = None) -> DataFrame:
     """2-D position of every row within its section: ``by, id, x, y, method``.
 
-    A section of any size is projected on its two leading directions; one of at most ``TINY`` rows sits on
-    a small disc instead, a single row in the centre. ``pack=False`` gives the unit box; ``pack=True`` blows
-    it up to the side its rows need, deals rows at one place over a disc, and then moves close rows apart, ``rounds`` times. ``method`` says which
-    rule placed a row (centre, disc, projected).
+    A section of any size is projected on its two leading directions, or with ``neighbours`` placed by the smoothest
+    directions of its neighbour graph, which begin at that projection; one of at most ``TINY`` rows sits on a small
+    disc instead, a single row in the centre. ``pack=False`` gives the unit box; ``pack=True`` blows it up to the
+    side its rows need, deals rows at one place over a disc, and then moves close rows apart, ``rounds`` times.
+    ``method`` says which rule placed a row (centre, disc, projected, neighbours).
     """
     by = list(by)
     total = df.count()
     start = cut_lineage(G.unit_box(pca_2d(df, by, vec, rows=total), by, rows=total).select(*by, "id", "n", "x", "y"))
+    if neighbours:
+        start = cut_lineage(_by_neighbours(df, start, by, vec, total, block_rows))
     side = 2 * PACK_BASE * F.sqrt("n") * G.MIN_DIST if pack else F.lit(1.0)
     shift = F.lit(0.5) if pack else F.lit(0.0)
     rest = start.where(F.col("n") > TINY).select(
         *by, "id", ((F.col("x") - shift) * side).alias("x"), ((F.col("y") - shift) * side).alias("y"))
     if pack:
         rest = cut_lineage(_spread(rest, by))
-    for _ in range(rounds if pack else 0):
-        rest = cut_lineage(G.separate_once(rest, by=by))
+    for at in range(rounds if pack else 0):
+        rest = G.separate_once(rest, by=by)
+        if at % 2 or at == rounds - 1:
+            rest = cut_lineage(rest)
 
     turn = _number(start.where(F.col("n") <= TINY), by).withColumn("_d", L.sunflower(F.col("at") - 1, F.col("n"), 0.5))
     centre = F.col("n") == 1
@@ -129,7 +135,28 @@ def layout(df: DataFrame, by: Sequence[str] = ("section",), vec: str = "embeddin
         *by, "id", (F.when(centre, 0.0).otherwise(F.col("_d.x")) * side + 0.5 - shift).alias("x"),
         (F.when(centre, 0.0).otherwise(F.col("_d.y")) * side + 0.5 - shift).alias("y"),
         F.when(centre, "centre").otherwise("disc").alias("method"))
-    return rest.select(*by, "id", "x", "y", F.lit("projected").alias("method")).unionByName(tiny)
+    method = F.lit("neighbours" if neighbours else "projected").alias("method")
+    return rest.select(*by, "id", "x", "y", method).unionByName(tiny)
+
+
+def _by_neighbours(df: DataFrame, start: DataFrame, by: list[str], vec: str, rows: int,
+                   block_rows: int | None) -> DataFrame:
+    """``start`` with the places that the neighbour graph gives to sections above ``TINY`` rows.
+
+    Copies of a vector are one vertex, their smallest id, so a pile of them is no hub. Two digests of 64 bits tell
+    vectors apart. A section of copies alone has no links and keeps its place.
+    """
+    print_of = [F.xxhash64(vec).alias("_h"), F.xxhash64(F.lit(1), vec).alias("_g")]
+    marked = cut_lineage(df.select(*by, "id", *print_of))
+    firsts = marked.groupBy(*by, "_h", "_g").agg(F.min("id").alias("_first"))
+    named = salted_join(marked, firsts, [*by, "_h", "_g"], spread=["id"], rows=rows).select(*by, "id", "_first")
+    large = start.where(F.col("n") > TINY).select(*by, "id", "x", "y")
+    only = df.select(*by, "id", vec).join(named.where("id = _first").select("id"), "id", "left_semi").join(
+        large.select("id"), "id", "left_semi")
+    found = G.unit_box(spectral_2d(neighbour_graph(only, by, vec=vec, block_rows=block_rows), by, start=large), by, rows=rows)
+    spots = found.select(*by, F.col("id").alias("_first"), F.struct("x", "y").alias("_p"))
+    return salted_join(start.join(named, [*by, "id"]), spots, [*by, "_first"], "left", spread=["id"], rows=rows).select(
+        *by, "id", "n", F.coalesce("_p.x", "x").alias("x"), F.coalesce("_p.y", "y").alias("y"))
 
 
 def _spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -154,15 +181,15 @@ def _number(df: DataFrame, by: Sequence[str]) -> DataFrame:
 # ---- the whole map --------------------------------------------------------------------------------
 
 def build_map(items: DataFrame, by: Sequence[str] = (), section: str = "section", vec: str = "embedding",
-              rounds: int = PACK_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, sections)`` of one map, or of one map per ``by`` key.
+              rounds: int = PACK_ROUNDS, neighbours: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, sections)`` of one map, or of one map per ``by`` key. ``neighbours``: as in :func:`layout`.
 
     Nodes carry position, home, colour, section id and relative position; the section table carries
     size, colour and centre, largest first.
     """
     by = list(by)
     keys = [*by, section]
-    packed = layout(items.select(*keys, "id", vec), keys, vec, pack=True, rounds=rounds)
+    packed = layout(items.select(*keys, "id", vec), keys, vec, pack=True, rounds=rounds, neighbours=neighbours)
     packed = cut_lineage(packed)
     total = packed.count()
     offsets = cut_lineage(G.centre(packed, keys, rows=total))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atlas.operators import geometry as G
 from atlas.operators import layout as Y
+from atlas.operators.spectral import spectral_2d
 from atlas.plans.registry import query, r6, table
 from atlas.plans.vector_queries import ITEMS_SQL, items
 from atlas.session import cut_lineage
@@ -184,11 +185,25 @@ def pca_2d(spark, folder):
                                        r6(F.stddev_pop("y")).alias("sy"))
 
 
+@query("spectral_paths", """WITH o AS (SELECT o_custkey AS section, o_orderkey AS id,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT section, id, round(cos(pi() * i / (n - 1)), 3) + 0.0 AS x FROM o WHERE n > 1""")
+def spectral_paths(spark, folder):
+    """Each customer's orders, linked one to the next: the smoothest direction of a path of n is the half cosine."""
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("section"), F.col("o_orderkey").alias("src"))
+    after = F.lead("src").over(Window.partitionBy("section").orderBy("src"))
+    steps = rows.withColumn("dst", after).where("dst IS NOT NULL")
+    back = steps.select("section", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    found = spectral_2d(steps.unionByName(back).withColumn("w", F.lit(1.0)), ["section"])
+    first = found.groupBy("section").agg(F.min_by("x", "id").alias("_first"))
+    return found.join(first, "section").select("section", "id", (F.round(F.col("x") / F.col("_first"), 3) + 0.0).alias("x"))
+
+
 @query("layout_recall")
 def layout_recall(spark, folder):
     """How much of the neighbourhood the section layouts keep, next to projection and chance."""
     rows = sections(spark, folder)
-    placed = cut_lineage(Y.layout(rows))
+    placed = cut_lineage(Y.layout(rows, neighbours=True))
     flat = G.unit_box(Y.pca_2d(rows, ["section"]), ["section"])
     good = Y.knn_recall(rows, placed)
     base = Y.knn_recall(rows, flat).select("section", F.col("recall").alias("pca"))

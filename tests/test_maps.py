@@ -153,3 +153,24 @@ def test_copies_of_a_vector_get_places_of_their_own(spark):
     np.fill_diagonal(d, np.inf)
     print("closer than MIN_DIST to another:", (d.min(axis=1) < G.MIN_DIST).sum(), "than half:", (d.min(axis=1) < G.MIN_DIST / 2).sum())
     assert np.median(d.min(axis=1)) > 0.3 * G.MIN_DIST
+
+
+def knot(spark, n=300, dims=8, copies=0):
+    """A closed curve that overlaps itself in every projection."""
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.uniform(0, 2 * np.pi, n))
+    waves = np.stack([f(k * t) / k ** 0.3 for k in (1, 2, 3, 4) for f in (np.cos, np.sin)], axis=1)
+    turn = np.linalg.qr(rng.normal(size=(dims, dims)))[0]
+    x = waves @ turn + 0.01 * rng.normal(size=(n, dims))
+    rows = [(i, "curve", v.tolist()) for i, v in enumerate(x)] + [(n + i, "curve", x[0].tolist()) for i in range(copies)]
+    return spark.createDataFrame(rows, "id long, section string, embedding array<double>")
+
+
+def test_neighbour_layout_keeps_a_curve_that_projection_folds(spark):
+    df = knot(spark, copies=40)
+    recall = {way: Y.knn_recall(df.where("id < 300"), Y.layout(df, neighbours=way)).first()["recall"] for way in (True, False)}
+    assert recall[True] > 0.8 and recall[True] > recall[False] + 0.2, recall
+    placed = Y.layout(df, neighbours=True).where("id >= 300 OR id = 0")
+    assert placed.select("x", "y").distinct().count() == 1  # copies share their place
+    one = spark.createDataFrame([(i, "s", [1.0, 2.0]) for i in range(20)], "id long, section string, embedding array<double>")
+    assert Y.layout(one, neighbours=True).count() == 20
