@@ -1,16 +1,18 @@
 """Exact nearest-neighbour and near-duplicate joins over vector columns.
 
 Vectors are cut into bounded blocks, and only pairs of blocks that can still hold an answer meet in a
-task. A sample of rows serves as pivots; every row belongs to the cell of its closest pivot, and the
-triangle inequality on the distances to the pivots tells which cells a row can skip. A task sees two
-blocks of bounded size and returns the best ``k`` per row (or the pairs above a threshold), so all
-pairs are never emitted and no key, however frequent, ends up in a single task.
+task. A sample of about sqrt(n) rows serves as pivots, in two levels: a row goes to the closest coarse pivot and
+then to the closest leaf below it, and the triangle inequality on the distances to both tells which cells a row can
+skip, whole branches first. So cells grow finer with the table, and placing a row looks at the fourth root of n
+pivots twice. A task sees two blocks of bounded size and returns the best ``k`` per row (or the pairs above a
+threshold), so all pairs are never emitted and no key, however frequent, ends up in a single task.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ from atlas.session import cut_lineage
 DIGITS = 9  # scores are rounded before ranking, so equal vectors tie exactly and the id decides
 BLOCK_BYTES = 32 << 20
 CHUNK_CELLS = 4_000_000
-MAX_PIVOTS = 256
+PIVOT_BYTES = 32 << 20  # that all pivots, which every task holds, take at most
 SEED_CELLS = 3  # cells that bound a row's k-th distance before the others are looked at
 SLACK = 1e-6
 
@@ -122,12 +124,47 @@ def _standard(df: DataFrame, id_col: str, vec: str, by: Sequence[str] = (), excl
     )
 
 
-def _pivots(df: DataFrame, n: int, block_rows: int, metric: str) -> np.ndarray:
-    """A bounded sample of distinct vectors, chosen by hash so that it never changes between runs."""
-    m = min(MAX_PIVOTS, max(2, math.ceil(n / block_rows)))
-    rows = df.orderBy(F.xxhash64("_id"), "_id").limit(m).select("_v").collect()
+@dataclass(frozen=True)
+class Pivots:
+    """Leaves, coarse pivots (some of the leaves), and the leaves below each coarse pivot."""
+
+    leaves: np.ndarray
+    coarse: np.ndarray
+    below: list[np.ndarray]
+
+    def owner(self) -> np.ndarray:
+        out = np.empty(len(self.leaves), np.int64)
+        for c, leaves in enumerate(self.below):
+            out[leaves] = c
+        return out
+
+
+def leaf_count(n: int, block_rows: int, dim: int) -> int:
+    """About sqrt(n), more where blocks shall be smaller, and never more than ``PIVOT_BYTES`` hold."""
+    return min(max(2, math.ceil(n / block_rows), math.isqrt(n)), max(2, PIVOT_BYTES // (8 * dim)))
+
+
+def _apart(leaves: np.ndarray, distance: float) -> np.ndarray:
+    """The leaves without those that lie within ``distance`` of one kept before them."""
+    kept = np.zeros(len(leaves), bool)
+    free = np.ones(len(leaves), bool)
+    for i in range(len(leaves)):
+        if free[i]:
+            kept[i] = True
+            free &= _distances(leaves, leaves[i:i + 1])[:, 0] > distance
+    return leaves[kept]
+
+
+def _pivots(df: DataFrame, n: int, block_rows: int, metric: str, dim: int, apart: float = 0.0) -> Pivots:
+    """A bounded sample of distinct vectors, chosen by hash so that it never changes between runs. ``apart`` thins
+    it, so that a cluster of near copies, however large, has one pivot."""
+    rows = df.orderBy(F.xxhash64("_id"), "_id").limit(leaf_count(n, block_rows, dim)).select("_v").collect()
     sample = np.array([r["_v"] for r in rows], dtype=np.float64)
-    return np.unique(_unit(sample) if metric == "cosine" else sample, axis=0)
+    leaves = np.unique(_unit(sample) if metric == "cosine" else sample, axis=0)
+    leaves = _apart(leaves, apart) if apart > 0 else leaves
+    coarse = leaves[:: max(1, math.isqrt(len(leaves)))]
+    nearest = np.concatenate([_distances(leaves[i:i + 1024], coarse).argmin(axis=1) for i in range(0, len(leaves), 1024)])
+    return Pivots(leaves, coarse, [np.flatnonzero(nearest == c) for c in range(len(coarse))])
 
 
 def _distances(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -135,19 +172,27 @@ def _distances(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2 - 2.0 * (matrix @ pivots.T), 0.0))
 
 
-def _with_cells(df: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
-    """Add ``_cell`` (closest pivot) and ``_r`` (distance to it)."""
+def _with_cells(df: DataFrame, pivots: Pivots, metric: str) -> DataFrame:
+    """Add ``_cell`` (the leaf), ``_r`` (distance to it) and ``_q`` (distance to its coarse pivot)."""
     held = df.sparkSession.sparkContext.broadcast(pivots)
 
-    @batch_udf("struct<cell:int,r:double>")
+    @batch_udf("struct<cell:int,r:double,q:double>")
     def place(v: pd.Series) -> pd.DataFrame:
-        matrix = _matrix(v)
-        dist = _distances(_unit(matrix) if metric == "cosine" else matrix, held.value)
-        cell = dist.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "r": dist[np.arange(len(cell)), cell]})
-
-    return df.withColumn("_p", place("_v")).select("*", F.col("_p.cell").alias("_cell"),
-                                                   F.col("_p.r").alias("_r")).drop("_p")
+        p = held.value
+        matrix = _unit(_matrix(v)) if metric == "cosine" else _matrix(v)
+        far = _distances(matrix, p.coarse)
+        far[:, [not len(leaves) for leaves in p.below]] = np.inf
+        branch = far.argmin(axis=1)
+        cell, r = np.zeros(len(matrix), "int32"), np.zeros(len(matrix))
+        for c in np.unique(branch):
+            rows = np.flatnonzero(branch == c)
+            dist = _distances(matrix[rows], p.leaves[p.below[c]])
+            best = dist.argmin(axis=1)
+            cell[rows], r[rows] = p.below[c][best], dist[np.arange(len(rows)), best]
+        return pd.DataFrame({"cell": cell, "r": r, "q": far[np.arange(len(matrix)), branch]})
+
+    return df.withColumn("_p", place("_v")).select("*", F.col("_p.cell").alias("_cell"), F.col("_p.r").alias("_r"),
+                                                   F.col("_p.q").alias("_q")).drop("_p")
 
 
 def _with_blocks(df: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
@@ -158,31 +203,92 @@ def _with_blocks(df: DataFrame, keys: Sequence[str], block_rows: int) -> DataFra
     return df.join(pieces, list(keys), "left").withColumn("_sub", sub).drop("_pieces")
 
 
-def _radii(df: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest and largest distance to the pivot per cell (at most ``MAX_PIVOTS`` rows)."""
-    low, high = np.full(count, np.inf), np.full(count, -np.inf)
-    for row in df.groupBy("_cell").agg(F.min("_r").alias("lo"), F.max("_r").alias("hi")).collect():
-        low[row["_cell"]], high[row["_cell"]] = row["lo"], row["hi"]
-    return low, high
+@dataclass(frozen=True)
+class Radii:
+    """Smallest and largest distance to the pivot, by leaf and by coarse pivot; rows and sole group of a leaf."""
+
+    low: np.ndarray
+    high: np.ndarray
+    outer_low: np.ndarray
+    outer_high: np.ndarray
+    rows: np.ndarray
+    sole: list
 
 
-def _cells_within(df: DataFrame, pivots: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str,
-                  reach: Column) -> Column:
+def _radii(df: DataFrame, pivots: Pivots) -> Radii:
+    """One row for each leaf comes to the driver; ``PIVOT_BYTES`` bounds their number."""
+    m, c = len(pivots.leaves), len(pivots.coarse)
+    out = Radii(np.full(m, np.inf), np.full(m, -np.inf), np.full(c, np.inf), np.full(c, -np.inf), np.zeros(m, np.int64), [None] * m)
+    owner, group = pivots.owner(), F.xxhash64("_x")
+    for row in df.groupBy("_cell").agg(F.min("_r"), F.max("_r"), F.min("_q"), F.max("_q"), F.count(F.lit(1)),
+                                       F.min(group), F.max(group)).collect():
+        i = row[0]
+        out.low[i], out.high[i], out.rows[i] = row[1], row[2], row[5]
+        out.sole[i] = row[6] if row[6] == row[7] else None
+        out.outer_low[owner[i]] = min(out.outer_low[owner[i]], row[3])
+        out.outer_high[owner[i]] = max(out.outer_high[owner[i]], row[4])
+    return out
+
+
+def _bound(dist: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least distance that a row of each cell can have, from the distances to the pivots."""
+    return np.where(np.isfinite(low), np.maximum(np.maximum(dist - high, low - dist), 0.0), np.inf)
+
+
+def _cells_within(df: DataFrame, pivots: Pivots, radii: Radii, metric: str, reach: Column) -> Column:
     """Cells that may hold a row within distance ``reach``: ``array<int>``."""
-    held = df.sparkSession.sparkContext.broadcast((pivots, low, high))
+    held = df.sparkSession.sparkContext.broadcast((pivots, radii))
 
     @batch_udf("array<int>")
     def cells(v: pd.Series, far: pd.Series) -> pd.Series:
-        pivots_, low_, high_ = held.value
-        matrix = _matrix(v)
-        dist = _distances(_unit(matrix) if metric == "cosine" else matrix, pivots_)
-        bound = np.maximum(np.maximum(dist - high_, low_ - dist), 0.0)
-        keep = (bound <= far.to_numpy()[:, None] + SLACK) & np.isfinite(low_)
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in keep])
+        p, r = held.value
+        matrix = _unit(_matrix(v)) if metric == "cosine" else _matrix(v)
+        limit = far.to_numpy()[:, None] + SLACK
+        branches = _bound(_distances(matrix, p.coarse), r.outer_low, r.outer_high) <= limit
+        branches &= np.isfinite(r.outer_low)
+        row, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for c in np.flatnonzero(branches.any(axis=0)):
+            rows, leaves = np.flatnonzero(branches[:, c]), p.below[c]
+            keep = (_bound(_distances(matrix[rows], p.leaves[leaves]), r.low[leaves], r.high[leaves]) <= limit[rows])
+            i, j = np.nonzero(keep & np.isfinite(r.low[leaves]))
+            row.append(rows[i])
+            cell.append(leaves[j])
+        row, cell = np.concatenate(row), np.concatenate(cell).astype("int32")
+        order = np.argsort(row, kind="stable")
+        return pd.Series(np.split(cell[order], np.searchsorted(row[order], np.arange(1, len(matrix)))))
 
     return cells(F.col("_v"), reach)
 
 
+def _sure_reach(df: DataFrame, pivots: Pivots, radii: Radii, metric: str, k: int) -> Column:
+    """A distance within which ``k`` rows of other groups lie for sure, from the radii alone; else infinite.
+
+    A cell of one group gives all its rows to the others and none to its own; a cell of several gives at least one.
+    """
+    held = df.sparkSession.sparkContext.broadcast((pivots, radii))
+
+    @batch_udf("double")
+    def sure(v: pd.Series, group: pd.Series) -> pd.Series:
+        p, r = held.value
+        matrix = _unit(_matrix(v)) if metric == "cosine" else _matrix(v)
+        single = np.array([s is not None for s in r.sole])
+        owner = np.array([s if s is not None else 0 for s in r.sole], np.int64)
+        out = np.full(len(matrix), np.inf)
+        for at in range(0, len(matrix), 256):
+            part = slice(at, at + 256)
+            far = np.where(r.rows > 0, _distances(matrix[part], p.leaves) + np.where(r.rows > 0, r.high, 0), np.inf)
+            mine = group.to_numpy(np.int64)[part, None] == owner[None, :]
+            usable = np.where(single, np.where(mine, 0, r.rows), np.minimum(r.rows, 1))
+            order = np.argsort(far, axis=1)
+            enough = np.cumsum(np.take_along_axis(usable, order, 1), axis=1) > k  # one may be the row itself
+            first = enough.argmax(axis=1)
+            rows = np.arange(len(first))
+            out[part] = np.where(enough.any(axis=1), far[rows, order[rows, first]], np.inf)
+        return pd.Series(out)
+
+    return sure(F.col("_v"), F.xxhash64("_x"))
+
+
 def _keyed(df: DataFrame, prefix: str, by: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     names = ["_cell", *extra, "_sub"]
     return df.select(*by, *[F.col(c).alias(prefix + c) for c in names], "_id", "_v", "_x", "_c")
@@ -251,7 +357,7 @@ def top_k(
         found = renewed(ls).groupBy(*keys, "_piece").cogroup(renewed(rs).groupBy(*keys, "_piece")).applyInPandas(
             run, schema)
     else:
-        found = _pruned_top_k(lt, rt, same, k, metric, keys, rows, n_right, run, schema)
+        found = _pruned_top_k(lt, rt, k, metric, keys, rows, n_right, dim, exclude is not None, run, schema)
     nearest = Window.partitionBy("src").orderBy(F.desc("score"), F.asc("dst"))
     ranked = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     score = F.col("score") if metric == "cosine" else -F.col("score")
@@ -259,14 +365,14 @@ def top_k(
     return ranked.select("src", "dst", "rank", score.alias("score"), *extra)
 
 
-def _pruned_top_k(lt, rt, same, k, metric, keys, rows, n_right, run, schema) -> DataFrame:
-    pivots = _pivots(rt, n_right, rows, metric)
+def _pruned_top_k(lt, rt, k, metric, keys, rows, n_right, dim, exclude, run, schema) -> DataFrame:
+    pivots = _pivots(rt, n_right, rows, metric, dim)
     # Of rows with the same vector and group, only the first k + 1 can be among anybody's best k.
     copy = Window.partitionBy(*keys, "_v", "_x").orderBy("_id")
     useful = rt.withColumn("_copy", F.row_number().over(copy)).where(F.col("_copy") <= k + 1).drop("_copy")
     rb = cut_lineage(_with_blocks(_with_cells(useful, pivots, metric), [*keys, "_cell"], rows))
     lb = cut_lineage(_with_blocks(_with_cells(lt, pivots, metric), [*keys, "_cell"], rows))
-    low, high = _radii(rb, len(pivots))
+    radii = _radii(rb, pivots)
     left, right = _keyed(lb, "l", keys), _keyed(rb, "r", keys)
     lkeys, rkeys = ["l_cell", "l_sub"], ["r_cell", "r_sub"]
     rblocks = right.select(*keys, *rkeys).distinct()
@@ -274,7 +380,9 @@ def _pruned_top_k(lt, rt, same, k, metric, keys, rows, n_right, run, schema) ->
     # First the block a row lives in and one block of each of the cells around it: they give a bound on the
     # k-th distance even where a whole cell is excluded.
     lblocks = left.select(*keys, *lkeys).distinct()
-    around = np.argsort(_distances(pivots, pivots), axis=1, kind="stable")[:, :SEED_CELLS]
+    leaves = pivots.leaves
+    around = np.concatenate([np.argsort(_distances(leaves[i:i + 256], leaves), axis=1, kind="stable")[:, :SEED_CELLS]
+                             for i in range(0, len(leaves), 256)])
     beside = F.broadcast(lt.sparkSession.createDataFrame(
         [(i, int(j)) for i, row in enumerate(around) for j in row if i != j] or [(-1, -1)], "l_cell int, r_cell int"))
     own = lblocks.withColumns({"r_cell": F.col("l_cell"), "r_sub": F.col("l_sub")})
@@ -287,11 +395,19 @@ def _pruned_top_k(lt, rt, same, k, metric, keys, rows, n_right, run, schema) ->
         -F.col("_worst"))
     # the error of a squared distance grows with the squared norms
     scale = F.lit(1.0) if metric == "cosine" else 1 + F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    reach = F.when(F.col("_found") >= k, distance + scale * 1e-4).otherwise(F.lit(float("inf")))
+    seen = F.col("_found") >= k
     bounded = lb.join(worst.withColumnRenamed("src", "_id"), "_id", "left")
+    if exclude and not keys:
+        # where a row's own surroundings belong to its group, radii alone still bound the k-th distance
+        bounded = cut_lineage(bounded.where(seen).withColumn("_sure", F.lit(None).cast("double")).unionByName(
+            bounded.where(~F.coalesce(seen, F.lit(False))).withColumn("_sure", _sure_reach(lb, pivots, radii, metric, k))))
+        unseen = F.col("_sure") + scale * 1e-4
+    else:
+        unseen = F.lit(float("inf"))
+    reach = F.when(seen, distance + scale * 1e-4).otherwise(unseen)
     wanted = bounded.select(
         *keys, F.col("_cell").alias("l_cell"), F.col("_sub").alias("l_sub"),
-        F.explode(_cells_within(lb, pivots, low, high, metric, reach)).alias("r_cell"),
+        F.explode(_cells_within(lb, pivots, radii, metric, reach)).alias("r_cell"),
     ).distinct()
     pairs = wanted.join(rblocks, [*keys, "r_cell"]).join(renewed(home), [*keys, *lkeys, *rkeys], "left_anti")
     far = _meet(left, right, pairs, lkeys, rkeys, keys, run, schema)
@@ -374,19 +490,19 @@ def _near_dup(df: DataFrame, threshold: float, id_col: str, vec: str, block_rows
         sides = [renewed(_keyed(only, side, (), ["_core"])) for side in "lr"]
         found = sides[0].groupBy("l_cell").cogroup(sides[1].groupBy("r_cell")).applyInPandas(run, schema)
         return found.unionByName(links) if forest else _expanded(found, shared_ids)
-    pivots = _pivots(distinct, n, rows, "cosine")
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
     # Rows this close to their pivot are all near-duplicates of each other.
     core_radius = 2 * math.sin(math.acos(max(-1.0, min(1.0, threshold))) / 4) - SLACK if threshold > 0 else -1.0
+    pivots = _pivots(distinct, n, rows, "cosine", dim, core_radius if forest else 0.0)
     placed = _with_cells(distinct, pivots, "cosine").withColumn(
         "_core", (F.col("_r") <= core_radius) if forest else F.lit(False))
     blocks = cut_lineage(_with_blocks(placed, ["_cell", "_core"], rows))
-    low, high = _radii(blocks, len(pivots))
+    radii = _radii(blocks, pivots)
     left, right = _keyed(blocks, "l", (), ["_core"]), _keyed(blocks, "r", (), ["_core"])
     lkeys, rkeys = ["l_cell", "l_core", "l_sub"], ["r_cell", "r_core", "r_sub"]
     wanted = blocks.select(
         F.col("_cell").alias("l_cell"), F.col("_core").alias("l_core"), F.col("_sub").alias("l_sub"),
-        F.explode(_cells_within(blocks, pivots, low, high, "cosine", F.lit(reach))).alias("r_cell"),
+        F.explode(_cells_within(blocks, pivots, radii, "cosine", F.lit(reach))).alias("r_cell"),
     ).distinct()
     rblocks = right.select(*rkeys).distinct()
     pairs = wanted.join(rblocks, "r_cell").where(

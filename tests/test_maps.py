@@ -155,11 +155,11 @@ def test_copies_of_a_vector_get_places_of_their_own(spark):
     assert np.median(d.min(axis=1)) > 0.3 * G.MIN_DIST
 
 
-def knot(spark, n=300, dims=8, copies=0):
+def knot(spark, n=300, dims=16, copies=0):
     """A closed curve that overlaps itself in every projection."""
     rng = np.random.default_rng(5)
     t = np.sort(rng.uniform(0, 2 * np.pi, n))
-    waves = np.stack([f(k * t) / k ** 0.3 for k in (1, 2, 3, 4) for f in (np.cos, np.sin)], axis=1)
+    waves = np.stack([f(k * t) for k in range(1, 9) for f in (np.cos, np.sin)], axis=1)
     turn = np.linalg.qr(rng.normal(size=(dims, dims)))[0]
     x = waves @ turn + 0.01 * rng.normal(size=(n, dims))
     rows = [(i, "curve", v.tolist()) for i, v in enumerate(x)] + [(n + i, "curve", x[0].tolist()) for i in range(copies)]

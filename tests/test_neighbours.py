@@ -239,3 +239,39 @@ def test_shuffled_labels_score_at_chance(spark):
     assert mixed.groupBy("shuffled").count().agg(F.min("count"), F.max("count")).first()[:] == (1000, 1000)
     accuracy = evaluate.overall(mixed, "label", "shuffled").first()["accuracy"]
     assert abs(accuracy - 0.25) < 0.03
+
+
+def compared(monkeypatch, spark, n, groups=1):
+    """Share of all pairs of rows that meet in a task, for clustered vectors."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 4)) * 4
+    x = centres[np.arange(n) % 40] + rng.normal(size=(n, 4)) * rng.uniform(0.2, 1, size=(n, 1))
+    rows = spark.createDataFrame([(i, i % 40 % groups, v.tolist()) for i, v in enumerate(x)], "id long, pack long, embedding array<double>")
+    met, real = [], N._meet
+
+    def counted(left, right, pairs, lkeys, rkeys, by, run, schema):
+        a = left.groupBy(*lkeys).agg(F.count(F.lit(1)).alias("a"))
+        b = right.groupBy(*rkeys).agg(F.count(F.lit(1)).alias("b"))
+        met.append(pairs.join(a, lkeys).join(b, rkeys).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0)
+        return real(left, right, pairs, lkeys, rkeys, by, run, schema)
+
+    monkeypatch.setattr(N, "_meet", counted)
+    found = N.top_k(rows, k=5, metric="sqeuclid", block_rows=n // 2, exclude="pack" if groups > 1 else None)
+    monkeypatch.setattr(N, "_meet", real)
+    return sum(met) / n / n, found, x
+
+
+def test_compared_share_falls_as_the_table_grows(spark, monkeypatch):
+    small, large = (compared(monkeypatch, spark, n)[0] for n in (4000, 16_000))
+    assert small < 0.5 and large < 0.6 * small, (small, large)
+
+
+def test_cells_of_one_group_still_prune(spark, monkeypatch):
+    # a cluster belongs to one group, so no row finds anything in its own surroundings
+    share, found, x = compared(monkeypatch, spark, 4000, groups=8)
+    assert share < 0.7, share
+    got = {(r["src"], r["rank"]): r["dst"] for r in found.where("src % 97 = 0").collect()}
+    for i in range(0, 4000, 97):
+        d = np.round(((x - x[i]) ** 2).sum(axis=1), N.DIGITS)
+        d[np.arange(4000) % 40 % 8 == i % 40 % 8] = np.inf
+        assert [got[i, k + 1] for k in range(5)] == np.lexsort((np.arange(4000), d))[:5].tolist()
