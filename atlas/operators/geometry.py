@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlas.operators.neighbours import top_k
+from atlas.operators.quadtree import LEAF, nearest_within
 from atlas.operators.skew import salted_join
 from atlas.session import cut_lineage
 
@@ -104,38 +105,24 @@ def nearest_section(points: DataFrame, sections: DataFrame, radius: float = DROP
         {"target": F.col("_b.name"), "distance": F.col("_b.d")}).drop("_b")
 
 
-def nearest_node(queries: DataFrame, nodes: DataFrame, zoom: float = 1.2, levels: int = 3,
-                 ratio: int = 3) -> DataFrame:
+def nearest_node(queries: DataFrame, nodes: DataFrame, zoom: float = 1.2, leaf: int = LEAF) -> DataFrame:
     """Closest node to each query point: ``id, node, distance, hit, active_section``.
 
     A node is hit inside its visible radius, and its section is active within a wider one; nothing
-    further away matters, so the search stops there and such queries keep nulls. Crowded places are
-    answered on a fine grid, the rest on coarser ones: a match no further than the cell size is final.
-    Answers are checkpointed level by level, so no level is computed twice.
+    further away matters, so the search stops there and such queries keep nulls. Points are searched
+    through a quadtree whose leaves hold at most ``leaf`` of them, so a crowd is no task's alone.
     """
     hit_radius = max(NODE_R, HIT_PIXELS / zoom)
     radius = max(ACTIVE_RADIUS, hit_radius)
-    spots = cut_lineage(nodes.groupBy(F.col("x").alias("nx"), F.col("y").alias("ny")).agg(
-        F.min_by(F.struct("id", "section"), "id").alias("node")))
+    spots = cut_lineage(nodes.groupBy("x", "y").agg(F.min(F.struct("id", "section")).alias("node")))
     places = queries.select(F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
-    pending, answers = places, None
-    for level in range(levels):
-        size = radius / ratio ** (levels - 1 - level)
-        grid = spots.withColumns({"_cx": _cell(F.col("nx"), size), "_cy": _cell(F.col("ny"), size)})
-        asked = pending.withColumn("c", F.explode(_around(F.col("qx"), F.col("qy"), size))).select(
-            "qx", "qy", F.col("c.cx").alias("_cx"), F.col("c.cy").alias("_cy"))
-        best = asked.join(grid, ["_cx", "_cy"]).withColumn("d", _distance("qx", "qy", "nx", "ny")).groupBy(
-            "qx", "qy").agg(F.min(F.struct("d", F.col("node.id").alias("id"), "node.section")).alias("b"))
-        done = cut_lineage(best.where(F.col("b.d") <= size))
-        answers = done if answers is None else answers.unionByName(done)
-        if level + 1 < levels:
-            pending = pending.join(done.select("qx", "qy"), ["qx", "qy"], "left_anti")
+    answers = nearest_within(places, spots, radius, "node", leaf)
     keyed = queries.withColumns({"qx": F.col("x"), "qy": F.col("y")})
     found = salted_join(keyed, answers, ["qx", "qy"], "left", spread=["id"])
     return found.select(
-        "id", F.col("b.id").alias("node"), F.col("b.d").alias("distance"),
-        F.coalesce(F.col("b.d") < hit_radius, F.lit(False)).alias("hit"),
-        F.when(F.col("b.d") < ACTIVE_RADIUS, F.col("b.section")).alias("active_section"))
+        "id", F.col("node.id").alias("node"), F.col("d").alias("distance"),
+        F.coalesce(F.col("d") < hit_radius, F.lit(False)).alias("hit"),
+        F.when(F.col("d") < ACTIVE_RADIUS, F.col("node.section")).alias("active_section"))
 
 
 def proximity_pairs(df: DataFrame, distance: float = MIN_DIST, by: Sequence[str] = ()) -> DataFrame:

@@ -4,18 +4,18 @@ Points are counted at the finest cells once; counts of coarser cells are sums of
 holds more than ``LEAF`` points and is wider than the finest size, so a crowd is cut finely and a desert is one leaf.
 A query looks into the leaves that its disc touches, and the leaves are found by equi-joins on cell numbers. Points
 that the finest cell cannot separate, a crowd within ``radius / 2 ** FINEST``, are dealt over pieces of ``LEAF``
-points, so no leaf that a task sees is larger. First the query's own leaf gives a bound, then only leaves within that
-bound are asked.
+points, so no leaf that a task sees is larger. No leaf is empty, so the least of the farthest corners of the leaves
+around bounds the answer, and only leaves within that bound are asked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlas.session import cut_lineage
 
-LEAF = 64  # points of a leaf at most
+LEAF = 32  # points of a leaf at most
 FINEST = 6  # times that a cell of the radius' size is halved at most
 REACH = 1  # cells of the radius' size to each side that a disc can touch
 
@@ -24,41 +24,40 @@ def cell_of(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
-def _key(level: Column | int, cx: Column, cy: Column) -> Column:
-    return F.struct(F.lit(level).cast("int").alias("level") if isinstance(level, int) else level.cast("int").alias("level"),
-                    cx.alias("cx"), cy.alias("cy"))
+def cells(points: DataFrame, radius: float, leaf: int = LEAF, finest: int = FINEST) -> DataFrame:
+    """``cx, cy, level, pieces`` of every finest cell that holds points ``x, y``: the level of the leaf it lies in, a
+    cell of size ``radius / 2 ** level``, and the pieces of that leaf.
 
-
-def leaves(points: DataFrame, radius: float, leaf: int = LEAF, finest: int = FINEST) -> DataFrame:
-    """``top_x, top_y, leaves`` of points ``x, y``: for each cell of the radius' size its leaves
-    ``(level, cx, cy, pieces)``, at most ``4 ** finest``.
-
-    A leaf at ``level`` is a cell of size ``radius / 2 ** level`` whose parent is crowded.
+    The leaf is the largest cell that is not crowded. A cell of the radius' size holds at most ``4 ** finest`` finest
+    ones, so the sums by level stay within it.
     """
     fine = radius / 2 ** finest
-    counts = cut_lineage(points.groupBy(cell_of(F.col("x"), fine).alias("cx"), cell_of(F.col("y"), fine).alias("cy")).agg(
-        F.count(F.lit(1)).alias("n")))
-    tops = [F.shiftright("cx", finest).alias("top_x"), F.shiftright("cy", finest).alias("top_y")]
-    every = counts.select(*tops, F.explode(F.array(*[F.struct(
-        F.lit(level).alias("level"), F.shiftright("cx", finest - level).alias("cx"),
-        F.shiftright("cy", finest - level).alias("cy")) for level in range(finest + 1)])).alias("c"), "n")
-    sums = every.groupBy("top_x", "top_y", "c").agg(F.sum("n").alias("n"))
-    held = sums.groupBy("top_x", "top_y").agg(F.collect_list(F.struct("c.level", "c.cx", "c.cy", "n")).alias("_c"))
-    crowded = F.transform(F.filter("_c", lambda c: c["n"] > leaf), lambda c: F.struct(c["level"], c["cx"], c["cy"]))
-    above = lambda c: F.struct((c["level"] - 1).alias("level"), F.shiftright(c["cx"], 1).alias("cx"), F.shiftright(c["cy"], 1).alias("cy"))
-    told = held.withColumn("_full", F.map_from_entries(F.transform(crowded, lambda c: F.struct(c, F.lit(True)))))
-    full = lambda c: F.coalesce(F.element_at("_full", c), F.lit(False))
-    kept = F.filter("_c", lambda c: ((c["level"] == finest) | (c["n"] <= leaf)) & ((c["level"] == 0) | full(above(c))))
-    return told.select("top_x", "top_y", F.transform(kept, lambda c: F.struct(
-        c["level"], c["cx"], c["cy"], F.ceil(c["n"] / leaf).cast("int").alias("pieces"))).alias("leaves"))
-
-
-def _apart(qx: str, qy: str, leaf: Column, radius: float) -> Column:
-    """Distance from a query to the square of a leaf."""
-    size = F.lit(radius) / F.pow(F.lit(2.0), leaf["level"])
-    dx = F.greatest(leaf["cx"] * size - F.col(qx), F.col(qx) - (leaf["cx"] + 1) * size, F.lit(0.0))
-    dy = F.greatest(leaf["cy"] * size - F.col(qy), F.col(qy) - (leaf["cy"] + 1) * size, F.lit(0.0))
-    return F.sqrt(dx * dx + dy * dy)
+    counts = points.groupBy(cell_of(F.col("x"), fine).alias("cx"), cell_of(F.col("y"), fine).alias("cy")).agg(
+        F.count(F.lit(1)).alias("n"))
+    top = [F.shiftright("cx", finest), F.shiftright("cy", finest)]
+    held = F.array(*[F.sum("n").over(Window.partitionBy(*top, F.shiftright("cx", finest - k), F.shiftright("cy", finest - k)))
+                     for k in range(finest)], F.col("n"))
+    level = F.lit(finest)
+    for k in reversed(range(finest)):
+        level = F.when(F.col("_n")[k] <= leaf, k).otherwise(level)
+    return counts.repartition(*top).withColumn("_n", held).withColumn("level", level).select(
+        "cx", "cy", "level", F.ceil(F.element_at("_n", F.col("level") + 1) / leaf).cast("int").alias("pieces"))
+
+
+def _leaf(finest: int) -> list[Column]:
+    return [F.col("level"), F.expr(f"shiftright(cx, {finest} - level)").alias("lx"),
+            F.expr(f"shiftright(cy, {finest} - level)").alias("ly")]
+
+
+def _corners(qx: str, qy: str, radius: float) -> tuple[Column, Column]:
+    """Distances from a query to the square of a leaf: to its closest point, and to its farthest."""
+    size = F.lit(radius) / F.pow(F.lit(2.0), F.col("level"))
+    near, far = [], []
+    for q, c in ((qx, "lx"), (qy, "ly")):
+        low, high = F.col(c) * size - F.col(q), F.col(q) - (F.col(c) + 1) * size
+        near.append(F.greatest(low, high, F.lit(0.0)))
+        far.append(F.greatest(F.abs(low), F.abs(high)))
+    return tuple(F.sqrt(a * a + b * b) for a, b in (near, far))
 
 
 def nearest_within(queries: DataFrame, points: DataFrame, radius: float, payload: str, leaf: int = LEAF,
@@ -68,36 +67,26 @@ def nearest_within(queries: DataFrame, points: DataFrame, radius: float, payload
     ``queries``: distinct qx, qy; ``points``: distinct x, y with an orderable payload. Queries without a point are
     left out.
     """
-    tree = cut_lineage(leaves(points, radius, leaf, finest))
-    at = [cell_of(F.col("x"), radius).alias("top_x"), cell_of(F.col("y"), radius).alias("top_y")]
-    filed = points.select("x", "y", payload, *at).join(tree, ["top_x", "top_y"])
-    levels = F.array(*[F.struct(F.lit(level).alias("level"), cell_of(F.col("x"), radius / 2 ** level).alias("cx"),
-                                cell_of(F.col("y"), radius / 2 ** level).alias("cy")) for level in range(finest + 1)])
-    own = F.filter("leaves", lambda c: F.array_contains(levels, F.struct(c["level"], c["cx"], c["cy"])))[0]
-    piece = F.pmod(F.xxhash64("x", "y"), F.col("_l.pieces")).cast("int")
-    filed = cut_lineage(filed.withColumn("_l", own).select(
-        "x", "y", payload, _key(F.col("_l.level"), F.col("_l.cx"), F.col("_l.cy")).alias("_k"), piece.alias("_piece")))
+    split = cut_lineage(cells(points, radius, leaf, finest))
+    fine = radius / 2 ** finest
+    piece = F.pmod(F.xxhash64("x", "y"), F.col("pieces")).cast("int")
+    filed = points.select("x", "y", payload, cell_of(F.col("x"), fine).alias("cx"), cell_of(F.col("y"), fine).alias("cy")).join(
+        split, ["cx", "cy"]).select("x", "y", payload, *_leaf(finest), piece.alias("piece"))
+    tree = split.select(F.shiftright("cx", finest).alias("top_x"), F.shiftright("cy", finest).alias("top_y"),
+                        *_leaf(finest), "pieces").distinct()
 
     steps = [(dx, dy) for dx in range(-REACH, REACH + 1) for dy in range(-REACH, REACH + 1)]
     around = F.explode(F.array(*[F.struct((cell_of(F.col("qx"), radius) + dx).alias("top_x"),
                                           (cell_of(F.col("qy"), radius) + dy).alias("top_y")) for dx, dy in steps]))
-    near = F.filter("leaves", lambda c: _apart("qx", "qy", c, radius) <= radius)
     touched = queries.select("qx", "qy", around.alias("_t")).select("qx", "qy", "_t.top_x", "_t.top_y").join(
-        tree, ["top_x", "top_y"]).select("qx", "qy", F.explode(near).alias("_l"))
-    touched = cut_lineage(touched.withColumn("_far", _apart("qx", "qy", F.col("_l"), radius)))
-
-    def ask(wanted: DataFrame) -> DataFrame:
-        keyed = wanted.select("qx", "qy", _key(F.col("_l.level"), F.col("_l.cx"), F.col("_l.cy")).alias("_k"),
-                              F.explode(F.sequence(F.lit(0), F.col("_l.pieces") - 1)).alias("_piece"))
-        dx, dy = F.col("qx") - F.col("x"), F.col("qy") - F.col("y")
-        met = keyed.join(filed, ["_k", "_piece"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= radius)
-        return met.groupBy("qx", "qy").agg(F.min(F.struct("d", payload)).alias("_b"))
-
-    # the leaf closest to the query bounds the answer; only leaves within that bound are asked as well
-    first = touched.groupBy("qx", "qy").agg(F.min(F.struct("_far", "_l")).alias("_n"))
-    home = cut_lineage(ask(first.select("qx", "qy", F.col("_n._l").alias("_l"))))
-    bound = first.select("qx", "qy", F.col("_n._l").alias("_home")).join(home, ["qx", "qy"], "left").select(
-        "qx", "qy", "_home", F.coalesce("_b.d", F.lit(radius)).alias("_bound"))
-    rest = touched.join(bound, ["qx", "qy"]).where((F.col("_far") <= F.col("_bound")) & (F.col("_l") != F.col("_home")))
-    both = home.unionByName(ask(rest)).groupBy("qx", "qy").agg(F.min("_b").alias("_b"))
-    return both.select("qx", "qy", F.col("_b.d").alias("d"), F.col(f"_b.{payload}").alias(payload))
+        tree, ["top_x", "top_y"])
+    near, far = _corners("qx", "qy", radius)
+    touched = touched.select("qx", "qy", "level", "lx", "ly", "pieces", near.alias("_near"), far.alias("_far")).where(
+        F.col("_near") <= radius)
+    bound = F.min("_far").over(Window.partitionBy("qx", "qy"))
+    wanted = touched.withColumn("_bound", bound).where(F.col("_near") <= F.col("_bound") * (1 + 1e-9)).select(
+        "qx", "qy", "level", "lx", "ly", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    dx, dy = F.col("qx") - F.col("x"), F.col("qy") - F.col("y")
+    met = wanted.join(filed, ["level", "lx", "ly", "piece"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= radius)
+    best = met.groupBy("qx", "qy").agg(F.min(F.struct("d", payload)).alias("_b"))
+    return best.select("qx", "qy", F.col("_b.d").alias("d"), F.col(f"_b.{payload}").alias(payload))

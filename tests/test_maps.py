@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from atlas.operators import geometry as G
 from atlas.operators import layout as Y
+from atlas.operators import quadtree as Q
 
 RADII = [
     [120.0] + [4.0] * 6, [50.0] * 21, [1.0, 2.0, 3.0, 80.0, 5.0, 90.0, 2.5, 40.0], [7.0, 7.0],
@@ -174,3 +175,23 @@ def test_neighbour_layout_keeps_a_curve_that_projection_folds(spark):
     assert placed.select("x", "y").distinct().count() == 1  # copies share their place
     one = spark.createDataFrame([(i, "s", [1.0, 2.0]) for i in range(20)], "id long, section string, embedding array<double>")
     assert Y.layout(one, neighbours=True).count() == 20
+
+
+def test_crowded_cell_is_cut_into_bounded_leaves(spark):
+    rng = np.random.default_rng(7)
+    # a crowd inside one cell of the radius' size, half of it inside one finest cell
+    spots = np.concatenate([rng.uniform(0, 8, (3000, 2)), rng.uniform(0, 0.05, (3000, 2)), rng.uniform(-60, 60, (500, 2))])
+    asked = np.concatenate([rng.uniform(-1, 9, (200, 2)), rng.uniform(0, 0.06, (60, 2)), rng.uniform(-70, 70, (100, 2))])
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(spots)], "node long, x double, y double")
+    tree = Q.cells(points, 8.0).collect()
+    assert len({(r["level"], r["cx"] >> Q.FINEST - r["level"], r["cy"] >> Q.FINEST - r["level"]) for r in tree}) > 50
+    assert all(r["level"] == Q.FINEST for r in tree if r["pieces"] > 1) and max(r["pieces"] for r in tree) >= 3000 // Q.LEAF
+    queries = spark.createDataFrame([(float(a), float(b)) for a, b in asked], "qx double, qy double")
+    got = {(r["qx"], r["qy"]): (r["node"], r["d"]) for r in Q.nearest_within(queries, points, 8.0, "node").collect()}
+    for p in asked:
+        d = np.hypot(*(spots - p).T)
+        best = int(d.argmin())
+        if d[best] <= 8:
+            assert got[tuple(p)][0] == best and abs(got[tuple(p)][1] - d[best]) < 1e-9
+        else:
+            assert tuple(p) not in got
