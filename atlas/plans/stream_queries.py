@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atlas.functions import paths as P
@@ -12,6 +12,7 @@ from atlas.session import fresh_path
 from atlas.sources import tables as S
 from atlas.streaming import decisions as D
 from atlas.streaming import flows as W
+from atlas.streaming import state as K
 
 
 def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -135,3 +136,31 @@ def progress(spark, folder):
     rows = table(spark, folder, "events").select(
         "event_id", F.col("user_id").alias("done"), F.lit(100).alias("total"), F.col("value").alias("elapsed"))
     return W.progress(rows).select("event_id", "eta")
+
+
+def in_two_runs(spark, rows: DataFrame, order: str, fold, key: str) -> DataFrame:
+    """The rows arrive in two parts by ``order``; each is folded by a query of its own over one checkpoint."""
+    arriving, out, checkpoint = (fresh_path(spark, name) for name in ("arriving", "folded", "stream"))
+    middle = rows.agg(F.expr(f"percentile_approx({order}, 0.5)")).first()[0]
+    for part in (F.col(order) <= middle, F.col(order) > middle):
+        rows.where(part).write.mode("append").parquet(arriving)
+        K.keep_batches(fold(W.table_stream(spark, arriving, rows.schema)), out, checkpoint)
+    return K.current(spark, out, key)
+
+
+@query("replay_decisions_keyed", REPLAY_SQL)
+def replay_decisions_keyed(spark, folder):
+    """Decisions folded into keyed state, in two runs."""
+    return in_two_runs(spark, decisions(spark, folder), "seq", K.review_state, "hash")
+
+
+@query("fold_corrections_keyed", f"""WITH {MOVES_SQL}, chain AS (SELECT path, seq, to_section,
+  coalesce(lag(to_section) OVER (PARTITION BY path ORDER BY seq), from_section) AS from_section FROM mv)
+SELECT path, arg_max(to_section, seq) AS section FROM chain WHERE from_section <> to_section GROUP BY path
+HAVING arg_max(to_section, seq) <> arg_min(from_section, seq)""")
+def fold_corrections_keyed(spark, folder):
+    """Moves, each from where the last one led, folded into keyed state in two runs; erased corrections leave no row."""
+    log = moves(table(spark, folder, "events")).drop("session")
+    led = F.lag("to_section").over(Window.partitionBy("path").orderBy("seq"))
+    log = log.withColumn("from_section", F.coalesce(led, "from_section"))
+    return in_two_runs(spark, log, "seq", K.correction_state, "path").where("section IS NOT NULL")

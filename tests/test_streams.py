@@ -9,6 +9,7 @@ from atlas.operators import intake
 from atlas.sources import tables as S
 from atlas.streaming import decisions as D
 from atlas.streaming import flows as W
+from atlas.streaming import state as K
 
 
 def rows(df):
@@ -172,3 +173,34 @@ def test_audio_map_prefers_exemplars(spark):
     review = spark.createDataFrame([("h", "/r"), ("i", "/i")], "hash string, path string")
     best = spark.createDataFrame([("h", "/e")], "hash string, path string")
     assert rows(S.audio_map(review, best)) == [("h", "/e"), ("i", "/i")]
+
+
+def test_keyed_state_survives_a_restart(spark, moves, tmp_path):
+    log = moves.where("session = 1").drop("session")
+    out, checkpoint, source = str(tmp_path / "out"), str(tmp_path / "check"), str(tmp_path / "in")
+    wanted = set()
+    for low, high in ((1, 3), (4, 6), (7, 9)):
+        log.where(F.col("seq").between(low, high)).coalesce(1).write.mode("append").parquet(source)
+        K.keep_batches(K.correction_state(W.table_stream(spark, source, log.schema, files_per_batch=1)), out, checkpoint)
+        wanted = {tuple(r) for r in D.fold_corrections(log.where(F.col("seq") <= high)).collect()}
+        assert {tuple(r) for r in K.current(spark, out, "path").where("section IS NOT NULL").collect()} == wanted
+    assert wanted == {("q", "C"), ("r", "C"), ("t", "B")}
+    # a move that arrives once more changes nothing
+    log.where("seq = 4").coalesce(1).write.mode("append").parquet(source)
+    K.keep_batches(K.correction_state(W.table_stream(spark, source, log.schema)), out, checkpoint)
+    assert {tuple(r) for r in K.current(spark, out, "path").where("section IS NOT NULL").collect()} == wanted
+
+
+def test_a_pause_ends_the_session(spark, tmp_path):
+    schema = "path string, seq long, from_section string, to_section string, ts timestamp"
+    rows = [("p", 1, "A", "B", 0), ("p", 2, "B", "A", 50), ("q", 3, "A", "B", 0), ("q", 4, "B", "C", 500), ("q", 5, "C", "B", 520),
+            ("r", 6, "A", "B", 10), ("r", 7, "B", "A", 5000), ("z", 8, "A", "B", 9000)]
+    out, checkpoint, source = str(tmp_path / "out"), str(tmp_path / "check"), str(tmp_path / "in")
+    for part in (rows[:4], rows[4:6], rows[6:]):
+        frame = spark.createDataFrame([(*r[:4], r[4]) for r in part], schema.replace("ts timestamp", "s long")).select(
+            "path", "seq", "from_section", "to_section", F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts"))
+        frame.coalesce(1).write.mode("append").parquet(source)
+        stream = W.table_stream(spark, source, schema, files_per_batch=1).withWatermark("ts", "10 seconds")
+        K.keep_batches(K.correction_state(stream, idle=100), out, checkpoint)
+    # p went home in time; r came back too late, so A is a correction of its own
+    assert dict(map(tuple, K.current(spark, out, "path").collect())) == {"p": None, "q": None, "r": "A", "z": "B"}
