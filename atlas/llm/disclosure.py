@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atlas.llm.names import shielded
 from atlas.session import cut_lineage
 
 LOCAL = r"[A-Za-z0-9._%+-]"
@@ -229,7 +230,10 @@ def sanitised(text: Column, spans: Column, levels: Column) -> Column:
 
 def sanitise(docs: DataFrame, text_col: str = "text", thresholds: Thresholds = Thresholds(),
              everywhere: bool = False) -> DataFrame:
-    """``docs`` with sanitised texts, same columns; null texts stay null."""
-    found = all_spans(docs, text_col, thresholds, everywhere)
-    clean = F.when(F.col(text_col).isNotNull(), sanitised(F.col(text_col), F.col("_spans"), F.col("_levels")))
-    return found.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    """``docs`` with sanitised texts, same columns, whatever their names; null texts stay null."""
+    def run(rows: DataFrame) -> DataFrame:
+        found = all_spans(rows, text_col, thresholds, everywhere)
+        clean = F.when(F.col(text_col).isNotNull(), sanitised(F.col(text_col), F.col("_spans"), F.col("_levels")))
+        return found.select(*[clean.alias(c) if c == text_col else F.col(c) for c in rows.columns])
+
+    return shielded(docs, (text_col,), run)

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atlas.llm.names import shielded
 from atlas.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -20,13 +21,12 @@ BUDGET = 1.5  # words to emit, as a share of all words
 MOST = 2.0  # times its size that a source may be emitted
 SEEDS = 16
 FEW_SOURCES = 10_000  # rows of a plan that is broadcast, a few hundred kilobytes
-SPACE = r"[\x20\x09-\x0D]+"
+INK = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` (null: 0)."""
-    bare = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(F.length(bare) > 0, F.size(F.split(bare, SPACE))).otherwise(0).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(INK)), F.lit(0)).cast("long")
 
 
 def draw(seed: Column, key: Column) -> Column:
@@ -112,9 +112,12 @@ def planned(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, each as often as its source's rate and its draw say; columns unchanged.
 
-    An empty table gives no rows. ``options`` go to :func:`source_plan`.
+    An empty table gives no rows, and columns may have any names. ``options`` go to :func:`source_plan`.
     """
-    plan = source_plan(docs, id_col=id_col, source_col=source_col, **options)
-    return (planned(docs, plan, id_col, source_col)
-            .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-            .select(*[docs[c] for c in docs.columns]))
+    def run(rows: DataFrame) -> DataFrame:
+        plan = source_plan(rows, id_col=id_col, source_col=source_col, **options)
+        return (planned(rows, plan, id_col, source_col)
+                .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
+                .select(*[rows[c] for c in rows.columns]))
+
+    return shielded(docs, (id_col, source_col, options.get("text_col", "text")), run)

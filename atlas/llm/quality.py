@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atlas.llm.names import shielded
 from atlas.operators.arrow import batch_udf
 from atlas.session import cut_lineage
 
@@ -208,9 +209,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text",
               **options) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, columns unchanged.
+    """The rows of ``docs`` that score at least ``threshold``, columns unchanged, whatever their names.
 
-    Texts are scored where they are scanned: only statistics, never texts, are shuffled.
+    Texts are scored where they are scanned: only statistics, never texts, are shuffled. Null and empty texts are
+    scored like others, repeated rows each; an empty table gives no rows.
     """
     model, _ = train_quality(docs, labels, text_col=text_col, **options)
 
@@ -218,5 +220,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_c
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([statistics(t) for t in texts]).reshape(len(texts), -1)))
 
-    return docs.withColumn("_score", score(F.col(text_col))).where(F.col("_score") >= threshold).select(
-        *[docs[c] for c in docs.columns])
+    def run(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_score", score(F.col(text_col))).where(F.col("_score") >= threshold).drop("_score")
+
+    return shielded(docs, (text_col,), run)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from atlas.llm import chat, mixing, topk
+from atlas.llm import chat, disclosure, mixing, quality, simhash, topk
 
 
 def test_top_k_equals_brute_force(spark):
@@ -130,3 +130,25 @@ def test_another_template(spark, role):
     row = chat.format_chats(frame, plain).select("*", chat.parse(F.col("formatted"), plain).alias("b")).first()
     assert [tuple(x) for x in row["b"]] == [(role, "a <end> b", role == "narrator")]
     assert row["valid"] == (role == "narrator")
+
+
+def test_words_are_counted_in_linear_time(spark):
+    import time
+
+    rows = [("a" + " " * 1_000_000 + "b", 2), (" \t\n", 0), ("", 0), (None, 0), (" a  b\u00a0c ", 2), ("\x1f", 1)]
+    frame = spark.createDataFrame(rows, "text string, n long")
+    began = time.time()
+    assert all(r["n"] == r["words"] for r in frame.withColumn("words", mixing.word_count(F.col("text"))).collect())
+    assert time.time() - began < 5
+
+
+def test_stages_take_columns_of_any_name(spark):
+    names = ["_score", "_copies", "_copy", "_source", "_key", "_spans", "_levels", "_terms", "component_id", "_o", "fp", "group", "_size"]
+    docs = spark.createDataFrame(
+        [(i, f"Some words in text {i}, mail a{i}@b.org.", "en", f"s{i % 3}", 30, *range(len(names))) for i in range(40)],
+        "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for stage in (lambda d: quality.keep_good(d, labels), simhash.keep_one, lambda d: disclosure.sanitise(d, everywhere=True), mixing.mix):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in out.collect())
