@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atlas.llm.names import shielded
 from atlas.llm.tiles import spanning_forest
 from atlas.operators.groups import components
 from atlas.session import cut_lineage
@@ -151,11 +152,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
              radius: int = 2) -> DataFrame:
-    """One document of each group, the one with the smallest id; columns unchanged.
+    """One document of each group of linked fingerprints, columns unchanged, whatever their names.
 
-    A repeated id stays once (any of its rows). Rows without an id stay, since no group can name them.
+    The one with the smallest id stays (rows without an id come last), then the smallest digest of the text, then of
+    the whole row; of rows equal in every column one stays. Groups are groups of fingerprints, so two texts
+    under one id stay apart unless they are linked, and rows without an id are members like others. Null and empty
+    texts are one group. An empty table gives no rows.
     """
-    found = near_duplicates(docs, id_col, text_col, words, radius)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.join(first, docs[id_col].cast("long") == first["_first"]).dropDuplicates(["_first"])
-    return named.select(*[docs[c] for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
+    def run(rows: DataFrame) -> DataFrame:
+        order = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"),
+                         F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("said"),
+                         F.xxhash64(*rows.columns).alias("row"))
+        marked = cut_lineage(rows.select(order.alias("o"), F.col(text_col).alias("text")).transform(
+            lambda d: _marked(d, words)))
+        vertices = cut_lineage(marked.select(F.col("fp").alias("id"), "fp").distinct())
+        joined = components(fingerprint_links(vertices, radius)).withColumnRenamed("id", "_fp")
+        whose = marked.join(joined, F.col("fp") == F.col("_fp"), "left").select(
+            F.coalesce("component", "fp").alias("group"), "o")
+        first = whose.groupBy("group").agg(F.min("o").alias("_first")).select("_first")
+        kept = rows.withColumn("_o", order).join(first, F.col("_o") == F.col("_first"))
+        return kept.dropDuplicates(["_o"]).select(*[rows[c] for c in rows.columns])
+
+    return shielded(docs, (id_col, text_col), run)
+
+
+def _marked(rows: DataFrame, words: int) -> DataFrame:
+    """``o, fp`` of rows ``o, text``."""
+    kind = rows.schema["o"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([simhash(t.as_py(), words) for t in batch.column(1)], pa.int64())], ["o", "fp"])
+
+    return rows.mapInArrow(run, f"o {kind}, fp long")
