@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ LEAST_SEEN = 3
 OTHERS = 2  # windows of a clean document beside its highest
 SEED = 11
 CHUNK_WORDS = 1 << 16  # words scored at once
+WORDS_KEPT = 1 << 16  # words whose gate inputs a task keeps, about 25 MB
+AVERAGED = 0.4  # of the steps at the end, whose weights are averaged
 TRIM = b".,!?;:\"'()[]|*#$%&"
 
 
@@ -137,12 +140,17 @@ class BiGRU:
             out[t] = state = following
         return out
 
-    def logits(self, x: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Scores of windows; ``at`` and ``mask`` are (step, window)."""
+    def gates(self, x: np.ndarray) -> list[np.ndarray]:
+        """Gate inputs of both directions by word."""
+        return [x @ self.p[f"wx{side}"] + self.p[f"bx{side}"] for side in "fb"]
+
+    def logits(self, x: np.ndarray | None, at: np.ndarray, mask: np.ndarray, keep: dict | None = None,
+               gates: list[np.ndarray] | None = None) -> np.ndarray:
+        """Scores of windows; ``at`` and ``mask`` are (step, window). Known gate inputs may stand for ``x``."""
         sides = []
-        for side in "fb":
+        for side, projected in zip("fb", gates or self.gates(x)):
             kept: list | None = [] if keep is not None else None
-            sides.append(self.states(x @ self.p[f"wx{side}"] + self.p[f"bx{side}"], at, mask, side, kept))
+            sides.append(self.states(projected, at, mask, side, kept))
             if keep is not None:
                 keep[side] = kept
         both = np.concatenate(sides, axis=2)
@@ -200,21 +208,48 @@ class BiGRU:
             np.add.at(g["chars"], grams, dx[owner, WORD_DIMS:] / counts[owner][:, None])
         return g
 
-    def window_scores(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logits of all windows of some texts, with their text and their start."""
+    def window_scores(self, texts: list[list[bytes]], known: "WordTable | None" = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits of the windows of some texts, with their text and their start. ``known`` holds words met before."""
         which = [(i, s) for i, words in enumerate(texts) for s in windows_of(len(words))]
         if not which:
             return np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        base = np.cumsum([0, *map(len, texts)])
+        owner, start = np.array(which, np.int64).T
+        if known is not None:
+            ids = known.ids([w for words in texts for w in words])
+            at, mask = window_index(ids, base, owner, start, 0)
+            return self.logits(None, at, mask, gates=known.gates), owner, start
         table: dict[bytes, int] = {}
         flat = [table.setdefault(w, len(table)) for words in texts for w in words]
         ids = np.array(flat, np.int64)
-        base = np.cumsum([0, *map(len, texts)])
-        owner, start = np.array(which, np.int64).T
         x, _ = self.inputs(list(table))
         at, mask = window_index(ids, base, owner, start, len(table))
         return self.logits(x, at, mask), owner, start
 
 
+class WordTable:
+    """Gate inputs of the words met by a task; row 0 is padding. Full, it starts anew, so it stays bounded."""
+
+    def __init__(self, model: BiGRU, most: int = WORDS_KEPT):
+        self.model, self.most = model, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[bytes, int] = {}
+        self.gates = self.model.gates(np.zeros((1, WORD_DIMS + CHAR_DIMS), np.float32))
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        if len(self.places) > self.most:
+            self.clear()
+        places, first = self.places, len(self.places) + 1
+        ids = [places.setdefault(w, len(places) + 1) for w in words]
+        if len(places) >= first:
+            fresh = list(islice(reversed(places), len(places) - first + 1))[::-1]
+            x = self.model.inputs(fresh)[0][:-1]
+            self.gates = [np.concatenate([old, new]) for old, new in zip(self.gates, self.model.gates(x))]
+        return np.array(ids, np.int64)
+
+
 def window_index(ids, base, owner, start, padding):
     """Word rows and mask, (step, window), of the windows that begin at ``start`` of the texts ``owner``."""
     step = np.arange(WINDOW)[:, None]
@@ -267,6 +302,8 @@ def train(texts: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, lea
     epochs = max(epochs, -(-least_steps // steps))
     by_odds = epochs // 3  # epochs before the network chooses the windows
     step, chose = 0, 0
+    mean: dict[str, np.ndarray] = {}
+    averaged_from = int((1 - AVERAGED) * epochs * steps)
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         again = epoch >= by_odds and step - chose >= steps * (epochs // 12)
@@ -302,22 +339,28 @@ def train(texts: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, lea
                 second[name] += 0.005 * (v * v - second[name])
                 model.p[name] -= (pace * (first[name] / (1 - 0.9 ** step))
                                   / (np.sqrt(second[name] / (1 - 0.995 ** step)) + 1e-6)).astype(np.float32)
+            if step > averaged_from:
+                share = np.float32(1 / (step - averaged_from))
+                for name, v in model.p.items():
+                    mean[name] = mean[name] + share * (v - mean[name]) if name in mean else v.copy()
+    model.p = mean or model.p
     return model
 
 
-def text_scores(model: BiGRU, texts: list[str | None]) -> np.ndarray:
-    """The largest window score of each text, 0 to 1; a text without words has score 0.
+def text_scores(model: BiGRU, texts: list[str | None], known: WordTable | None = None) -> np.ndarray:
+    """The largest window score of each text, 0 to 1; a text without words has score 0. ``known``: words met before.
 
     Texts are scored together in chunks; a long one is cut into spans that overlap by a window, so its windows
     are those of the whole text.
     """
     out = np.zeros(len(texts))
+    known = known or WordTable(model)
     held: list[list[bytes]] = []
     whose: list[int] = []
     size = 0
 
     def score():
-        values, owner, _ = model.window_scores(held)
+        values, owner, _ = model.window_scores(held, known)
         np.maximum.at(out, np.array(whose)[owner], _sigmoid(values))
 
     for i, text in enumerate(texts):
@@ -373,9 +416,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int
     model = train(texts, marks)
 
     def run(batches):
+        known = WordTable(model)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(text_scores(model, batch.column(1).to_pylist()), pa.float64())],
+                [batch.column(0), pa.array(text_scores(model, batch.column(1).to_pylist(), known), pa.float64())],
                 ["doc_id", "score"])
 
     return chosen.mapInArrow(run, "doc_id long, score double").select(
