@@ -14,28 +14,34 @@ from atlas.session import fresh_path
 
 
 def quality_gate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality discriminant rejects go."""
+    """Documents that the quality discriminant rejects go. Null and empty texts and repeated rows are scored like
+    others; an empty table, here and in every stage, gives no rows, and other columns may bear any names."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: fingerprints of 3-word shingles that link at 2 differing
+    bits, the rule of ``op5_...``. The smallest id stays, then the smallest digest of text and row; null and empty
+    texts are one group; two texts under one id, or without one, stay apart unless they are near duplicates."""
     return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that reveal it are replaced; the character count follows the text."""
+    """Personal data and the terms that reveal it are replaced; the character count follows the text. Null
+    texts stay null and have no count; repeated rows are treated alike."""
     clean = disclosure.sanitise(docs, everywhere=True)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
+    """Each document as often as its source's target asks for. A null source is a source; null and empty texts have
+    size 0, and each repeated row takes its own copies, by its id's draw."""
     return mixing.mix(docs)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in training windows."""
+    """Pieces of all documents in training windows. A null or empty text is the end token alone; repeated rows are
+    packed each."""
     return packing.pack(docs, default_vocabulary())
 
 
