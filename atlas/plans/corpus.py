@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from atlas.functions import labels as L
 from atlas.functions import paths as P
@@ -13,6 +14,7 @@ from atlas.operators import intake, signals
 from atlas.operators.head import Embedder, embed, score
 from atlas.operators.triage import consensus, label_neighbours, triage
 from atlas.session import spread
+from atlas.sources import cache
 from atlas.sources.media import load_signals, probe_duration
 from atlas.streaming.decisions import replay_decisions
 
@@ -37,20 +39,44 @@ def build_corpus(manifest: DataFrame, files: DataFrame, loader: Callable[[], Emb
     return embed(waves, loader, source="samples").drop("samples", "sr")
 
 
-def analyze(files: DataFrame, loader: Callable[[], Embedder], head: dict) -> DataFrame:
+def analyze(files: DataFrame, loader: Callable[[], Embedder], head: dict, keep: Sequence[str] = ("path",)) -> DataFrame:
     """One-shots of ``path, content`` rows: embedding, section, confidence, tags, envelope, duration.
 
     Files whose header says that they are too long are not decoded; the exact gate follows decoding.
     """
     probed = probe_duration(files, out="_probe")
     near = probed.where(F.coalesce(F.col("_probe") <= intake.MAX_SECONDS + 0.01, F.lit(True))).drop("_probe")
-    waves = load_signals(near).withColumn("raw", F.size("samples") / F.lit(float(signals.SAMPLE_RATE)))
+    waves = load_signals(near, keep=keep).withColumn("raw", F.size("samples") / F.lit(float(signals.SAMPLE_RATE)))
     drawn = signals.trim_and_draw(intake.one_shot(waves, "raw")).withColumn(
         "duration", F.size("samples") / F.lit(float(signals.SAMPLE_RATE)))
     return score(embed(drawn, loader, source="samples"), head).withColumn(
         "filename", P.basename(F.col("path"))).drop("samples", "sr", "raw")
 
 
+ANALYSED = ("embedding array<float>, section string, confidence double, tags array<struct<label:string,p:double>>, "
+            "envelope array<float>, duration double")
+
+
+def analyze_cached(files: DataFrame, loader: Callable[[], Embedder], head: dict, root: str, version: int,
+                   corrections: DataFrame | None = None) -> DataFrame:
+    """:func:`analyze` of ``path, fingerprint, content`` rows through the cache below ``root``, with the sections
+    that ``corrections`` (path, section) name.
+
+    Only files whose fingerprint the cache lacks are decoded, copies under one fingerprint once. Names and
+    fingerprints travel; the bytes of a file are joined to the missing ones alone. Corrections are not cached:
+    they belong to a path, entries to a content. Files that cannot be analysed have no row.
+    """
+    def fresh(missing: DataFrame) -> DataFrame:
+        wanted = files.select("path", "content").join(missing.select("path", cache.KEY), "path")
+        return analyze(wanted, loader, head, keep=[cache.KEY, "path"]).select(
+            cache.KEY, *[F.col(c).cast(t) for c, t in cached])
+
+    cached = [(f.name, f.dataType) for f in StructType.fromDDL(ANALYSED)]
+    rows = cache.through_cache(files.select("path", cache.KEY), root, version, ANALYSED, fresh)
+    named = rows.withColumn("filename", P.basename(F.col("path")))
+    return named if corrections is None else intake.apply_corrections(named, corrections)
+
+
 def label_triage(items: DataFrame, k: int = 15, own_limit: float = 0.45, strength: float = 0.60,
                  block_rows: int | None = None) -> DataFrame:
     """Cross-group neighbours, their consensus and the decision per item (id, label, group_id, embedding)."""

@@ -12,7 +12,8 @@ from atlas.operators import signals as G
 from atlas.plans import corpus
 from atlas.plans.registry import query, r6, table
 from atlas.plans.vector_queries import wave_head
-from atlas.session import fresh_path, spread_scan
+from atlas.session import cut_lineage, fresh_path, spread_scan
+from atlas.sources import cache
 from atlas.sources import media as M
 
 FRAME, DB, BARS = 8, 6.0, 16
@@ -221,6 +222,27 @@ def analyze(spark, folder):
         F.max(F.size("tags")).alias("tags"))
 
 
+@query("analyze_cached", f"""WITH {WAV_SQL}, e AS (SELECT user_id, arg_max(event_type, event_id) AS moved FROM events GROUP BY 1)
+SELECT doc_id, doc_id % 2 = 0 AS hit, moved FROM w LEFT JOIN e ON doc_id = user_id
+WHERE doc_id % 17 <> 0 AND floor(frames * (48000 / sr::DOUBLE) + 0.5) BETWEEN 1 AND 144000""")
+def analyze_cached(spark, folder):
+    """All recordings, after the even ones have been analysed: which came from the cache, and corrected sections."""
+    files = recordings(spark, folder).withColumn(
+        "fingerprint", P.fingerprint(P.basename(F.col("path")), F.length("content"), F.lit(0).cast("timestamp")))
+    moves = table(spark, folder, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("section"))
+    moves = files.join(moves, F.col("doc_id") == F.col("user_id")).select("path", "section")
+    root = fresh_path(spark, "cache")
+    corpus.analyze_cached(files.where("doc_id % 2 = 0"), spectrum_loader, wave_head(), root, P.PIPELINE_VERSION)
+    before = cache.entries(spark, root, P.PIPELINE_VERSION, corpus.ANALYSED).select("fingerprint", F.lit(True).alias("hit"))
+    before = cut_lineage(before)
+    rows = corpus.analyze_cached(files, spectrum_loader, wave_head(), root, P.PIPELINE_VERSION, moves)
+    moved = moves.select("path", F.col("section").alias("moved"))
+    return (rows.join(before, "fingerprint", "left").join(moved, "path", "left")
+            .where("moved IS NULL OR moved = section")
+            .select(F.regexp_extract("path", "([0-9]+)[.]wav$", 1).cast("long").alias("doc_id"),
+                    F.coalesce("hit", F.lit(False)).alias("hit"), "moved"))
+
+
 @query("build_corpus")
 def build_corpus(spark, folder):
     """Manifest to embeddings over all documents: rows per final label."""

@@ -117,15 +117,34 @@ def stream_dedup(spark, folder):
     return W.final_state(W.stream_dedup(docs), "append")
 
 
-@query("ingest_stream", """WITH m AS (SELECT doc_id, md5(text) AS hash, n_chars / 1000.0::DOUBLE AS duration FROM documents WHERE lang <> 'fr'),
+INGEST_SQL = """WITH m AS (SELECT doc_id, md5(text) AS hash, n_chars / 1000.0::DOUBLE AS duration FROM documents WHERE lang <> 'fr'),
 ok AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS rn FROM m WHERE duration <= 3)
-SELECT doc_id, hash FROM ok WHERE rn = 1""")
-def ingest_stream(spark, folder):
-    arriving = stream_of(spark, folder, "documents").select(
+SELECT doc_id, hash FROM ok WHERE rn = 1"""
+
+
+def arrivals(docs: DataFrame) -> DataFrame:
+    """documents as items of a collection: the text is the content, French ones bear no label."""
+    return docs.select(
         "doc_id", F.col("doc_id").alias("path"), P.content_hash(F.col("text")).alias("hash"),
         (F.col("n_chars") / 1000.0).alias("duration"), F.when(F.col("lang") != "fr", F.col("lang")).alias("label"))
+
+
+@query("ingest_stream", INGEST_SQL)
+def ingest_stream(spark, folder):
     out = fresh_path(spark, "ingest")
-    W.ingest_stream(arriving, out)
+    W.ingest_stream(arrivals(stream_of(spark, folder, "documents")), out)
+    return W.kept_items(spark, out).select("doc_id", "hash")
+
+
+@query("ingest_across_runs", INGEST_SQL)
+def ingest_across_runs(spark, folder):
+    """The documents arrive in two halves, each taken in by a run of its own, with a checkpoint of its own."""
+    out, docs = fresh_path(spark, "ingest"), table(spark, folder, "documents")
+    middle = docs.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0]
+    for part in (F.col("doc_id") <= middle, F.col("doc_id") > middle):
+        arriving = fresh_path(spark, "arriving")
+        docs.where(part).write.parquet(arriving)
+        W.ingest_stream(arrivals(W.table_stream(spark, arriving, docs.schema)), out)
     return W.kept_items(spark, out).select("doc_id", "hash")
 
 

@@ -12,9 +12,7 @@ from pyspark.sql.types import StructType
 from atlas.operators import intake
 from atlas.session import fresh_path
 from atlas.sources.tables import append_manifest
-
-
-SEEN = "hash string, run string, batch long"
+from atlas.streaming.seen import open_seen
 
 
 def table_stream(spark: SparkSession, folder: str, schema: StructType | str, pattern: str | None = None,
@@ -63,22 +61,20 @@ def ingest_stream(items: DataFrame, out: str, checkpoint: str | None = None, max
     and append the survivors to the manifest below ``out``. Each item is processed once.
 
     A batch is written under its run and number; the run is named after the checkpoint, since batch numbers
-    start anew with a new one. The hashes of kept items are a table of their own, and a batch reads those
-    of other runs and of earlier batches, so a repeated batch after a failure comes out the same.
+    start anew with a new one. A batch reads the hashes kept by other runs and by earlier batches, from those
+    buckets that may hold one of its own, so a repeated batch after a failure comes out the same.
     """
     spark = items.sparkSession
     checkpoint = checkpoint or fresh_path(spark, "stream")
     run = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
-    spark.createDataFrame([], SEEN).write.mode("append").partitionBy("run", "batch").parquet(f"{out}/seen")
+    seen = open_seen(spark, out, run)
 
     def handle(batch: DataFrame, number: int) -> None:
-        earlier = spark.read.schema(SEEN).parquet(f"{out}/seen").where(
-            (F.col("run") != run) | (F.col("batch") < number))
-        judged = intake.gate(batch, seen=earlier.select("hash"), max_seconds=max_seconds)
-        place = f"run={run}/batch={number}"
-        judged.write.mode("overwrite").parquet(f"{out}/verdicts/{place}")
-        spark.read.parquet(f"{out}/verdicts/{place}").where(F.col("reason") == "kept").select("hash").write.mode(
-            "overwrite").parquet(f"{out}/seen/{place}")
+        seen.fold(number)
+        judged = intake.gate(batch, seen=seen.earlier(batch, number), max_seconds=max_seconds)
+        place = f"{out}/verdicts/run={run}/batch={number}"
+        judged.write.mode("overwrite").parquet(place)
+        seen.add(spark.read.parquet(place).where(F.col("reason") == "kept"), number)
 
     drain(items, handle, checkpoint=checkpoint)
 

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlas.operators import intake
+from atlas.sources import cache as C
 from atlas.sources import tables as S
 from atlas.streaming import decisions as D
 from atlas.streaming import flows as W
+from atlas.streaming import seen as SEEN
 from atlas.streaming import state as K
 
 
@@ -91,6 +93,38 @@ def test_a_second_run_adds_to_the_first(spark, tmp_path):
     assert sorted(r["path"] for r in W.kept_items(spark, out).collect()) == ["a", "b", "d"]
 
 
+def test_new_hashes_read_no_history(spark, tmp_path):
+    out = str(tmp_path / "out")
+    seen = SEEN.open_seen(spark, out, "one", slots=256, buckets=64, epoch=3)
+
+    def hashes(first, last):
+        return spark.range(first, last).select(F.md5(F.col("id").cast("string")).alias("hash"))
+
+    for number in range(8):  # over two foldings
+        seen.fold(number)
+        seen.add(hashes(20 * number, 20 * number + 20), number)
+    fresh, asked = hashes(10_000, 10_020), hashes(150, 152)
+    assert seen.may_hold(fresh, 8) == [] and seen.earlier(fresh, 8).inputFiles() == []
+    assert len(seen.may_hold(asked, 8)) <= 2 < len(seen.may_hold(hashes(0, 160), 8))
+    assert asked.exceptAll(seen.earlier(asked, 8)).isEmpty()
+    # a batch does not see itself or what followed, however often it runs
+    assert seen.may_hold(asked, 7) == []
+    seen.add(hashes(140, 160), 7)
+    assert seen.earlier(hashes(0, 160), 8).count() == 160  # once each
+    assert asked.join(seen.earlier(asked, 7), "hash").isEmpty()
+    # another run sees all of it, and is seen when the first goes on
+    other = SEEN.open_seen(spark, out, "two", slots=256, buckets=64, epoch=3)
+    assert other.earlier(hashes(0, 160), 0).count() == 160 and other.may_hold(fresh, 0) == []
+    other.add(fresh, 0)
+    again = SEEN.open_seen(spark, out, "one", slots=256, buckets=64, epoch=3)
+    assert again.earlier(fresh, 8).join(fresh, "hash").count() == 20
+    other.add(spark.createDataFrame([(None,), (None,)], "hash string"), 1)  # null has a place; nothing at all is fine
+    other.add(fresh.limit(0), 2)
+    other.fold(3)
+    assert len(other.may_hold(spark.createDataFrame([(None,)], "hash string"), 2)) == 1
+    assert other.earlier(fresh, 3).join(fresh, "hash").count() == 20
+
+
 def test_gate_precedence_and_seen(spark):
     df = spark.createDataFrame([
         ("a", "h1", None, None, 0), ("b", "h1", "Kick", None, 0), ("c", "h1", "Kick", 9.0, 0), ("d", "h1", "Kick", 3.0, 0),
@@ -137,6 +171,32 @@ def test_cache_reuse_computes_misses_once(spark):
     assert fresh.count() == 1
 
 
+def test_versioned_cache(spark, tmp_path):
+    root, seen = str(tmp_path / "cache"), []
+    names = spark.createDataFrame([(f"/{i}", f"k{i % 30}") for i in range(40)], "path string, fingerprint string")
+
+    def compute(missing):
+        seen.append(missing.count())
+        return missing.where("fingerprint <> 'k3'").select("fingerprint", F.length("fingerprint").alias("size"))
+
+    first = C.through_cache(names.where("fingerprint < 'k2'"), root, 6, "size int", compute)
+    assert first.count() == names.where("fingerprint < 'k2' AND fingerprint <> 'k3'").count()
+    full = C.through_cache(names, root, 6, "size int", compute)
+    assert full.count() == 38 and full.where("fingerprint = 'k3'").isEmpty()
+    assert C.through_cache(names.where("fingerprint <> 'k3'"), root, 6, "size int", compute).count() == 38
+    assert seen[0] + seen[1] == 30 and seen[2] == 0
+    assert C.entries(spark, root, 6, "size int").count() == 29  # the failed key has no entry and is tried again
+    with pytest.raises(Exception):  # a run that breaks while it computes leaves nothing behind
+        C.through_cache(names, root, 7, "size int", lambda m: m.select("fingerprint", F.raise_error(F.lit("x")).cast("int").alias("size")))
+    assert C.entries(spark, root, 7, "size int").isEmpty()
+    # what two runs at the same time both entered is one again after tidying
+    C.insert(C.entries(spark, root, 6, "size int").limit(5), root, 6)
+    assert C.entries(spark, root, 6, "size int").count() == 34
+    C.tidy(spark, root, 6, "size int")
+    assert sorted(r[0] for r in C.entries(spark, root, 6, "size int").select("fingerprint").collect()) == sorted(
+        f"k{i}" for i in range(30) if i != 3)
+
+
 def test_manifest_csv_and_parquet(spark, tmp_path):
     df = spark.createDataFrame([("h", "Kick", 1.23456, 'a "b", c.wav', "kit", "http://x")],
                                "hash string, label string, duration double, orig_name string, source_folder string, source_link string")
