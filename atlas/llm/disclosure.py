@@ -14,6 +14,7 @@ at its start or where the last match ended, and taken whole. That finds the same
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 TERM = r"\p{L}+"  # a term is a run of letters, lower-cased
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
+PIECE = "struct<from:int,to:int,mark:string>"
+CHUNK = 64  # items that one inner fold appends
 FEW_ROWS = 100_000  # rows of a narrow table that is broadcast, some megabytes
 
 
@@ -49,6 +52,44 @@ def few(df: DataFrame, limit: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def bound(value: Column, use: Callable) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often a function of items mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def chunked(items: Column, size: int = CHUNK) -> Column:
+    """Array of arrays of at most ``size`` items; one empty array if there are none."""
+    def cut(held: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(held) / size).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(held, i * size + 1, F.lit(size)))
+
+    return bound(items, cut)
+
+
+def running(items: Column, zero: Column, advance: Callable, emit: Callable, kind: str) -> Column:
+    """Array of ``emit(state, item)`` of type ``kind``, with the state that the items before ``item`` lead to.
+
+    A fold that appends copies what it has at every step. Here the states at chunk starts are found first, and
+    each chunk appends to a list of its own.
+    """
+    def starts(chunks: Column) -> Column:
+        return F.aggregate(
+            chunks, F.struct(zero.alias("state"), F.slice(F.array(zero), 1, 0).alias("starts")),
+            lambda a, part: F.struct(F.aggregate(part, a["state"], advance).alias("state"),
+                                     F.concat(a["starts"], F.array(a["state"])).alias("starts")),
+            lambda a: a["starts"])
+
+    def within(part: Column, state: Column) -> Column:
+        begin = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(
+            part, begin,
+            lambda a, item: F.struct(advance(a["state"], item).alias("state"),
+                                     F.concat(a["out"], F.array(emit(a["state"], item))).alias("out")),
+            lambda a: a["out"])
+
+    return bound(chunked(items), lambda chunks: F.flatten(F.zip_with(chunks, starts(chunks), within)))
+
+
 def found_at(text: Column, pattern: Column | str, kind: str) -> Column:
     """Array of (kind, start, end, value) of the leftmost non-overlapping matches, offsets in code points.
 
@@ -57,16 +98,14 @@ def found_at(text: Column, pattern: Column | str, kind: str) -> Column:
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     values = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
-    def step(s: Column, pair: Column) -> Column:
-        at = s["pos"] + F.length(pair["gap"])
-        stop = at + F.length(pair["value"])
-        span = F.struct(F.lit(kind).alias("kind"), at.alias("start"), stop.alias("end"), pair["value"].alias("value"))
-        return F.struct(stop.alias("pos"), F.concat(s["spans"], F.array(span)).alias("spans"))
+    def span(pos: Column, pair: Column) -> Column:
+        at = pos + F.length(pair["gap"])
+        return F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(pair["value"])).alias("end"),
+                        pair["value"].alias("value"))
 
     pairs = F.arrays_zip(gaps.alias("gap"), values.alias("value"))
-    return F.aggregate(pairs, start, step, lambda s: s["spans"])
+    return running(pairs, F.lit(0), lambda pos, pair: pos + F.length(pair["gap"]) + F.length(pair["value"]), span, SPAN)
 
 
 def _digits(value: Column) -> Column:
@@ -211,21 +250,30 @@ def sanitised(text: Column, spans: Column, levels: Column) -> Column:
     """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["value"].alias("value"))))
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        stop = -s["back"]
-        mark = F.when((s["kind"] == "term") & (levels[F.lower(s["value"])] == "remove"), F.lit("")).otherwise(
+    def mark(s: Column) -> Column:
+        return F.when((s["kind"] == "term") & (levels[F.lower(s["value"])] == "remove"), F.lit("")).otherwise(
             F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        gap = F.substring(text, a["pos"] + 1, s["start"] - a["pos"])
-        fresh = F.concat(a["out"], gap, mark)
-        return F.struct(F.greatest(a["pos"], stop).alias("pos"),
-                        F.when(s["start"] >= a["pos"], fresh).otherwise(a["out"]).alias("out"))
-
-    def close(a: Column) -> Column:
-        return F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text)))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, start, step, close))
+    def piece(pos: Column, s: Column) -> Column:
+        """The stretch before a span and its mark; of a covered span, nothing."""
+        free = s["start"] >= pos
+        return F.struct(F.when(free, pos).alias("from"), F.when(free, s["start"]).alias("to"),
+                        F.when(free, mark(s)).alias("mark"))
+
+    pieces = F.filter(running(ordered, F.lit(0), lambda pos, s: F.greatest(pos, -s["back"]), piece, PIECE),
+                      lambda p: p["from"].isNotNull())
+
+    def written(part: Column) -> Column:
+        """A chunk of pieces, cut from its own stretch of the text: counting starts there, not at the text's start."""
+        first = F.get(part, F.lit(0))["from"]
+        stretch = F.substring(text, first + 1, F.get(part, F.size(part) - 1)["to"] - first)
+        return bound(stretch, lambda held: F.array_join(F.transform(part, lambda p: F.concat(
+            F.substring(held, p["from"] - first + 1, p["to"] - p["from"]), p["mark"])), ""))
+
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    whole = F.concat(F.array_join(F.transform(chunked(pieces), written), ""), F.substring(text, end + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", thresholds: Thresholds = Thresholds(),

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -131,3 +132,18 @@ def test_revealing_terms_go_everywhere(spark):
     for text in clean.values():
         assert not flagged & set(re.findall(r"[^\W\d_]+", (text or "").lower().replace("[term]", "")))
     assert clean[47] is None and disclosure.sanitise(docs.limit(0), everywhere=True).count() == 0
+
+
+def test_many_matches_take_linear_time(spark):
+    hard = "".join(f"10.0.{i // 250}.{i % 250} né x{i}@a.de; " for i in range(50_000))
+    some = [hard] + ["".join(f"a{i}@b.c +49 123 4567{i % 10:02d} é" for i in range(n)) for n in (0, 1, 63, 64, 65, 128, 129, 200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "doc_id long, text string")
+    spans = disclosure.base_spans(F.col("text"))
+    start = time.time()
+    got = {r["doc_id"]: r for r in docs.select("doc_id", F.size(spans).alias("n"),
+           disclosure.sanitised(F.col("text"), spans, F.create_map().cast("map<string,string>")).alias("clean")).collect()}
+    assert time.time() - start < 60
+    assert got[0]["n"] == 100_000
+    assert got[0]["clean"] == "[IP] né [EMAIL]; " * 50_000
+    for i, n in enumerate((0, 1, 63, 64, 65, 128, 129, 200), 1):
+        assert got[i]["clean"] == "[EMAIL] [PHONE] é" * n
