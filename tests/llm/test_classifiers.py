@@ -126,12 +126,21 @@ def test_gradients_equal_differences():
             assert abs((up - down) / (2 * step) - g[name][spot]) < 2e-3 + 0.03 * abs(g[name][spot]), name
 
 
-def test_windows_cover_all_words():
-    for n in (0, 1, 23, 24, 25, 40, 41, 1000):
-        starts = toxicity.windows_of(n)
-        covered = {i for s in starts for i in range(s, min(n, s + toxicity.WINDOW))}
-        assert covered == set(range(n))
-        assert all(b - a <= toxicity.STRIDE for a, b in zip(starts, starts[1:]))
+def test_all_windows_are_scored():
+    """Against the masked network, window by window."""
+    model = toxicity.BiGRU(3)
+    model.p = {k: 3 * v for k, v in model.p.items()}
+    rng = np.random.default_rng(0)
+    sizes = (0, 1, toxicity.WINDOW - 1, toxicity.WINDOW, toxicity.WINDOW + 1, 40, 0, 5000, 2)
+    texts = [[b"w%d" % i for i in rng.integers(0, 300, n)] for n in sizes]
+    known = toxicity.WordTable(model)
+    for words, got in zip(texts, model.window_scores(texts)):
+        starts = range(max(1, len(words) - toxicity.WINDOW + 1)) if words else range(0)
+        assert len(got) == len(starts) and list(toxicity.windows_of(len(words))) == list(starts)
+        if words:
+            at, mask = toxicity.window_index(known.ids(words), np.array([0, len(words)]), np.zeros(len(starts), int),
+                                             np.array(starts), 0)
+            assert np.allclose(got, model.logits(None, at, mask, gates=known.gates), atol=1e-4)
 
 
 def test_long_texts_score_as_the_best_window(monkeypatch):
