@@ -31,6 +31,7 @@ ATTENTION = 8
 WORD_DIMS, CHAR_DIMS = 12, 20
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 13, 1 << 14
 GRAMS = (3, 4, 5)
+FEW_GRAMS = 64
 SAMPLE = 1500  # documents of a class that training sees at most
 SAMPLE_WORDS = 800  # words that such a document has at most
 EPOCHS = 6
@@ -74,6 +75,23 @@ def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
 
 
+def gram_sums(vectors: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the vectors of each word's grams, which lie together. The first ``FEW_GRAMS`` are added one from each
+    word at a time, which is faster than word by word; the rest of long words, word by word."""
+    starts = np.cumsum(counts) - counts
+    order = np.argsort(-counts, kind="stable")
+    falling, first = counts[order], starts[order]
+    total = np.zeros((len(counts), vectors.shape[1]), np.float32)
+    for j in range(min(FEW_GRAMS, int(falling[0]))):
+        words = int(np.searchsorted(-falling, -j))
+        total[:words] += vectors[grams[first[:words] + j]]
+    for i in range(int(np.searchsorted(-falling, -FEW_GRAMS))):
+        total[i] += vectors[grams[first[i] + FEW_GRAMS:first[i] + falling[i]]].sum(axis=0)
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
 def windows_of(n: int) -> range:
     """Starts of all overlapping windows of ``n`` words; a shorter text is one window."""
     return range(max(1, n - WINDOW + 1)) if n else range(0)
@@ -118,8 +136,7 @@ class BiGRU:
         if len(grams):
             order = np.argsort(owner, kind="stable")
             grams, owner = grams[order], owner[order]
-            starts = np.flatnonzero(np.diff(owner, prepend=-1))
-            x[owner[starts], WORD_DIMS:] = np.add.reduceat(self.p["chars"][grams], starts, axis=0)
+            x[:n, WORD_DIMS:] = gram_sums(self.p["chars"], grams, np.bincount(owner, minlength=n))
             x[:n, WORD_DIMS:] /= counts[:, None]
         return x, (bucket, grams, owner, counts)
 
@@ -292,7 +309,9 @@ class WordTable:
         if len(self.places) > self.most:
             self.clear()
         places, first = self.places, len(self.places) + 1
-        ids = [places.setdefault(w, len(places) + 1) for w in words]
+        ids = list(map(places.get, words))
+        if None in ids:
+            ids = [places.setdefault(w, len(places) + 1) if i is None else i for w, i in zip(words, ids)]
         if len(places) >= first:
             fresh = list(islice(reversed(places), len(places) - first + 1))[::-1]
             x = self.model.inputs(fresh)[0][:-1]

@@ -47,8 +47,8 @@ def test_toxicity_held_out(spark):
     lang = np.array([r["lang"] for r in rows])
     assert area(score, label) > 0.93
     found = {g: predicted[(lang == g) & (label == 1)].mean() for g in ("de", "en", "es", "fr")}
-    assert found["de"] > 0.6 and found["en"] > 0.85 and found["fr"] > 0.8 and found["es"] > 0.1, found
-    assert predicted[label == 0].mean() < 0.05
+    assert found["de"] > 0.6 and found["en"] > 0.85 and found["fr"] > 0.8 and found["es"] > 0.2, found
+    assert predicted[label == 0].mean() < 0.03
     for row in scored.limit(50).collect():
         assert row["held_out"] == (zlib.crc32(str(row["doc_id"]).encode()) % 4 == 2)
 
@@ -126,6 +126,14 @@ def test_gradients_equal_differences():
             assert abs((up - down) / (2 * step) - g[name][spot]) < 2e-3 + 0.03 * abs(g[name][spot]), name
 
 
+def test_gram_sums():
+    rng = np.random.default_rng(4)
+    counts = np.array([0, 3, 64, 65, 700, 1, 0, 9])
+    vectors, grams = rng.standard_normal((50, 5)).astype(np.float32), rng.integers(0, 50, counts.sum())
+    want = [vectors[part].sum(axis=0) for part in np.split(grams, np.cumsum(counts)[:-1])]
+    assert np.allclose(toxicity.gram_sums(vectors, grams, counts), want, atol=1e-4)
+
+
 def test_all_windows_are_scored():
     """Against the masked network, window by window."""
     model = toxicity.BiGRU(3)
