@@ -155,6 +155,58 @@ def log_mel(spark, folder):
                                         F.avg(level).between(-100.0, 60.0).alias("bounded"))
 
 
+def tones(spark: SparkSession, folder: str, hz: Column, sr: Column, length: Column) -> DataFrame:
+    """A sine for every document: ``doc_id, amp, hz, sr, samples``; loudness by its id."""
+    amp = F.lit(0.1) * (1 + F.col("doc_id") % 8)
+    rows = table(spark, folder, "documents").select("doc_id", amp.alias("amp"), hz.alias("hz"), sr.alias("sr"), length.alias("len"))
+    wave = F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda i: (
+        F.col("amp") * F.sin(2 * F.pi() * F.col("hz") * i / F.col("sr"))).cast("float"))
+    return spread_scan(rows, "doc_id").select("doc_id", "amp", "hz", "sr", wave.alias("samples"))
+
+
+@query("resample_tones", """SELECT doc_id, hz, round(CASE WHEN hz < 8000 THEN 0.1::DOUBLE * (1 + doc_id % 8) ELSE 0 END, 2) AS in_phase,
+  0.0::DOUBLE AS out_of_phase, round(CASE WHEN hz < 8000 THEN 0.1::DOUBLE * (1 + doc_id % 8) / sqrt(2) ELSE 0 END, 2) AS rms
+FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 11000 ELSE CAST(500 + 100 * (doc_id % 31) AS INTEGER) END AS hz FROM documents)""")
+def resample_tones(spark, folder):
+    """Sines of a fifth of a second at 16 kHz, away from the ends: what they share with the sine they should be and
+    with its cosine, and their level. Those above the new band must vanish."""
+    hz = F.when(F.col("doc_id") % 5 == 0, 11_000).otherwise(500 + 100 * (F.col("doc_id") % 31)).cast("int")
+    sr = F.when(F.col("doc_id") % 3 == 0, 48_000).when(F.col("doc_id") % 3 == 1, 44_100).otherwise(22_050 * 2 + 3_900)
+    low = G.resample(tones(spark, folder, hz, sr, F.floor(F.col("sr") / 5).cast("int")), 16_000)
+    first, n = 800, 1_600  # whole periods of every multiple of 100 Hz that lie amid the sine
+    part = F.slice("samples", first + 1, n)
+
+    def mean(use) -> Column:
+        return F.aggregate(F.transform(part, use), F.lit(0.0), lambda acc, v: acc + v) / n
+
+    turn = lambda i: 2 * F.pi() * F.col("hz") * (i + first) / 16_000
+    square = F.sqrt(mean(lambda x, i: x.cast("double") * x))
+    return low.select(
+        "doc_id", "hz", (F.round(2 * mean(lambda x, i: x * F.sin(turn(i))), 2) + 0.0).alias("in_phase"),
+        (F.round(2 * mean(lambda x, i: x * F.cos(turn(i))), 2) + 0.0).alias("out_of_phase"), F.round(square, 2).alias("rms"))
+
+
+@query("log_mel_tones", """WITH m AS (SELECT k, 15 + ln(14000 / 1000.0) * 27 / ln(6.4) AS top, 50 * 3 / 200.0 AS bottom FROM range(66) t(k)),
+  e AS (SELECT k, CASE WHEN mel < 15 THEN mel * 200 / 3 ELSE 1000 * exp((mel - 15) * ln(6.4) / 27) END AS hz
+    FROM (SELECT k, bottom + (top - bottom) * k / 65 AS mel FROM m)),
+  band AS (SELECT a.k AS band, a.hz AS lo, b.hz AS mid, c.hz AS hi FROM e a JOIN e b ON b.k = a.k + 1 JOIN e c ON c.k = a.k + 2),
+  tone AS (SELECT doc_id, 3 + doc_id % 250 AS bin, 0.1 * (1 + doc_id % 8) AS amp FROM documents),
+  level AS (SELECT doc_id, band, 10 * log10(greatest(1e-10, sum(share * share * amp * amp * 2 / (hi - lo) * greatest(0,
+      least(((bin + step) * 46.875 - lo) / (mid - lo), (hi - (bin + step) * 46.875) / (hi - mid)))))) AS db
+    FROM tone, band, (VALUES (-1, 128), (0, 256), (1, 128)) s(step, share) GROUP BY ALL)
+SELECT doc_id, 1001::BIGINT AS frames, arg_max(band, db) AS band, round(max(db), 1) AS db FROM level GROUP BY doc_id""")
+def log_mel_tones(spark, folder):
+    """Sines at the centre of a frequency bin: the band with the highest level in frames amid the clip, and that level. A
+    Hann window leaves a quarter of the samples' amplitude in the bin and an eighth in both bins beside it."""
+    waves = tones(spark, folder, (3 + F.col("doc_id") % 250) * 46.875, F.lit(G.SAMPLE_RATE), F.lit(G.N_FFT))
+    frames = G.log_mel(waves, id_col="doc_id")
+    amid = F.col("frame").between(100, 900)
+    levels = F.transform("mel", lambda x, i: F.struct(x.alias("db"), (-i).alias("back")))
+    return frames.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("frames"), F.max(F.when(amid, F.array_max(levels))).alias("top")).select(
+        "doc_id", "frames", (-F.col("top.back")).cast("long").alias("band"), F.round(F.col("top.db").cast("double"), 1).alias("db"))
+
+
 @query("augment_gain_noise", f"""WITH {WAV_SQL}, loaded AS (SELECT doc_id, CAST(floor(frames * (48000 / sr::DOUBLE) + 0.5) AS INTEGER) AS n
   FROM w WHERE doc_id % 17 <> 0) SELECT doc_id, CAST(k AS INTEGER) AS k, n, true AS bounded FROM loaded, range(4) t(k)""")
 def augment_gain_noise(spark, folder):
