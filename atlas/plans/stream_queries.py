@@ -16,7 +16,9 @@ from atlas.streaming import state as K
 
 
 def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return W.table_stream(spark, folder, table(spark, folder, name).schema, f"{name}.parquet")
+    """A table as a stream, be it one file or a folder of them: the pattern matches the name itself, and Spark lists
+    what it finds there (a plain path has to be a folder)."""
+    return W.table_stream(spark, f"{folder}/{name}.parque[t]", table(spark, folder, name).schema)
 
 
 def moves(events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlas.operators import intake
+from atlas.plans import stream_queries as Q
 from atlas.sources import cache as C
 from atlas.sources import tables as S
 from atlas.streaming import decisions as D
@@ -264,3 +265,12 @@ def test_a_pause_ends_the_session(spark, tmp_path):
         K.keep_batches(K.correction_state(stream, idle=100), out, checkpoint)
     # p went home in time; r came back too late, so A is a correction of its own
     assert dict(map(tuple, K.current(spark, out, "path").collect())) == {"p": None, "q": None, "r": "A", "z": "B"}
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(3, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    hashes = {r[0] for r in docs.select(F.md5("text")).collect()}
+    assert {r["hash"] for r in Q.stream_dedup(spark, str(tmp_path)).collect()} == hashes
+    one = {tuple(r) for r in Q.ingest_stream(spark, "/root/testdata/sf0.001").collect()}
+    assert {tuple(r) for r in Q.ingest_stream(spark, str(tmp_path)).collect()} == one and one
