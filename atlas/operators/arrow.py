@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+PIECE_ITEMS = 1 << 20  # bytes or samples that a piece of a batch holds, unless one row has more
+PIECE_ROWS = 1024
+
 
 def batch_udf(return_type: str):
     """A pandas UDF that is opaque to the optimizer.
@@ -18,3 +25,38 @@ def batch_udf(return_type: str):
         return F.pandas_udf(fn, return_type).asNondeterministic()
 
     return wrap
+
+
+def pieces(columns: tuple[pd.Series, ...], rows: int = PIECE_ROWS) -> Iterator[tuple[int, int]]:
+    """Where to cut a batch so that a piece holds few rows and a bounded number of bytes or samples."""
+    size = np.ones(len(columns[0]), np.int64)
+    for column in columns:
+        if column.dtype == object:
+            size += np.fromiter((0 if v is None else len(v) for v in column), np.int64, len(column))
+    start, held = 0, 0
+    for at, one in enumerate(size):
+        if at > start and (held + one > PIECE_ITEMS or at - start >= rows):
+            yield start, at
+            start, held = at, 0
+        held += one
+    if len(size):
+        yield start, len(size)
+
+
+def piece_udf(return_type: str, rows: int = PIECE_ROWS):
+    """:func:`batch_udf` for functions whose result may be far larger than a batch, such as waveforms.
+
+    A batch is passed on piece by piece and every piece's result leaves before the next one is computed, so a
+    worker holds a batch and one piece's results, however long the table is.
+    """
+
+    def wrap(fn):
+        def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for batch in batches:
+                columns = batch if isinstance(batch, tuple) else (batch,)
+                for start, stop in pieces(columns, rows):
+                    yield fn(*[c.iloc[start:stop] for c in columns])
+
+        return F.pandas_udf(run, return_type).asNondeterministic()
+
+    return wrap

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlas.operators.arrow import batch_udf
+from atlas.operators.arrow import piece_udf
 from atlas.operators.skew import positions, salted_join
 
 # Fixed values of the signal front end.
@@ -29,6 +29,8 @@ PHASES = 512
 SHORT = 256
 GAIN_RANGE = (0.5, 1.6)
 NOISE_SIGMA = 0.003
+FRAMES_AT_ONCE = 32
+HANN = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(N_FFT) / N_FFT)
 
 
 # ---- long form ------------------------------------------------------------------------------------
@@ -173,13 +175,34 @@ def pad_array(wave: np.ndarray, length: int = CLIP_SAMPLES) -> np.ndarray:
     return out
 
 
+def _alike(length: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frames of a clip to transform, and for each of the ``count`` frames which of those it equals.
+
+    A short wave is repeated, so frames at the same place of it are the same, as are frames of the zeros after it.
+    """
+    start = np.arange(count) * HOP - N_FFT // 2
+    kind = -2 - np.arange(count)  # frames that meet an end of the clip or of its repeats
+    if 0 < length < CLIP_SAMPLES:
+        end = CLIP_SAMPLES // length * length
+        kind = np.where((start >= 0) & (start + N_FFT <= end), start % length, kind)
+        kind = np.where((start >= end) & (start + N_FFT <= CLIP_SAMPLES), -1, kind)
+    _, first, which = np.unique(kind, return_index=True, return_inverse=True)
+    return first, which
+
+
 def mel_frames(wave: np.ndarray, filters: np.ndarray) -> np.ndarray:
     """Log-mel frames of one clip: Hann window, power spectrum, filterbank, decibels."""
-    padded = np.pad(pad_array(wave), N_FFT // 2, mode="reflect")
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(N_FFT) / N_FFT)
-    frames = np.lib.stride_tricks.sliding_window_view(padded, N_FFT)[::HOP] * window
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    return 10 * np.log10(np.maximum(power @ filters, FLOOR_POWER))
+    clip, half = pad_array(wave), N_FFT // 2
+    padded = np.concatenate([clip[half:0:-1], clip, clip[-2:-half - 2:-1]])
+    frames = np.lib.stride_tricks.sliding_window_view(padded, N_FFT)[::HOP]
+    first, which = _alike(len(wave), len(frames))
+    heard = np.flatnonzero(filters.any(axis=1))
+    low, high = (heard[0], heard[-1] + 1) if len(heard) else (0, 0)
+    bank, levels = filters[low:high], np.empty((len(first), filters.shape[1]))
+    for at in range(0, len(first), FRAMES_AT_ONCE):  # few enough to stay in the cache
+        spectrum = np.fft.rfft(frames[first[at:at + FRAMES_AT_ONCE]] * HANN, axis=1)[:, low:high]
+        levels[at:at + FRAMES_AT_ONCE] = (spectrum.real ** 2 + spectrum.imag ** 2) @ bank
+    return (10 * np.log10(np.maximum(levels, FLOOR_POWER)))[which]
 
 
 def mel_filterbank(sr: int = SAMPLE_RATE, n_fft: int = N_FFT, n_mels: int = N_MELS, low: float = 50.0,
@@ -216,18 +239,37 @@ def resample_array(wave: np.ndarray, in_sr: int, out_sr: int, table: np.ndarray
     ratio = out_sr / in_sr
     count = int(np.floor(len(wave) * ratio + 0.5))
     out = np.zeros(count)
+    taps, left = 2 * HALF_WIDTH, HALF_WIDTH - 1
+    padded = np.zeros(len(wave) + 2 * taps)  # silence around the wave, so that every window lies inside
+    padded[taps:taps + len(wave)] = wave
+    windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
+    sums = table.sum(axis=1)
     for at in range(0, count, 16_384):
         t = np.arange(at, min(at + 16_384, count)) / ratio
         centre = np.floor(t).astype(np.int64)
         phase = np.minimum(((t - centre) * PHASES).astype(np.int64), PHASES - 1)
-        taps = centre[:, None] + np.arange(2 * HALF_WIDTH)[None, :] - (HALF_WIDTH - 1)
-        weight = table[phase] * ((taps >= 0) & (taps < len(wave)))
-        total = weight.sum(axis=1)
-        value = (weight * wave[np.clip(taps, 0, len(wave) - 1)]).sum(axis=1)
+        start = centre - left
+        value = _weighted(windows, np.clip(start + taps, 0, len(windows) - 1), table, phase)
+        total = sums[phase]
+        edge = np.flatnonzero((start < 0) | (start + taps > len(wave)))
+        place = start[edge, None] + np.arange(taps)[None, :]
+        total[edge] = (table[phase[edge]] * ((place >= 0) & (place < len(wave)))).sum(axis=1)
         out[at:at + len(t)] = np.where(np.abs(total) > 1e-12, value / np.where(total == 0, 1, total), 0.0)
     return out
 
 
+def _weighted(windows: np.ndarray, start: np.ndarray, table: np.ndarray, phase: np.ndarray) -> np.ndarray:
+    """The sum of each window under the weights of its phase; windows of one phase are one product."""
+    order = np.argsort(phase, kind="stable")
+    used, first = np.unique(phase[order], return_index=True)
+    out = np.empty(len(start))
+    if len(start) < 8 * len(used):
+        return np.einsum("ij,ij->i", windows[start], table[phase])
+    for p, rows in zip(used, np.split(order, first[1:])):
+        out[rows] = windows[start[rows]] @ table[p]
+    return out
+
+
 # ---- Arrow-batch operators on arrays -----------------------------------------------------------------
 
 def _floats(waves) -> list[np.ndarray]:
@@ -237,7 +279,7 @@ def _floats(waves) -> list[np.ndarray]:
 def resample(df: DataFrame, out_sr: int = SAMPLE_RATE, sr: str = "sr", samples: str = "samples") -> DataFrame:
     """Every row at ``out_sr``; one table per batch and input rate."""
 
-    @batch_udf("array<float>")
+    @piece_udf("array<float>")
     def convert(rates: pd.Series, waves: pd.Series) -> pd.Series:
         tables = {int(r): sinc_table(int(r), out_sr) for r in rates.unique()}
         return pd.Series([
@@ -248,7 +290,7 @@ def resample(df: DataFrame, out_sr: int = SAMPLE_RATE, sr: str = "sr", samples:
 
 
 def trim_rows(df: DataFrame, db: float = 60.0, frame: int = 1024, samples: str = "samples") -> DataFrame:
-    @batch_udf("array<float>")
+    @piece_udf("array<float>")
     def trim(waves: pd.Series) -> pd.Series:
         return pd.Series([trim_array(w, db, frame) for w in _floats(waves)])
 
@@ -256,7 +298,7 @@ def trim_rows(df: DataFrame, db: float = 60.0, frame: int = 1024, samples: str =
 
 
 def envelope_rows(df: DataFrame, bars: int = 64, samples: str = "samples", out: str = "envelope") -> DataFrame:
-    @batch_udf("array<float>")
+    @piece_udf("array<float>")
     def draw(waves: pd.Series) -> pd.Series:
         return pd.Series([envelope_array(w, bars).astype(np.float32) for w in _floats(waves)])
 
@@ -267,7 +309,7 @@ def trim_and_draw(df: DataFrame, db: float = 60.0, frame: int = 1024, bars: int
                   out: str = "envelope") -> DataFrame:
     """:func:`trim_rows`, then :func:`envelope_rows`, in one pass over the waveforms."""
 
-    @batch_udf("struct<samples:array<float>,envelope:array<float>>")
+    @piece_udf("struct<samples:array<float>,envelope:array<float>>")
     def both(waves: pd.Series) -> pd.DataFrame:
         kept = [np.asarray(trim_array(w, db, frame), dtype=np.float32) for w in _floats(waves)]
         drawn = [envelope_array(w, bars).astype(np.float32) for w in _floats(pd.Series(kept, dtype=object))]
@@ -299,6 +341,35 @@ def log_mel(df: DataFrame, filters: np.ndarray | None = None, id_col: str = "id"
     return df.select(id_col, samples).mapInArrow(run, f"{id_col} {kind}, frame int, mel array<float>")
 
 
+def log_mel_stats(df: DataFrame, filters: np.ndarray | None = None, id_col: str = "id", samples: str = "samples",
+                  first: int = 0, last: int | None = None) -> DataFrame:
+    """``id, frames, bands, level, band, db``: one row for each clip, from its log-mel frames: their number and size,
+    the mean of all values, and the highest value of the frames ``first`` to ``last`` with its band (the lowest such).
+
+    The frames of a clip are some hundred times larger than the clip, so they are summed up where they arise.
+    """
+    bank = mel_filterbank() if filters is None else np.asarray(filters, dtype=np.float64)
+    held = df.sparkSession.sparkContext.broadcast(bank)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in range(batch.num_rows):
+                wave = batch.column(1)[row].values.to_numpy(zero_copy_only=False)
+                mel = mel_frames(wave, held.value).astype(np.float32)
+                highest = mel[first:None if last is None else last + 1].max(axis=0)
+                found.append((*mel.shape, float(mel.mean(dtype=np.float64)), int(highest.argmax()), float(highest.max())))
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*found), (
+                        pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.float32()))]],
+                    [id_col, "frames", "bands", "level", "band", "db"])
+
+    return df.select(id_col, samples).mapInArrow(
+        run, f"{id_col} {kind}, frames long, bands int, level double, band int, db float")
+
+
 def augment_gain_noise(df: DataFrame, variants: int = 4, seed: int = 0, id_col: str = "id",
                        samples: str = "samples") -> DataFrame:
     """``variants`` copies per row with random gain and noise, clipped to +-1.
@@ -306,7 +377,7 @@ def augment_gain_noise(df: DataFrame, variants: int = 4, seed: int = 0, id_col:
     The generator is seeded by (seed, id, variant), so the result does not depend on partitions or retries.
     """
 
-    @batch_udf("array<float>")
+    @piece_udf("array<float>")
     def change(keys: pd.Series, ks: pd.Series, waves: pd.Series) -> pd.Series:
         out = []
         for key, k, wave in zip(keys, ks, _floats(waves)):

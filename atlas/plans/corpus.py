@@ -15,7 +15,7 @@ from atlas.operators.head import Embedder, embed, score
 from atlas.operators.triage import consensus, label_neighbours, triage
 from atlas.session import spread
 from atlas.sources import cache
-from atlas.sources.media import load_signals, probe_duration
+from atlas.sources.media import load_signals
 from atlas.streaming.decisions import replay_decisions
 
 
@@ -44,9 +44,8 @@ def analyze(files: DataFrame, loader: Callable[[], Embedder], head: dict, keep:
 
     Files whose header says that they are too long are not decoded; the exact gate follows decoding.
     """
-    probed = probe_duration(files, out="_probe")
-    near = probed.where(F.coalesce(F.col("_probe") <= intake.MAX_SECONDS + 0.01, F.lit(True))).drop("_probe")
-    waves = load_signals(near, keep=keep).withColumn("raw", F.size("samples") / F.lit(float(signals.SAMPLE_RATE)))
+    waves = load_signals(files, keep=keep, longest=intake.MAX_SECONDS + 0.01)
+    waves = waves.withColumn("raw", F.size("samples") / F.lit(float(signals.SAMPLE_RATE)))
     drawn = signals.trim_and_draw(intake.one_shot(waves, "raw")).withColumn(
         "duration", F.size("samples") / F.lit(float(signals.SAMPLE_RATE)))
     return score(embed(drawn, loader, source="samples"), head).withColumn(

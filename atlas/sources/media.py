@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlas.functions import paths as P
-from atlas.operators.arrow import batch_udf
+from atlas.operators.arrow import batch_udf, piece_udf
 from atlas.operators.intake import union_roots
 from atlas.operators.signals import SAMPLE_RATE, resample_array, sinc_table
 
@@ -90,13 +90,20 @@ def wav_layout(head: bytes, total: int):
     return None
 
 
+def header_seconds(head: bytes, total: int) -> float | str | None:
+    """Seconds that a WAVE head tells; None and ``"more"`` as :func:`wav_layout`."""
+    found = wav_layout(bytes(head), int(total))
+    if not isinstance(found, tuple):
+        return found
+    return found[5] // (found[1] * found[3] // 8) / found[2] if found[2] else None
+
+
 def _durations(heads: pd.Series, totals: pd.Series) -> pd.DataFrame:
     seconds, more = [], []
     for head, total in zip(heads, totals):
-        found = wav_layout(bytes(head), int(total)) if head is not None else None
+        found = header_seconds(head, total) if head is not None else None
         more.append(found == "more")
-        usable = isinstance(found, tuple) and found[2]
-        seconds.append(found[5] // (found[1] * found[3] // 8) / found[2] if usable else None)
+        seconds.append(None if found == "more" else found)
     return pd.DataFrame({"seconds": pd.Series(seconds, dtype="float64"), "more": more})
 
 
@@ -137,19 +144,27 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray] | None:
     return rate, flat.reshape(-1, channels).mean(axis=1, dtype=np.float32)
 
 
+def _longer(content: bytes, limit: float) -> bool:
+    seconds = header_seconds(content, len(content))
+    return isinstance(seconds, float) and seconds > limit
+
+
 def load_signals(df: DataFrame, sr: int = SAMPLE_RATE, keep: Sequence[str] = ("path",),
-                 content: str = "content") -> DataFrame:
-    """``keep..., sr, samples``: mono signals at ``sr``. Undecodable rows drop out.
+                 content: str = "content", longest: float | None = None) -> DataFrame:
+    """``keep..., sr, samples``: mono signals at ``sr``. Undecodable rows drop out, as do those whose header says that
+    they last longer than ``longest`` seconds; these are not decoded.
 
     Decoding and resampling are one pass, so a waveform leaves Python once.
     """
 
-    @batch_udf("array<float>")
+    @piece_udf("array<float>")
     def decode(contents: pd.Series) -> pd.Series:
         tables: dict[int, np.ndarray] = {}
 
         def one(content):
-            found = decode_wav(bytes(content)) if content is not None else None
+            if content is None or (longest is not None and _longer(content, longest)):
+                return None
+            found = decode_wav(bytes(content))
             if found is None:
                 return None
             rate, wave = found

@@ -6,12 +6,15 @@ import wave
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from atlas.operators import arrow as A
 from atlas.operators import head as H
 from atlas.operators import signals as G
 from atlas.plans import corpus
+from atlas.plans import signal_queries as S
 from atlas.plans.vector_queries import wave_head
 from atlas.sources import media as M
 
@@ -280,3 +283,66 @@ def test_long_form_of_arrays(spark):
     assert back == {1: [0.5, 0.25], 2: [1.0]}
     with pytest.raises(Exception, match="signal too long"):
         G.to_arrays(G.from_arrays(df), max_samples=1).agg(F.sum(F.size("samples"))).collect()
+
+
+@pytest.mark.parametrize("length", [0, 1, 40, 777, 1200, 2500, 479_999, 480_001])
+def test_frames_of_a_repeated_wave_equal_a_plain_transform(length):
+    wave, bank = np.random.default_rng(length).normal(size=length), G.mel_filterbank()
+    x = np.pad(G.pad_array(wave), 512, mode="reflect")
+    frames = np.lib.stride_tricks.sliding_window_view(x, 1024)[::480] * np.hanning(1025)[:-1]
+    want = 10 * np.log10(np.maximum(np.abs(np.fft.rfft(frames, axis=1)) ** 2 @ bank, 1e-10))
+    np.testing.assert_allclose(G.mel_frames(wave, bank), want, atol=1e-6)
+    if 0 < length < 2000:
+        assert len(G._alike(length, 1001)[0]) < 1001
+
+
+@pytest.mark.parametrize("rates", [(22_050, 48_000), (44_100, 48_000), (48_000, 16_000), (8_000, 11_025)])
+@pytest.mark.parametrize("length", [1, 31, 64, 3_000])
+def test_resampler_equals_its_definition(rates, length):
+    (a, b), wave = rates, np.random.default_rng(length).normal(size=length)
+    table, got = G.sinc_table(a, b), G.resample_array(wave, a, b)
+    for k in {0, 1, len(got) // 2, len(got) - 1} & set(range(len(got))):
+        t = k / (b / a)
+        weights = table[min(int((t - np.floor(t)) * G.PHASES), G.PHASES - 1)]
+        at = int(np.floor(t)) + np.arange(64) - 31
+        ok = (at >= 0) & (at < length)
+        assert abs(got[k] - weights[ok] @ wave[at[ok]] / weights[ok].sum()) < 1e-9
+
+
+def test_mel_sums_equal_the_frames(spark):
+    waves = spark.createDataFrame([(1, tone(0.01, 48_000).tolist()), (2, [0.1] * 7), (3, [])], "id long, samples array<float>")
+    stats = {r["id"]: r for r in G.log_mel_stats(waves, first=100, last=900).collect()}
+    for i, rows in G.log_mel(waves).toPandas().groupby("id"):
+        mel = np.stack(rows.sort_values("frame")["mel"])
+        got = stats[i]
+        assert (got["frames"], got["bands"]) == mel.shape and abs(got["level"] - mel.mean(dtype=float)) < 1e-4
+        amid = mel[100:901].max(axis=0)
+        assert got["db"] == amid.max() and got["band"] == amid.argmax()
+    assert len(stats) == 3
+
+
+def test_a_batch_of_waveforms_is_passed_on_in_pieces(spark):
+    rows = spark.range(0, 5000, 1, 1).select("id", F.array_repeat(F.lit(1.0), 3000).alias("samples"))
+
+    @A.piece_udf("struct<id:long,rows:int>")
+    def seen(ids, waves):
+        return pd.DataFrame({"id": ids.to_numpy(), "rows": np.full(len(ids), len(ids), np.int32)})
+
+    got = rows.select("id", seen("id", "samples").alias("s")).collect()
+    assert all(r["id"] == r["s"]["id"] for r in got) and len(got) == 5000
+    assert max(r["s"]["rows"] for r in got) <= A.PIECE_ITEMS // 3000  # before: thousands at once
+    assert list(A.pieces((pd.Series([None, "x"], dtype=object),))) == [(0, 2)] and not list(A.pieces((pd.Series([]),)))
+
+
+def test_too_long_recordings_are_not_decoded(spark):
+    files = [("a", wav_bytes(tone(0.2, 8000), 8000)), ("b", wav_bytes(tone(0.5, 8000), 8000)), ("c", b"none"), ("d", None)]
+    df = spark.createDataFrame(files, "path string, content binary")
+    assert [r["path"] for r in M.load_signals(df, longest=0.3).collect()] == ["a"]
+    assert sorted(r["path"] for r in M.load_signals(df).collect()) == ["a", "b"]
+
+
+def test_levels_next_to_half_a_hundredth_equal_the_closed_form(spark, tmp_path):
+    # amplitude 0.7 at 3400 Hz: the level is 0.494975, and 0.495012 with the resampler's ripple
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.limit(1).withColumn("doc_id", F.lit(246).cast("long")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert S.resample_tones(spark, str(tmp_path)).first()["rms"] == 0.49
