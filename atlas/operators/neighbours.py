@@ -6,6 +6,10 @@ then to the closest leaf below it, and the triangle inequality on the distances
 skip, whole branches first. So cells grow finer with the table, and placing a row looks at the fourth root of n
 pivots twice. A task sees two blocks of bounded size and returns the best ``k`` per row (or the pairs above a
 threshold), so all pairs are never emitted and no key, however frequent, ends up in a single task.
+
+Where the cells separate next to nothing, as those of vectors without structure, or keys cut them into slivers, every
+pair of cells would meet and each row would travel once for each cell. Then the rows are cut into tiles instead, as
+large as two of them fit a task, and every pair of tiles meets: the same comparisons, with a hundredth of the traffic.
 """
 
 from __future__ import annotations
@@ -25,7 +29,13 @@ from atlas.session import cut_lineage
 
 DIGITS = 9  # scores are rounded before ranking, so equal vectors tie exactly and the id decides
 BLOCK_BYTES = 32 << 20
+ROUNDING = 1e-9  # more than rounding moves a score
 CHUNK_CELLS = 4_000_000
+ROWS_AT_ONCE, COLUMNS_AT_ONCE = 256, 4096
+DENSE = 0.6  # of the cells of an average row: where more may hold an answer, whole tiles meet instead
+TILE_ROWS = 2048, 65_536  # of a tile: at least, for the tasks to be worth their start, and at most
+PAIRS_A_CALL = 500_000  # pairs of rows that are compared in the time that a call for two blocks takes by itself
+PROBES = 4096  # rows, about, that tell how many cells an average row needs
 PIVOT_BYTES = 32 << 20  # that all pivots, which every task holds, take at most
 SEED_CELLS = 3  # cells that bound a row's k-th distance before the others are looked at
 SLACK = 1e-6
@@ -42,11 +52,15 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 def _scores(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
     """Larger is closer: the cosine, or the negative squared distance."""
-    if metric == "cosine":
-        return np.round(left @ right.T, DIGITS)
+    return np.round(_raw_scores(left, right, metric), DIGITS)
+
+
+def _raw_scores(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
     gram = left @ right.T
+    if metric == "cosine":
+        return gram
     d2 = (left * left).sum(axis=1)[:, None] + (right * right).sum(axis=1)[None, :] - 2.0 * gram
-    return np.round(-np.maximum(d2, 0.0), DIGITS)
+    return -np.maximum(d2, 0.0)
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -63,6 +77,46 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(picked, order, axis=1)
 
 
+def _running_best(lm: np.ndarray, rm: np.ndarray, k: int, metric: str, lid, rid, lx, rx) -> tuple[np.ndarray, np.ndarray]:
+    """Column indices and scores of the ``k`` best columns per row; fewer are filled up with scores of -inf.
+
+    Columns come in pieces. The first gives every row its ``k`` best so far; of the others only those scores are
+    rounded and ranked that reach a row's k-th best, which fewer and fewer do. ``lid`` (``lx``): ids (groups) of the
+    rows, if equal ones may not meet.
+    """
+    n = len(lm)
+    best, value = np.zeros((n, k), np.int64), np.full((n, k), -np.inf)
+    for at in range(0, len(rm), max(k, COLUMNS_AT_ONCE)):
+        cols = slice(at, at + max(k, COLUMNS_AT_ONCE))
+        if at == 0:
+            scores = _scores(lm, rm[cols], metric)
+            if lid is not None:
+                scores[lid[:, None] == rid[None, cols]] = -np.inf
+            if lx is not None:
+                scores[lx[:, None] == rx[None, cols]] = -np.inf
+            top = _best(scores, k)
+            best[:, :top.shape[1]], value[:, :top.shape[1]] = top, np.take_along_axis(scores, top, axis=1)
+            continue
+        raw = _raw_scores(lm, rm[cols], metric)
+        i, j = np.nonzero(raw >= value[:, -1:] - ROUNDING)
+        score, j = np.round(raw[i, j], DIGITS), j + at
+        free = np.ones(len(i), bool)
+        if lid is not None:
+            free &= lid[i] != rid[j]
+        if lx is not None:
+            free &= lx[i] != rx[j]
+        if not free.any():
+            continue
+        touched, place = np.unique(i[free], return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(touched)), k), place])
+        col, got = np.concatenate([best[touched].ravel(), j[free]]), np.concatenate([value[touched].ravel(), score[free]])
+        order = np.lexsort((col, -got, row))
+        row, col, got = row[order], col[order], got[order]
+        first = np.searchsorted(row, np.arange(len(touched)))[:, None] + np.arange(k)[None, :]
+        best[touched], value[touched] = col[first], got[first]
+    return best, value
+
+
 def _block_topk(k: int, metric: str, exclude: bool, skip_self: bool, carry: bool):
     """Cogroup function: left block x right block -> best ``k`` of the right block per left row."""
 
@@ -77,20 +131,15 @@ def _block_topk(k: int, metric: str, exclude: bool, skip_self: bool, carry: bool
         if metric == "cosine":
             lm, rm = _unit(lm), _unit(rm)
         lid, rid = left["_id"].to_numpy(), right["_id"].to_numpy()
+        lx, rx = left["_x"].to_numpy(), right["_x"].to_numpy()
         parts = []
-        for at in range(0, len(lid), max(1, CHUNK_CELLS // len(rid))):
-            to = at + max(1, CHUNK_CELLS // len(rid))
-            scores = _scores(lm[at:to], rm, metric)
-            if skip_self:
-                scores[lid[at:to, None] == rid[None, :]] = -np.inf
-            if exclude:
-                lx, rx = left["_x"].to_numpy()[at:to], right["_x"].to_numpy()
-                scores[lx[:, None] == rx[None, :]] = -np.inf
-            best = _best(scores, k)
-            value = np.take_along_axis(scores, best, axis=1)
+        for at in range(0, len(lid), ROWS_AT_ONCE):
+            rows = slice(at, at + ROWS_AT_ONCE)
+            best, value = _running_best(lm[rows], rm, k, metric, lid[rows] if skip_self else None, rid,
+                                        lx[rows] if exclude else None, rx)
             valid = np.isfinite(value)
             part = pd.DataFrame({
-                "src": np.repeat(lid[at:to], valid.sum(axis=1)), "dst": rid[best[valid]],
+                "src": np.repeat(lid[rows], valid.sum(axis=1)), "dst": rid[best[valid]],
                 "score": value[valid],
             })
             if carry:
@@ -289,6 +338,42 @@ def _sure_reach(df: DataFrame, pivots: Pivots, radii: Radii, metric: str, k: int
     return sure(F.col("_v"), F.xxhash64("_x"))
 
 
+def _needed(df: DataFrame, n: int, pivots: Pivots, radii: Radii, metric: str, reach: Column) -> float:
+    """Cells that an average row has to look at. A fixed choice of rows tells; what is made of it decides the way,
+    never the result."""
+    probes = df.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(max(1, n // PROBES))) == 0)
+    return probes.select(F.size(_cells_within(probes, pivots, radii, metric, reach)).alias("n")).agg(
+        F.avg("n")).first()[0] or 0.0
+
+
+def _is_dense(needed: float, radii: Radii) -> bool:
+    """Whether the cells separate so little that tiles are cheaper: rows travel once for each partner, and there are
+    far fewer tiles than cells."""
+    return needed > DENSE * int(np.isfinite(radii.low).sum())
+
+
+def _are_slivers(left: DataFrame, right: DataFrame, keys: Sequence[str], needed: float) -> bool:
+    """Whether keys cut the cells so small that calls of the block function cost more than comparing all rows of a key."""
+    blocks = left.select(*keys, "l_cell", "l_sub").distinct().count()
+    rows = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("a")).join(
+        right.groupBy(*keys).agg(F.count(F.lit(1)).alias("b")), list(keys))
+    pairs = rows.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0.0
+    return pairs < blocks * needed * PAIRS_A_CALL
+
+
+def tile_rows(df: DataFrame, n: int, dim: int) -> int:
+    """Rows of a tile: pairs of tiles keep the cluster busy, two tiles fit a task, and the tiles are few."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    least, most = TILE_ROWS
+    return max(least, min(math.ceil(n / math.ceil(math.sqrt(2 * cores))), most, BLOCK_BYTES // (4 * dim)))
+
+
+def _tiles(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Tiles in place of cells: one cell for all, cut by digests of the ids."""
+    whole = df.drop("_cell", "_sub", "_r", "_q").withColumn("_cell", F.lit(0))
+    return _with_blocks(whole, [*keys, "_cell"], rows)
+
+
 def _keyed(df: DataFrame, prefix: str, by: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     names = ["_cell", *extra, "_sub"]
     return df.select(*by, *[F.col(c).alias(prefix + c) for c in names], "_id", "_v", "_x", "_c")
@@ -357,7 +442,7 @@ def top_k(
         found = renewed(ls).groupBy(*keys, "_piece").cogroup(renewed(rs).groupBy(*keys, "_piece")).applyInPandas(
             run, schema)
     else:
-        found = _pruned_top_k(lt, rt, k, metric, keys, rows, n_right, dim, exclude is not None, run, schema)
+        found = _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude is not None, run, schema)
     nearest = Window.partitionBy("src").orderBy(F.desc("score"), F.asc("dst"))
     ranked = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     score = F.col("score") if metric == "cosine" else -F.col("score")
@@ -365,7 +450,7 @@ def top_k(
     return ranked.select("src", "dst", "rank", score.alias("score"), *extra)
 
 
-def _pruned_top_k(lt, rt, k, metric, keys, rows, n_right, dim, exclude, run, schema) -> DataFrame:
+def _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude, run, schema) -> DataFrame:
     pivots = _pivots(rt, n_right, rows, metric, dim)
     # Of rows with the same vector and group, only the first k + 1 can be among anybody's best k.
     copy = Window.partitionBy(*keys, "_v", "_x").orderBy("_id")
@@ -405,6 +490,14 @@ def _pruned_top_k(lt, rt, k, metric, keys, rows, n_right, dim, exclude, run, sch
     else:
         unseen = F.lit(float("inf"))
     reach = F.when(seen, distance + scale * 1e-4).otherwise(unseen)
+    needed = _needed(bounded, n_left, pivots, radii, metric, reach)
+    if _is_dense(needed, radii) or (keys and _are_slivers(left, right, keys, needed)):
+        tile = tile_rows(lt, max(n_left, n_right), dim)
+        lb, rb = cut_lineage(_tiles(lb, keys, tile)), cut_lineage(_tiles(rb, keys, tile))
+        left, right = _keyed(lb, "l", keys), _keyed(rb, "r", keys)
+        ends = [left.select(*keys, *lkeys).distinct(), right.select(*keys, *rkeys).distinct()]
+        every = ends[0].join(ends[1], list(keys)) if keys else ends[0].crossJoin(ends[1])
+        return _meet(left, right, cut_lineage(every), lkeys, rkeys, keys, run, schema)
     wanted = bounded.select(
         *keys, F.col("_cell").alias("l_cell"), F.col("_sub").alias("l_sub"),
         F.explode(_cells_within(lb, pivots, radii, metric, reach)).alias("r_cell"),
@@ -429,19 +522,36 @@ def _block_pairs(threshold: float):
                 left["l_sub"].iloc[0] == right["r_sub"].iloc[0])
             step = max(1, CHUNK_CELLS // len(rid))
             for at in range(0, len(lid), step):
-                scores = np.round(lm[at:at + step] @ rm.T, DIGITS)
-                hit = scores >= threshold
-                if own_block:
-                    hit &= lid[at:at + step, None] < rid[None, :]
-                i, j = np.nonzero(hit)
-                a, b = lid[at:at + step][i], rid[j]
-                parts.append(pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b),
-                                           "score": scores[i, j]}))
+                raw = lm[at:at + step] @ rm.T
+                i, j = np.nonzero(raw >= threshold - ROUNDING)
+                a, b, score = lid[at:at + step][i], rid[j], np.round(raw[i, j], DIGITS)
+                hit = (score >= threshold) & (a < b) if own_block else score >= threshold
+                a, b = a[hit], b[hit]
+                parts.append(pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b), "score": score[hit]}))
         return pd.concat(parts)
 
     return run
 
 
+def _join_roots(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Make ``root`` (the smallest vertex that each is joined to) hold for the links ``u - v`` too."""
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return
+        u, v = u[apart], v[apart]
+        high, low = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+        order = np.lexsort((low, high))
+        first = np.unique(high[order], return_index=True)[1]
+        root[high[order][first]] = low[order][first]  # roots only, each to a smaller one
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
 def _block_forest(threshold: float):
     """Cogroup function: links (root, member) that connect exactly what the block's pairs connect."""
 
@@ -450,16 +560,16 @@ def _block_forest(threshold: float):
             return _no_edges(left["_id"])
         lm, rm = _unit(_matrix(left["_v"])), _unit(_matrix(right["_v"]))
         lid, rid = left["_id"].to_numpy(), right["_id"].to_numpy()
-        hit = np.round(lm @ rm.T, DIGITS) >= threshold
         ids, place = np.unique(np.concatenate([lid, rid]), return_inverse=True)  # in order, whatever their type
-        far = len(ids)
         lroot, rroot = place[:len(lid)].copy(), place[len(lid):].copy()
-        while True:
-            rnew = np.minimum(rroot, np.where(hit, lroot[:, None], far).min(axis=0))
-            lnew = np.minimum(lroot, np.where(hit, rnew[None, :], far).min(axis=1))
-            if (rnew == rroot).all() and (lnew == lroot).all():
-                break
-            lroot, rroot = lnew, rnew
+        root = np.arange(len(ids))
+        step = max(1, CHUNK_CELLS // len(rid))
+        for at in range(0, len(lid), step):
+            raw = lm[at:at + step] @ rm.T
+            i, j = np.nonzero(raw >= threshold - ROUNDING)
+            linked = np.round(raw[i, j], DIGITS) >= threshold
+            _join_roots(root, lroot[at + i[linked]], rroot[j[linked]])
+        lroot, rroot = root[lroot], root[rroot]
         roots = np.concatenate([lroot, rroot])
         linked = place != roots
         links = pd.DataFrame({"src": ids[roots[linked]], "dst": ids[place[linked]]}).drop_duplicates()
@@ -498,8 +608,15 @@ def _near_dup(df: DataFrame, threshold: float, id_col: str, vec: str, block_rows
         "_core", (F.col("_r") <= core_radius) if forest else F.lit(False))
     blocks = cut_lineage(_with_blocks(placed, ["_cell", "_core"], rows))
     radii = _radii(blocks, pivots)
-    left, right = _keyed(blocks, "l", (), ["_core"]), _keyed(blocks, "r", (), ["_core"])
     lkeys, rkeys = ["l_cell", "l_core", "l_sub"], ["r_cell", "r_core", "r_sub"]
+    if _is_dense(_needed(blocks, n, pivots, radii, "cosine", F.lit(reach)), radii):
+        tiles = _tiles(blocks.withColumn("_core", F.lit(False)), (), tile_rows(df, n, dim))
+        tiles = cut_lineage(tiles)
+        left, right = _keyed(tiles, "l", (), ["_core"]), _keyed(tiles, "r", (), ["_core"])
+        every = left.select(*lkeys).distinct().crossJoin(right.select(*rkeys).distinct()).where("l_sub <= r_sub")
+        found = _meet(left, right, cut_lineage(every), lkeys, rkeys, (), run, schema)
+        return found.unionByName(links) if forest else _expanded(found, shared_ids)
+    left, right = _keyed(blocks, "l", (), ["_core"]), _keyed(blocks, "r", (), ["_core"])
     wanted = blocks.select(
         F.col("_cell").alias("l_cell"), F.col("_core").alias("l_core"), F.col("_sub").alias("l_sub"),
         F.explode(_cells_within(blocks, pivots, radii, "cosine", F.lit(reach))).alias("r_cell"),

@@ -275,3 +275,50 @@ def test_cells_of_one_group_still_prune(spark, monkeypatch):
         d = np.round(((x - x[i]) ** 2).sum(axis=1), N.DIGITS)
         d[np.arange(4000) % 40 % 8 == i % 40 % 8] = np.inf
         assert [got[i, k + 1] for k in range(5)] == np.lexsort((np.arange(4000), d))[:5].tolist()
+
+
+def counted_meetings(monkeypatch):
+    calls, real = [], N._meet
+
+    def meet(left, right, pairs, *rest):
+        calls.append(pairs.count())
+        return real(left, right, pairs, *rest)
+
+    monkeypatch.setattr(N, "_meet", meet)
+    return calls
+
+
+def test_rows_without_structure_meet_in_tiles(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(900, 32))
+    x[500:520] = x[500] + 1e-3 * np.random.default_rng(9).normal(size=(20, 32))
+    group, by = [i % 7 for i in range(900)], [f"b{i % 3}" for i in range(900)]
+    df = frame(spark, x, g=group, b=by)
+    monkeypatch.setattr(N, "TILE_ROWS", (250, 250))
+    monkeypatch.setattr(N, "COLUMNS_AT_ONCE", 64)
+    calls = counted_meetings(monkeypatch)
+    assert found(N.top_k(df, k=5, exclude="g", block_rows=30)) == brute(x, 5, group=group)
+    assert calls[-1] == 16  # four tiles a side; before: 30 cells a side
+    assert found(N.top_k(df, k=5, metric="sqeuclid", by=["b"], block_rows=30)) == brute(x, 5, by=by, metric="sqeuclid")
+    for threshold in (0.3, 0.45):
+        got = {(r["src"], r["dst"]) for r in N.near_dup_pairs(df, threshold, block_rows=30).collect()}
+        assert got == pairs_of(x, threshold) and calls[-1] == 10
+        links = [(r["src"], r["dst"]) for r in N.near_dup_links(df, threshold, block_rows=30).collect()]
+        assert partition_of(links, 900) == partition_of(got, 900)
+
+
+def test_slivers_of_cells_meet_in_tiles(spark, monkeypatch):
+    x, by = np.random.default_rng(4).normal(size=(800, 2)), [f"b{i % 20}" for i in range(800)]
+    calls = counted_meetings(monkeypatch)
+    df = frame(spark, x, b=by)
+    assert found(N.top_k(df, k=4, metric="sqeuclid", by=["b"], block_rows=100)) == brute(x, 4, by=by, metric="sqeuclid")
+    assert calls[-1] == 20  # one tile for each key
+
+
+def test_roots_of_links():
+    rng = np.random.default_rng(2)
+    for n, m in ((50, 20), (300, 280), (40, 700)):
+        u, v = rng.integers(0, n, (2, m))
+        root = np.arange(n)
+        for part in np.array_split(np.arange(m), 3):
+            N._join_roots(root, u[part], v[part])
+        assert root.tolist() == list(partition_of(list(zip(u.tolist(), v.tolist())), n).values())
