@@ -91,18 +91,32 @@ def nearest_section(points: DataFrame, sections: DataFrame, radius: float = DROP
                     own: str = "section") -> DataFrame:
     """Closest section centre within ``radius`` of each point, its own section excluded.
 
-    ``points``: id, x, y, <own>; ``sections``: name, cx, cy. Points without a hit keep nulls. The sections
-    are spread over the cells they can reach.
+    ``points``: id, x, y, <own>; ``sections``: name, cx, cy. Points without a hit keep nulls. Sections are searched
+    through a quadtree, first within a small distance, the smaller the more sections there are; points without an
+    answer go on to four times that distance, until the last round looks as far as ``radius``. At one place only the
+    two smallest names can matter, since a point has one section of its own.
     """
-    reach = sections.select("name", F.col("cx").alias("sx"), F.col("cy").alias("sy"),
-                            F.explode(_around(F.col("cx"), F.col("cy"), radius)).alias("c")).select(
-        "name", "sx", "sy", F.col("c.cx").alias("_cx"), F.col("c.cy").alias("_cy"))
-    placed = points.withColumns({"_cx": _cell(F.col("x"), radius), "_cy": _cell(F.col("y"), radius)})
-    near = salted_join(placed, reach, ["_cx", "_cy"], spread=["id"]).withColumn(
-        "d", _distance("x", "y", "sx", "sy")).where((F.col("name") != F.col(own)) & (F.col("d") < radius))
-    best = near.groupBy("id").agg(F.min(F.struct("d", "name")).alias("_b"))
-    return points.join(best, "id", "left").withColumns(
-        {"target": F.col("_b.name"), "distance": F.col("_b.d")}).drop("_b")
+    centres = sections.where("cx IS NOT NULL AND cy IS NOT NULL").select(
+        F.col("cx").alias("x"), F.col("cy").alias("y"), "name").distinct()
+    first = centres.groupBy("x", "y").agg(F.min("name").alias("_first"))
+    second = centres.join(first, ["x", "y"]).where(F.col("name") > F.col("_first")).groupBy("x", "y").agg(F.min("name").alias("name"))
+    spots = cut_lineage(first.withColumnRenamed("_first", "name").unionByName(second))
+    n = spots.count()
+    halvings = max(0, min(6, int(math.log(max(n, 1) / 64, 4)))) if n > 64 else 0
+    asked = cut_lineage(points.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col(own).alias("_own")).where(
+        "qx IS NOT NULL AND qy IS NOT NULL AND _own IS NOT NULL").distinct())
+    answers = None
+    while True:
+        found = cut_lineage(nearest_within(asked, spots, radius / 2 ** halvings, "name", own="_own"))
+        answers = found if answers is None else answers.unionByName(found)
+        if halvings == 0:
+            break
+        asked = cut_lineage(asked.join(found, ["qx", "qy", "_own"], "left_anti"))
+        halvings = max(0, halvings - 2)
+    best = answers.where(F.col("d") < radius).select("qx", "qy", "_own", "d", F.col("name").alias("_name"))
+    keyed = points.withColumns({"qx": F.col("x"), "qy": F.col("y"), "_own": F.col(own)})
+    return salted_join(keyed, best, ["qx", "qy", "_own"], "left", spread=["id"]).withColumns(
+        {"target": F.col("_name"), "distance": F.col("d")}).drop("qx", "qy", "_own", "_name", "d")
 
 
 def nearest_node(queries: DataFrame, nodes: DataFrame, zoom: float = 1.2, leaf: int = LEAF) -> DataFrame:

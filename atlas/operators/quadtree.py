@@ -61,12 +61,14 @@ def _corners(qx: str, qy: str, radius: float) -> tuple[Column, Column]:
 
 
 def nearest_within(queries: DataFrame, points: DataFrame, radius: float, payload: str, leaf: int = LEAF,
-                   finest: int = FINEST) -> DataFrame:
+                   finest: int = FINEST, own: str | None = None) -> DataFrame:
     """``qx, qy, d, <payload>`` of the closest point no further than ``radius``; ties go to the smaller payload.
 
     ``queries``: distinct qx, qy; ``points``: distinct x, y with an orderable payload. Queries without a point are
-    left out.
+    left out. With ``own``, a column of the queries and of the result, points whose payload equals it do not count;
+    a leaf all of whose points have one payload then bounds only the answers of others.
     """
+    asked = ["qx", "qy", *([own] if own else [])]
     split = cut_lineage(cells(points, radius, leaf, finest))
     fine = radius / 2 ** finest
     piece = F.pmod(F.xxhash64("x", "y"), F.col("pieces")).cast("int")
@@ -78,15 +80,22 @@ def nearest_within(queries: DataFrame, points: DataFrame, radius: float, payload
     steps = [(dx, dy) for dx in range(-REACH, REACH + 1) for dy in range(-REACH, REACH + 1)]
     around = F.explode(F.array(*[F.struct((cell_of(F.col("qx"), radius) + dx).alias("top_x"),
                                           (cell_of(F.col("qy"), radius) + dy).alias("top_y")) for dx, dy in steps]))
-    touched = queries.select("qx", "qy", around.alias("_t")).select("qx", "qy", "_t.top_x", "_t.top_y").join(
+    if own:
+        mixed = filed.groupBy("level", "lx", "ly").agg(F.min(payload).alias("_least"), F.max(payload).alias("_most"))
+        tree = tree.join(mixed, ["level", "lx", "ly"])
+        counts = (F.col("_least") != F.col("_most")) | (F.col("_least") != F.col(own))
+    else:
+        counts = F.lit(True)
+    touched = queries.select(*asked, around.alias("_t")).select(*asked, "_t.top_x", "_t.top_y").join(
         tree, ["top_x", "top_y"])
     near, far = _corners("qx", "qy", radius)
-    touched = touched.select("qx", "qy", "level", "lx", "ly", "pieces", near.alias("_near"), far.alias("_far")).where(
+    touched = touched.select(*asked, "level", "lx", "ly", "pieces", near.alias("_near"), F.when(counts, far).alias("_far")).where(
         F.col("_near") <= radius)
-    bound = F.min("_far").over(Window.partitionBy("qx", "qy"))
+    bound = F.coalesce(F.min("_far").over(Window.partitionBy(*asked)), F.lit(radius))
     wanted = touched.withColumn("_bound", bound).where(F.col("_near") <= F.col("_bound") * (1 + 1e-9)).select(
-        "qx", "qy", "level", "lx", "ly", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        *asked, "level", "lx", "ly", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
     dx, dy = F.col("qx") - F.col("x"), F.col("qy") - F.col("y")
     met = wanted.join(filed, ["level", "lx", "ly", "piece"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= radius)
-    best = met.groupBy("qx", "qy").agg(F.min(F.struct("d", payload)).alias("_b"))
-    return best.select("qx", "qy", F.col("_b.d").alias("d"), F.col(f"_b.{payload}").alias(payload))
+    met = met.where(F.col(payload) != F.col(own)) if own else met
+    best = met.groupBy(*asked).agg(F.min(F.struct("d", payload)).alias("_b"))
+    return best.select(*asked, F.col("_b.d").alias("d"), F.col(f"_b.{payload}").alias(payload))

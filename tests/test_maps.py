@@ -1,6 +1,7 @@
 """Geometry and layout: no overlaps, recall above chance, small and large sections alike."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from atlas.operators import geometry as G
@@ -195,3 +196,32 @@ def test_crowded_cell_is_cut_into_bounded_leaves(spark):
             assert got[tuple(p)][0] == best and abs(got[tuple(p)][1] - d[best]) < 1e-9
         else:
             assert tuple(p) not in got
+
+
+@pytest.mark.parametrize("n", [40, 3000])
+def test_nearest_section_equals_brute_force(spark, n):
+    rng = np.random.default_rng(n)
+    place = np.round(rng.uniform(0, 100, size=(n, 2)))
+    place[: n // 4] = place[0]  # a crowd of sections at one place
+    sections = spark.createDataFrame([(i // 2, *map(float, p)) for i, p in enumerate(place)], "name long, cx double, cy double")
+    at = np.concatenate([place[:60], np.round(rng.uniform(-40, 140, size=(200, 2)))])
+    at[-1] = (400, 400)
+    own = [int(i) // 2 if k % 2 else int(rng.integers(n)) for k, i in enumerate(range(len(at)))]
+    points = spark.createDataFrame([(i, *map(float, p), o) for i, (p, o) in enumerate(zip(at, own))] + [(999, 1.0, 1.0, None)],
+                                   "id long, x double, y double, section long")
+    got = {r["id"]: (r["target"], r["distance"]) for r in G.nearest_section(points, sections).collect()}
+    name = np.arange(n) // 2
+    for i, p in enumerate(at):
+        d = np.sqrt(((place - p) ** 2).sum(axis=1))
+        d[name == own[i]] = np.inf
+        best = np.lexsort((name, d))[0]
+        assert got[i] == ((name[best], d[best]) if d[best] < 20 else (None, None))
+    assert got[999] == (None, None) and len(got) == len(at) + 1
+
+
+def test_a_crowd_of_sections_is_not_joined_with_a_crowd_of_points(spark):
+    sections = spark.range(20_000).select(F.col("id").alias("name"), (F.col("id") % 50).cast("double").alias("cx"), F.lit(1.0).alias("cy"))
+    points = spark.range(40_000).select("id", (F.col("id") % 50 + 0.25).alias("x"), F.lit(1.0).alias("y"), (F.col("id") % 25).alias("section"))
+    got = G.nearest_section(points, sections)  # joined by cells, 20 000 sections meet 40 000 points
+    assert got.agg(F.min("distance"), F.max("distance"), F.count("target")).first()[:] == (0.25, 0.25, 40_000)
+    assert got.where("target % 50 <> id % 50 OR target = section").isEmpty()
