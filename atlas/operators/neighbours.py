@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from atlas.operators.arrow import batch_udf
 from atlas.operators.skew import salted_join
-from atlas.session import cut_lineage
+from atlas.session import cut_lineage, spread
 
 DIGITS = 9  # scores are rounded before ranking, so equal vectors tie exactly and the id decides
 BLOCK_BYTES = 32 << 20
 ROUNDING = 1e-9  # more than rounding moves a score
-CHUNK_CELLS = 4_000_000
-ROWS_AT_ONCE, COLUMNS_AT_ONCE = 256, 4096
+ROWS_AT_ONCE, COLUMNS_AT_ONCE, FIRST_COLUMNS = 256, 4096, 256
+PAIRS_AT_ONCE = 1 << 16  # pairs whose vectors are gathered for exact scores
 DENSE = 0.6  # of the cells of an average row: where more may hold an answer, whole tiles meet instead
 TILE_ROWS = 2048, 65_536  # of a tile: at least, for the tasks to be worth their start, and at most
 PAIRS_A_CALL = 500_000  # pairs of rows that are compared in the time that a call for two blocks takes by itself
@@ -77,17 +77,81 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(picked, order, axis=1)
 
 
-def _running_best(lm: np.ndarray, rm: np.ndarray, k: int, metric: str, lid, rid, lx, rx) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Short:
+    """A matrix in single precision, for deciding which pairs are worth an exact score."""
+
+    rows: np.ndarray
+    norm: np.ndarray
+    sound: bool  # small enough that nothing overflows
+
+    @staticmethod
+    def of(matrix: np.ndarray) -> Short:
+        norm = np.sqrt((matrix * matrix).sum(axis=1))
+        return Short(matrix.astype(np.float32), norm, bool(np.isfinite(norm).all() and (not len(norm) or norm.max() < 1e15)))
+
+    def part(self, rows: slice) -> Short:
+        return Short(self.rows[rows], self.norm[rows], self.sound)
+
+
+def _marked(mask: np.ndarray) -> np.ndarray:
+    """Places of the few true values, looked for eight at a time."""
+    flat = mask.reshape(-1)
+    even = len(flat) // 8 * 8
+    eights = np.flatnonzero(flat[:even].view(np.uint64))
+    i, j = np.nonzero(flat[:even].reshape(-1, 8)[eights])
+    return np.concatenate([eights[i] * 8 + j, even + np.flatnonzero(flat[even:])])
+
+
+def _candidates(left: Short, right: Short, limit: np.ndarray | float, metric: str,
+                room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose score may reach their row's ``limit``: all that do, and few others. ``room``: for the products.
+
+    The error of a sum of d products in single precision is below d + 2 units of 2^-24 of the product of the norms;
+    what is allowed for is more than twice that.
+    """
+    error = (left.rows.shape[1] + 16) * 2.0 ** -22
+    gram = room[:len(left.rows) * len(right.rows)].reshape(len(left.rows), len(right.rows))
+    np.matmul(left.rows, right.rows.T, out=gram)
+    widest = right.norm.max(initial=0.0)
+    if metric == "cosine":
+        least = limit - ROUNDING - error * left.norm * widest
+    else:
+        gram -= (right.norm * right.norm / 2).astype(np.float32)[None, :]
+        least = (limit + left.norm * left.norm - ROUNDING - error * (left.norm + widest) ** 2) / 2
+    flat = _marked(gram >= least.astype(np.float32)[:, None])
+    return flat // gram.shape[1], flat % gram.shape[1]
+
+
+def _scores_of(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of the pairs ``i, j``, pair by pair if they are few."""
+    if len(i) * 16 > len(left) * len(right):
+        return np.round(_raw_scores(left, right, metric)[i, j], DIGITS)
+    out = np.empty(len(i))
+    for at in range(0, len(i), PAIRS_AT_ONCE):
+        part = slice(at, at + PAIRS_AT_ONCE)
+        a, b = left[i[part]], right[j[part]]
+        gram = np.einsum("ij,ij->i", a, b)
+        out[part] = gram if metric == "cosine" else -np.maximum((a * a).sum(axis=1) + (b * b).sum(axis=1) - 2.0 * gram, 0.0)
+    return np.round(out, DIGITS)
+
+
+def _running_best(lm: np.ndarray, rm: np.ndarray, k: int, metric: str, lid, rid, lx, rx, ls: Short | None = None,
+                  rs: Short | None = None, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Column indices and scores of the ``k`` best columns per row; fewer are filled up with scores of -inf.
 
-    Columns come in pieces. The first gives every row its ``k`` best so far; of the others only those scores are
-    rounded and ranked that reach a row's k-th best, which fewer and fewer do. ``lid`` (``lx``): ids (groups) of the
-    rows, if equal ones may not meet.
+    Columns come in pieces, each as wide as all before it. The first gives every row its ``k`` best so far; of the
+    others only those pairs are scored and ranked that may reach a row's k-th best, which fewer and fewer do: single
+    precision tells. ``lid`` (``lx``): ids (groups) of the rows, if equal ones may not meet. ``ls``, ``rs``: the rows
+    in single precision, where the caller has them; ``room``: for products.
     """
     n = len(lm)
+    ls, rs = ls or Short.of(lm), rs or Short.of(rm)
+    room = np.empty(n * max(k, COLUMNS_AT_ONCE), np.float32) if room is None else room
     best, value = np.zeros((n, k), np.int64), np.full((n, k), -np.inf)
-    for at in range(0, len(rm), max(k, COLUMNS_AT_ONCE)):
-        cols = slice(at, at + max(k, COLUMNS_AT_ONCE))
+    at, wide = 0, max(k, FIRST_COLUMNS)
+    while at < len(rm):
+        cols = slice(at, at + wide)
         if at == 0:
             scores = _scores(lm, rm[cols], metric)
             if lid is not None:
@@ -96,20 +160,27 @@ def _running_best(lm: np.ndarray, rm: np.ndarray, k: int, metric: str, lid, rid,
                 scores[lx[:, None] == rx[None, cols]] = -np.inf
             top = _best(scores, k)
             best[:, :top.shape[1]], value[:, :top.shape[1]] = top, np.take_along_axis(scores, top, axis=1)
+            at += wide
             continue
-        raw = _raw_scores(lm, rm[cols], metric)
-        i, j = np.nonzero(raw >= value[:, -1:] - ROUNDING)
-        score, j = np.round(raw[i, j], DIGITS), j + at
+        if ls.sound and rs.sound:
+            i, j = _candidates(ls, rs.part(cols), value[:, -1], metric, room)
+        else:
+            i, j = np.nonzero(_raw_scores(lm, rm[cols], metric) >= value[:, -1:] - ROUNDING)
         free = np.ones(len(i), bool)
         if lid is not None:
-            free &= lid[i] != rid[j]
+            free &= lid[i] != rid[at + j]
         if lx is not None:
-            free &= lx[i] != rx[j]
-        if not free.any():
+            free &= lx[i] != rx[at + j]
+        i, j = i[free], j[free]
+        score, j = _scores_of(lm, rm[cols], i, j, metric), j + at
+        at, wide = at + wide, min(at + wide, max(k, COLUMNS_AT_ONCE))
+        good = score >= value[i, -1]
+        if not good.any():
             continue
-        touched, place = np.unique(i[free], return_inverse=True)
+        i, j, score = i[good], j[good], score[good]
+        touched, place = np.unique(i, return_inverse=True)
         row = np.concatenate([np.repeat(np.arange(len(touched)), k), place])
-        col, got = np.concatenate([best[touched].ravel(), j[free]]), np.concatenate([value[touched].ravel(), score[free]])
+        col, got = np.concatenate([best[touched].ravel(), j]), np.concatenate([value[touched].ravel(), score])
         order = np.lexsort((col, -got, row))
         row, col, got = row[order], col[order], got[order]
         first = np.searchsorted(row, np.arange(len(touched)))[:, None] + np.arange(k)[None, :]
@@ -132,11 +203,13 @@ def _block_topk(k: int, metric: str, exclude: bool, skip_self: bool, carry: bool
             lm, rm = _unit(lm), _unit(rm)
         lid, rid = left["_id"].to_numpy(), right["_id"].to_numpy()
         lx, rx = left["_x"].to_numpy(), right["_x"].to_numpy()
+        ls, rs = Short.of(lm), Short.of(rm)
+        room = np.empty(ROWS_AT_ONCE * max(k, COLUMNS_AT_ONCE), np.float32)
         parts = []
         for at in range(0, len(lid), ROWS_AT_ONCE):
             rows = slice(at, at + ROWS_AT_ONCE)
             best, value = _running_best(lm[rows], rm, k, metric, lid[rows] if skip_self else None, rid,
-                                        lx[rows] if exclude else None, rx)
+                                        lx[rows] if exclude else None, rx, ls.part(rows), rs, room)
             valid = np.isfinite(value)
             part = pd.DataFrame({
                 "src": np.repeat(lid[rows], valid.sum(axis=1)), "dst": rid[best[valid]],
@@ -355,10 +428,15 @@ def _is_dense(needed: float, radii: Radii) -> bool:
 def _are_slivers(left: DataFrame, right: DataFrame, keys: Sequence[str], needed: float) -> bool:
     """Whether keys cut the cells so small that calls of the block function cost more than comparing all rows of a key."""
     blocks = left.select(*keys, "l_cell", "l_sub").distinct().count()
+    return _pairs_in_keys(left, right, keys)[0] < blocks * needed * PAIRS_A_CALL
+
+
+def _pairs_in_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[float, int]:
+    """Pairs of rows with equal keys, and keys."""
     rows = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("a")).join(
         right.groupBy(*keys).agg(F.count(F.lit(1)).alias("b")), list(keys))
-    pairs = rows.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0.0
-    return pairs < blocks * needed * PAIRS_A_CALL
+    pairs, held = rows.agg(F.sum(F.col("a").cast("double") * F.col("b")), F.count(F.lit(1))).first()
+    return pairs or 0.0, held
 
 
 def tile_rows(df: DataFrame, n: int, dim: int) -> int:
@@ -386,11 +464,16 @@ def renewed(df: DataFrame) -> DataFrame:
 
 def _meet(left: DataFrame, right: DataFrame, pairs: DataFrame, lkeys: Sequence[str], rkeys: Sequence[str],
           by: Sequence[str], run, schema: str) -> DataFrame:
-    """Send every listed pair of blocks to one task. Blocks are bounded, so every group is."""
+    """Send every listed pair of blocks to one task. Blocks are bounded, so every group is.
+
+    The number of partitions is explicit: the work grows with the product of two blocks, so few bytes are no reason
+    to merge partitions.
+    """
     keys = [*by, *lkeys, *rkeys]
     ls = renewed(left).join(renewed(pairs), [*by, *lkeys])
     rs = renewed(right).join(renewed(pairs), [*by, *rkeys])
-    return renewed(ls).groupBy(*keys).cogroup(renewed(rs).groupBy(*keys)).applyInPandas(run, schema)
+    sides = [spread(renewed(side), *keys).groupBy(*keys) for side in (ls, rs)]
+    return sides[0].cogroup(sides[1]).applyInPandas(run, schema)
 
 
 def edge_schema(df: DataFrame) -> str:
@@ -450,11 +533,26 @@ def top_k(
     return ranked.select("src", "dst", "rank", score.alias("score"), *extra)
 
 
+def _by_tiles(lb: DataFrame, rb: DataFrame, keys: Sequence[str], tile: int, run, schema: str) -> DataFrame:
+    """Every pair of tiles with equal keys meets."""
+    left, right = (_keyed(cut_lineage(_tiles(side, keys, tile)), prefix, keys) for side, prefix in ((lb, "l"), (rb, "r")))
+    lkeys, rkeys = ["l_cell", "l_sub"], ["r_cell", "r_sub"]
+    ends = [left.select(*keys, *lkeys).distinct(), right.select(*keys, *rkeys).distinct()]
+    every = ends[0].join(ends[1], list(keys)) if keys else ends[0].crossJoin(ends[1])
+    return _meet(left, right, cut_lineage(every), lkeys, rkeys, keys, run, schema)
+
+
 def _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude, run, schema) -> DataFrame:
-    pivots = _pivots(rt, n_right, rows, metric, dim)
     # Of rows with the same vector and group, only the first k + 1 can be among anybody's best k.
     copy = Window.partitionBy(*keys, "_v", "_x").orderBy("_id")
     useful = rt.withColumn("_copy", F.row_number().over(copy)).where(F.col("_copy") <= k + 1).drop("_copy")
+    tile = tile_rows(lt, max(n_left, n_right), dim)
+    if keys:
+        # Where a few calls for each cell of each key would cost more than all pairs within the keys, no cells are made.
+        pairs, held = _pairs_in_keys(lt, rt, keys)
+        if pairs < leaf_count(n_right, rows, dim) * held * SEED_CELLS * PAIRS_A_CALL:
+            return _by_tiles(lt, useful, keys, tile, run, schema)
+    pivots = _pivots(rt, n_right, rows, metric, dim)
     rb = cut_lineage(_with_blocks(_with_cells(useful, pivots, metric), [*keys, "_cell"], rows))
     lb = cut_lineage(_with_blocks(_with_cells(lt, pivots, metric), [*keys, "_cell"], rows))
     radii = _radii(rb, pivots)
@@ -492,12 +590,7 @@ def _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude,
     reach = F.when(seen, distance + scale * 1e-4).otherwise(unseen)
     needed = _needed(bounded, n_left, pivots, radii, metric, reach)
     if _is_dense(needed, radii) or (keys and _are_slivers(left, right, keys, needed)):
-        tile = tile_rows(lt, max(n_left, n_right), dim)
-        lb, rb = cut_lineage(_tiles(lb, keys, tile)), cut_lineage(_tiles(rb, keys, tile))
-        left, right = _keyed(lb, "l", keys), _keyed(rb, "r", keys)
-        ends = [left.select(*keys, *lkeys).distinct(), right.select(*keys, *rkeys).distinct()]
-        every = ends[0].join(ends[1], list(keys)) if keys else ends[0].crossJoin(ends[1])
-        return _meet(left, right, cut_lineage(every), lkeys, rkeys, keys, run, schema)
+        return _by_tiles(lb, rb, keys, tile, run, schema)
     wanted = bounded.select(
         *keys, F.col("_cell").alias("l_cell"), F.col("_sub").alias("l_sub"),
         F.explode(_cells_within(lb, pivots, radii, metric, reach)).alias("r_cell"),
@@ -509,6 +602,23 @@ def _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude,
 
 # ---- near duplicates ------------------------------------------------------------------------------
 
+def _linked(lm: np.ndarray, rm: np.ndarray, threshold: float):
+    """Pieces of the pairs with cosine >= ``threshold`` of two blocks of unit vectors: places on both sides, scores."""
+    ls, rs = Short.of(lm), Short.of(rm)
+    room = np.empty(ROWS_AT_ONCE * COLUMNS_AT_ONCE, np.float32)
+    for at in range(0, len(lm), ROWS_AT_ONCE):
+        rows = slice(at, at + ROWS_AT_ONCE)
+        for start in range(0, len(rm), COLUMNS_AT_ONCE):
+            cols = slice(start, start + COLUMNS_AT_ONCE)
+            if ls.sound and rs.sound:
+                i, j = _candidates(ls.part(rows), rs.part(cols), threshold, "cosine", room)
+            else:
+                i, j = np.nonzero(lm[rows] @ rm[cols].T >= threshold - ROUNDING)
+            score = _scores_of(lm[rows], rm[cols], i, j, "cosine")
+            good = score >= threshold
+            yield at + i[good], start + j[good], score[good]
+
+
 def _block_pairs(threshold: float):
     """Cogroup function: every pair ``src < dst`` of the two blocks at or above the threshold."""
 
@@ -520,14 +630,13 @@ def _block_pairs(threshold: float):
             own_block = left["l_cell"].iloc[0] == right["r_cell"].iloc[0] and (
                 left["l_core"].iloc[0] == right["r_core"].iloc[0]) and (
                 left["l_sub"].iloc[0] == right["r_sub"].iloc[0])
-            step = max(1, CHUNK_CELLS // len(rid))
-            for at in range(0, len(lid), step):
-                raw = lm[at:at + step] @ rm.T
-                i, j = np.nonzero(raw >= threshold - ROUNDING)
-                a, b, score = lid[at:at + step][i], rid[j], np.round(raw[i, j], DIGITS)
-                hit = (score >= threshold) & (a < b) if own_block else score >= threshold
-                a, b = a[hit], b[hit]
-                parts.append(pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b), "score": score[hit]}))
+            for i, j, score in _linked(lm, rm, threshold):
+                a, b = lid[i], rid[j]
+                if own_block:
+                    hit = a < b
+                    a, b, score = a[hit], b[hit], score[hit]
+                if len(a):
+                    parts.append(pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b), "score": score}))
         return pd.concat(parts)
 
     return run
@@ -563,12 +672,8 @@ def _block_forest(threshold: float):
         ids, place = np.unique(np.concatenate([lid, rid]), return_inverse=True)  # in order, whatever their type
         lroot, rroot = place[:len(lid)].copy(), place[len(lid):].copy()
         root = np.arange(len(ids))
-        step = max(1, CHUNK_CELLS // len(rid))
-        for at in range(0, len(lid), step):
-            raw = lm[at:at + step] @ rm.T
-            i, j = np.nonzero(raw >= threshold - ROUNDING)
-            linked = np.round(raw[i, j], DIGITS) >= threshold
-            _join_roots(root, lroot[at + i[linked]], rroot[j[linked]])
+        for i, j, _ in _linked(lm, rm, threshold):
+            _join_roots(root, lroot[i], rroot[j])
         lroot, rroot = root[lroot], root[rroot]
         roots = np.concatenate([lroot, rroot])
         linked = place != roots

@@ -322,3 +322,49 @@ def test_roots_of_links():
         for part in np.array_split(np.arange(m), 3):
             N._join_roots(root, u[part], v[part])
         assert root.tolist() == list(partition_of(list(zip(u.tolist(), v.tolist())), n).values())
+
+
+def test_sections_too_small_for_cells_are_not_cut_into_cells(spark, monkeypatch):
+    """Cells of a few rows in each section cost a call each; then all pairs of a section meet, without pivots."""
+    rng = np.random.default_rng(5)
+    x, section = rng.normal(size=(300, 4)), [int(s) for s in rng.integers(0, 6, 300)]
+
+    def none(*_, **__):
+        raise AssertionError("pivots chosen")
+
+    monkeypatch.setattr(N, "_pivots", none)
+    near = N.top_k(frame(spark, x, section=section), k=3, metric="sqeuclid", by=["section"], block_rows=20)
+    assert {(r.src, r.dst, r["rank"]) for r in near.collect()} == brute(x, 3, by=section, metric="sqeuclid")
+
+
+def test_few_bytes_do_not_put_all_pairs_of_blocks_into_one_task(spark):
+    def where(left, right):
+        from pyspark import TaskContext
+
+        return left[["_id"]].head(1).assign(task=TaskContext.get().partitionId())
+
+    rows = spark.range(400).selectExpr("id AS _id", "cast(id % 40 AS int) AS cell", "array(1.0D) AS _v", "0 AS _x", "'' AS _c")
+    left, right = (rows.withColumnsRenamed({"cell": f"{s}_cell"}) for s in "lr")
+    pairs = spark.range(40).selectExpr("cast(id AS int) AS l_cell", "cast(id AS int) AS r_cell")
+    met = N._meet(left, right, pairs, ["l_cell"], ["r_cell"], (), where, "_id long, task int")
+    tasks = [r["task"] for r in met.collect()]
+    assert len(tasks) == 40 and len(set(tasks)) >= 8
+
+
+@pytest.mark.parametrize("metric", ["cosine", "sqeuclid"])
+def test_single_precision_only_decides_what_is_scored(metric):
+    """Scores that single precision cannot tell apart, copies, huge and tiny vectors: the same columns as by full scores."""
+    rng = np.random.default_rng(3)
+    close = rng.normal(size=(1, 8)) + 1e-8 * rng.normal(size=(700, 8))
+    wide = rng.normal(size=(300, 8)) * 10.0 ** rng.integers(-6, 4, (300, 1))
+    for rm in (np.concatenate([close, wide, wide[:100]]), rng.normal(size=(1200, 8)) * 1e17, np.zeros((900, 8))):
+        rm = N._unit(rm) if metric == "cosine" else rm
+        lm, lid, rid = rm[::9], np.arange(len(rm))[::9], np.arange(len(rm))
+        group = rid % 3
+        best, value = N._running_best(lm, rm, 5, metric, lid, rid, group[::9], group)
+        full = N._scores(lm, rm, metric)
+        full[group[::9][:, None] == group[None]] = -np.inf
+        top = np.take_along_axis(full, N._best(full, 5), axis=1)
+        scale = max(1.0, np.abs(top).max())
+        assert np.abs(value - top).max() <= 2e-9 * scale
+        assert (np.abs(np.take_along_axis(full, best, axis=1) - value) <= 2e-9 * scale).all()
