@@ -216,17 +216,27 @@ def section_order(sections: DataFrame, name: str = "name") -> DataFrame:
     return sections.orderBy(F.when(F.col(name) == L.MAP_UNSORTED, 1).otherwise(0), name)
 
 
-def knn_recall(high: DataFrame, low: DataFrame, by: Sequence[str] = ("section",), k: int = RECALL_K,
-               min_rows: int = RECALL_MIN_ROWS, block_rows: int | None = None) -> DataFrame:
-    """Share of each row's ``k`` neighbours in the vectors of ``high`` that ``low`` (id, x, y) keeps, per
-    section of at least ``min_rows`` rows, next to the random baseline ``k / n``."""
+def recall_base(high: DataFrame, by: Sequence[str] = ("section",), k: int = RECALL_K, min_rows: int = RECALL_MIN_ROWS,
+                block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(rows, neighbours)`` in the vectors of ``high``, computed once: for :func:`knn_recall` of several layouts."""
     by = list(by)
     sizes = high.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
     kept = salted_join(high, sizes, by, spread=["id"])
-    flat = kept.select(*by, "id").join(G.as_vector(low.select("id", "x", "y")), "id")
-    a = top_k(kept, k=k, metric="sqeuclid", by=by, block_rows=block_rows)
+    near = top_k(kept, k=k, metric="sqeuclid", by=by, block_rows=block_rows).select("src", "dst")
+    return cut_lineage(kept.select(*by, "id", "n")), cut_lineage(near)
+
+
+def knn_recall(high: DataFrame, low: DataFrame, by: Sequence[str] = ("section",), k: int = RECALL_K,
+               min_rows: int = RECALL_MIN_ROWS, block_rows: int | None = None,
+               base: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Share of each row's ``k`` neighbours in the vectors of ``high`` that ``low`` (id, x, y) keeps, per
+    section of at least ``min_rows`` rows, next to the random baseline ``k / n``. ``base``: :func:`recall_base` of
+    ``high`` with the same settings, where the caller has it."""
+    by = list(by)
+    kept, near = base or recall_base(high, by, k, min_rows, block_rows)
+    flat = cut_lineage(kept.select(*by, "id").join(G.as_vector(low.select("id", "x", "y")), "id"))
     b = top_k(flat, k=k, metric="sqeuclid", by=by, block_rows=block_rows)
-    same = a.select("src", "dst").join(b.select("src", "dst"), ["src", "dst"]).groupBy("src").agg(
+    same = near.join(b.select("src", "dst"), ["src", "dst"]).groupBy("src").agg(
         F.count(F.lit(1)).alias("hits"))
     rows = kept.select(*by, "n", F.col("id").alias("src")).join(same, "src", "left")
     share = F.coalesce("hits", F.lit(0)) / F.lit(k)

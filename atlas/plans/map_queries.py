@@ -205,8 +205,9 @@ def layout_recall(spark, folder):
     rows = sections(spark, folder)
     placed = cut_lineage(Y.layout(rows, neighbours=True))
     flat = G.unit_box(Y.pca_2d(rows, ["section"]), ["section"])
-    good = Y.knn_recall(rows, placed)
-    base = Y.knn_recall(rows, flat).select("section", F.col("recall").alias("pca"))
+    near = Y.recall_base(rows)
+    good = Y.knn_recall(rows, placed, base=near)
+    base = Y.knn_recall(rows, flat, base=near).select("section", F.col("recall").alias("pca"))
     return good.join(base, "section").select("section", "n", *[F.round(c, 3).alias(c) for c in ("recall", "pca", "random")])
 
 
