@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from atlas.operators.neighbours import top_k
 from atlas.operators.quadtree import LEAF, nearest_within
 from atlas.operators.skew import salted_join
-from atlas.session import cut_lineage
+from atlas.session import cut_lineage, spread
 
 # Node radius, gap between sections, spacing of nodes, search radii, view limits.
 NODE_R = 1.6
@@ -27,6 +27,7 @@ HIT_PIXELS = 7.0
 ZOOM_RANGE = (0.05, 200.0)
 SPIRAL_ANGLE = 2.3999632
 SPIRAL_LOOSENESS = 1.15
+PIECE_IDS = 1024  # ids of one place that travel together
 
 
 def _cell(column: Column, size: float | Column) -> Column:
@@ -139,24 +140,49 @@ def nearest_node(queries: DataFrame, nodes: DataFrame, zoom: float = 1.2, leaf:
         F.when(F.col("d") < ACTIVE_RADIUS, F.col("node.section")).alias("active_section"))
 
 
-def proximity_pairs(df: DataFrame, distance: float = MIN_DIST, by: Sequence[str] = ()) -> DataFrame:
+def place_pieces(df: DataFrame, by: Sequence[str] = (), most: int = PIECE_IDS) -> DataFrame:
+    """Nodes by place: ``<by>, x, y, piece, ids``, about ``most`` ids in each piece of a crowded place.
+
+    Nodes without a finite position, or without a group, are close to nothing and are left out.
+    """
+    place = [*by, "x", "y"]
+    nodes = df.select(*place, "id").where((F.abs("x") < F.lit(math.inf)) & (F.abs("y") < F.lit(math.inf)))
+    for c in by:
+        nodes = nodes.where(F.col(c).isNotNull())
+    crowded = nodes.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(
+        *place, F.ceil(F.col("_n") / most).alias("_pieces"))
+    piece = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_pieces")), F.lit(0))
+    return salted_join(nodes, crowded, place, "left", spread=["id"]).withColumn("piece", piece).groupBy(
+        *place, "piece").agg(F.collect_list("id").alias("ids"))
+
+
+def proximity_pairs(df: DataFrame, distance: float = MIN_DIST, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """``src < dst, distance`` of nodes closer than ``distance`` (in the same group, if ``by`` is given).
 
-    Each node looks at its own cell and at the four cells ahead of it, so every pair is met once.
+    Places meet, not nodes: each piece of a place looks at its own cell and at the four cells ahead of it, so every
+    pair is met once, and only pairs that are close enough are written out node by node. The number of partitions is
+    explicit: few bytes can stand for many pairs. ``digits`` rounds the distances found, once for each pair of pieces.
     """
     by = list(by)
+    pieces = cut_lineage(place_pieces(df, by))
     cx, cy = _cell(F.col("x"), distance), _cell(F.col("y"), distance)
     ahead = F.array(*[F.struct((cx + dx).alias("cx"), (cy + dy).alias("cy"))
                       for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    a = df.select(*by, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"),
-                  cx.alias("hx"), cy.alias("hy"), F.explode(ahead).alias("c")).select(
-        *by, "a", "ax", "ay", "hx", "hy", F.col("c.cx").alias("_cx"), F.col("c.cy").alias("_cy"))
-    b = df.select(*by, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_"),
-                  cx.alias("_cx"), cy.alias("_cy"))
+    keys = [*by, "_cx", "_cy"]
+    a = pieces.select(*by, F.col("ids").alias("a_ids"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("piece").alias("ap"),
+                      cx.alias("hx"), cy.alias("hy"), F.explode(ahead).alias("c")).select(
+        *by, "a_ids", "ax", "ay", "ap", "hx", "hy", F.col("c.cx").alias("_cx"), F.col("c.cy").alias("_cy"))
+    b = pieces.select(*by, F.col("ids").alias("b_ids"), F.col("x").alias("bx"), F.col("y").alias("by_"), F.col("piece").alias("bp"),
+                      cx.alias("_cx"), cy.alias("_cy"))
     same_cell = (F.col("hx") == F.col("_cx")) & (F.col("hy") == F.col("_cy"))
-    met = a.join(b, [*by, "_cx", "_cy"]).where(~same_cell | (F.col("a") < F.col("b")))
-    return met.withColumn("distance", _distance("ax", "ay", "bx", "by_")).where(
-        F.col("distance") < distance).select(
+    one, other = F.struct("ax", "ay", "ap"), F.struct("bx", "by_", "bp")
+    met = spread(a, *keys).join(spread(b, *keys), keys).where(~same_cell | (one <= other))
+    close = met.withColumn("distance", _distance("ax", "ay", "bx", "by_")).where(F.col("distance") < distance)
+    if digits is not None:
+        close = close.withColumn("distance", F.round("distance", digits))
+    nodes = close.select(*by, "distance", (one == other).alias("_own"), F.explode("a_ids").alias("a"), "b_ids").select(
+        *by, "distance", "_own", "a", F.explode("b_ids").alias("b"))
+    return nodes.where(F.when(F.col("_own"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))).select(
         *by, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "distance")
 
 

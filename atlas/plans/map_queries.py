@@ -135,7 +135,7 @@ def nearest_node(spark, folder):
   round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 6) AS distance FROM pts a JOIN pts b ON a.section = b.section
   AND a.id < b.id WHERE sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) < 4.2""")
 def proximity_pairs(spark, folder):
-    return G.proximity_pairs(points(spark, folder), by=["section"]).withColumn("distance", r6("distance"))
+    return G.proximity_pairs(points(spark, folder), by=["section"], digits=6)
 
 
 @query("separate_once", f"""WITH {POINTS_SQL}, pair AS (SELECT a.id, a.x - b.x AS dx, a.y - b.y AS dy,

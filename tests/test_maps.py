@@ -250,3 +250,20 @@ def test_sections_of_bounded_size_take_the_same_steps_without_joins(spark):
     assert few < many / 2  # every step by joins: no fewer jobs than before
     for key, at in joined.items():
         assert whole[key] == pytest.approx(at, abs=1e-6) and mixed[key] == pytest.approx(at, abs=1e-6)
+
+
+def test_proximity_pairs_meet_by_place(spark, monkeypatch):
+    """A pile in several pieces, a pile next to it, loose nodes, and nodes that lie nowhere."""
+    monkeypatch.setattr(G, "place_pieces", lambda df, by=(), cut=G.place_pieces: cut(df, by, 16))
+    spots = [(1.0, 1.0)] * 70 + [(4.19, 1.0)] * 20 + [(5.3, 1.0), (-3.0, -0.0), (-3.0, 0.0), (40.0, 2.0)]
+    odd = [(float("nan"), 1.0), (float("inf"), 1.0), (float("inf"), 1.0), (None, 1.0), (None, 1.0)]
+    rows = [(i, s, x, y) for s in ("a", "b", None) for i, (x, y) in enumerate(spots + odd, 1000 if s == "a" else 0)]
+    df = spark.createDataFrame(rows, "id long, section string, x double, y double")
+    sizes = G.place_pieces(df, ["section"]).select("section", "x", F.size("ids").alias("n"))
+    most, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    assert total == 2 * len(spots) and most < 40
+    got = {(r.section, r.src, r.dst): r.distance for r in G.proximity_pairs(df, by=["section"]).collect()}
+    want = {(s, i, j): np.hypot(a - c, b - d) for i, s, a, b in rows for j, t, c, d in rows
+            if s is not None and s == t and i < j and a is not None and c is not None and np.hypot(a - c, b - d) < G.MIN_DIST}
+    assert G.proximity_pairs(df, by=["section"]).count() == len(got) and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(d) for k, d in want.items())
