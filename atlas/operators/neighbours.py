@@ -33,6 +33,8 @@ ROUNDING = 1e-9  # more than rounding moves a score
 ROWS_AT_ONCE, COLUMNS_AT_ONCE, FIRST_COLUMNS = 256, 4096, 256
 PAIRS_AT_ONCE = 1 << 16  # pairs whose vectors are gathered for exact scores
 DENSE = 0.6  # of the cells of an average row: where more may hold an answer, whole tiles meet instead
+TRAVEL = 4  # times as often as with tiles: rows may travel so far for cells, where the bytes matter
+TRAVEL_BYTES = 1 << 30  # sent for cells that do not matter
 TILE_ROWS = 2048, 65_536  # of a tile: at least, for the tasks to be worth their start, and at most
 PAIRS_A_CALL = 500_000  # pairs of rows that are compared in the time that a call for two blocks takes by itself
 PROBES = 4096  # rows, about, that tell how many cells an average row needs
@@ -419,10 +421,13 @@ def _needed(df: DataFrame, n: int, pivots: Pivots, radii: Radii, metric: str, re
         F.avg("n")).first()[0] or 0.0
 
 
-def _is_dense(needed: float, radii: Radii) -> bool:
+def _is_dense(needed: float, radii: Radii, n: float, dim: int, tile: int) -> bool:
     """Whether the cells separate so little that tiles are cheaper: rows travel once for each partner, and there are
-    far fewer tiles than cells."""
-    return needed > DENSE * int(np.isfinite(radii.low).sum())
+    far fewer tiles than cells. A fixed share of sqrt(n) cells would let traffic grow faster than the rows ``n`` (of one
+    key), so where it matters a row travels at most ``TRAVEL`` times as often as with tiles."""
+    if needed > DENSE * int(np.isfinite(radii.low).sum()):
+        return True
+    return needed * n * 8 * dim > TRAVEL_BYTES and needed > TRAVEL * math.ceil(n / tile)
 
 
 def _are_slivers(left: DataFrame, right: DataFrame, keys: Sequence[str], needed: float) -> bool:
@@ -547,6 +552,7 @@ def _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude,
     copy = Window.partitionBy(*keys, "_v", "_x").orderBy("_id")
     useful = rt.withColumn("_copy", F.row_number().over(copy)).where(F.col("_copy") <= k + 1).drop("_copy")
     tile = tile_rows(lt, max(n_left, n_right), dim)
+    held = 1
     if keys:
         # Where a few calls for each cell of each key would cost more than all pairs within the keys, no cells are made.
         pairs, held = _pairs_in_keys(lt, rt, keys)
@@ -589,7 +595,7 @@ def _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude,
         unseen = F.lit(float("inf"))
     reach = F.when(seen, distance + scale * 1e-4).otherwise(unseen)
     needed = _needed(bounded, n_left, pivots, radii, metric, reach)
-    if _is_dense(needed, radii) or (keys and _are_slivers(left, right, keys, needed)):
+    if _is_dense(needed, radii, max(n_left, n_right) / max(held, 1), dim, tile) or (keys and _are_slivers(left, right, keys, needed)):
         return _by_tiles(lb, rb, keys, tile, run, schema)
     wanted = bounded.select(
         *keys, F.col("_cell").alias("l_cell"), F.col("_sub").alias("l_sub"),
@@ -714,8 +720,9 @@ def _near_dup(df: DataFrame, threshold: float, id_col: str, vec: str, block_rows
     blocks = cut_lineage(_with_blocks(placed, ["_cell", "_core"], rows))
     radii = _radii(blocks, pivots)
     lkeys, rkeys = ["l_cell", "l_core", "l_sub"], ["r_cell", "r_core", "r_sub"]
-    if _is_dense(_needed(blocks, n, pivots, radii, "cosine", F.lit(reach)), radii):
-        tiles = _tiles(blocks.withColumn("_core", F.lit(False)), (), tile_rows(df, n, dim))
+    tile = tile_rows(df, n, dim)
+    if _is_dense(_needed(blocks, n, pivots, radii, "cosine", F.lit(reach)), radii, n, dim, tile):
+        tiles = _tiles(blocks.withColumn("_core", F.lit(False)), (), tile)
         tiles = cut_lineage(tiles)
         left, right = _keyed(tiles, "l", (), ["_core"]), _keyed(tiles, "r", (), ["_core"])
         every = left.select(*lkeys).distinct().crossJoin(right.select(*rkeys).distinct()).where("l_sub <= r_sub")

@@ -306,6 +306,26 @@ def test_rows_without_structure_meet_in_tiles(spark, monkeypatch):
         assert partition_of(links, 900) == partition_of(got, 900)
 
 
+def test_cells_that_would_send_too_much_give_way_to_tiles(spark, monkeypatch):
+    """Half of the cells separate, so cells are taken; rows that would travel too often for them meet in tiles."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 3))
+    df = frame(spark, x)
+    monkeypatch.setattr(N, "TILE_ROWS", (500, 500))
+    monkeypatch.setattr(N, "TRAVEL", 1)
+    calls, few = counted_meetings(monkeypatch), []
+    for free in (N.TRAVEL_BYTES, 0):
+        monkeypatch.setattr(N, "TRAVEL_BYTES", free)
+        for run in (lambda: N.top_k(df, k=5, block_rows=30), lambda: N.near_dup_pairs(df, 0.8, block_rows=30)):
+            got = run().collect()
+            few.append(calls[-1])
+            if len(got[0]) == 4:
+                assert {(r["src"], r["dst"], r["rank"]) for r in got} == brute(x, 5)
+            else:
+                assert {(r["src"], r["dst"]) for r in got} == pairs_of(x, 0.8)
+    assert min(few[:2]) > 100 and few[2:] == [4, 3], few
+
+
 def test_slivers_of_cells_meet_in_tiles(spark, monkeypatch):
     x, by = np.random.default_rng(4).normal(size=(800, 2)), [f"b{i % 20}" for i in range(800)]
     calls = counted_meetings(monkeypatch)
