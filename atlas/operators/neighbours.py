@@ -15,7 +15,7 @@ large as two of them fit a task, and every pair of tiles meets: the same compari
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +38,10 @@ TRAVEL_BYTES = 1 << 30  # sent for cells that do not matter
 TILE_ROWS = 2048, 65_536  # of a tile: at least, for the tasks to be worth their start, and at most
 PAIRS_A_CALL = 500_000  # pairs of rows that are compared in the time that a call for two blocks takes by itself
 PROBES = 4096  # rows, about, that tell how many cells an average row needs
+FEW_PROBES = 256  # rows, at most, that tell it beforehand, from their true k-th distance
+TASKS_A_CORE = 8  # pairs of tiles, at least, where tables are large enough and keys cut them up
 PIVOT_BYTES = 32 << 20  # that all pivots, which every task holds, take at most
+CELL_ROWS = 700  # of one key and cell: with fewer, the calls for pairs of blocks cost more than the rows they compare
 SEED_CELLS = 3  # cells that bound a row's k-th distance before the others are looked at
 SLACK = 1e-6
 
@@ -268,6 +271,12 @@ def leaf_count(n: int, block_rows: int, dim: int) -> int:
     return min(max(2, math.ceil(n / block_rows), math.isqrt(n)), max(2, PIVOT_BYTES // (8 * dim)))
 
 
+def keyed_leaf_count(n: int, typical: float, block_rows: int, dim: int) -> int:
+    """:func:`leaf_count` where keys cut every cell up: as many as suit the ``typical`` rows of a row's key."""
+    few = max(2, math.ceil(typical / block_rows), min(math.isqrt(int(typical)), int(typical) // CELL_ROWS))
+    return min(few, leaf_count(n, block_rows, dim))
+
+
 def _apart(leaves: np.ndarray, distance: float) -> np.ndarray:
     """The leaves without those that lie within ``distance`` of one kept before them."""
     kept = np.zeros(len(leaves), bool)
@@ -279,10 +288,10 @@ def _apart(leaves: np.ndarray, distance: float) -> np.ndarray:
     return leaves[kept]
 
 
-def _pivots(df: DataFrame, n: int, block_rows: int, metric: str, dim: int, apart: float = 0.0) -> Pivots:
+def _pivots(df: DataFrame, count: int, metric: str, apart: float = 0.0) -> Pivots:
     """A bounded sample of distinct vectors, chosen by hash so that it never changes between runs. ``apart`` thins
     it, so that a cluster of near copies, however large, has one pivot."""
-    rows = df.orderBy(F.xxhash64("_id"), "_id").limit(leaf_count(n, block_rows, dim)).select("_v").collect()
+    rows = df.orderBy(F.xxhash64("_id"), "_id").limit(count).select("_v").collect()
     sample = np.array([r["_v"] for r in rows], dtype=np.float64)
     leaves = np.unique(_unit(sample) if metric == "cosine" else sample, axis=0)
     leaves = _apart(leaves, apart) if apart > 0 else leaves
@@ -365,25 +374,29 @@ def _cells_within(df: DataFrame, pivots: Pivots, radii: Radii, metric: str, reac
 
     @batch_udf("array<int>")
     def cells(v: pd.Series, far: pd.Series) -> pd.Series:
-        p, r = held.value
         matrix = _unit(_matrix(v)) if metric == "cosine" else _matrix(v)
-        limit = far.to_numpy()[:, None] + SLACK
-        branches = _bound(_distances(matrix, p.coarse), r.outer_low, r.outer_high) <= limit
-        branches &= np.isfinite(r.outer_low)
-        row, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for c in np.flatnonzero(branches.any(axis=0)):
-            rows, leaves = np.flatnonzero(branches[:, c]), p.below[c]
-            keep = (_bound(_distances(matrix[rows], p.leaves[leaves]), r.low[leaves], r.high[leaves]) <= limit[rows])
-            i, j = np.nonzero(keep & np.isfinite(r.low[leaves]))
-            row.append(rows[i])
-            cell.append(leaves[j])
-        row, cell = np.concatenate(row), np.concatenate(cell).astype("int32")
+        row, cell = _within(matrix, far.to_numpy(), *held.value)
         order = np.argsort(row, kind="stable")
         return pd.Series(np.split(cell[order], np.searchsorted(row[order], np.arange(1, len(matrix)))))
 
     return cells(F.col("_v"), reach)
 
 
+def _within(matrix: np.ndarray, reach: np.ndarray, p: Pivots, r: Radii) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, cell) where the cell may hold something within the row's ``reach``."""
+    limit = reach[:, None] + SLACK
+    branches = _bound(_distances(matrix, p.coarse), r.outer_low, r.outer_high) <= limit
+    branches &= np.isfinite(r.outer_low)
+    row, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for c in np.flatnonzero(branches.any(axis=0)):
+        rows, leaves = np.flatnonzero(branches[:, c]), p.below[c]
+        keep = (_bound(_distances(matrix[rows], p.leaves[leaves]), r.low[leaves], r.high[leaves]) <= limit[rows])
+        i, j = np.nonzero(keep & np.isfinite(r.low[leaves]))
+        row.append(rows[i])
+        cell.append(leaves[j])
+    return np.concatenate(row), np.concatenate(cell).astype("int32")
+
+
 def _sure_reach(df: DataFrame, pivots: Pivots, radii: Radii, metric: str, k: int) -> Column:
     """A distance within which ``k`` rows of other groups lie for sure, from the radii alone; else infinite.
 
@@ -421,6 +434,46 @@ def _needed(df: DataFrame, n: int, pivots: Pivots, radii: Radii, metric: str, re
         F.avg("n")).first()[0] or 0.0
 
 
+def _least_needed(left: DataFrame, right: DataFrame, n: int, pivots: Pivots, radii: Radii, k: int, metric: str,
+                  keys: Sequence[str], exclude: bool, skip_self: bool) -> float:
+    """Cells that an average row has to look at if it knew its true ``k``-th distance: no bound found on the way leaves
+    fewer. A few rows chosen by hash tell, from one pass over ``right``, before any pair of blocks meets."""
+    key = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    named = ["_id", "_v", key.alias("_key"), F.xxhash64("_x").alias("_group")]
+    rows = left.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(max(1, n // FEW_PROBES))) == 0).select(*named).orderBy(
+        F.xxhash64("_id"), "_id").limit(FEW_PROBES).collect()
+    if not rows:
+        return 0.0
+    matrix = np.array([r["_v"] for r in rows], np.float64)
+    matrix = _unit(matrix) if metric == "cosine" else matrix
+    ids, key_of, group_of = (np.array([r[c] for r in rows]) for c in ("_id", "_key", "_group"))
+    held = left.sparkSession.sparkContext.broadcast((matrix, ids, key_of, group_of))
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, own, mine, group = held.value
+        top = np.full((len(m), k), -np.inf)
+        for frame in frames:
+            for at in range(0, len(frame), COLUMNS_AT_ONCE):
+                part = frame.iloc[at:at + COLUMNS_AT_ONCE]
+                other = _matrix(part["_v"])
+                scores = _raw_scores(m, _unit(other) if metric == "cosine" else other, metric)
+                scores[mine[:, None] != part["_key"].to_numpy()[None, :]] = -np.inf
+                if skip_self:
+                    scores[own[:, None] == part["_id"].to_numpy()[None, :]] = -np.inf
+                if exclude:
+                    scores[group[:, None] == part["_group"].to_numpy()[None, :]] = -np.inf
+                top = -np.partition(-np.concatenate([top, scores], axis=1), k - 1, axis=1)[:, :k]
+        yield pd.DataFrame({"probe": np.arange(len(m)), "scores": list(top)})
+
+    found = right.select(*named).mapInPandas(best, "probe int, scores array<double>").groupBy("probe").agg(
+        F.element_at(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), k).alias("worst")).collect()
+    reach = np.full(len(matrix), np.inf)
+    for probe, worst in found:
+        if np.isfinite(worst):
+            reach[probe] = math.sqrt(max(0.0, 2 - 2 * worst if metric == "cosine" else -worst))
+    return len(_within(matrix, reach, pivots, radii)[0]) / len(matrix)
+
+
 def _is_dense(needed: float, radii: Radii, n: float, dim: int, tile: int) -> bool:
     """Whether the cells separate so little that tiles are cheaper: rows travel once for each partner, and there are
     far fewer tiles than cells. A fixed share of sqrt(n) cells would let traffic grow faster than the rows ``n`` (of one
@@ -451,6 +504,13 @@ def tile_rows(df: DataFrame, n: int, dim: int) -> int:
     return max(least, min(math.ceil(n / math.ceil(math.sqrt(2 * cores))), most, BLOCK_BYTES // (4 * dim)))
 
 
+def keyed_tile_rows(df: DataFrame, pairs: float, tile: int) -> int:
+    """:func:`tile_rows` where keys cut the rows up already: one tile for each key would keep few cores busy, so the
+    pairs of rows within the keys tell."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(TILE_ROWS[0], min(tile, math.ceil(math.sqrt(pairs / (TASKS_A_CORE * cores)))))
+
+
 def _tiles(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
     """Tiles in place of cells: one cell for all, cut by digests of the ids."""
     whole = df.drop("_cell", "_sub", "_r", "_q").withColumn("_cell", F.lit(0))
@@ -530,7 +590,8 @@ def top_k(
         found = renewed(ls).groupBy(*keys, "_piece").cogroup(renewed(rs).groupBy(*keys, "_piece")).applyInPandas(
             run, schema)
     else:
-        found = _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude is not None, run, schema)
+        found = _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude is not None, skip_self, run,
+                              schema)
     nearest = Window.partitionBy("src").orderBy(F.desc("score"), F.asc("dst"))
     ranked = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     score = F.col("score") if metric == "cosine" else -F.col("score")
@@ -547,21 +608,27 @@ def _by_tiles(lb: DataFrame, rb: DataFrame, keys: Sequence[str], tile: int, run,
     return _meet(left, right, cut_lineage(every), lkeys, rkeys, keys, run, schema)
 
 
-def _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude, run, schema) -> DataFrame:
+def _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude, skip_self, run,
+                  schema) -> DataFrame:
     # Of rows with the same vector and group, only the first k + 1 can be among anybody's best k.
     copy = Window.partitionBy(*keys, "_v", "_x").orderBy("_id")
     useful = rt.withColumn("_copy", F.row_number().over(copy)).where(F.col("_copy") <= k + 1).drop("_copy")
     tile = tile_rows(lt, max(n_left, n_right), dim)
-    held = 1
+    held, leaves = 1, leaf_count(n_right, rows, dim)
     if keys:
         # Where a few calls for each cell of each key would cost more than all pairs within the keys, no cells are made.
         pairs, held = _pairs_in_keys(lt, rt, keys)
-        if pairs < leaf_count(n_right, rows, dim) * held * SEED_CELLS * PAIRS_A_CALL:
+        tile = keyed_tile_rows(lt, pairs, tile)
+        if pairs < leaves * held * SEED_CELLS * PAIRS_A_CALL:
             return _by_tiles(lt, useful, keys, tile, run, schema)
-    pivots = _pivots(rt, n_right, rows, metric, dim)
+        leaves = keyed_leaf_count(n_right, pairs / max(n_left, 1), rows, dim)
+    pivots = _pivots(rt, leaves, metric)
     rb = cut_lineage(_with_blocks(_with_cells(useful, pivots, metric), [*keys, "_cell"], rows))
-    lb = cut_lineage(_with_blocks(_with_cells(lt, pivots, metric), [*keys, "_cell"], rows))
     radii = _radii(rb, pivots)
+    a_key = max(n_left, n_right) / max(held, 1)
+    if _is_dense(_least_needed(lt, rb, n_left, pivots, radii, k, metric, keys, exclude, skip_self), radii, a_key, dim, tile):
+        return _by_tiles(lt, rb, keys, tile, run, schema)
+    lb = cut_lineage(_with_blocks(_with_cells(lt, pivots, metric), [*keys, "_cell"], rows))
     left, right = _keyed(lb, "l", keys), _keyed(rb, "r", keys)
     lkeys, rkeys = ["l_cell", "l_sub"], ["r_cell", "r_sub"]
     rblocks = right.select(*keys, *rkeys).distinct()
@@ -595,7 +662,7 @@ def _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude,
         unseen = F.lit(float("inf"))
     reach = F.when(seen, distance + scale * 1e-4).otherwise(unseen)
     needed = _needed(bounded, n_left, pivots, radii, metric, reach)
-    if _is_dense(needed, radii, max(n_left, n_right) / max(held, 1), dim, tile) or (keys and _are_slivers(left, right, keys, needed)):
+    if _is_dense(needed, radii, a_key, dim, tile) or (keys and _are_slivers(left, right, keys, needed)):
         return _by_tiles(lb, rb, keys, tile, run, schema)
     wanted = bounded.select(
         *keys, F.col("_cell").alias("l_cell"), F.col("_sub").alias("l_sub"),
@@ -714,7 +781,7 @@ def _near_dup(df: DataFrame, threshold: float, id_col: str, vec: str, block_rows
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
     # Rows this close to their pivot are all near-duplicates of each other.
     core_radius = 2 * math.sin(math.acos(max(-1.0, min(1.0, threshold))) / 4) - SLACK if threshold > 0 else -1.0
-    pivots = _pivots(distinct, n, rows, "cosine", dim, core_radius if forest else 0.0)
+    pivots = _pivots(distinct, leaf_count(n, rows, dim), "cosine", core_radius if forest else 0.0)
     placed = _with_cells(distinct, pivots, "cosine").withColumn(
         "_core", (F.col("_r") <= core_radius) if forest else F.lit(False))
     blocks = cut_lineage(_with_blocks(placed, ["_cell", "_core"], rows))

@@ -388,3 +388,55 @@ def test_single_precision_only_decides_what_is_scored(metric):
         scale = max(1.0, np.abs(top).max())
         assert np.abs(value - top).max() <= 2e-9 * scale
         assert (np.abs(np.take_along_axis(full, best, axis=1) - value) <= 2e-9 * scale).all()
+
+
+def test_true_distances_of_a_few_rows_save_the_search_for_a_bound(spark, monkeypatch):
+    """Without structure no bound makes cells worth while; before, all rows met three cells each to find that out."""
+    x, group = np.random.default_rng(8).normal(size=(600, 32)), [i % 7 for i in range(600)]
+    flat = np.random.default_rng(9).normal(size=(600, 2))
+    calls = counted_meetings(monkeypatch)
+    monkeypatch.setattr(N, "TILE_ROWS", (250, 250))
+    assert found(N.top_k(frame(spark, x, g=group), k=5, exclude="g", block_rows=30)) == brute(x, 5, group=group)
+    assert calls == [9], calls
+    calls.clear()
+    assert found(N.top_k(frame(spark, flat), k=5, metric="sqeuclid", block_rows=30)) == brute(flat, 5, metric="sqeuclid")
+    assert len(calls) == 2 and calls[1] > 9, calls  # cells separate here, and are taken
+
+
+def test_least_needed_is_no_more_than_what_bounds_leave(spark):
+    rng = np.random.default_rng(3)
+    x, by, group = rng.normal(size=(400, 3)), [f"b{i % 2}" for i in range(400)], [i % 3 for i in range(400)]
+    rows = N._standard(frame(spark, x, g=group, b=by), "id", "embedding", ["b"], "g")
+    pivots = N._pivots(rows, 20, "sqeuclid")
+    radii = N._radii(N._with_cells(rows, pivots, "sqeuclid"), pivots)
+    got = N._least_needed(rows, rows, 400, pivots, radii, 4, "sqeuclid", ["_by0"], True, True)
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    i = np.arange(400)
+    d[(i[:, None] % 2 != i[None] % 2) | (i[:, None] % 3 == i[None] % 3)] = np.inf
+    chosen = [r["_id"] for r in rows.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(400 // N.FEW_PROBES)) == 0).orderBy(
+        F.xxhash64("_id"), "_id").limit(N.FEW_PROBES).collect()]
+    want = len(N._within(x[chosen], np.sqrt(np.sort(d[chosen], axis=1)[:, 3]), pivots, radii)[0]) / len(chosen)
+    assert got == pytest.approx(want) and got < 20
+
+
+def test_tiles_of_keys_keep_all_cores_busy(spark, monkeypatch):
+    """One tile for each key made as many tasks as keys; with ten keys, eight cores waited for two of them."""
+    x, by = np.random.default_rng(4).normal(size=(400, 8)), [f"b{i % 2}" for i in range(400)]
+    calls = counted_meetings(monkeypatch)
+    monkeypatch.setattr(N, "TILE_ROWS", (20, 200))
+    got = found(N.top_k(frame(spark, x, b=by), k=4, metric="sqeuclid", by=["b"], block_rows=100))
+    assert got == brute(x, 4, by=by, metric="sqeuclid")
+    assert calls[-1] >= N.TASKS_A_CORE * spark.sparkContext.defaultParallelism, calls
+
+
+def test_cells_of_keys_suit_the_rows_of_a_key(spark, monkeypatch):
+    """Cells for the whole table were cut into slivers by the keys, each of them a call for every neighbour."""
+    assert N.keyed_leaf_count(615_384, 61_538.0, 131_072, 2) == 87 and N.leaf_count(615_384, 131_072, 2) == 784
+    x, by = np.random.default_rng(4).normal(size=(800, 2)), [f"b{i % 4}" for i in range(800)]
+    counts, real = [], N._pivots
+    monkeypatch.setattr(N, "_pivots", lambda df, count, *rest: counts.append(count) or real(df, count, *rest))
+    monkeypatch.setattr(N, "PAIRS_A_CALL", 0)
+    monkeypatch.setattr(N, "CELL_ROWS", 40)
+    got = found(N.top_k(frame(spark, x, b=by), k=4, metric="sqeuclid", by=["b"], block_rows=400))
+    assert got == brute(x, 4, by=by, metric="sqeuclid")
+    assert counts == [5], counts  # before: 28
