@@ -44,6 +44,7 @@ PIVOT_BYTES = 32 << 20  # that all pivots, which every task holds, take at most
 CELL_ROWS = 700  # of one key and cell: with fewer, the calls for pairs of blocks cost more than the rows they compare
 SEED_CELLS = 3  # cells that bound a row's k-th distance before the others are looked at
 SLACK = 1e-6
+LINKS_AT_ONCE = 1 << 20  # pairs that a task holds while it thins them to a forest
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -756,6 +757,36 @@ def _block_forest(threshold: float):
     return run
 
 
+def links_of_pairs(pairs: DataFrame) -> DataFrame:
+    """``src, dst``: links with the connected components of ``pairs``, at most one for each member within a piece of a
+    partition. For callers that need the pairs as well, so that vectors are compared once."""
+    kind = pairs.schema["src"].dataType.simpleString()
+
+    def thinned(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(frames)
+        ids, place = np.unique(np.concatenate([rows["src"].to_numpy(), rows["dst"].to_numpy()]), return_inverse=True)
+        root = np.arange(len(ids))
+        _join_roots(root, place[:len(rows)], place[len(rows):])
+        linked = root != np.arange(len(ids))
+        return pd.DataFrame({"src": ids[root[linked]], "dst": ids[linked]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in frames:
+            held.append(frame)
+            n += len(frame)
+            if n >= LINKS_AT_ONCE:
+                held = [thinned(held)]
+                n = len(held[0])
+                if n > LINKS_AT_ONCE // 2:
+                    yield held.pop()
+                    n = 0
+        if n:
+            yield thinned(held)
+
+    return pairs.select("src", "dst").mapInPandas(run, f"src {kind}, dst {kind}")
+
+
 def _near_dup(df: DataFrame, threshold: float, id_col: str, vec: str, block_rows: int | None,
               forest: bool) -> DataFrame:
     every = _standard(df, id_col, vec)

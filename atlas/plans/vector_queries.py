@@ -17,7 +17,7 @@ from atlas.operators import neighbours as N
 from atlas.operators import triage as T
 from atlas.plans import corpus
 from atlas.plans.registry import TWINS, query, r6, table
-from atlas.session import fresh_path, spread_scan
+from atlas.session import cut_lineage, fresh_path, spread_scan
 from atlas.sources import tables as S
 
 K = 15
@@ -374,20 +374,26 @@ AUDIT_SQL = f"""SELECT count(*) AS groups, CAST(count(*) FILTER (lo <> hi) AS BI
 FROM (SELECT group_id, min(fold) AS lo, max(fold) AS hi FROM placed GROUP BY 1)"""
 
 
+def grouped_with_pairs(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """The groups and all near-duplicate pairs they come from, so that an audit compares the vectors once."""
+    rows = items(spark, folder)
+    pairs = cut_lineage(N.near_dup_pairs(rows, PAIR_LIMIT).select("src", "dst"))
+    return R.leakage_groups(rows, N.links_of_pairs(pairs)), pairs
+
+
 @query("leakage_audit", f"""WITH {GROUP_SQL},
 placed AS (SELECT id, g.group_id, fold FROM grouped g JOIN folds f ON g.group_id = f.group_id) {AUDIT_SQL}""")
 def leakage_audit(spark, folder):
-    rows = items(spark, folder)
-    return R.leakage_audit(folded(spark, folder), N.near_dup_pairs(rows, PAIR_LIMIT))
+    groups, pairs = grouped_with_pairs(spark, folder)
+    return R.leakage_audit(R.group_kfold(groups, 5), pairs)
 
 
 @query("leakage_audit_careless", f"""WITH {GROUP_SQL},
 placed AS (SELECT id, group_id, id % 5 AS fold FROM grouped) {AUDIT_SQL}""")
 def leakage_audit_careless(spark, folder):
     """The audit of folds that ignore the groups."""
-    rows = items(spark, folder)
-    careless = grouped(spark, folder).withColumn("fold", F.col("id") % 5)
-    return R.leakage_audit(careless, N.near_dup_pairs(rows, PAIR_LIMIT))
+    groups, pairs = grouped_with_pairs(spark, folder)
+    return R.leakage_audit(groups.withColumn("fold", F.col("id") % 5), pairs)
 
 
 # ---- metrics --------------------------------------------------------------------------------------

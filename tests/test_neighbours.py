@@ -8,6 +8,7 @@ from atlas.operators import evaluate, groups, triage
 from atlas.operators import centroids as C
 from atlas.operators import neighbours as N
 from atlas.operators.skew import positions, salted_join
+from atlas.plans import vector_queries as Q
 from atlas.plans.corpus import label_triage
 
 
@@ -440,3 +441,29 @@ def test_cells_of_keys_suit_the_rows_of_a_key(spark, monkeypatch):
     got = found(N.top_k(frame(spark, x, b=by), k=4, metric="sqeuclid", by=["b"], block_rows=400))
     assert got == brute(x, 4, by=by, metric="sqeuclid")
     assert counts == [5], counts  # before: 28
+
+
+def test_links_of_pairs_connect_what_the_pairs_connect(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    pairs = [(int(a), int(b)) for a, b in np.sort(rng.integers(0, 500, (900, 2)), axis=1) if a < b]
+    pairs += [(a, b) for a in range(500, 560) for b in range(a + 1, 560)]  # a cluster: 1,770 pairs of 60 rows
+    for ids, at_once in (("long", 1 << 20), ("long", 64), ("string", 200)):
+        monkeypatch.setattr(N, "LINKS_AT_ONCE", at_once)
+        rows = [(f"{a:03d}", f"{b:03d}") if ids == "string" else (a, b) for a, b in pairs]
+        df = spark.createDataFrame(rows, f"src {ids}, dst {ids}").coalesce(1)
+        links = [(int(r["src"]), int(r["dst"])) for r in N.links_of_pairs(df).collect()]
+        assert partition_of(links, 560) == partition_of(pairs, 560)
+        assert at_once < 1 << 20 or len(links) < 560
+    assert N.links_of_pairs(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_the_audit_compares_the_vectors_once(spark, monkeypatch):
+    """Before, groups and pairs compared all vectors each for itself."""
+    folder, calls, real = "/root/testdata/sf0.001", [], N._near_dup
+    rows = Q.items(spark, folder)
+    want = groups.leakage_audit(Q.folded(spark, folder), N.near_dup_pairs(rows, Q.PAIR_LIMIT)).first()
+    careless = Q.grouped(spark, folder).withColumn("fold", F.col("id") % 5)
+    worse = groups.leakage_audit(careless, N.near_dup_pairs(rows, Q.PAIR_LIMIT)).first()
+    monkeypatch.setattr(N, "_near_dup", lambda *a, **k: calls.append(1) or real(*a, **k))
+    assert Q.leakage_audit(spark, folder).first() == want and len(calls) == 1
+    assert Q.leakage_audit_careless(spark, folder).first() == worse and len(calls) == 2 and worse["crossing_pairs"] > 0
