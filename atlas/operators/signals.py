@@ -6,7 +6,9 @@ signal may hold a large share of all samples. The array forms treat one recordin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,11 @@ SHORT = 256
 GAIN_RANGE = (0.5, 1.6)
 NOISE_SIGMA = 0.003
 FRAMES_AT_ONCE = 32
+SAMPLES_AT_ONCE = 512  # of a resampled wave: few enough for their windows to stay in the cache
+SLIDE = 32  # places of a window that share one transform
+BLOCKS_AT_ONCE = 16
+SHARED = 4  # frames that a transform serves at least, on average, for sharing it to pay
+BANDS_AT_ONCE = 16
 HANN = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(N_FFT) / N_FFT)
 
 
@@ -161,7 +168,8 @@ def envelope_array(wave: np.ndarray, bars: int = 64) -> np.ndarray:
     if len(wave):
         per = max(len(wave) / bars, 1.0)
         bar = np.ceil((np.arange(len(wave)) + 1) / per).astype(int) - 1
-        np.maximum.at(level, bar, np.abs(wave))
+        first = np.flatnonzero(np.diff(bar, prepend=-1))
+        level[bar[first]] = np.maximum.reduceat(np.abs(wave), first)
     return level / max(level.max(initial=0.0), 1e-6)
 
 
@@ -178,31 +186,144 @@ def pad_array(wave: np.ndarray, length: int = CLIP_SAMPLES) -> np.ndarray:
 def _alike(length: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Frames of a clip to transform, and for each of the ``count`` frames which of those it equals.
 
-    A short wave is repeated, so frames at the same place of it are the same, as are frames of the zeros after it.
+    A short wave is repeated, so frames at the same place of it are the same, as are frames of the zeros after it. Frames
+    that meet an end of the clip or of its repeats are like no other.
     """
-    start = np.arange(count) * HOP - N_FFT // 2
-    kind = -2 - np.arange(count)  # frames that meet an end of the clip or of its repeats
+    same, half = np.arange(count), N_FFT // 2
     if 0 < length < CLIP_SAMPLES:
         end = CLIP_SAMPLES // length * length
-        kind = np.where((start >= 0) & (start + N_FFT <= end), start % length, kind)
-        kind = np.where((start >= end) & (start + N_FFT <= CLIP_SAMPLES), -1, kind)
-    _, first, which = np.unique(kind, return_index=True, return_inverse=True)
-    return first, which
+        low, high = -(-half // HOP), (end - half) // HOP + 1
+        if high > low:
+            same[low:high] = low + np.arange(high - low) % (length // math.gcd(length, HOP))
+        low, high = -(-(end + half) // HOP), (CLIP_SAMPLES - half) // HOP + 1
+        same[low:max(low, high)] = low
+    kept = same == np.arange(count)
+    return np.flatnonzero(kept), (np.cumsum(kept) - 1)[same]
+
+
+@dataclass(frozen=True)
+class Mel:
+    """A filterbank, and what its frames share.
+
+    A window that moves by a few samples loses some and gains as many, so its spectrum is that of the window it moved
+    from (``SLIDE`` places share one) and the spectra of the changed samples. ``turns``: real and imaginary parts of the
+    spectrum of a sample at each place; ``moved``: by places moved, what the Hann window weighs each changed
+    sample with, and then the spectrum moved from, the sum and the difference of the bins beside each bin.
+    """
+
+    low: int  # bins from low to high are heard
+    high: int
+    bands: int
+    parts: list[tuple[slice, slice, np.ndarray]]  # bands that lie together, the bins they hear, and their weights
+    moved: np.ndarray
+    known: np.ndarray
+    room: np.ndarray
+
+    @staticmethod
+    def of(filters: np.ndarray) -> Mel:
+        heard = np.flatnonzero(filters.any(axis=1))
+        low, high = (int(heard[0]), int(heard[-1]) + 1) if len(heard) else (0, 0)
+        parts = []
+        for at in range(0, filters.shape[1], BANDS_AT_ONCE):
+            bands = slice(at, min(at + BANDS_AT_ONCE, filters.shape[1]))
+            some = np.flatnonzero(filters[low:high, bands].any(axis=1))
+            bins = slice(int(some[0]), int(some[-1]) + 1) if len(some) else slice(0, 0)
+            parts.append((bands, bins, np.ascontiguousarray(filters[low:high, bands][bins], dtype=np.float64)))
+        place = np.arange(SLIDE)
+        angle = 2 * np.pi / N_FFT * (place[:, None] * np.arange(low, high)[None, :] % N_FFT)
+        turn = 2 * np.pi / N_FFT * place[:, None]
+        weight = np.where(place[None, :] < place[:, None], HANN[(place[None, :] - place[:, None]) % N_FFT], 0.0)
+        known = np.vstack([np.hstack([np.cos(angle), -np.sin(angle)]), np.zeros((3, 2 * (high - low)))])
+        return Mel(low, high, filters.shape[1], parts,
+                   np.hstack([weight, np.full((SLIDE, 1), 0.5), -0.25 * np.cos(turn), -0.25 * np.sin(turn)]),
+                   known, np.empty((BLOCKS_AT_ONCE * SLIDE, 2 * (high - low))))
+
+    def decibels(self, power: np.ndarray) -> np.ndarray:
+        levels = np.empty((len(power), self.bands))
+        for bands, bins, weights in self.parts:
+            np.matmul(power[:, bins], weights, out=levels[:, bands])
+        np.maximum(levels, FLOOR_POWER, out=levels)
+        np.log10(levels, out=levels)
+        levels *= 10
+        return levels
+
+    def plain(self, frames: np.ndarray) -> np.ndarray:
+        """Levels of frames, each transformed by itself."""
+        spectrum = np.fft.rfft(frames * HANN, axis=1)[:, self.low:self.high]
+        return self.decibels(spectrum.real ** 2 + spectrum.imag ** 2)
+
+    def slid(self, frames: np.ndarray, gained: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Levels of the frames at the ascending places. ``gained``: of each sample, the one a window later less it."""
+        wide, block = self.high - self.low, place // SLIDE
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        origin, stop = block[first] * SLIDE, np.append(first[1:], len(place))
+        weights, levels = self.moved[place % SLIDE], np.empty((len(place), self.bands))
+        weights[:, :SLIDE] *= np.repeat(gained[origin[:, None] + np.arange(SLIDE)], stop - first, axis=0)
+        base = np.empty((BLOCKS_AT_ONCE, 3, 2 * wide))
+        for at in range(0, len(first), BLOCKS_AT_ONCE):  # few enough to stay in the cache
+            some = slice(at, at + BLOCKS_AT_ONCE)
+            spectrum = np.fft.rfft(frames[origin[some]], axis=1)
+            spectrum = np.concatenate([spectrum[:, 1:2].conj(), spectrum, spectrum[:, -2:-1].conj()], axis=1)
+            here, before, after = (spectrum[:, self.low + step:self.high + step] for step in (1, 0, 2))
+            total, apart = before + after, before - after
+            for row, (real, imaginary) in enumerate(((here.real, here.imag), (total.real, total.imag), (apart.imag, -apart.real))):
+                base[:len(here), row, :wide], base[:len(here), row, wide:] = real, imaginary
+            rows = slice(first[at], stop[some][-1])
+            found = self.room[:rows.stop - rows.start]
+            for own, begin, end in zip(base, first[some].tolist(), stop[some].tolist()):
+                self.known[SLIDE:] = own
+                np.matmul(weights[begin:end], self.known, out=found[begin - rows.start:end - rows.start])
+            np.multiply(found, found, out=found)
+            levels[rows] = self.decibels(found[:, :wide] + found[:, wide:])
+        return levels
+
+
+def _clip_frames(wave: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Frames that begin at ``start`` in the padded clip, which is mirrored at its ends."""
+    at = np.abs(start[:, None] + np.arange(N_FFT)[None, :])
+    at = np.minimum(at, 2 * (CLIP_SAMPLES - 1) - at)
+    end = CLIP_SAMPLES // len(wave) * len(wave)
+    return np.where(at < end, wave[at - at // len(wave) * len(wave)], 0.0)
+
+
+def mel_levels(wave: np.ndarray, mel: Mel) -> tuple[np.ndarray, np.ndarray]:
+    """Log-mel levels of the different frames of one clip, and for each of its frames which of those it is.
+
+    Neither the clip nor its frames are written out: a frame is looked up in the wave.
+    """
+    count = CLIP_SAMPLES // HOP + 1
+    if not len(wave):
+        return np.full((1, mel.bands), 10 * np.log10(FLOOR_POWER)), np.zeros(count, np.int64)
+    wave = np.asarray(wave, dtype=np.float64)[:CLIP_SAMPLES]
+    first, which = _alike(len(wave), count)
+    start, end = first * HOP - N_FFT // 2, CLIP_SAMPLES // len(wave) * len(wave)
+    inside = (start >= 0) & (start + N_FFT <= end)
+    levels = np.empty((len(first), mel.bands))
+    levels[~inside] = mel.plain(_clip_frames(wave, start[~inside]))
+    rows, period = np.flatnonzero(inside), len(wave)
+    place = start[rows] % period
+    order = np.argsort(place)
+    rows, place = rows[order], place[order]
+    ring = np.resize(wave, period + 2 * N_FFT) if period < CLIP_SAMPLES else wave
+    frames = np.lib.stride_tricks.as_strided(ring, (len(ring) - N_FFT + 1, N_FFT), ring.strides * 2, writeable=False)
+    if len(place) >= SHARED * np.count_nonzero(np.diff(place // SLIDE, prepend=-1)):
+        levels[rows] = mel.slid(frames, ring[N_FFT:] - ring[:-N_FFT], place)
+        return levels, which
+    for at in range(0, len(place), FRAMES_AT_ONCE):
+        levels[rows[at:at + FRAMES_AT_ONCE]] = mel.plain(frames[place[at:at + FRAMES_AT_ONCE]])
+    return levels, which
 
 
 def mel_frames(wave: np.ndarray, filters: np.ndarray) -> np.ndarray:
     """Log-mel frames of one clip: Hann window, power spectrum, filterbank, decibels."""
-    clip, half = pad_array(wave), N_FFT // 2
-    padded = np.concatenate([clip[half:0:-1], clip, clip[-2:-half - 2:-1]])
-    frames = np.lib.stride_tricks.sliding_window_view(padded, N_FFT)[::HOP]
-    first, which = _alike(len(wave), len(frames))
-    heard = np.flatnonzero(filters.any(axis=1))
-    low, high = (heard[0], heard[-1] + 1) if len(heard) else (0, 0)
-    bank, levels = filters[low:high], np.empty((len(first), filters.shape[1]))
-    for at in range(0, len(first), FRAMES_AT_ONCE):  # few enough to stay in the cache
-        spectrum = np.fft.rfft(frames[first[at:at + FRAMES_AT_ONCE]] * HANN, axis=1)[:, low:high]
-        levels[at:at + FRAMES_AT_ONCE] = (spectrum.real ** 2 + spectrum.imag ** 2) @ bank
-    return (10 * np.log10(np.maximum(levels, FLOOR_POWER)))[which]
+    levels, which = mel_levels(wave, Mel.of(filters))
+    return levels[which]
+
+
+def mel_mean(wave: np.ndarray, mel: Mel) -> np.ndarray:
+    """Mean over the frames of :func:`mel_frames`, band by band."""
+    levels, which = mel_levels(wave, mel)
+    return np.bincount(which, minlength=len(levels)) @ levels / len(which)
 
 
 def mel_filterbank(sr: int = SAMPLE_RATE, n_fft: int = N_FFT, n_mels: int = N_MELS, low: float = 50.0,
@@ -244,12 +365,12 @@ def resample_array(wave: np.ndarray, in_sr: int, out_sr: int, table: np.ndarray
     padded[taps:taps + len(wave)] = wave
     windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
     sums = table.sum(axis=1)
-    for at in range(0, count, 16_384):
-        t = np.arange(at, min(at + 16_384, count)) / ratio
+    for at in range(0, count, SAMPLES_AT_ONCE):
+        t = np.arange(at, min(at + SAMPLES_AT_ONCE, count)) / ratio
         centre = np.floor(t).astype(np.int64)
         phase = np.minimum(((t - centre) * PHASES).astype(np.int64), PHASES - 1)
         start = centre - left
-        value = _weighted(windows, np.clip(start + taps, 0, len(windows) - 1), table, phase)
+        value = np.einsum("ij,ij->i", windows[np.clip(start + taps, 0, len(windows) - 1)], table[phase])
         total = sums[phase]
         edge = np.flatnonzero((start < 0) | (start + taps > len(wave)))
         place = start[edge, None] + np.arange(taps)[None, :]
@@ -258,18 +379,6 @@ def resample_array(wave: np.ndarray, in_sr: int, out_sr: int, table: np.ndarray
     return out
 
 
-def _weighted(windows: np.ndarray, start: np.ndarray, table: np.ndarray, phase: np.ndarray) -> np.ndarray:
-    """The sum of each window under the weights of its phase; windows of one phase are one product."""
-    order = np.argsort(phase, kind="stable")
-    used, first = np.unique(phase[order], return_index=True)
-    out = np.empty(len(start))
-    if len(start) < 8 * len(used):
-        return np.einsum("ij,ij->i", windows[start], table[phase])
-    for p, rows in zip(used, np.split(order, first[1:])):
-        out[rows] = windows[start[rows]] @ table[p]
-    return out
-
-
 # ---- Arrow-batch operators on arrays -----------------------------------------------------------------
 
 def _floats(waves) -> list[np.ndarray]:
@@ -327,10 +436,11 @@ def log_mel(df: DataFrame, filters: np.ndarray | None = None, id_col: str = "id"
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Mel.of(held.value)
         for batch in batches:
             for row in range(batch.num_rows):
-                wave = batch.column(1)[row].values.to_numpy(zero_copy_only=False)
-                mel = mel_frames(wave, held.value).astype(np.float32)
+                levels, which = mel_levels(batch.column(1)[row].values.to_numpy(zero_copy_only=False), tables)
+                mel = levels.astype(np.float32)[which]
                 n = len(mel)
                 keys = batch.column(0).take(pa.array(np.full(n, row)))
                 lists = pa.ListArray.from_arrays(
@@ -353,13 +463,15 @@ def log_mel_stats(df: DataFrame, filters: np.ndarray | None = None, id_col: str
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Mel.of(held.value)
         for batch in batches:
             found = []
             for row in range(batch.num_rows):
-                wave = batch.column(1)[row].values.to_numpy(zero_copy_only=False)
-                mel = mel_frames(wave, held.value).astype(np.float32)
-                highest = mel[first:None if last is None else last + 1].max(axis=0)
-                found.append((*mel.shape, float(mel.mean(dtype=np.float64)), int(highest.argmax()), float(highest.max())))
+                levels, which = mel_levels(batch.column(1)[row].values.to_numpy(zero_copy_only=False), tables)
+                mel, often = levels.astype(np.float32), np.bincount(which, minlength=len(levels))
+                highest = mel[np.unique(which[first:None if last is None else last + 1])].max(axis=0)
+                level = float(often @ mel.mean(axis=1, dtype=np.float64) / len(which))
+                found.append((len(which), mel.shape[1], level, int(highest.argmax()), float(highest.max())))
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*found), (

@@ -31,10 +31,11 @@ def build_corpus(manifest: DataFrame, files: DataFrame, loader: Callable[[], Emb
                  rules: L.Rules = L.KEYWORD_RULES) -> DataFrame:
     """``path, hash, label, embedding`` of all manifest rows with a readable file (``path, content``).
 
-    Labels are settled and rows without a file dropped before any byte is decoded.
+    Labels are settled and rows without a file dropped before any byte is decoded. The rows are spread after the join:
+    its own exchange may be merged into few tasks by its bytes, which tell little of the work on them.
     """
     wanted = intake.attach_files(relabel(manifest, rules), files.select("path"))
-    content = wanted.join(spread(files.select("path", "content"), "path"), "path")
+    content = spread(wanted.join(files.select("path", "content"), "path"), "path", "hash")
     waves = signals.trim_rows(load_signals(content, keep=["path", "hash", "label"]))
     return embed(waves, loader, source="samples").drop("samples", "sr")
 

@@ -346,3 +346,28 @@ def test_levels_next_to_half_a_hundredth_equal_the_closed_form(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     docs.limit(1).withColumn("doc_id", F.lit(246).cast("long")).write.parquet(str(tmp_path / "documents.parquet"))
     assert S.resample_tones(spark, str(tmp_path)).first()["rms"] == 0.49
+
+
+@pytest.mark.parametrize("length", [997, 1001, 2003])
+def test_frames_of_a_clip_share_transforms(length, monkeypatch):
+    wave, rows, plain = np.random.default_rng(length).normal(size=length), [], np.fft.rfft
+    wave[length // 2:] = 0  # silence beside noise, so that what one frame leaves behind would show in the next
+    monkeypatch.setattr(np.fft, "rfft", lambda x, axis: rows.append(len(x)) or plain(x, axis=axis))
+    levels, which = G.mel_levels(wave, G.Mel.of(G.mel_filterbank()))
+    monkeypatch.undo()
+    assert len(which) == 1001 and sum(rows) < 100  # before: one for each of some 1000 different frames
+    x = np.pad(G.pad_array(wave), 512, mode="reflect")
+    frames = np.lib.stride_tricks.sliding_window_view(x, 1024)[::480] * np.hanning(1025)[:-1]
+    want = 10 * np.log10(np.maximum(np.abs(plain(frames, axis=1)) ** 2 @ G.mel_filterbank(), 1e-10))
+    np.testing.assert_allclose(levels[which], want, atol=1e-6)
+    np.testing.assert_allclose(G.mel_mean(wave, G.Mel.of(G.mel_filterbank())), want.mean(axis=0), atol=1e-6)
+
+
+def test_rows_of_a_corpus_are_spread_before_they_are_decoded(spark):
+    data = wav_bytes(tone(0.01, 48_000), 48_000)
+    rows = [(f"{i:012x}", "Tom", "x.wav", f"{i:012x}.wav", data) for i in range(40)]
+    every = spark.createDataFrame(rows, "hash string, label string, orig_name string, path string, content binary")
+    files = every.groupBy("path").agg(F.min_by("content", "hash").alias("content"))  # dealt by path already
+    done = corpus.build_corpus(every.select("hash", "label", "orig_name"), files, make_loader())
+    assert done.count() == 40
+    assert done.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism  # before: merged by its few bytes
