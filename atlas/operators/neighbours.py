@@ -194,6 +194,25 @@ def _running_best(lm: np.ndarray, rm: np.ndarray, k: int, metric: str, lid, rid,
     return best, value
 
 
+def _codes(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in place of the values, equal where those are: quicker to compare than strings."""
+    codes = pd.factorize(np.concatenate([left, right]))[0]
+    a, b = codes[:len(left)], codes[len(left):]
+    return a, b if codes.min(initial=0) >= 0 or left.dtype == object else np.where(b < 0, -2, b)  # NaN equals nothing
+
+
+def _allowed(lx: np.ndarray | None, rx: np.ndarray | None, n: int) -> list[tuple[np.ndarray, np.ndarray | slice]]:
+    """Rows of the left block, and the columns that they meet. Rows of a group that holds most of the right block meet
+    the others' columns only, rather than pass over most columns one by one."""
+    every = slice(None)
+    if rx is not None:
+        groups, sizes = np.unique(rx, return_counts=True)
+        crowd = groups[sizes.argmax()]
+        if 2 * sizes.max() > len(rx) and (lx == crowd).any():
+            return [(np.flatnonzero(lx == crowd), np.flatnonzero(rx != crowd)), (np.flatnonzero(lx != crowd), every)]
+    return [(np.arange(n), every)]
+
+
 def _block_topk(k: int, metric: str, exclude: bool, skip_self: bool, carry: bool):
     """Cogroup function: left block x right block -> best ``k`` of the right block per left row."""
 
@@ -208,22 +227,29 @@ def _block_topk(k: int, metric: str, exclude: bool, skip_self: bool, carry: bool
         if metric == "cosine":
             lm, rm = _unit(lm), _unit(rm)
         lid, rid = left["_id"].to_numpy(), right["_id"].to_numpy()
-        lx, rx = left["_x"].to_numpy(), right["_x"].to_numpy()
-        ls, rs = Short.of(lm), Short.of(rm)
+        li, ri = _codes(lid, rid) if skip_self else (None, None)
+        lx, rx = _codes(left["_x"].to_numpy(), right["_x"].to_numpy()) if exclude else (None, None)
         room = np.empty(ROWS_AT_ONCE * max(k, COLUMNS_AT_ONCE), np.float32)
         parts = []
-        for at in range(0, len(lid), ROWS_AT_ONCE):
-            rows = slice(at, at + ROWS_AT_ONCE)
-            best, value = _running_best(lm[rows], rm, k, metric, lid[rows] if skip_self else None, rid,
-                                        lx[rows] if exclude else None, rx, ls.part(rows), rs, room)
-            valid = np.isfinite(value)
-            part = pd.DataFrame({
-                "src": np.repeat(lid[rows], valid.sum(axis=1)), "dst": rid[best[valid]],
-                "score": value[valid],
-            })
-            if carry:
-                part["carried"] = right["_c"].to_numpy()[best[valid]]
-            parts.append(part)
+        for rows, cols in _allowed(lx, rx, len(lid)):
+            met = np.arange(len(rid))[cols]
+            if not len(met):
+                continue
+            theirs = rm[cols]
+            ls, rs = Short.of(lm[rows]), Short.of(theirs)
+            for at in range(0, len(rows), ROWS_AT_ONCE):
+                some = rows[at:at + ROWS_AT_ONCE]
+                best, value = _running_best(lm[some], theirs, k, metric, li[some] if skip_self else None, ri[cols] if skip_self else None,
+                                            lx[some] if exclude else None, rx[cols] if exclude else None,
+                                            ls.part(slice(at, at + ROWS_AT_ONCE)), rs, room)
+                valid = np.isfinite(value)
+                found = met[best[valid]]
+                part = pd.DataFrame({
+                    "src": np.repeat(lid[some], valid.sum(axis=1)), "dst": rid[found], "score": value[valid],
+                })
+                if carry:
+                    part["carried"] = right["_c"].to_numpy()[found]
+                parts.append(part)
         return pd.concat(parts) if parts else empty
 
     return run
@@ -512,12 +538,21 @@ def keyed_tile_rows(df: DataFrame, pairs: float, tile: int) -> int:
     return max(TILE_ROWS[0], min(tile, math.ceil(math.sqrt(pairs / (TASKS_A_CORE * cores)))))
 
 
-def _tiles(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """Tiles in place of cells: one cell for all, cut by digests of the ids."""
+def _tiles(df: DataFrame, keys: Sequence[str], rows: int, crowds: DataFrame | None = None) -> DataFrame:
+    """Tiles in place of cells: one cell for all, cut by digests of the ids. Each of the ``crowds`` has a cell of its own."""
     whole = df.drop("_cell", "_sub", "_r", "_q").withColumn("_cell", F.lit(0))
+    if crowds is not None:
+        whole = whole.drop("_cell").join(F.broadcast(crowds), [*keys, "_x"], "left").withColumn("_cell", F.coalesce("_cell", F.lit(0)))
     return _with_blocks(whole, [*keys, "_cell"], rows)
 
 
+def _crowds(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Groups (of a key) that would fill tiles by themselves, numbered from 1 in ``_cell``: fewer than there are tiles."""
+    large = df.where(F.col("_x").isNotNull()).groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    found = [(*row, i) for i, row in enumerate(large.select(*keys, "_x").collect(), 1)]
+    return df.sparkSession.createDataFrame(found, df.select(*keys, "_x", F.lit(0).alias("_cell")).schema)
+
+
 def _keyed(df: DataFrame, prefix: str, by: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     names = ["_cell", *extra, "_sub"]
     return df.select(*by, *[F.col(c).alias(prefix + c) for c in names], "_id", "_v", "_x", "_c")
@@ -600,12 +635,14 @@ def top_k(
     return ranked.select("src", "dst", "rank", score.alias("score"), *extra)
 
 
-def _by_tiles(lb: DataFrame, rb: DataFrame, keys: Sequence[str], tile: int, run, schema: str) -> DataFrame:
-    """Every pair of tiles with equal keys meets."""
-    left, right = (_keyed(cut_lineage(_tiles(side, keys, tile)), prefix, keys) for side, prefix in ((lb, "l"), (rb, "r")))
+def _by_tiles(lb: DataFrame, rb: DataFrame, keys: Sequence[str], tile: int, run, schema: str, exclude: bool) -> DataFrame:
+    """Every pair of tiles with equal keys meets, but for two tiles of one group that may not meet itself (``exclude``)."""
+    crowds = _crowds(rb, keys, tile) if exclude else None
+    left, right = (_keyed(cut_lineage(_tiles(side, keys, tile, crowds)), prefix, keys) for side, prefix in ((lb, "l"), (rb, "r")))
     lkeys, rkeys = ["l_cell", "l_sub"], ["r_cell", "r_sub"]
     ends = [left.select(*keys, *lkeys).distinct(), right.select(*keys, *rkeys).distinct()]
     every = ends[0].join(ends[1], list(keys)) if keys else ends[0].crossJoin(ends[1])
+    every = every.where((F.col("l_cell") != F.col("r_cell")) | (F.col("l_cell") == 0))
     return _meet(left, right, cut_lineage(every), lkeys, rkeys, keys, run, schema)
 
 
@@ -621,14 +658,14 @@ def _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude,
         pairs, held = _pairs_in_keys(lt, rt, keys)
         tile = keyed_tile_rows(lt, pairs, tile)
         if pairs < leaves * held * SEED_CELLS * PAIRS_A_CALL:
-            return _by_tiles(lt, useful, keys, tile, run, schema)
+            return _by_tiles(lt, useful, keys, tile, run, schema, exclude)
         leaves = keyed_leaf_count(n_right, pairs / max(n_left, 1), rows, dim)
     pivots = _pivots(rt, leaves, metric)
     rb = cut_lineage(_with_blocks(_with_cells(useful, pivots, metric), [*keys, "_cell"], rows))
     radii = _radii(rb, pivots)
     a_key = max(n_left, n_right) / max(held, 1)
     if _is_dense(_least_needed(lt, rb, n_left, pivots, radii, k, metric, keys, exclude, skip_self), radii, a_key, dim, tile):
-        return _by_tiles(lt, rb, keys, tile, run, schema)
+        return _by_tiles(lt, rb, keys, tile, run, schema, exclude)
     lb = cut_lineage(_with_blocks(_with_cells(lt, pivots, metric), [*keys, "_cell"], rows))
     left, right = _keyed(lb, "l", keys), _keyed(rb, "r", keys)
     lkeys, rkeys = ["l_cell", "l_sub"], ["r_cell", "r_sub"]
@@ -664,7 +701,7 @@ def _pruned_top_k(lt, rt, k, metric, keys, rows, n_left, n_right, dim, exclude,
     reach = F.when(seen, distance + scale * 1e-4).otherwise(unseen)
     needed = _needed(bounded, n_left, pivots, radii, metric, reach)
     if _is_dense(needed, radii, a_key, dim, tile) or (keys and _are_slivers(left, right, keys, needed)):
-        return _by_tiles(lb, rb, keys, tile, run, schema)
+        return _by_tiles(lb, rb, keys, tile, run, schema, exclude)
     wanted = bounded.select(
         *keys, F.col("_cell").alias("l_cell"), F.col("_sub").alias("l_sub"),
         F.explode(_cells_within(lb, pivots, radii, metric, reach)).alias("r_cell"),

@@ -1,6 +1,7 @@
 """Neighbour joins against brute force, on every path: one block, many blocks, copies, exclusions."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -467,3 +468,41 @@ def test_the_audit_compares_the_vectors_once(spark, monkeypatch):
     monkeypatch.setattr(N, "_near_dup", lambda *a, **k: calls.append(1) or real(*a, **k))
     assert Q.leakage_audit(spark, folder).first() == want and len(calls) == 1
     assert Q.leakage_audit_careless(spark, folder).first() == worse and len(calls) == 2 and worse["crossing_pairs"] > 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_a_group_of_most_rows_is_not_compared_with_itself(kind, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, group = rng.normal(size=(1500, 8)), np.where(np.arange(1500) % 100 == 0, np.arange(1500), 7)
+    name = (lambda v: f"{v:05d}") if kind == "string" else int
+    df = pd.DataFrame({"_id": [name(i) for i in range(1500)], "_v": list(x), "_x": [name(g) for g in group], "_c": ""})
+    seen, scores, candidates = [], N._raw_scores, N._candidates
+    monkeypatch.setattr(N, "_raw_scores", lambda a, b, m: seen.append(len(a) * len(b)) or scores(a, b, m))
+    monkeypatch.setattr(N, "_candidates", lambda a, b, *rest: seen.append(len(a.rows) * len(b.rows)) or candidates(a, b, *rest))
+    got = N._block_topk(5, "cosine", True, True, False)(df, df)
+    assert sum(seen) < 1500 * 1500 / 10  # before: all pairs, most of them for nothing
+    near = {(int(s), int(d)) for s, d in zip(got["src"], got["dst"])}
+    assert near == {(s, d) for s, d, _ in brute(x, 5, group)} and len(got) == 7500
+
+
+def test_codes_are_equal_where_values_are():
+    a, b = N._codes(np.array([1.0, np.nan, 3.0]), np.array([3.0, np.nan]))
+    assert (a[:, None] == b[None, :]).tolist() == [[False, False], [False, False], [True, False]]
+    a, b = N._codes(np.array(["x", None], object), np.array([None, "x"], object))
+    assert (a[:, None] == b[None, :]).tolist() == [[False, True], [True, False]]
+
+
+def test_tiles_of_one_group_do_not_meet(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, group = rng.normal(size=(900, 16)), ["a" if i < 500 else "b" if i < 820 else f"c{i % 9}" for i in range(900)]
+    df = frame(spark, x, pack=group)
+    rows = N._standard(df, "id", "embedding", exclude="pack")
+    count = "src long, dst long, score double"
+    run = lambda left, right: pd.DataFrame({"src": [len(left) * len(right)], "dst": [0], "score": [0.0]})
+    met = N._by_tiles(rows, rows, [], 100, run, count, True).agg(F.sum("src")).first()[0]
+    assert met == 900 * 900 - 500 * 500 - 320 * 320  # before: 900 * 900
+    alone = N._standard(df.withColumn("pack", F.lit("a")), "id", "embedding", exclude="pack")
+    assert N._by_tiles(alone, alone, [], 100, run, count, True).isEmpty()
+    monkeypatch.setattr(N, "TILE_ROWS", (100, 200))
+    monkeypatch.setattr(N, "_is_dense", lambda *a: True)
+    assert found(N.top_k(df, k=5, exclude="pack", block_rows=60)) == brute(x, 5, group)
