@@ -33,6 +33,7 @@ GAIN_RANGE = (0.5, 1.6)
 NOISE_SIGMA = 0.003
 FRAMES_AT_ONCE = 32
 SAMPLES_AT_ONCE = 512  # of a resampled wave: few enough for their windows to stay in the cache
+STRETCH_WEIGHTS = 1 << 18  # that a table of a stretch between two rates holds at most
 SLIDE = 32  # places of a window that share one transform
 BLOCKS_AT_ONCE = 16
 SHARED = 4  # frames that a transform serves at least, on average, for sharing it to pay
@@ -353,30 +354,75 @@ def sinc_table(in_sr: int, out_sr: int) -> np.ndarray:
     return cutoff * np.sinc(cutoff * tau) * window
 
 
-def resample_array(wave: np.ndarray, in_sr: int, out_sr: int, table: np.ndarray | None = None) -> np.ndarray:
-    if in_sr == out_sr or not len(wave):
-        return wave
-    table = sinc_table(in_sr, out_sr) if table is None else table
-    ratio = out_sr / in_sr
-    count = int(np.floor(len(wave) * ratio + 0.5))
-    out = np.zeros(count)
-    taps, left = 2 * HALF_WIDTH, HALF_WIDTH - 1
-    padded = np.zeros(len(wave) + 2 * taps)  # silence around the wave, so that every window lies inside
-    padded[taps:taps + len(wave)] = wave
-    windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
-    sums = table.sum(axis=1)
-    for at in range(0, count, SAMPLES_AT_ONCE):
-        t = np.arange(at, min(at + SAMPLES_AT_ONCE, count)) / ratio
+@dataclass(frozen=True)
+class Resampler:
+    """What all waves of one rate share on their way to another.
+
+    After ``step`` samples (``outs`` results) the places between samples come again, so the results of all such
+    stretches are one product with ``weights``: a column for each result of a stretch, its taps at its place.
+    Rounding puts some places into the phase before their own; these few results are weighed one by one.
+    """
+
+    ratio: float
+    table: np.ndarray
+    sums: np.ndarray  # of the first taps of each phase
+    step: int
+    outs: int
+    centre: np.ndarray  # of each result of a stretch: the sample before it, and its phase
+    phase: np.ndarray
+    weights: np.ndarray | None
+
+    @staticmethod
+    def of(in_sr: int, out_sr: int, table: np.ndarray | None = None) -> Resampler:
+        table = sinc_table(in_sr, out_sr) if table is None else table
+        sums, common = np.pad(np.cumsum(table, axis=1), ((0, 0), (1, 0))), math.gcd(in_sr, out_sr)
+        step, outs = in_sr // common, out_sr // common
+        if in_sr == out_sr or (step + 2 * HALF_WIDTH) * outs > STRETCH_WEIGHTS:
+            return Resampler(out_sr / in_sr, table, sums, step, outs, np.zeros(0, np.int64), np.zeros(0, np.int64), None)
+        centre, rest = np.divmod(np.arange(outs) * step, outs)
+        phase = rest * PHASES // outs
+        weights = np.zeros((step + 2 * HALF_WIDTH, outs))
+        weights[centre[:, None] + np.arange(2 * HALF_WIDTH)[None, :], np.arange(outs)[:, None]] = table[phase]
+        return Resampler(out_sr / in_sr, table, sums, step, outs, centre, phase, weights)
+
+    def __call__(self, wave: np.ndarray) -> np.ndarray:
+        if self.step == self.outs or not len(wave):
+            return wave
+        count, taps = int(np.floor(len(wave) * self.ratio + 0.5)), 2 * HALF_WIDTH
+        t = np.arange(count) / self.ratio
         centre = np.floor(t).astype(np.int64)
         phase = np.minimum(((t - centre) * PHASES).astype(np.int64), PHASES - 1)
-        start = centre - left
-        value = np.einsum("ij,ij->i", windows[np.clip(start + taps, 0, len(windows) - 1)], table[phase])
-        total = sums[phase]
+        start = centre - (HALF_WIDTH - 1)
+        stretches = -(-count // self.outs)
+        # silence around the wave, so that every window lies inside
+        padded = np.zeros(taps + max(len(wave), stretches * self.step) + self.step + 2 * taps)
+        padded[taps:taps + len(wave)] = wave
+        windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
+        if self.weights is None:
+            value, single = np.empty(count), np.arange(count)
+        else:
+            size = padded.itemsize
+            pieces = np.lib.stride_tricks.as_strided(
+                padded[taps - (HALF_WIDTH - 1):], (stretches, self.step + taps), (self.step * size, size), writeable=False)
+            value = (pieces @ self.weights).ravel()[:count]
+            at = np.arange(stretches)[:, None]
+            same = (at * self.step + self.centre).ravel()[:count] == centre
+            single = np.flatnonzero(~(same & (np.tile(self.phase, stretches)[:count] == phase)))
+        for at in range(0, len(single), SAMPLES_AT_ONCE):
+            some = single[at:at + SAMPLES_AT_ONCE]
+            value[some] = np.einsum("ij,ij->i", windows[start[some] + taps], self.table[phase[some]])
+        total = self.sums[:, -1][phase]
         edge = np.flatnonzero((start < 0) | (start + taps > len(wave)))
-        place = start[edge, None] + np.arange(taps)[None, :]
-        total[edge] = (table[phase[edge]] * ((place >= 0) & (place < len(wave)))).sum(axis=1)
-        out[at:at + len(t)] = np.where(np.abs(total) > 1e-12, value / np.where(total == 0, 1, total), 0.0)
-    return out
+        first, last = np.maximum(-start[edge], 0), np.clip(len(wave) - start[edge], 0, taps)
+        total[edge] = self.sums[phase[edge], last] - self.sums[phase[edge], np.minimum(first, last)]
+        faint = edge[np.abs(total[edge]) < 1e-3]  # too small for a difference of sums
+        place = start[faint, None] + np.arange(taps)[None, :]
+        total[faint] = (self.table[phase[faint]] * ((place >= 0) & (place < len(wave)))).sum(axis=1)
+        return np.where(np.abs(total) > 1e-12, value / np.where(total == 0, 1, total), 0.0)
+
+
+def resample_array(wave: np.ndarray, in_sr: int, out_sr: int, table: np.ndarray | None = None) -> np.ndarray:
+    return Resampler.of(in_sr, out_sr, table)(wave)
 
 
 # ---- Arrow-batch operators on arrays -----------------------------------------------------------------
@@ -390,10 +436,8 @@ def resample(df: DataFrame, out_sr: int = SAMPLE_RATE, sr: str = "sr", samples:
 
     @piece_udf("array<float>")
     def convert(rates: pd.Series, waves: pd.Series) -> pd.Series:
-        tables = {int(r): sinc_table(int(r), out_sr) for r in rates.unique()}
-        return pd.Series([
-            resample_array(np.asarray(w, dtype=np.float64), int(r), out_sr, tables[int(r)]).astype(np.float32)
-            for r, w in zip(rates, waves)])
+        tables = {int(r): Resampler.of(int(r), out_sr) for r in rates.unique()}
+        return pd.Series([tables[int(r)](np.asarray(w, dtype=np.float64)).astype(np.float32) for r, w in zip(rates, waves)])
 
     return df.withColumn(samples, convert(sr, samples)).withColumn(sr, F.lit(out_sr))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,21 +37,25 @@ def build_corpus(manifest: DataFrame, files: DataFrame, loader: Callable[[], Emb
     """
     wanted = intake.attach_files(relabel(manifest, rules), files.select("path"))
     content = spread(wanted.join(files.select("path", "content"), "path"), "path", "hash")
-    waves = signals.trim_rows(load_signals(content, keep=["path", "hash", "label"]))
+    waves = load_signals(content, keep=["path", "hash", "label"], change=signals.trim_array)
     return embed(waves, loader, source="samples").drop("samples", "sr")
 
 
+def _trimmed_one_shot(wave: np.ndarray) -> np.ndarray | None:
+    return signals.trim_array(wave) if 0 < len(wave) <= intake.MAX_SECONDS * signals.SAMPLE_RATE else None
+
+
 def analyze(files: DataFrame, loader: Callable[[], Embedder], head: dict, keep: Sequence[str] = ("path",)) -> DataFrame:
     """One-shots of ``path, content`` rows: embedding, section, confidence, tags, envelope, duration.
 
     Files whose header says that they are too long are not decoded; the exact gate follows decoding.
     """
-    waves = load_signals(files, keep=keep, longest=intake.MAX_SECONDS + 0.01)
-    waves = waves.withColumn("raw", F.size("samples") / F.lit(float(signals.SAMPLE_RATE)))
-    drawn = signals.trim_and_draw(intake.one_shot(waves, "raw")).withColumn(
+    drawn = load_signals(
+        files, keep=keep, longest=intake.MAX_SECONDS + 0.01, change=_trimmed_one_shot,
+        also={"envelope": signals.envelope_array}).withColumn(
         "duration", F.size("samples") / F.lit(float(signals.SAMPLE_RATE)))
     return score(embed(drawn, loader, source="samples"), head).withColumn(
-        "filename", P.basename(F.col("path"))).drop("samples", "sr", "raw")
+        "filename", P.basename(F.col("path"))).drop("samples", "sr")
 
 
 ANALYSED = ("embedding array<float>, section string, confidence double, tags array<struct<label:string,p:double>>, "

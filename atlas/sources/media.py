@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from atlas.functions import paths as P
 from atlas.operators.arrow import batch_udf, piece_udf
 from atlas.operators.intake import union_roots
-from atlas.operators.signals import SAMPLE_RATE, resample_array, sinc_table
+from atlas.operators.signals import SAMPLE_RATE, Resampler
 
 # Suffixes of recordings, and of archives that are reported but not opened.
 MEDIA_SUFFIXES = ("wav", "aif", "aiff", "flac", "mp3", "ogg", "m4a")
@@ -150,16 +150,20 @@ def _longer(content: bytes, limit: float) -> bool:
 
 
 def load_signals(df: DataFrame, sr: int = SAMPLE_RATE, keep: Sequence[str] = ("path",),
-                 content: str = "content", longest: float | None = None) -> DataFrame:
-    """``keep..., sr, samples``: mono signals at ``sr``. Undecodable rows drop out, as do those whose header says that
-    they last longer than ``longest`` seconds; these are not decoded.
-
-    Decoding and resampling are one pass, so a waveform leaves Python once.
+                 content: str = "content", longest: float | None = None,
+                 change: Callable[[np.ndarray], np.ndarray | None] | None = None,
+                 also: Mapping[str, Callable[[np.ndarray], np.ndarray]] | None = None) -> DataFrame:
+    """``keep..., sr, samples, also...``: mono signals at ``sr``. Undecodable rows drop out, as do those whose header says
+    that they last longer than ``longest`` seconds; these are not decoded.
+
+    Decoding, resampling, what ``change`` makes of a wave (None: the row drops out) and the arrays that ``also`` takes
+    from the changed wave are one pass, so a waveform leaves Python once.
     """
+    also = dict(also or {})
 
-    @piece_udf("array<float>")
-    def decode(contents: pd.Series) -> pd.Series:
-        tables: dict[int, np.ndarray] = {}
+    @piece_udf(f"struct<{','.join(f'{name}:array<float>' for name in ('samples', *also))}>")
+    def decode(contents: pd.Series) -> pd.DataFrame:
+        tables: dict[int, Resampler] = {}
 
         def one(content):
             if content is None or (longest is not None and _longer(content, longest)):
@@ -168,11 +172,15 @@ def load_signals(df: DataFrame, sr: int = SAMPLE_RATE, keep: Sequence[str] = ("p
             if found is None:
                 return None
             rate, wave = found
-            if rate != sr and rate not in tables:
-                tables[rate] = sinc_table(rate, sr)
-            return resample_array(np.asarray(wave, dtype=np.float64), rate, sr, tables.get(rate)).astype(np.float32)
-
-        return pd.Series([one(c) for c in contents], dtype=object)
-
-    rows = df.select(*keep, F.lit(sr).alias("sr"), decode(content).alias("samples"))
-    return rows.where(F.col("samples").isNotNull())
+            if rate not in tables:
+                tables[rate] = Resampler.of(rate, sr)
+            wave = tables[rate](np.asarray(wave, dtype=np.float64)).astype(np.float32)
+            return wave if change is None else change(wave)
+
+        waves = [one(c) for c in contents]
+        arrays = {"samples": waves} | {
+            name: [None if w is None else take(w).astype(np.float32) for w in waves] for name, take in also.items()}
+        return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in arrays.items()})
+
+    rows = df.select(*keep, F.lit(sr).alias("sr"), decode(content).alias("_w"))
+    return rows.where(F.col("_w.samples").isNotNull()).select(*keep, "sr", "_w.*")
