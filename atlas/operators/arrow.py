@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 PIECE_ITEMS = 1 << 20  # bytes or samples that a piece of a batch holds, unless one row has more
@@ -60,3 +61,33 @@ def piece_udf(return_type: str, rows: int = PIECE_ROWS):
         return F.pandas_udf(run, return_type).asNondeterministic()
 
     return wrap
+
+
+def _lists(column: pd.Series) -> pa.Array:
+    """Arrays, or None, as one Arrow array of 32-bit floats."""
+    missing = np.fromiter((v is None for v in column), bool, len(column))
+    sizes = np.fromiter((0 if v is None else len(v) for v in column), np.int32, len(column))
+    values = [np.asarray(v, dtype=np.float32) for v in column if v is not None]
+    return pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
+        pa.array(np.concatenate([np.zeros(0, np.float32), *values])), mask=pa.array(missing))
+
+
+def wave_udf(return_type: str, rows: int = PIECE_ROWS):
+    """:func:`piece_udf` for ``array<float>``, or a struct of such, which leave as whole Arrow arrays. Of arrays that a pandas
+    function returns, each value becomes a Python object on the way, which takes longer than decoding it."""
+
+    def wrap(fn):
+        def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for batch in batches:
+                columns = tuple(c.to_pandas() for c in (batch if isinstance(batch, tuple) else (batch,)))
+                for start, stop in pieces(columns, rows):
+                    found = fn(*[c.iloc[start:stop] for c in columns])
+                    if isinstance(found, pd.DataFrame):
+                        yield pa.StructArray.from_arrays([_lists(found[c]) for c in found], list(found))
+                    else:
+                        yield _lists(found)
+
+        return F.arrow_udf(run, return_type).asNondeterministic()
+
+    return wrap

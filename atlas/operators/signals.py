@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlas.operators.arrow import piece_udf
+from atlas.operators.arrow import wave_udf
 from atlas.operators.skew import positions, salted_join
 
 # Fixed values of the signal front end.
@@ -434,7 +434,7 @@ def _floats(waves) -> list[np.ndarray]:
 def resample(df: DataFrame, out_sr: int = SAMPLE_RATE, sr: str = "sr", samples: str = "samples") -> DataFrame:
     """Every row at ``out_sr``; one table per batch and input rate."""
 
-    @piece_udf("array<float>")
+    @wave_udf("array<float>")
     def convert(rates: pd.Series, waves: pd.Series) -> pd.Series:
         tables = {int(r): Resampler.of(int(r), out_sr) for r in rates.unique()}
         return pd.Series([tables[int(r)](np.asarray(w, dtype=np.float64)).astype(np.float32) for r, w in zip(rates, waves)])
@@ -443,7 +443,7 @@ def resample(df: DataFrame, out_sr: int = SAMPLE_RATE, sr: str = "sr", samples:
 
 
 def trim_rows(df: DataFrame, db: float = 60.0, frame: int = 1024, samples: str = "samples") -> DataFrame:
-    @piece_udf("array<float>")
+    @wave_udf("array<float>")
     def trim(waves: pd.Series) -> pd.Series:
         return pd.Series([trim_array(w, db, frame) for w in _floats(waves)])
 
@@ -451,7 +451,7 @@ def trim_rows(df: DataFrame, db: float = 60.0, frame: int = 1024, samples: str =
 
 
 def envelope_rows(df: DataFrame, bars: int = 64, samples: str = "samples", out: str = "envelope") -> DataFrame:
-    @piece_udf("array<float>")
+    @wave_udf("array<float>")
     def draw(waves: pd.Series) -> pd.Series:
         return pd.Series([envelope_array(w, bars).astype(np.float32) for w in _floats(waves)])
 
@@ -462,7 +462,7 @@ def trim_and_draw(df: DataFrame, db: float = 60.0, frame: int = 1024, bars: int
                   out: str = "envelope") -> DataFrame:
     """:func:`trim_rows`, then :func:`envelope_rows`, in one pass over the waveforms."""
 
-    @piece_udf("struct<samples:array<float>,envelope:array<float>>")
+    @wave_udf("struct<samples:array<float>,envelope:array<float>>")
     def both(waves: pd.Series) -> pd.DataFrame:
         kept = [np.asarray(trim_array(w, db, frame), dtype=np.float32) for w in _floats(waves)]
         drawn = [envelope_array(w, bars).astype(np.float32) for w in _floats(pd.Series(kept, dtype=object))]
@@ -533,7 +533,7 @@ def augment_gain_noise(df: DataFrame, variants: int = 4, seed: int = 0, id_col:
     The generator is seeded by (seed, id, variant), so the result does not depend on partitions or retries.
     """
 
-    @piece_udf("array<float>")
+    @wave_udf("array<float>")
     def change(keys: pd.Series, ks: pd.Series, waves: pd.Series) -> pd.Series:
         out = []
         for key, k, wave in zip(keys, ks, _floats(waves)):

@@ -68,11 +68,12 @@ def analyze_cached(files: DataFrame, loader: Callable[[], Embedder], head: dict,
     that ``corrections`` (path, section) name.
 
     Only files whose fingerprint the cache lacks are decoded, copies under one fingerprint once. Names and
-    fingerprints travel; the bytes of a file are joined to the missing ones alone. Corrections are not cached:
+    fingerprints travel; the bytes of a file are joined to the missing ones alone, in as many tasks as decoding wants,
+    however few the bytes. Corrections are not cached:
     they belong to a path, entries to a content. Files that cannot be analysed have no row.
     """
     def fresh(missing: DataFrame) -> DataFrame:
-        wanted = files.select("path", "content").join(missing.select("path", cache.KEY), "path")
+        wanted = spread(files.select("path", "content"), "path").join(missing.select("path", cache.KEY), "path")
         return analyze(wanted, loader, head, keep=[cache.KEY, "path"]).select(
             cache.KEY, *[F.col(c).cast(t) for c, t in cached])
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlas.functions import paths as P
-from atlas.operators.arrow import batch_udf, piece_udf
+from atlas.operators.arrow import batch_udf, wave_udf
 from atlas.operators.intake import union_roots
 from atlas.operators.signals import SAMPLE_RATE, Resampler
 
@@ -161,7 +161,7 @@ def load_signals(df: DataFrame, sr: int = SAMPLE_RATE, keep: Sequence[str] = ("p
     """
     also = dict(also or {})
 
-    @piece_udf(f"struct<{','.join(f'{name}:array<float>' for name in ('samples', *also))}>")
+    @wave_udf(f"struct<{','.join(f'{name}:array<float>' for name in ('samples', *also))}>")
     def decode(contents: pd.Series) -> pd.DataFrame:
         tables: dict[int, Resampler] = {}
 

@@ -397,3 +397,37 @@ def test_waves_are_changed_where_they_are_decoded(spark):
     assert abs(row["duration"] - len(apart["samples"]) / 48_000) < 1e-9
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") <= 3  # before: 4, one more with all samples going in and out
+
+
+def test_waves_leave_as_whole_arrays(spark):
+    @A.wave_udf("struct<samples:array<float>,ends:array<float>>", rows=2)
+    def waves(n):
+        made = [None if v is None or np.isnan(v) else np.arange(int(v), dtype=np.float64) for v in n]
+        ends = [None if w is None else w[-1:] for w in made]
+        return pd.DataFrame({"samples": pd.Series(made, dtype=object), "ends": pd.Series(ends, dtype=object)})
+
+    rows = spark.createDataFrame([(0, 3), (1, None), (2, 0), (3, 2), (4, 1)], "id int, n int").coalesce(1)
+    got = {r["id"]: (r["w"]["samples"], r["w"]["ends"]) for r in rows.withColumn("w", waves("n")).collect()}
+    assert got == {0: ([0, 1, 2], [2]), 1: (None, None), 2: ([], []), 3: ([0, 1], [1]), 4: ([0], [0])}
+    assert A._lists(pd.Series([], dtype=object)).to_pylist() == []
+
+
+def test_missing_files_are_spread_before_they_are_decoded(spark, tmp_path, monkeypatch):
+    files = spark.range(40).select(F.concat("id", F.lit(".wav")).alias("path"), F.col("id").cast("string").alias("fingerprint"),
+                                   F.lit(wav_bytes(tone(0.01, 48_000), 48_000)).alias("content"))
+    seen, plain = [], corpus.analyze
+
+    def watched(wanted, *args, **named):
+        wanted.count()
+        seen.append(wanted.rdd.getNumPartitions())
+        return plain(wanted, *args, **named)
+
+    monkeypatch.setattr(corpus, "analyze", watched)
+    # a broadcast needs no exchange, and a plan of its own would hide what a larger table meets
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = corpus.analyze_cached(files, make_loader(), wave_head(), str(tmp_path / "cache"), 1)
+        assert rows.count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert seen[0] >= 2 * spark.sparkContext.defaultParallelism  # before: merged by their few bytes
