@@ -458,20 +458,6 @@ def envelope_rows(df: DataFrame, bars: int = 64, samples: str = "samples", out:
     return df.withColumn(out, draw(samples))
 
 
-def trim_and_draw(df: DataFrame, db: float = 60.0, frame: int = 1024, bars: int = 64, samples: str = "samples",
-                  out: str = "envelope") -> DataFrame:
-    """:func:`trim_rows`, then :func:`envelope_rows`, in one pass over the waveforms."""
-
-    @wave_udf("struct<samples:array<float>,envelope:array<float>>")
-    def both(waves: pd.Series) -> pd.DataFrame:
-        kept = [np.asarray(trim_array(w, db, frame), dtype=np.float32) for w in _floats(waves)]
-        drawn = [envelope_array(w, bars).astype(np.float32) for w in _floats(pd.Series(kept, dtype=object))]
-        return pd.DataFrame({"samples": pd.Series(kept, dtype=object), "envelope": pd.Series(drawn, dtype=object)})
-
-    return df.withColumn("_b", both(samples)).withColumns(
-        {samples: F.col("_b.samples"), out: F.col("_b.envelope")}).drop("_b")
-
-
 def log_mel(df: DataFrame, filters: np.ndarray | None = None, id_col: str = "id",
             samples: str = "samples") -> DataFrame:
     """``id, frame, mel``: 1001 frames of 64 decibel values per clip; the filterbank is broadcast."""
